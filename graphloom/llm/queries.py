@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import quality
+from graphloom.llm import bpe, quality
 from graphloom.llm.textbuf import documents
 
 
@@ -12,11 +12,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _vocabulary(name: str) -> str:
+    """Where this machine keeps a public vocabulary; its package is on every node."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_classifier,)}
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(documents(spark, sf_dir), _vocabulary("byte_bpe_50k.tiktoken"))
+
+
+QUERIES = {f.__name__: f for f in (op3_quality_classifier, op8_byte_bpe)}
 
 #: DuckDB twins, where SQL can express the whole result.
 ORACLES: dict[str, str] = {}
