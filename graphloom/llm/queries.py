@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import bpe, licenses, quality, secrets
+from graphloom.llm import bpe, licenses, quality, rules, secrets
 from graphloom.llm.textbuf import documents
 
 
@@ -35,7 +35,11 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.labels(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_classifier, op8_byte_bpe, op1_secret_scan, op2_license_scan)}
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(documents(spark, sf_dir), _vocabulary("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op3_quality_classifier, op8_byte_bpe, op1_secret_scan, op2_license_scan, op10_quality_rules)}
 
 #: DuckDB twins, where SQL can express the whole result.
 ORACLES: dict[str, str] = {}
