@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import bpe, licenses, quality, rules, secrets
+from graphloom.llm import bpe, licenses, quality, rules, secrets, toxicity
 from graphloom.llm.textbuf import documents
 
 
@@ -39,7 +39,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(documents(spark, sf_dir), _vocabulary("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_classifier, op8_byte_bpe, op1_secret_scan, op2_license_scan, op10_quality_rules)}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op3_quality_classifier, op8_byte_bpe, op1_secret_scan, op2_license_scan, op10_quality_rules, op9_toxicity)}
 
 #: DuckDB twins, where SQL can express the whole result.
 ORACLES: dict[str, str] = {}
