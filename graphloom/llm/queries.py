@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, licenses, quality, rules, secrets, topk, toxicity
+from graphloom.llm import bpe, licenses, mixing, quality, rules, secrets, topk, toxicity
 from graphloom.llm.textbuf import documents
 
 
@@ -48,14 +48,18 @@ def op7_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_classifier, op8_byte_bpe, op1_secret_scan, op2_license_scan, op10_quality_rules, op9_toxicity, op7_bit_sliced_top_k)}
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.rates(documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op3_quality_classifier, op8_byte_bpe, op1_secret_scan, op2_license_scan, op10_quality_rules, op9_toxicity, op7_bit_sliced_top_k, op5_mixing)}
 
 #: DuckDB twins, where SQL can express the whole result.
 ORACLES: dict[str, str] = {
     "op7_bit_sliced_top_k": """
         WITH v AS (
-          SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)) AS v FROM embeddings
-          WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+          SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+          WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), pairs AS (
           SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
           FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
