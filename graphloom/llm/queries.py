@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, licenses, mixing, quality, rules, secrets, topk, toxicity
+from graphloom.llm import bpe, licenses, mixing, quality, repeats, rules, secrets, topk, toxicity
 from graphloom.llm.textbuf import documents
 
 
@@ -52,10 +52,32 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.rates(documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_classifier, op8_byte_bpe, op1_secret_scan, op2_license_scan, op10_quality_rules, op9_toxicity, op7_bit_sliced_top_k, op5_mixing)}
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op3_quality_classifier, op8_byte_bpe, op1_secret_scan, op2_license_scan, op10_quality_rules, op9_toxicity, op7_bit_sliced_top_k, op5_mixing, op4_substring_dedup)}
 
 #: DuckDB twins, where SQL can express the whole result.
 ORACLES: dict[str, str] = {
+    "op4_substring_dedup": r"""
+        WITH w AS (
+          SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+        ), windows AS (
+          SELECT rid, i, array_to_string(ws[i:i + 34], ' ') AS t
+          FROM (SELECT rid, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35)
+        ), again AS (
+          SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY t) AS c FROM windows) WHERE c > 1
+        ), covered AS (
+          SELECT DISTINCT rid, unnest(range(i, i + 35)) AS j FROM again
+        ), placed AS (
+          SELECT rid, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM w
+        ), kept AS (
+          SELECT rid, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS t FROM placed ANTI JOIN covered USING (rid, j) GROUP BY rid
+        )
+        SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM w LEFT JOIN kept USING (rid)
+    """,
     "op7_bit_sliced_top_k": """
         WITH v AS (
           SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
