@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, licenses, mixing, quality, repeats, rules, secrets, topk, toxicity
+from graphloom.llm import bpe, jaccard, licenses, mixing, quality, repeats, rules, secrets, topk, toxicity
 from graphloom.llm.textbuf import documents
 
 
@@ -56,10 +56,39 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digests(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_classifier, op8_byte_bpe, op1_secret_scan, op2_license_scan, op10_quality_rules, op9_toxicity, op7_bit_sliced_top_k, op5_mixing, op4_substring_dedup)}
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op3_quality_classifier, op8_byte_bpe, op1_secret_scan, op2_license_scan, op10_quality_rules, op9_toxicity, op7_bit_sliced_top_k, op5_mixing, op4_substring_dedup, op6_ngram_jaccard_join)}
 
 #: DuckDB twins, where SQL can express the whole result.
 ORACLES: dict[str, str] = {
+    "op6_ngram_jaccard_join": r"""
+        WITH RECURSIVE w AS (
+          SELECT doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+          FROM documents
+        ), shingles AS (
+          SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g
+          FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)
+        ), sizes AS (
+          SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+        ), common AS (
+          SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+          FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+        ), links AS (
+          SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+          WHERE 100 * c >= 80 * (x.n + y.n - c)
+        ), reach(a, b) AS (
+          SELECT doc_id, doc_id FROM w
+          UNION
+          SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+        ), roots AS (
+          SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a
+        )
+        SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM roots LEFT JOIN sizes USING (doc_id)
+    """,
     "op4_substring_dedup": r"""
         WITH w AS (
           SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
