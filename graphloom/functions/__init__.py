@@ -1 +1,27 @@
-"""Functions of the engine."""
+"""Small helpers that operators share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_own: list[str] = []
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path under spark.checkpoint.dir, which all executors share; in local tests a folder of this machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        root = _own[0]
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """The rows written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

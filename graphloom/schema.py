@@ -1,0 +1,18 @@
+"""Explicit schemas and vocabularies of the engine's tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import types as T
+
+_text = lambda *names: [T.StructField(n, T.StringType(), False) for n in names]
+
+#: Typed nodes; ordinal is the position inside the path and orders ties.
+NODES = T.StructType([*_text("id", "kind", "name", "path", "language"), T.StructField("ordinal", T.LongType(), False)])
+#: Typed edges, unique by (kind, src, dst).
+EDGES = T.StructType([*_text("id", "kind", "src", "dst"), T.StructField("weight", T.LongType(), False)])
+
+#: The four evidence dimensions. UNKNOWN is a value, never NULL, and never counts as absence.
+TRUTH_CLASSES = ("OBSERVED", "RESOLVED", "INFERRED", "HEURISTIC")
+EXECUTION_MODALITIES = ("MUST", "MAY", "UNKNOWN")
+TARGET_RESOLUTIONS = ("EXACT", "CANDIDATE_SET", "UNKNOWN")
+COVERAGES = ("COMPLETE", "PARTIAL", "UNKNOWN")
