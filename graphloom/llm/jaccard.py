@@ -14,8 +14,11 @@ sets form a class (named by a 64-bit hash of the set) and are compared once.
 4. Trees. Classes of different components that meet at a prefix shingle are compared by
    signature trees: leaves are classes with a token bitmap and a size, nodes hold OR-combined
    bitmaps, size ranges and the least number of marked bits. Two trees are traversed together
-   and node pairs are pruned by the largest overlap that they allow. Pairs that remain, and
-   share enough prefix shingles, are compared exactly.
+   and node pairs are pruned by the largest overlap that they allow, or because all below is in
+   one component. Of the pairs that remain, a first round compares only a forest of the most
+   promising ones for each shingle, which joins families without listing their pairs. A second
+   round compares exactly all that then still stand in different components and share enough
+   prefix shingles.
 5. Components of all links, by least document id.
 
 Shingles met by many classes are split into pieces, and pairs of pieces are separate groups.
@@ -198,48 +201,82 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
 
 
 class Tree:
-    """Levels of nodes over classes sorted by size; node i has the children FAN * i to FAN * i + FAN - 1."""
+    """Levels of nodes over classes; node i has the children FAN * i to FAN * i + FAN - 1.
 
-    def __init__(self, bits: np.ndarray, size: np.ndarray):
+    A level holds OR-combined bitmaps, least and largest size, least number of marked bits, and
+    least and largest component.
+    """
+
+    def __init__(self, bits: np.ndarray, size: np.ndarray, root: np.ndarray):
         marked = np.bitwise_count(bits).sum(axis=1).astype(np.int64)
-        self.levels = [(bits, size, size, marked)]
+        self.levels = [(bits, size, size, marked, root, root)]
         while len(self.levels[-1][0]) > 1:
-            b, low, high, least = self.levels[-1]
-            cut = np.arange(0, len(b), FAN)
-            self.levels.append((np.bitwise_or.reduceat(b, cut), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut), np.minimum.reduceat(least, cut)))
+            values = self.levels[-1]
+            cut = np.arange(0, len(values[0]), FAN)
+            ways = (np.bitwise_or, np.minimum, np.maximum, np.minimum, np.minimum, np.maximum)
+            self.levels.append(tuple(way.reduceat(v, cut) for way, v in zip(ways, values, strict=True)))
 
 
-def join_trees(x: Tree, y: Tree, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """(leaves of x, leaves of y) of the pairs that the signatures cannot rule out."""
+def join_trees(x: Tree, y: Tree, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(leaves of x, leaves of y, most overlap) of the pairs that signatures and components cannot rule out."""
     i, j = len(x.levels) - 1, len(y.levels) - 1
     a, b = np.zeros(1, np.int64), np.zeros(1, np.int64)
     while True:
-        xb, xl, xh, xm = (v[a] for v in x.levels[i])
-        yb, yl, yh, ym = (v[b] for v in y.levels[j])
+        xb, xl, xh, xm, x0, x1 = (v[a] for v in x.levels[i])
+        yb, yl, yh, ym, y0, y1 = (v[b] for v in y.levels[j])
         # the most that a set below a node may share with any set below the other node
         shared = np.bitwise_count(xb & yb).sum(axis=1).astype(np.int64)
         most = np.minimum(np.minimum(xh - np.maximum(xm - shared, 0), yh - np.maximum(ym - shared, 0)), np.minimum(xh, yh))
         keep = (100 * most >= percent * np.maximum(xl, yl)) & (100 * xh >= percent * yl) & (100 * yh >= percent * xl)
+        if not i and not j:
+            keep &= 100 * most >= percent * (xh + yh - most)
+        keep &= (x0 != x1) | (y0 != y1) | (x0 != y0)
         a, b = a[keep], b[keep]
         if not i and not j:
-            return a, b
-        for which in ("x", "y"):
-            level, tree = (i, x) if which == "x" else (j, y)
-            if not level or (which == "x" and j > i) or (which == "y" and i >= j and i):
-                continue
-            node = a if which == "x" else b
-            first = node * FAN
-            n = np.minimum(first + FAN, len(tree.levels[level - 1][0])) - first
-            child = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            if which == "x":
-                a, b, i = child, np.repeat(b, n), i - 1
-            else:
-                a, b, j = np.repeat(a, n), child, j - 1
-            break
-
-
-def tree_pairs(met: DataFrame, sets: DataFrame, comp: DataFrame, percent: int = PERCENT, piece: int = PIECE) -> DataFrame:
-    """Pairs (a, b) of classes of different components that signature trees cannot rule out."""
+            return a, b, most[keep]
+        split_x = i >= j
+        level, tree, node = (i, x, a) if split_x else (j, y, b)
+        first = node * FAN
+        n = np.minimum(first + FAN, len(tree.levels[level - 1][0])) - first
+        child = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        if split_x:
+            a, b, i = child, np.repeat(b, n), i - 1
+        else:
+            a, b, j = np.repeat(a, n), child, j - 1
+
+
+def forest(a: np.ndarray, b: np.ndarray, worth: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Numbers of the pairs that join as many components as all pairs do, the worthiest first."""
+    _, label = np.unique(root, return_inverse=True)
+    left = np.argsort(-worth, kind="stable")
+    parent = list(range(int(label.max()) + 1)) if len(label) else []
+
+    def find(v: int) -> int:
+        while parent[v] != v:
+            parent[v] = parent[parent[v]]
+            v = parent[v]
+        return v
+
+    picked: list[int] = []
+    while True:
+        left = left[label[a[left]] != label[b[left]]]
+        if not len(left):
+            return np.array(picked, np.int64)
+        # the best pair of each component: pairs are sorted, so it is the first
+        ends = np.stack([label[a[left]], label[b[left]]], axis=1).ravel()
+        for e in np.unique(np.unique(ends, return_index=True)[1] // 2).tolist():
+            u, v = find(int(label[a[left[e]]])), find(int(label[b[left[e]]]))
+            if u != v:
+                parent[max(u, v)] = min(u, v)
+                picked.append(int(left[e]))
+        label = np.array([find(v) for v in range(len(parent))])[label]
+
+
+def tree_pairs(met: DataFrame, sets: DataFrame, comp: DataFrame, every: bool, percent: int = PERCENT, piece: int = PIECE) -> DataFrame:
+    """Pairs (a, b) of classes of different components that signature trees cannot rule out.
+
+    All of them that share enough prefix shingles, or (not every) a forest for each cell.
+    """
     of = met.select("g", "k").join(comp.select(F.col("node").alias("k"), "root"), "k", "left").select("g", "k", F.coalesce("root", "k").alias("root"))
     mixed = of.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("df"))
     mixed = mixed.where("low <> high").select("g", F.ceil(F.col("df") / piece).cast("int").alias("pieces"))
@@ -253,19 +290,23 @@ def tree_pairs(met: DataFrame, sets: DataFrame, comp: DataFrame, percent: int =
 
     def pairs(cells):
         k, root, size, own, low, high, bits = cells
-        order = np.argsort(size, kind="stable")
+        order = np.lexsort((size, root))
         k, root, size, own, bits = k[order], root[order], size[order], own[order], bits[order]
         if low == high:
-            tree = Tree(bits, size)
-            a, b = join_trees(tree, tree, percent)
+            tree = Tree(bits, size, root)
+            a, b, most = join_trees(tree, tree, percent)
+            once = a < b
+            a, b, most = a[once], b[once], most[once]
         else:
             p, q = np.flatnonzero(own == low), np.flatnonzero(own == high)
             if not len(p) or not len(q):
                 return np.zeros((0, 2), np.int64)
-            a, b = join_trees(Tree(bits[p], size[p]), Tree(bits[q], size[q]), percent)
+            a, b, most = join_trees(Tree(bits[p], size[p], root[p]), Tree(bits[q], size[q], root[q]), percent)
             a, b = p[a], q[b]
-        apart = (root[a] != root[b]) & ((low != high) | (a < b))
-        a, b = k[a[apart]], k[b[apart]]
+        if not every and len(a):
+            best = forest(a, b, most / (size[a] + size[b] - most), root)
+            a, b = a[best], b[best]
+        a, b = k[a], k[b]
         return np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
 
     def run(batches):
@@ -293,6 +334,8 @@ def tree_pairs(met: DataFrame, sets: DataFrame, comp: DataFrame, percent: int =
 
     dealt = rows.repartition("cell").sortWithinPartitions("cell", "g")
     met_at = dealt.mapInArrow(run, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("n"))
+    if not every:
+        return met_at.select("a", "b")
     need = sets.select("k", F.expr(f"1 + (size - ceil({percent} * size / 100)) DIV 5").alias("l"))
     # pairs of different components meet at every prefix shingle that they share
     counted = met_at.join(need.toDF("a", "la"), "a").join(need.toDF("b", "lb"), "b")
@@ -306,11 +349,13 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
     sets = class_sets(docs, table, met.select("k").distinct(), n)
     stars = met.where("k <> leader").groupBy("k", "leader").agg(F.count("*").alias("n"))
     stars = stars.groupBy("k").agg(F.max_by("leader", F.struct("n", "leader")).alias("leader")).select(F.col("leader").alias("a"), F.col("k").alias("b"))
-    first = tb.written(verified(stars, sets, percent), "links")
-    some = tb.written(connected(first), "components")
-    more = tb.written(verified(tree_pairs(met, sets, some, percent), sets, percent), "links")
-    links = first.unionByName(more)
-    roots = tb.written(connected(links), "components") if not more.isEmpty() else some
+    links = tb.written(verified(stars, sets, percent), "links")
+    roots = tb.written(connected(links), "components")
+    for every in (False, True):
+        more = tb.written(verified(tree_pairs(met, sets, roots, every, percent), sets, percent), "links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            roots = tb.written(connected(links), "components")
     classes = table.where("size > 0").groupBy("k").agg(F.min("doc_id").alias("least"))
     named = classes.join(roots.select(F.col("node").alias("k"), "root"), "k", "left").select("k", "least", F.coalesce("root", "k").alias("root"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
