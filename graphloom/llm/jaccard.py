@@ -43,6 +43,8 @@ SHINGLE, PERCENT = 5, 80
 #: Documents and least count of the sample that orders shingles; bits of a class's bitmap;
 #: classes at one prefix shingle that stay together; leaves below one node.
 ORDER_ROWS, ORDER_LEAST, BITMAP, PIECE, FAN = 4_000, 8, 4_096, 512, 8
+#: Rows of a cell up to which all its pairs are looked at without trees.
+SMALL = 16
 #: Most shingles that are put last (a bound of memory, not of results).
 ORDER_MOST = 100_000
 
@@ -272,6 +274,40 @@ def forest(a: np.ndarray, b: np.ndarray, worth: np.ndarray, root: np.ndarray) ->
         label = np.array([find(v) for v in range(len(parent))])[label]
 
 
+def small_cells(cell: np.ndarray, k: np.ndarray, root: np.ndarray, size: np.ndarray, apart: np.ndarray, bits: np.ndarray, every: bool, percent: int = PERCENT) -> np.ndarray:
+    """Pairs of many cells of a few rows each, at once: trees of one leaf level need no descent.
+
+    Rows of a cell stand together; pairs need different roots and different values of apart.
+    Not every: only the best pair of each row.
+    """
+    found_a, found_b, found_w = [], [], []
+    for step in range(1, SMALL):
+        i = np.flatnonzero(cell[:-step] == cell[step:])
+        if not len(i):
+            break
+        j = i + step
+        ok = (root[i] != root[j]) & (apart[i] != apart[j]) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))
+        for part in np.array_split(np.flatnonzero(ok), max(1, int(ok.sum()) // 8192)):
+            a, b = i[part], j[part]
+            less_a = np.bitwise_count(bits[a] & ~bits[b]).sum(axis=1).astype(np.int64)
+            less_b = np.bitwise_count(bits[b] & ~bits[a]).sum(axis=1).astype(np.int64)
+            most = np.minimum(size[a] - less_a, size[b] - less_b)
+            good = 100 * most >= percent * (size[a] + size[b] - most)
+            found_a.append(a[good])
+            found_b.append(b[good])
+            found_w.append(most[good] / np.maximum(size[a][good] + size[b][good] - most[good], 1))
+    if not found_a:
+        return np.zeros((0, 2), np.int64)
+    a, b, w = (np.concatenate(x) for x in (found_a, found_b, found_w))
+    if not every and len(a):
+        node, pair = np.concatenate([a, b]), np.tile(np.arange(len(a)), 2)
+        order = np.lexsort((pair, -w[pair], node))
+        first = np.unique(node[order], return_index=True)[1]
+        best = np.unique(pair[order][first])
+        a, b = a[best], b[best]
+    return np.stack([np.minimum(k[a], k[b]), np.maximum(k[a], k[b])], axis=1)
+
+
 def tree_pairs(met: DataFrame, sets: DataFrame, comp: DataFrame, every: bool, percent: int = PERCENT, piece: int = PIECE) -> DataFrame:
     """Pairs (a, b) of classes of different components that signature trees cannot rule out.
 
@@ -325,8 +361,13 @@ def tree_pairs(met: DataFrame, sets: DataFrame, comp: DataFrame, every: bool, pe
             start = np.frombuffer(offs, np.int64)[column.offset]
             bits = np.frombuffer(data, np.uint8)[start : start + len(cell) * width * 8].view(np.uint64).reshape(len(cell), width)
             out = [np.zeros((0, 2), np.int64)]
+            span = np.diff(cuts)
+            few = np.repeat((span > 1) & (span <= SMALL), span)
+            if few.any():
+                own, numbers = np.where(number["p"] == number["q"], np.arange(len(cell)), number["own"])[:end], np.repeat(np.arange(len(span)), span)
+                out.append(small_cells(numbers[few], number["k"][:end][few], number["root"][:end][few], number["size"][:end][few], own[few], bits[:end][few], every, percent))
             for x, y in zip(cuts, cuts[1:], strict=False):
-                if y - x > 1:
+                if y - x > SMALL:
                     out.append(pairs((number["k"][x:y], number["root"][x:y], number["size"][x:y], number["own"][x:y], number["p"][x], number["q"][x], bits[x:y])))
             rest = table.slice(end) if batch is not None else None
             found = np.concatenate(out)
