@@ -470,11 +470,11 @@ def e4_clusters(spark, d):
 @query("e5_nesting", """
 , steps AS (SELECT run, (row_number() OVER (PARTITION BY run ORDER BY ts, event_id)) AS k FROM data_events)
 , rows_ AS (SELECT run, k, CASE WHEN k % 4 IN (1, 2) THEN 1 ELSE -1 END AS step FROM steps)
-SELECT run, k, step, CASE WHEN k % 4 IN (1, 0) THEN 1 ELSE 2 END::BIGINT AS depth, CASE WHEN k % 4 = 2 THEN k - 1 END AS parent FROM rows_""")
+SELECT run, k, step, CASE WHEN k % 4 IN (1, 0) THEN 1 ELSE 2 END::BIGINT AS depth, CASE WHEN k % 4 = 2 THEN k - 1 ELSE 0 END::BIGINT AS parent FROM rows_""")
 def e5_nesting(spark, d):
     rows = trace.numbered(star.data_events(spark, d), ["run"], ["ts", "event_id"], "k").select("run", (F.col("k") + 1).alias("k"))
     rows = rows.withColumn("step", F.when((F.col("k") % 4).isin(1, 2), 1).otherwise(-1))
-    return trace.nesting(rows, ["run"], "k").select("run", "k", "step", "depth", "parent")
+    return trace.nesting(rows, ["run"], "k").select("run", "k", "step", "depth", F.coalesce("parent", F.lit(0)).alias("parent"))
 
 
 @query("e6_sample", "SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY md5(event_id || ':7'), event_id) AS rn FROM events) WHERE rn <= 5", graph=False)
