@@ -46,9 +46,10 @@ MARKS = ("|", "!!", "%%%", "&&&", "$$$", "***", "###", "\n", ".", ",")
 
 
 def tokens(text: Column) -> Column:
-    """Words of a text, counted as separators between words and one more."""
-    bare = F.trim(F.translate(text, "\n\t\r\x0b\x0c", "     "))
-    return F.when(F.length(bare) == 0, F.lit(0)).otherwise(F.length(bare) - F.length(F.replace(bare, F.lit(" "))) + 1).cast("long")
+    """Tokens of a text: its spaces, tabs and line feeds, and one more; none without other characters."""
+    size = F.octet_length(text)
+    gaps = sum((size - F.octet_length(F.replace(text, F.lit(c))) for c in " \n\t"), F.lit(0))
+    return F.when(gaps == size, F.lit(0)).otherwise(gaps + 1).cast("long")
 
 
 def _share(text: Column, mark: str) -> Column:
