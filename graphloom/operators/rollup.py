@@ -66,8 +66,7 @@ def modularity(edges: DataFrame, member: DataFrame) -> DataFrame:
     inside = w.groupBy(F.col("su").alias("unit")).agg(F.sum(F.when(F.col("su") == F.col("du"), F.col("weight")).otherwise(0)).alias("inside"), F.sum("weight").alias("out"))
     into = w.groupBy(F.col("du").alias("unit")).agg(F.sum("weight").alias("into"))
     total = w.agg(F.sum("weight").alias("m"))
-    # one row
-    both = inside.join(into, "unit", "full_outer").join(F.broadcast(total))
+    both = inside.join(into, "unit", "full_outer").withColumn("m", total.scalar())
     z = lambda c: F.coalesce(c, F.lit(0))
     term = z("inside") / F.col("m") - F.pow((z("out") + z("into")) / (2 * F.col("m")), 2)
     return both.agg(F.round(F.sum(term), 9).alias("modularity"))
