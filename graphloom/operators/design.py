@@ -129,3 +129,44 @@ def exclusive_uses(uses: DataFrame, resource: str, user: str) -> DataFrame:
     """resource, users: exclusive resources with several users."""
     by = uses.groupBy(resource).agg(F.count_distinct(user).alias("users"))
     return by.where("users > 1")
+
+
+def nearest_scope(uses: DataFrame, ancestors: DataFrame, declared: DataFrame) -> DataFrame:
+    """use, resolution, target: the innermost scope that declares a name decides, EXACT or CANDIDATE_SET.
+
+    uses: use, scope, name; ancestors: scope, ancestor, depth (0 for itself); declared: ancestor, name, target.
+    """
+    found = uses.join(ancestors, "scope").join(declared, ["ancestor", "name"])
+    near = found.groupBy("use", "depth").agg(F.count_distinct("target").alias("n"), F.min("target").alias("target"))
+    best = near.groupBy("use").agg(F.min_by(F.struct("n", "target"), "depth").alias("b"))
+    resolution = F.when(F.col("b").isNull(), "UNKNOWN").when(F.col("b.n") == 1, "EXACT").otherwise("CANDIDATE_SET")
+    return uses.join(best, "use", "left").select("use", resolution.alias("resolution"), F.when(F.col("b.n") == 1, F.col("b.target")).alias("target"))
+
+
+def declared_relation(members: DataFrame, unit: str, module: str) -> DataFrame:
+    """unit, relation to declared modules: UNRELATED, ALIGNED (one), CONFLICTING (two) or CROSS_CUTTING."""
+    by = members.groupBy(unit).agg(F.count_distinct(module).alias("n"))
+    relation = F.when(F.col("n") == 0, "UNRELATED").when(F.col("n") == 1, "ALIGNED").when(F.col("n") == 2, "CONFLICTING").otherwise("CROSS_CUTTING")
+    return by.select(unit, relation.alias("relation"))
+
+
+def concentration(edges: DataFrame, end: str = "dst") -> DataFrame:
+    """end, share: the part of an end's weight that its heaviest partner has."""
+    return edges.groupBy(end).agg(F.round(F.max("weight") / F.sum("weight"), 6).alias("share"))
+
+
+def direction_violations(edges: DataFrame, ports: DataFrame) -> DataFrame:
+    """src, dst, token: edges that leave a port which only takes in, or enter one which only gives out."""
+    ways = ports.groupBy("block", "token").agg(F.bool_or(F.col("direction") == "out").alias("gives"), F.bool_or(F.col("direction") == "in").alias("takes"))
+    j = edges.join(ways.select(F.col("block").alias("src"), "token", "gives"), ["src", "token"]).join(ways.select(F.col("block").alias("dst"), "token", "takes"), ["dst", "token"])
+    return j.where("NOT gives OR NOT takes").select("src", "dst", "token")
+
+
+def field_changes(before: DataFrame, after: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """key, changed: names of the fields that differ, joined; ADDED and REMOVED rows say so."""
+    a = before.select(key, F.lit(1).alias("in_a"), *[F.col(f).alias(f"a_{f}") for f in fields])
+    b = after.select(key, F.lit(1).alias("in_b"), *[F.col(f).alias(f"b_{f}") for f in fields])
+    j = a.join(b, key, "full_outer")
+    names = F.array_join(F.array_compact(F.array(*[F.when(~F.col(f"a_{f}").eqNullSafe(F.col(f"b_{f}")), f) for f in sorted(fields)])), ",")
+    what = F.when(F.col("in_a").isNull(), "ADDED").when(F.col("in_b").isNull(), "REMOVED").otherwise(names)
+    return j.select(key, what.alias("changed")).where("changed <> ''")
