@@ -219,15 +219,23 @@ class Tree:
             self.levels.append(tuple(way.reduceat(v, cut) for way, v in zip(ways, values, strict=True)))
 
 
+def _shared_bits(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Marked bits that rows a of x share with rows b of y, in parts of bounded memory."""
+    out = np.zeros(len(a), np.int64)
+    for i in range(0, len(a), 8192):
+        out[i : i + 8192] = np.bitwise_count(x[a[i : i + 8192]] & y[b[i : i + 8192]]).sum(axis=1)
+    return out
+
+
 def join_trees(x: Tree, y: Tree, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(leaves of x, leaves of y, most overlap) of the pairs that signatures and components cannot rule out."""
     i, j = len(x.levels) - 1, len(y.levels) - 1
     a, b = np.zeros(1, np.int64), np.zeros(1, np.int64)
     while True:
-        xb, xl, xh, xm, x0, x1 = (v[a] for v in x.levels[i])
-        yb, yl, yh, ym, y0, y1 = (v[b] for v in y.levels[j])
+        xl, xh, xm, x0, x1 = (v[a] for v in x.levels[i][1:])
+        yl, yh, ym, y0, y1 = (v[b] for v in y.levels[j][1:])
         # the most that a set below a node may share with any set below the other node
-        shared = np.bitwise_count(xb & yb).sum(axis=1).astype(np.int64)
+        shared = _shared_bits(x.levels[i][0], y.levels[j][0], a, b)
         most = np.minimum(np.minimum(xh - np.maximum(xm - shared, 0), yh - np.maximum(ym - shared, 0)), np.minimum(xh, yh))
         keep = (100 * most >= percent * np.maximum(xl, yl)) & (100 * xh >= percent * yl) & (100 * yh >= percent * xl)
         if not i and not j:

@@ -204,16 +204,13 @@ def accepted(docs: DataFrame, labels: DataFrame, accept: float = 0.3) -> DataFra
     The score is added row by row to the batch that holds the text, so nothing is joined.
     """
     forest = train(docs, labels)
-    names = docs.columns
-    flag = "accepted_row"
-    while flag in names:
-        flag += "_"
+    at = docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
-            column = tb.texts(batch.column(len(names)))
+            column = tb.texts(batch.column(at))
             parts = [forest.score(statistics(column.slice(a, b - a))) for a, b in tb.blocks(column)]
             keep = np.concatenate([np.zeros(0), *parts]) >= accept
-            yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names=names).filter(pa.array(keep))
+            yield batch.filter(pa.array(keep))
 
-    return docs.select("*", F.col("text").cast("string").alias(flag)).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
