@@ -36,8 +36,8 @@ MAX_TRAIN_ROWS, MAX_TERMS = 20_000, 300
 PREFIXES = (4, 5, 6)
 #: Bytes of the shortest terms.
 SHORTEST = 4
-#: Least log-likelihood statistic of a mined term.
-LEAST_G2 = 17.0
+#: Different terms that a row brings about, for the number of terms that could stand out by chance.
+TERMS_A_ROW = 200
 
 # Common insults that vote whether or not they can be mined.
 SEEDS = ("idiot", "moron", "stupid", "loser", "scum", "imbecile", "pathetic", "worthless", "disgusting")
@@ -59,7 +59,12 @@ def mine(docs: DataFrame, ids: DataFrame, max_terms: int = MAX_TERMS) -> list[tu
     """(term, is it a prefix) of the strongest terms among the labelled rows."""
     mine_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # at most max_train_rows ids
-    mine_ = mine_.join(F.broadcast(ids), "doc_id").select("text", "label")
+    # copies and near copies count once or a few times, or all words of a family would look like
+    # marks: texts are grouped by the two least hashes of their long words
+    long_words = F.filter(F.array_distinct(F.split(F.lower("text"), "[^\\p{L}]+")), lambda w: F.length(w) >= 8)
+    least = F.slice(F.array_sort(F.transform(long_words, lambda w: F.xxhash64(w))), 1, 2)
+    kin = F.when(F.size(least) == 2, F.xxhash64(least)).otherwise(F.xxhash64("text"))
+    mine_ = mine_.join(F.broadcast(ids), "doc_id").groupBy(kin.alias("kin"), "label").agg(F.min("text").alias("text")).select("text", "label")
 
     def count(batches):
         for batch in batches:
@@ -80,12 +85,13 @@ def mine(docs: DataFrame, ids: DataFrame, max_terms: int = MAX_TERMS) -> list[tu
     forms += [F.when(F.octet_length("word") > n, F.struct(F.expr(f"substring(word, 1, {n})").alias("term"), F.lit(True).alias("prefix"))) for n in PREFIXES]
     terms = words.select(F.explode(F.array_compact(F.array(*forms))).alias("t"), "toxic", "clean")
     terms = terms.where(F.octet_length("t.term") >= SHORTEST).groupBy("t.term", "t.prefix").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
-    share = ids.agg(F.avg("label")).first()[0] or 0.0
+    share, rows = ids.agg(F.avg("label"), F.count("*")).first()
+    share = share or 0.0
     if not 0 < share < 1:
         return []
     n = F.col("a") + F.col("b")
     g2 = 2 * (F.col("a") * F.log(F.col("a") / n / share) + F.when(F.col("b") > 0, F.col("b") * F.log(F.col("b") / n / (1 - share))).otherwise(0.0))
-    strong = terms.where((F.col("a") >= 3) & (F.col("b") <= F.when(F.col("prefix"), 0.05).otherwise(0.35) * F.col("a"))).withColumn("g2", g2).where(F.col("g2") >= LEAST_G2)
+    strong = terms.where((F.col("a") >= 3) & (F.col("b") <= 0.05 * F.col("a"))).withColumn("g2", g2).where(F.col("g2") >= 2 * math.log(TERMS_A_ROW * rows))
     found: dict[tuple[bytes, bool], None] = {}
     for r in strong.orderBy(F.desc("g2"), F.desc("prefix"), F.octet_length("term"), "term").limit(8 * max_terms).collect():
         term = bytes(r.term)
@@ -138,7 +144,7 @@ def _fires(rows: DataFrame, weights: list[str], size: int) -> np.ndarray:
 
 
 def label_model(held: DataFrame, ids: DataFrame, size: int, rounds: int = 6) -> tuple[float, np.ndarray]:
-    """(bias, log-odds weight of each voter), correlations discounted.
+    """(bias, log-odds weight of each voter), correlations discounted; voters abstain where they do not fire.
 
     Fitted on the counts of all documents' vote patterns; what returns to the driver is one sum
     for each voter, or each pair of voters that fire together.
@@ -158,16 +164,15 @@ def label_model(held: DataFrame, ids: DataFrame, size: int, rounds: int = 6) ->
             seen = anchor + fire
         toxic, clean = seen[size]
         a, b = (seen[:size, 0] + 0.05) / (toxic + 1), (seen[:size, 1] + 0.01) / (clean + 1)
-        # a voter that stays silent says something too: it goes to the bias
-        silent = np.log((1 - np.minimum(a, 0.999)) / (1 - np.minimum(b, 0.999)))
-        weight = np.clip(np.log(a / b), -6, 9) - silent
-        bias = math.log((toxic + 0.5) / (clean + 0.5)) + float(silent.sum())
+        weight = np.clip(np.log(a / b), -6, 9)
+        bias = math.log((toxic + 0.5) / (clean + 0.5))
     two = post.select(F.explode("terms").alias("v"), "terms", "p").select("v", F.explode("terms").alias("u"), "p").where("u != v")
     extra = np.zeros(size)
     toxic, rate = max(fire[size, 0], 1e-9), fire[:size, 0] / max(fire[size, 0], 1e-9)
     for r in two.groupBy("v", "u").agg(F.sum("p").alias("p")).collect():
         # conditional dependence: how much more often than by chance two voters fire together
-        if fire[r.v, 0] > 5 and fire[r.u, 0] > 5:
+        # the voter that fires less often gives way, so that the others of a group keep one full vote
+        if min(fire[r.v, 0], fire[r.u, 0]) > 5 and (fire[r.v, 0], -r.v) < (fire[r.u, 0], -r.u):
             spread = math.sqrt(max(rate[r.v] * (1 - rate[r.v]) * rate[r.u] * (1 - rate[r.u]), 1e-12))
             extra[r.v] += max(0.0, (r.p / toxic - rate[r.v] * rate[r.u]) / spread - 0.5)
     return bias, weight / (1 + extra)
@@ -199,8 +204,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, accept: float = 0.7, max
     ids = tb.written(train_ids(labels, "toxic", fold(F.col("doc_id"), 3) != 1, max_train_rows), "toxic_ids")
     mined = mine(docs, ids)
     terms = mined + [(t.encode(), False) for t in SEEDS if (t.encode(), False) not in mined]
-    size = len(terms) + len(PATTERNS)
-    held = tb.written(held_terms(docs, terms), "toxic_terms")
+    # the last voter fires where no other does
+    size = len(terms) + len(PATTERNS) + 1
+    nothing = F.when(F.size("terms") == 0, F.array(F.lit(size - 1))).otherwise(F.col("terms"))
+    held = tb.written(held_terms(docs, terms).withColumn("terms", nothing), "toxic_terms")
     bias, weight = label_model(held, ids, size)
     # the sample: at most max_train_rows rows of a few numbers
     sample = held.join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
@@ -209,7 +216,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, accept: float = 0.7, max
     b, w = train_linear(rows, bias, weight)
     seen = np.bincount([t for r in rows for t in r.terms], minlength=size)
     # voters that the sample lacks take their weight from the label model
-    w = np.where(seen > 0, w, np.maximum(weight, 0))
+    w = np.where(seen > 0, w, weight)
     by_term = F.array(*[F.lit(float(x)) for x in w])
     linear = F.aggregate("terms", F.lit(float(b)), lambda acc, t: acc + F.element_at(by_term, t + 1))
     return held.select(
