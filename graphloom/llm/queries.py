@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, jaccard, licenses, mixing, quality, repeats, rules, secrets, topk, toxicity
-from graphloom.llm.textbuf import documents
+from graphloom.llm import bpe, jaccard, licenses, mixing, quality, repeats, rules, secrets, textbuf, topk, toxicity
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    textbuf.small_batches(spark)
+    return textbuf.documents(spark, sf_dir)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

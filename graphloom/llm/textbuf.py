@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 #: Bytes of text that one numpy block holds, unless a single text is longer.
 BLOCK_BYTES = 1 << 19
 
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 1_000
+
 U64 = np.uint64
 _OWN_DIR: list[str] = []
 
@@ -52,6 +55,17 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, in
         start = end
 
 
+def small_batches(spark) -> None:
+    """Arrow batches of at most BATCH_ROWS rows, unless the session says otherwise.
+
+    The default of 10,000 rows of whole texts costs an executor several hundred MB, twice over
+    (in the JVM and in the worker), before any work begins.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) == 10_000:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def map_text(
     docs: DataFrame,
     fn: Callable[[pa.Array], dict],
@@ -77,6 +91,7 @@ def map_text(
                     names=["doc_id", *names],
                 )
 
+    small_batches(docs.sparkSession)
     two = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return two.mapInArrow(run, f"doc_id long, {schema}")
 
