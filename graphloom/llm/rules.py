@@ -3,14 +3,17 @@
 Base rules count words, symbols, repeated lines and repeated 3-word windows. The method
 measures how a public vocabulary fits the text: code points for each token (fertility), the
 share of byte-fallback tokens, and the entropy of the tokens. A first pass measures every whole
-text and is written to the shared folder; quartiles over all documents of a script then give
-rejection bands, and a join with that short table (one row a script) gives the verdict.
+text and is written to the shared folder; quartiles over all documents of a script, language and
+length (in powers of two of words: short texts scatter more and have less entropy) then give
+rejection bands, and joins with that short table give the verdict. Where such a group has fewer
+than LEAST_GROUP documents, the bands of the script and language hold, and else the script's.
 
 Words are encoded one by one (the vocabulary has no piece across words), each different word of
 a block once, through a bounded cache.
 
 Defined results: null and empty texts have no words and fail the base; repeated rows are judged
-each; texts without letters have the script "none". Extra columns are ignored.
+each; texts without letters have the script "none"; a column lang is used where there is one, and
+rows without a language are a language of their own. Other extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,8 +30,11 @@ from graphloom.llm import textbuf as tb
 SCRIPTS = ("none", "latin", "greek", "cyrillic", "hebrew", "arabic", "indic", "east_asian", "other")
 #: Words that a worker remembers; it starts afresh beyond that.
 CACHE_WORDS = 200_000
-#: Bands reach so many interquartile ranges beyond the quartiles, and so much in any case.
-REACH, SLACK = 6.0, {"chars_per_token": 0.75, "fallback": 0.1, "entropy": 1.5}
+#: Bands reach so many interquartile ranges beyond the quartiles; the ranges count as so much at
+#: least (most texts have no fallback at all, and one rare sign is several tokens of it).
+REACH, LEAST_RANGE = 3.0, {"chars_per_token": 0.03, "fallback": 0.007, "entropy": 0.1}
+#: Documents of a group with bands of its own, and the columns that tell groups apart.
+LEAST_GROUP, GROUP = 30, ("script", "lang", "length")
 
 _SYMBOL = tb.table(lambda b: chr(b) in "#*$%&|<>")
 _LINE = tb.table(lambda b: b != 0x0A)
@@ -145,22 +151,28 @@ SCHEMA = (
 
 
 def measure(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, the base counts and the tokeniser's measures of every whole text."""
-    return tb.map_text(docs, lambda c: measure_block(c, path), SCHEMA)
+    """doc_id, the base counts and the tokeniser's measures of every whole text, its language and length class."""
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
+    rows = tb.map_text(docs, lambda c: measure_block(c, path), SCHEMA, carried={"lang": lang})
+    return rows.withColumn("length", F.floor(F.log2(F.greatest("n_words", F.lit(1)))))
 
 
 def bands(measured: DataFrame) -> DataFrame:
-    """script and its rejection bands, from quartiles over all documents that pass the base.
+    """Rejection bands by script, by script and language, and by these and length (level 3, 1, 0),
+    from quartiles over all documents that pass the base.
 
     The measures are rounded, so an exact percentile keeps a bounded number of values.
     """
     good = measured.where(~failed())
     cut = lambda c, q: F.percentile(c, F.lit(q))
-    edge = lambda c, q, sign: cut(c, q) + sign * (REACH * (cut(c, 0.75) - cut(c, 0.25)) + SLACK[c])
-    return good.groupBy("script").agg(
-        edge("chars_per_token", 0.25, -1).alias("least_chars"), edge("chars_per_token", 0.75, 1).alias("most_chars"),
-        edge("fallback", 0.75, 1).alias("most_fallback"), edge("entropy", 0.25, -1).alias("least_entropy"),
+    span = lambda c: F.greatest(cut(c, 0.75) - cut(c, 0.25), F.lit(LEAST_RANGE[c]))
+    low, high = (lambda c: cut(c, 0.25) - REACH * span(c)), (lambda c: cut(c, 0.75) + REACH * span(c))
+    made = good.rollup(*GROUP).agg(
+        F.grouping_id().alias("level"), F.count("*").alias("n"),
+        low("chars_per_token").alias("least_chars"), high("chars_per_token").alias("most_chars"),
+        high("fallback").alias("most_fallback"), low("entropy").alias("least_entropy"), high("entropy").alias("most_entropy"),
     )
+    return made.where((F.col("level") == 3) | (F.col("level") < 3) & (F.col("n") >= LEAST_GROUP))
 
 
 def failed():
@@ -171,12 +183,18 @@ def failed():
 def judge(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, the base counts, base_failed and kept for every document, with the measures."""
     measured = tb.written(measure(docs, path), "fertility")
-    # one row a script, len(SCRIPTS) at most
-    judged = measured.join(F.broadcast(bands(measured)), "script", "left")
+    found = tb.written(bands(measured), "bands")
+    edges = F.struct("least_chars", "most_chars", "most_fallback", "least_entropy", "most_entropy")
+    judged = measured
+    for level, size in ((3, 1), (1, 2), (0, 3)):
+        # one row a script, or a group of LEAST_GROUP documents: scripts, languages and powers of two
+        mine = found.where(F.col("level") == level).select(*GROUP[:size], edges.alias(f"band_{level}"))
+        judged = judged.join(F.broadcast(mine), list(GROUP[:size]), "left")
+    band = F.coalesce("band_0", "band_1", "band_3")
     within = (
-        F.col("chars_per_token").between(F.col("least_chars"), F.col("most_chars"))
-        & (F.col("fallback") <= F.col("most_fallback"))
-        & (F.col("entropy") >= F.col("least_entropy"))
+        F.col("chars_per_token").between(band["least_chars"], band["most_chars"])
+        & (F.col("fallback") <= band["most_fallback"])
+        & F.col("entropy").between(band["least_entropy"], band["most_entropy"])
     )
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

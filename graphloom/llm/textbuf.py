@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy block holds, unless a single text is longer.
@@ -73,13 +73,15 @@ def map_text(
     id_col: str = "doc_id",
     text_col: str = "text",
     block_bytes: int = BLOCK_BYTES,
+    carried: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Row for row: the id, then the columns that fn makes of the whole texts.
+    """Row for row: the id, then the columns that fn makes of the whole texts, then those carried (strings).
 
     fn takes a block of texts (large_string, no nulls) and returns one sequence per output
-    column. Only the two named columns are read, so clashing extra columns do no harm.
+    column. Only the named columns are read, so clashing extra columns do no harm.
     """
-    names = [part.strip().split()[0] for part in schema.split(",")]
+    carried = carried or {}
+    names, more = [part.strip().split()[0] for part in schema.split(",")], list(carried)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,13 +89,15 @@ def map_text(
             for a, b in blocks(column, block_bytes):
                 out = fn(column.slice(a, b - a))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a)] + [x if isinstance(x, pa.Array) else pa.array(x) for x in (out[k] for k in names)],
-                    names=["doc_id", *names],
+                    [ids.slice(a, b - a)]
+                    + [x if isinstance(x, pa.Array) else pa.array(x) for x in (out[k] for k in names)]
+                    + [c.slice(a, b - a) for c in batch.columns[2:]],
+                    names=["doc_id", *names, *more],
                 )
 
     small_batches(docs.sparkSession)
-    two = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return two.mapInArrow(run, f"doc_id long, {schema}")
+    two = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[c.cast("string").alias(k) for k, c in carried.items()])
+    return two.mapInArrow(run, ", ".join(["doc_id long", schema, *[f"{k} string" for k in more]]))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

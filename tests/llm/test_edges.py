@@ -249,6 +249,38 @@ def test_rules(docs, nothing):
     assert rules.judge(nothing[0], path).count() == 0
 
 
+def test_rules_reject_junk_that_passes_the_base(spark):
+    import base64
+    import random
+
+    d, rng = "/root/testdata/sf0.01", random.Random(5)
+    have = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang", "text")
+    good = spark.read.parquet(f"{d}/labels.parquet").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1")
+    texts = have.join(good, "doc_id").select("lang", "text").dropDuplicates().orderBy("text").collect()
+    kinds = sorted({w for r in texts for w in r.text.split()})
+    many = lambda make: [" ".join(make() for _ in range(rng.randint(100, 300))) for _ in range(12)]
+    letters = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 10)))
+    junk = {
+        "base64": ("en", many(lambda: base64.b64encode(rng.randbytes(rng.randint(9, 45))).decode()), 12),
+        "letters": ("en", many(letters), 12),
+        "salad": ("en", many(lambda: rng.choice(kinds)), 10),
+        "mojibake": ("fr", [r.text.encode().decode("cp1252", "replace") for r in texts if r.lang == "fr" and len(r.text.split()) > 100][:12], 10),
+        "fallback": ("en", many(lambda: chr(rng.randint(0x12000, 0x12300)) + letters()), 12),
+    }
+    rows, names = [], {}
+    for kind, (lang, made, _) in junk.items():
+        for text in made:
+            names[-1 - len(rows)] = kind
+            rows.append((-1 - len(rows), lang, text))
+    out = rules.judge(have.unionByName(spark.createDataFrame(rows, "doc_id long, lang string, text string")), queries._vocabulary("piece_bpe_32k.model"))
+    got = out.where("not base_failed").select("doc_id", "kept").collect()
+    lost = Counter(names[r.doc_id] for r in got if r.doc_id < 0 and not r.kept)
+    assert all(lost[kind] >= least for kind, (_, _, least) in junk.items()), lost
+    lang = {r.doc_id: r.lang for r in have.join(good, "doc_id").select("doc_id", "lang").collect()}
+    stay = {k: [r.kept for r in got if lang.get(r.doc_id) == k] for k in ("en", "de", "fr", "es")}
+    assert all(len(v) > 20 and sum(v) >= len(v) - 1 for v in stay.values()), {k: (sum(v), len(v)) for k, v in stay.items()}
+
+
 def test_bpe(docs, nothing):
     import base64
 
