@@ -197,15 +197,14 @@ def rates(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] | Non
     return rows.select("doc_id", "source", "n_tokens", *posterior, rate(steps).alias("rate"))
 
 
-def copies(r: Column, key: Column, snap: float = 0.1) -> Column:
+def copies(r: Column, *key: Column) -> Column:
     """How often a document stands in the mixture: its rate, rounded up or down by hash of a key.
 
-    Rates within `snap` of a whole number count as that number, so documents of a domain at its
-    target are neither dropped nor doubled.
+    It is rounded up with the probability of its fraction, so the expected number is the rate
+    itself, whatever its size. Rows of one key share the draw.
     """
-    dice = F.pmod(F.xxhash64(key), F.lit(1 << 20)) / float(1 << 20)
-    near = F.abs(r - F.round(r)) <= snap
-    return F.when(near, F.round(r)).otherwise(F.floor(r + dice)).cast("int")
+    dice = F.pmod(F.xxhash64(*key), F.lit(1 << 40)) / float(1 << 40)
+    return F.floor(r + dice).cast("int")
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] | None = None, hold: str = "clean") -> DataFrame:
@@ -215,7 +214,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] | Non
     """
     names = docs.columns
     model = train(docs, domains(labels))
-    whole = docs.select(F.struct(*names).alias("row_"), F.col("doc_id").alias("key_"), "text")
+    whole = docs.select(F.struct(*names).alias("row_"), F.xxhash64("doc_id", "text").alias("key_"), "text")
     rows, steps = _fitted(whole, model, targets, hold)
     rated = rows.select("row_", "key_", rate(steps).alias("rate_"))
     times = rated.select("row_", copies(F.col("rate_"), F.col("key_")).alias("n_"))

@@ -345,6 +345,31 @@ def test_mixing_meets_targets(spark):
         assert abs(sums[f"p_{k}"] / whole - w) < 1e-3
 
 
+def test_mixed_meets_targets_with_a_dominant_toxic_source(spark):
+    rng = np.random.default_rng(6)
+    calm, rude = [f"calm{chr(97 + i)}" for i in range(20)], [f"rude{chr(97 + i)}" for i in range(5)]
+    kinds = ["clean"] * 2000 + ["low"] * 300 + ["toxic"] * 3000
+    rows = []
+    for i, kind in enumerate(kinds):
+        w = list(rng.choice(calm, 50)) + (list(rng.choice(rude, 10)) if kind == "toxic" else [])
+        rows.append((i, "hot" if kind == "toxic" else "rest", (" | " if kind == "low" else " ").join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(k != "low"), int(k == "toxic")) for i, k in enumerate(kinds)], "doc_id long, quality int, toxic int")
+    rated = {r.doc_id: r for r in mixing.rates(docs, labels).collect()}
+    assert 0 < max(rated[i].rate for i, k in enumerate(kinds) if k == "toxic") < 0.1
+    out = [rated[r.doc_id] for r in mixing.mixed(docs, labels).collect()]
+    sums = {k: sum(r.n_tokens * r[f"p_{k}"] for r in out) for k in mixing.TARGETS}
+    for k, w in mixing.TARGETS.items():
+        assert abs(sums[k] / sum(sums.values()) - w) < 0.01, sums
+
+
+def test_copies_are_exact_in_expectation(spark):
+    n = 100_000
+    for rate in (0.04, 0.5, 0.9, 1.0, 1.1, 2.03):
+        got = spark.range(n).select(mixing.copies(F.lit(rate), F.col("id")).alias("n")).agg(F.sum("n"), F.min("n"), F.max("n")).first()
+        assert abs(got[0] / n - rate) < 0.006 and got[1] == int(rate) and got[2] == int(np.ceil(rate))
+
+
 def test_mixing_gradient_against_numpy(spark):
     rng = np.random.default_rng(4)
     n, p = rng.integers(1, 500, 300), rng.dirichlet([0.3, 0.3, 0.3], 300)
