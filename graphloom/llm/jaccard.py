@@ -391,8 +391,9 @@ def tree_pairs(met: DataFrame, sets: DataFrame, comp: DataFrame, every: bool, pe
     return counted.where(F.col("n") >= F.least("la", "lb")).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, k (class) and n_links (linked rows compared) of every document."""
+def members(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, t1, t2 (hashes of the text), n_shingles, component_id and root (a class that names
+    the component; null for the empty set) of every document."""
     table = tb.written(described(docs, frequent(docs, n), n, percent), "described")
     met = meetings(table, percent)
     sets = class_sets(docs, table, met.select("k").distinct(), n)
@@ -408,21 +409,30 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
     classes = table.where("size > 0").groupBy("k").agg(F.min("doc_id").alias("least"))
     named = classes.join(roots.select(F.col("node").alias("k"), "root"), "k", "left").select("k", "least", F.coalesce("root", "k").alias("root"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_class = named.join(names, "root").select("k", "component_id")
-    rows = table.select("doc_id", F.col("size").alias("n_shingles"), "k")
+    by_class = named.join(names, "root").select("k", "component_id", "root")
+    rows = table.select("doc_id", "t1", "t2", F.col("size").alias("n_shingles"), "k")
     full = rows.where("n_shingles > 0").join(by_class, "k")
     empty = rows.where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
-    return full.unionByName(empty, allowMissingColumns=True).select("doc_id", "n_shingles", "component_id")
+    return full.unionByName(empty, allowMissingColumns=True).select("doc_id", "t1", "t2", "n_shingles", "component_id", "root")
+
+
+def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document."""
+    return members(docs, n, percent).select("doc_id", "n_shingles", "component_id")
 
 
 def representatives(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One document of each component, with all its columns: the row whose id names it.
+    """One document of each component, with all its columns: the row of the least id, and of its
+    texts the one of least hashes.
 
-    Rows with one id and different texts are told apart by their texts; repeated rows count as
-    copies. Rows without an id stay.
+    Rows with one id and different texts are told apart by their texts, also where these are
+    empty sets; repeated rows count as copies. Rows without an id stay.
     """
-    found = near_duplicates(docs, n, percent)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    names = docs.columns
-    rows = docs.join(keep.withColumnRenamed("doc_id", "keep_"), docs["doc_id"].cast("long") == F.col("keep_"), "left_semi")
-    return rows.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull())).select(*names)
+    found = members(docs, n, percent).where(F.col("doc_id").isNotNull()).select(F.struct("doc_id", "t1", "t2").alias("m"), "root")
+    keep = found.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("m").alias("m")).select("m")
+    keep = keep.unionByName(found.where(F.col("root").isNull()).select("m").distinct())
+    keep = keep.select(F.col("m.doc_id").alias("i_"), F.col("m.t1").alias("t1_"), F.col("m.t2").alias("t2_"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.struct(*docs.columns).alias("row_"), F.col("doc_id").cast("long").alias("i_"), F.xxhash64(text).alias("t1_"), F.xxhash64(F.lit(7), text).alias("t2_"))
+    one = rows.join(keep, ["i_", "t1_", "t2_"], "left_semi").dropDuplicates(["i_", "t1_", "t2_"])
+    return one.unionByName(rows.where(F.col("i_").isNull())).select(*[F.col("row_")[c].alias(c) for c in docs.columns])

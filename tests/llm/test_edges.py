@@ -189,6 +189,13 @@ def test_jaccard(docs, nothing):
     assert kept.columns == docs.columns and Counter(r.doc_id for r in kept.collect()) == Counter({c for _, _, c in components(TEXTS)} | {None})
 
 
+def test_representatives_of_shared_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (1, b), (1, b), (2, b + " tail"), (3, c), (3, ""), (3, None), (4, c), (None, c)]
+    got = Counter((r.doc_id, r.text or "") for r in jaccard.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter([(1, a), (1, b), (3, c), (3, ""), (None, c)])
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_jaccard_random_families(spark, seed):
     """Families with edits around the threshold, a passage that all share, small pieces for hot shingles."""
