@@ -46,10 +46,8 @@ MARKS = ("|", "!!", "%%%", "&&&", "$$$", "***", "###", "\n", ".", ",")
 
 
 def tokens(text: Column) -> Column:
-    """Tokens of a text: its spaces, tabs and line feeds, and one more; none without other characters."""
-    size = F.octet_length(text)
-    gaps = sum((size - F.octet_length(F.replace(text, F.lit(c))) for c in " \n\t"), F.lit(0))
-    return F.when(gaps == size, F.lit(0)).otherwise(gaps + 1).cast("long")
+    """Tokens of a text: its maximal runs of characters that are not ASCII white space."""
+    return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]++")).cast("long")
 
 
 def _share(text: Column, mark: str) -> Column:
@@ -73,6 +71,14 @@ def words(text: Column) -> Column:
     return F.filter(F.array_distinct(F.split(F.lower(text), "[^\\p{L}]+")), lambda w: F.length(w) >= 4)
 
 
+def holds(low: Column, word: str) -> Column:
+    """Whether words() of a text holds the word, from the lower-cased text: a word is a maximal run of letters.
+
+    The plain search spares most texts the pattern.
+    """
+    return F.contains(low, F.lit(word)) & F.regexp_like(low, F.lit(rf"(?<!\p{{L}}){word}(?!\p{{L}})"))
+
+
 def domains(labels: DataFrame) -> DataFrame:
     """doc_id and domain of the labelled documents: toxic, low or clean."""
     one = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id"))
@@ -129,7 +135,7 @@ def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     kept = [c for c in docs.columns if c != "text"]
     bins = [_binned(_share(text, m)).alias(f"b_{f}") for f, m in enumerate(MARKS)]
-    held = [F.contains(F.col("low_"), F.lit(w)).alias(f"w_{i}") for i, w in enumerate(model.words)]
+    held = [holds(F.col("low_"), w).alias(f"w_{i}") for i, w in enumerate(model.words)]
     rows = docs.select(*kept, tokens(text).alias("n_tokens"), *bins, F.lower(text).alias("low_"))
     rows = rows.select(*kept, "n_tokens", *[f"b_{f}" for f in range(len(bins))], *held)
     logs = []

@@ -370,6 +370,19 @@ def test_mixed_meets_targets_with_a_dominant_toxic_source(spark):
         assert abs(sums[k] / sum(sums.values()) - w) < 0.01, sums
 
 
+def test_mixing_counts_words_and_holds_whole_words(spark):
+    texts = [None, "", " \t\r\n\v\f", "a", "  a  b\t\tc  ", "one\r\ntwo\rthree\vfour\ffive", "200 words" + "\n" * 20_000, "x\u00a0y \u2003 z", "\x1c a", *[t for _, t in TEXTS]]
+    texts += ["tained", "stained glass", "tained!", "Tained", "x_tained1", "étained", "tainedé tained", "tained\u0301"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    text = F.coalesce("text", F.lit(""))
+    low = F.lower(text)
+    got = df.select("i", mixing.tokens(text).alias("n"), mixing.words(text).alias("w"), mixing.holds(low, "tained").alias("h"), mixing.holds(low, "words").alias("v")).collect()
+    for r in got:
+        assert r.n == len(words(texts[r.i])), texts[r.i]
+        runs = re.findall(r"[^\W\d_]+", (texts[r.i] or "").lower())
+        assert (r.h, r.v) == ("tained" in runs, "words" in runs) == ("tained" in r.w, "words" in r.w), texts[r.i]
+
+
 def test_copies_are_exact_in_expectation(spark):
     n = 100_000
     for rate in (0.04, 0.5, 0.9, 1.0, 1.1, 2.03):
