@@ -11,9 +11,15 @@ _own: list[str] = []
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir, which all executors share; in local tests a folder of this machine."""
+    """A new path under spark.checkpoint.dir, which driver and executors share.
+
+    Without that setting only a local session gets a folder of its own machine; elsewhere each
+    executor would write to its own disk, so that is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         root = _own[0]
