@@ -67,7 +67,7 @@ def shingle_sets(column: pa.Array, n: int = SHINGLE) -> list[np.ndarray]:
         if size >= n:
             out.append(np.unique(grams[at[i] : at[i + 1] - n + 1]))
         elif size:
-            out.append(tb.gram_hashes(words, np.array(at[i : i + 1]), size))
+            out.append(tb.gram_hashes(words[at[i] : at[i + 1]], np.zeros(1, np.int64), size))
         else:
             out.append(np.zeros(0, np.uint64))
     return out

@@ -7,18 +7,25 @@ Equal windows have equal anchors, and windows in a row mostly share one, so an a
 for about a dozen windows, those that it *owns*; their words together are its *span*.
 
 1. Candidates: the corpus is read once; (anchor, span hash, how often) are summed by anchor.
-   Anchors seen once are done. Where all spans of an anchor are equal, all its windows recur.
-2. Confirmation: the other anchors keep one copy of each different span, as word hashes. Spans
-   are dealt to shards by anchor (hot anchors are spread over several). Windows are counted by
-   (anchor, window hash) over all spans, and those seen twice are confirmed.
-3. Automata: each shard compiles its confirmed windows into an Aho-Corasick automaton over word
-   symbols and streams its spans through it; every occurrence becomes a removed range.
-4. The ranges of each different text join the texts, and the kept words are written out.
+   Anchors seen once are done.
+2. Spans: of the other anchors one copy of each different span is kept, as word hashes, with the
+   number of times that it occurs.
+3. Passages: windows are counted by (anchor, window hash) over all spans. Those seen twice are
+   confirmed, and each is cut from one span that holds it; confirmed windows in a row make a
+   passage. Where all spans of an anchor are equal, the span is the passage.
+4. Automata: passages and spans are dealt to shards by anchor. A shard compiles the windows of
+   its passages into an Aho-Corasick automaton over words and streams all its spans through it.
+   Only the automaton says where a removed range is, word by word; window hashes are not asked.
+   The spans of a hot anchor are spread over several shards, and a passage goes to those whose
+   spans hold one of its windows, so a shard's automaton is bounded by its own spans.
+5. The ranges meet one copy of each different text, and what is kept of it goes to all its rows.
 
 Documents are not streamed past the automata of all shards, which would grow with the square
 of the corpus: only the spans around an anchor that recurs reach a shard, and no window can
 recur outside of these.
 
+Words are compared by 64-bit hashes (`textbuf.word_hashes`), of a window all `width` of them.
+
 Defined results: null and empty texts have no words; repeated rows make each other's windows
 recur; texts of fewer than `width` words stay whole. Extra columns are ignored.
 """
@@ -37,9 +44,9 @@ from graphloom.llm import textbuf as tb
 
 WIDTH, GRAM = 35, 8
 #: Spans of a shard, and spans of one anchor that stay together.
-SHARD_SPANS, HOT_SPANS = 4_000, 500
+SHARD_SPANS, HOT_SPANS = 2_000, 500
 
-_SPAN = 0xA24BAED4963EE407 | 1
+RANGES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def anchors(column: pa.Array, width: int = WIDTH, gram: int = GRAM) -> dict[str, np.ndarray]:
@@ -54,7 +61,7 @@ def anchors(column: pa.Array, width: int = WIDTH, gram: int = GRAM) -> dict[str,
     window = place[place + width <= stop]
     if not len(window):
         none = np.zeros(0, np.int64)
-        return {"doc": none, "at": none, "size": none, "a": none, "s": none, "words": words, "first": none}
+        return {"doc": none, "at": none, "size": none, "a": none, "s": none}
     whole = place[place + gram <= stop]
     grams = np.full(len(words), ~np.uint64(0))
     grams[whole] = tb.gram_hashes(words, whole, gram)
@@ -63,12 +70,13 @@ def anchors(column: pa.Array, width: int = WIDTH, gram: int = GRAM) -> dict[str,
     opens = np.ones(len(window), bool)
     opens[1:] = (least[1:] != least[:-1]) | (window[1:] != window[:-1] + 1)
     closes = np.append(opens[1:], True)
-    first, last = window[opens], window[closes] + width
+    first, last = window[opens], window[closes]
     base = np.cumsum(count) - count
+    # all windows of a span hold its anchor, so its first and last window cover it
+    both = tb.both_hashes(tb.gram_hashes(words, first, width), tb.gram_hashes(words, last, width))
     return {
-        "doc": doc[first], "at": first - base[doc[first]], "size": last - first,
-        "a": grams[least[opens]].view(np.int64), "s": tb.spans_hash(words, first, last, _SPAN).view(np.int64),
-        "words": words, "first": first,
+        "doc": doc[first], "at": first - base[doc[first]], "size": last + width - first,
+        "a": grams[least[opens]].view(np.int64), "s": tb.both_hashes(both, (last - first).astype(tb.U64)).view(np.int64),
     }
 
 
@@ -78,6 +86,24 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2"), text.alias("text"))
 
 
+def _copies(docs: DataFrame) -> DataFrame:
+    """k1, k2 and text: each text once for each partition of docs, so copies stay where they are read.
+
+    A task remembers the hashes of the texts that it has seen.
+    """
+
+    def run(batches):
+        seen: set[tuple[int, int]] = set()
+        for batch in batches:
+            keep = []
+            for key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                keep.append(key not in seen)
+                seen.add(key)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return _keyed(docs).mapInArrow(run, "k1 long, k2 long, text string")
+
+
 def _per_batch(docs: DataFrame, schema: str, make) -> DataFrame:
     def run(batches):
         for batch in batches:
@@ -119,7 +145,7 @@ def occurrences(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFr
 
 
 def _span_words(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """a, s, n and the word hashes of chosen spans (k1, k2, spans: array of a, s, n, at, size)."""
+    """a, s, n, mixed and the word hashes of chosen spans (k1, k2, spans: array of a, s, n, mixed, at, size)."""
 
     def run(batches):
         last = None
@@ -130,59 +156,95 @@ def _span_words(docs: DataFrame, chosen: DataFrame) -> DataFrame:
             last = keys[-1] if keys else last
             column, lists = tb.texts(batch.column(0)), batch.column(1)
             for a, b in tb.blocks(column):
-                part = column.slice(a, b - a)
-                buf, offs = tb.flat(part)
+                buf, offs = tb.flat(column.slice(a, b - a))
                 starts, ends = tb.word_bounds(buf, offs, tb.SPACED)
                 words = tb.word_hashes(buf, starts, ends)
                 base = np.searchsorted(starts, offs[:-1])
-                rows = [(x["a"], x["s"], x["n"], words[base[i] + x["at"] : base[i] + x["at"] + x["size"]].tobytes()) for i, spans in enumerate(lists.slice(a, b - a).to_pylist()) for x in spans]
-                cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["a", "s", "n", "words"])
+                mine = lists.slice(a, b - a)
+                spans, size = mine.flatten(), mine.value_lengths().to_numpy(zero_copy_only=False)
+                at = np.repeat(base, size) + spans.field("at").to_numpy()
+                end = at + spans.field("size").to_numpy()
+                cut = pa.array([words[x:y].tobytes() for x, y in zip(at.tolist(), end.tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(spans.field(c) for c in ("a", "s", "n", "mixed")), cut], names=["a", "s", "n", "mixed", "words"])
 
-    joined = _keyed(docs).join(chosen, ["k1", "k2"]).select("text", "spans", "k1", "k2")
-    return joined.mapInArrow(run, "a long, s long, n long, words binary")
+    joined = _copies(docs).join(chosen, ["k1", "k2"]).select("text", "spans", "k1", "k2")
+    return joined.mapInArrow(run, "a long, s long, n long, mixed boolean, words binary")
 
 
 def _windows(words: np.ndarray, width: int) -> np.ndarray:
     return tb.gram_hashes(words, np.arange(len(words) - width + 1), width).view(np.int64)
 
 
-def confirmed(spans: DataFrame, width: int = WIDTH) -> DataFrame:
-    """a, w: windows that occur twice or more, over all spans and how often each occurs."""
+def windows(spans: DataFrame, width: int = WIDTH) -> DataFrame:
+    """a, w, s, n: the windows of the spans that differ from others of their anchor."""
 
     def run(batches):
         for batch in batches:
-            a, n = batch.column("a").to_numpy(), batch.column("n").to_numpy()
-            found = [_windows(np.frombuffer(x, np.uint64), width) for x in batch.column("words").to_pylist()]
-            size = [len(x) for x in found]
-            arrays = [np.repeat(a, size), np.concatenate([np.zeros(0, np.int64), *found]), np.repeat(n, size)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["a", "w", "n"])
+            for a, b in tb.blocks(batch.column("words").cast(pa.large_binary())):
+                part = batch.slice(a, b - a)
+                words = part.column("words")
+                size = np.array([len(x) // 8 for x in words.to_pylist()], np.int64)
+                flat = np.frombuffer(b"".join(words.to_pylist()), tb.U64)
+                first = np.cumsum(size) - size
+                many = size - width + 1
+                place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
+                number = {c: np.repeat(part.column(c).to_numpy(), many) for c in ("a", "s", "n")}
+                arrays = [number["a"], tb.gram_hashes(flat, place, width).view(np.int64), number["s"], number["n"]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["a", "w", "s", "n"])
+
+    return spans.where("mixed").select("a", "s", "n", "words").mapInArrow(run, "a long, w long, s long, n long")
 
-    counted = spans.mapInArrow(run, "a long, w long, n long").groupBy("a", "w").agg(F.sum("n").alias("n"))
-    return counted.where("n >= 2").select("a", "w")
 
+def passages(spans: DataFrame, counted: DataFrame, width: int = WIDTH) -> DataFrame:
+    """a, s, words: the confirmed passages, each cut from the span s that stands for its windows.
 
-def locate(words: list[np.ndarray], anchor: list[int], good: set[tuple[int, int]], width: int = WIDTH) -> list[list[tuple[int, int]]]:
-    """For each span, the ranges of words that confirmed windows cover, by an automaton.
+    counted: a, w, s of the confirmed windows, s being one span that holds the window.
+    """
 
-    Words become symbols (code points beyond the surrogates), so positions in a streamed span
-    are words.
+    def run(batches):
+        for batch in batches:
+            a, s, words = [], [], []
+            for x, y, raw, mine in zip(batch.column("a").to_pylist(), batch.column("s").to_pylist(), batch.column("words").to_pylist(), batch.column("ws").to_pylist(), strict=True):
+                have = np.frombuffer(raw, np.uint64)
+                good = np.flatnonzero(np.isin(_windows(have, width), np.array(mine, np.int64)))
+                for run_ in np.split(good, np.flatnonzero(np.diff(good) > 1) + 1):
+                    a.append(x)
+                    s.append(y)
+                    words.append(have[run_[0] : run_[-1] + width].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(s, pa.int64()), pa.array(words, pa.binary())], names=["a", "s", "words"])
+
+    # a span has at most 2 * width windows, so the list is short
+    mine = counted.groupBy("a", "s").agg(F.collect_list("w").alias("ws"))
+    cut = spans.where("mixed").join(mine, ["a", "s"]).select("a", "s", "words", "ws").mapInArrow(run, "a long, s long, words binary")
+    return cut.unionByName(spans.where("NOT mixed").select("a", "s", "words"))
+
+
+def locate(spans: list[np.ndarray], found: list[np.ndarray], width: int = WIDTH) -> list[list[tuple[int, int]]]:
+    """For each span, the ranges of words that windows of the passages cover, by an automaton.
+
+    Words of passages become symbols (code points beyond the surrogates), others the symbol 0,
+    which no passage holds, so positions in a streamed span are words.
     """
-    flat = np.concatenate([np.zeros(0, np.uint64), *words])
-    _, symbol = np.unique(flat, return_inverse=True)
-    symbol = np.where(symbol < 0xD7FF, symbol + 1, symbol + 0x801).astype("<u4")
-    cuts = np.cumsum([0] + [len(w) for w in words])
-    streams = [symbol[a:b].tobytes().decode("utf-32-le") for a, b in zip(cuts, cuts[1:], strict=False)]
+    known = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]))
+    if not len(known):
+        return [[] for _ in spans]
+
+    def streams(lists: list[np.ndarray]) -> list[str]:
+        flat = np.concatenate([np.zeros(0, np.uint64), *lists])
+        at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+        symbol = np.where(known[at] == flat, at + 1, 0)
+        symbol = np.where(symbol < 0xD800, symbol, symbol + 0x800).astype("<u4")
+        text = symbol.tobytes().decode("utf-32-le")
+        cuts = np.cumsum([0] + [len(x) for x in lists]).tolist()
+        return [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
     automaton = ahocorasick.Automaton()
-    for x, w, text in zip(anchor, words, streams, strict=True):
-        for i, h in enumerate(_windows(w, width).tolist()):
-            if (x, h) in good:
-                automaton.add_word(text[i : i + width], 1)
-    if not len(automaton):
-        return [[] for _ in words]
+    for text in streams(found):
+        for i in range(len(text) - width + 1):
+            automaton.add_word(text[i : i + width], 1)
     automaton.make_automaton()
     out = []
-    for text in streams:
+    for text in streams(spans):
         ranges: list[tuple[int, int]] = []
         for end, _ in automaton.iter(text):
             start = end + 1 - width
@@ -194,45 +256,51 @@ def locate(words: list[np.ndarray], anchor: list[int], good: set[tuple[int, int]
     return out
 
 
-def resolve(spans: DataFrame, width: int = WIDTH, shard_spans: int = SHARD_SPANS, hot_spans: int = HOT_SPANS) -> DataFrame:
-    """a, s, ranges: the removed ranges of the spans of anchors whose spans differ."""
+def resolve(spans: DataFrame, scratch: tb.Scratch, width: int = WIDTH, shard_spans: int = SHARD_SPANS, hot_spans: int = HOT_SPANS) -> DataFrame:
+    """a, s, ranges: the removed ranges of the spans, which the automata of the shards find."""
     total = spans.count()
     shards = max(8, -(-total // shard_spans))
-    heat = spans.groupBy("a").agg(F.count("*").alias("spans")).select("a", F.ceil(F.col("spans") / hot_spans).cast("int").alias("pieces"))
     shard = F.pmod(F.xxhash64("a"), F.lit(shards)).cast("int").alias("shard")
-    # hot anchors: the spans are dealt to pieces by hash, the confirmed windows go to every piece
-    left = spans.join(heat, "a").select(shard, F.pmod("s", F.col("pieces")).cast("int").alias("piece"), "a", "s", "words")
-    right = confirmed(spans, width).join(heat, "a").select(shard, F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), "a", "w")
-
-    def compiled(mine: pa.Table, windows: pa.Table) -> pa.Table:
-        good = set(zip(windows.column("a").to_pylist(), windows.column("w").to_pylist(), strict=True))
-        a, s = mine.column("a").to_pylist(), mine.column("s").to_pylist()
-        words = [np.frombuffer(x, np.uint64) for x in mine.column("words").to_pylist()]
-        found = locate(words, a, good, width)
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        ranges = pa.array([[{"start": x, "end": y} for x, y in r] for r in found], kind)
-        return pa.table({"a": pa.array(a, pa.int64()), "s": pa.array(s, pa.int64()), "ranges": ranges})
+    held = scratch.written(windows(spans, width), "windows")
+    counted = held.groupBy("a", "w").agg(F.sum("n").alias("n"), F.min("s").alias("s")).where("n >= 2").select("a", "w", "s")
+    counted = scratch.written(counted, "confirmed")
+    found = scratch.written(passages(spans, counted, width), "passages")
+    # hot anchors: fewer than one in hot_spans of all spans, but their number grows, so they are joined
+    hot = spans.where("mixed").groupBy("a").agg(F.count("*").alias("spans")).where(F.col("spans") > hot_spans)
+    hot = scratch.written(hot.select("a", F.ceil(F.col("spans") / hot_spans).cast("int").alias("pieces")), "hot")
+    piece = F.pmod("s", F.coalesce("pieces", F.lit(1))).cast("int")
+    left = tb.join_hot(spans, hot, ["a"], "left").select(shard, piece.alias("piece"), "a", "s", "words")
+    # a passage of a hot anchor goes to the pieces whose spans hold one of its windows
+    reach = tb.join_hot(held, hot, ["a"]).select("a", "w", piece.alias("piece")).distinct()
+    reach = reach.join(counted, ["a", "w"]).select("a", "s", "piece").distinct()
+    plain = found.join(hot, "a", "left_anti").select(shard, F.lit(0).alias("piece"), "words")
+    right = plain.unionByName(found.join(reach, ["a", "s"]).select(shard, "piece", "words"))
+
+    def compiled(mine: pa.Table, confirmed: pa.Table) -> pa.Table:
+        listed = lambda t: [np.frombuffer(x, np.uint64) for x in t.column("words").to_pylist()]
+        got = locate(listed(mine), listed(confirmed), width)
+        ranges = pa.array([[{"start": x, "end": y} for x, y in r] for r in got], RANGES)
+        return pa.table({"a": mine.column("a"), "s": mine.column("s"), "ranges": ranges})
 
     schema = "a long, s long, ranges array<struct<start:bigint,end:bigint>>"
+    # shards of hot anchors are dealt by the piece too
     return left.groupBy("shard", "piece").cogroup(right.groupBy("shard", "piece")).applyInArrow(compiled, schema).where(F.size("ranges") > 0)
 
 
-def removed_ranges(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+def removed_ranges(docs: DataFrame, scratch: tb.Scratch, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """k1, k2, ranges: for each different text, the ranges of words to remove (they may overlap)."""
-    known = tb.written(candidates(docs, width, gram), "anchors")
-    placed = tb.written(occurrences(docs, width, gram).join(known, "a"), "places")
-    differing = placed.where("mixed")
+    known = scratch.written(candidates(docs, width, gram), "anchors")
+    placed = scratch.written(occurrences(docs, width, gram).join(known, "a"), "places")
     # one copy of each different span, and how often it occurs
-    copies = differing.groupBy("a", "s").agg(F.min(F.struct("k1", "k2", "at", "size")).alias("one"), F.sum("n").alias("n"))
-    spans_of = F.collect_list(F.struct("a", "s", "n", "at", "size")).alias("spans")
-    chosen = copies.select("a", "s", "n", "one.*").groupBy("k1", "k2").agg(spans_of)
-    copied = _span_words(docs.select("text"), chosen).groupBy("a", "s").agg(F.max("n").alias("n"), F.min("words").alias("words"))
-    spans = tb.written(copied, "spans")
-    found = resolve(spans, width)
-    whole = placed.where("NOT mixed").select("k1", "k2", F.col("at").alias("start"), (F.col("at") + F.col("size")).alias("end"))
-    parts = differing.join(found, ["a", "s"]).select("k1", "k2", "at", F.explode("ranges").alias("r"))
+    copies = placed.groupBy("a", "s", "mixed").agg(F.min(F.struct("k1", "k2", "at", "size")).alias("one"), F.sum("n").alias("n"))
+    spans_of = F.collect_list(F.struct("a", "s", "n", "mixed", "at", "size")).alias("spans")
+    chosen = copies.select("a", "s", "n", "mixed", "one.*").groupBy("k1", "k2").agg(spans_of)
+    # a text may stand several times (once a partition of docs): its spans are told once
+    spans = scratch.written(_span_words(docs.select("text"), chosen).dropDuplicates(["a", "s"]), "spans")
+    found = scratch.written(resolve(spans, scratch, width), "ranges")
+    parts = tb.join_hot(placed.select("k1", "k2", "at", "a", "s"), found, ["a", "s"]).select("k1", "k2", "at", F.explode("ranges").alias("r"))
     parts = parts.select("k1", "k2", (F.col("at") + F.col("r.start")).alias("start"), (F.col("at") + F.col("r.end")).alias("end"))
-    return whole.unionByName(parts).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
+    return parts.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
 
 
 def kept_words(text_block: pa.Array, ranges: list) -> tuple[np.ndarray, list[int], list[bytes]]:
@@ -254,31 +322,36 @@ def kept_words(text_block: pa.Array, ranges: list) -> tuple[np.ndarray, list[int
     return count, removed, kept
 
 
-def _with_ranges(docs: DataFrame, width: int, gram: int) -> DataFrame:
-    ranges = removed_ranges(docs, width, gram)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2"))
-    return rows.join(ranges, ["k1", "k2"], "left").select("doc_id", "text", "ranges")
-
+def _finished(docs: DataFrame, kind: str, tell, width: int, gram: int) -> DataFrame:
+    """doc_id, n_words, n_removed and kept of every row: texts are finished once, their rows joined to that."""
+    scratch = tb.Scratch(docs.sparkSession, "repeats")
+    ranges = removed_ranges(docs, scratch, width, gram)
+    rows = _copies(docs).join(ranges, ["k1", "k2"], "left").select("k1", "k2", "text", "ranges")
 
-def _finish(rows: DataFrame, schema: str, tell) -> DataFrame:
     def run(batches):
         for batch in batches:
-            column = tb.texts(batch.column(1))
+            column = tb.texts(batch.column(2))
             for a, b in tb.blocks(column):
-                count, removed, kept = kept_words(column.slice(a, b - a), batch.column(2).slice(a, b - a).to_pylist())
-                last = pa.array([tell(x) for x in kept], pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(count.astype(np.int64)), pa.array(removed, pa.int64()), last], names=["doc_id", "n_words", "n_removed", "kept"])
+                count, removed, kept = kept_words(column.slice(a, b - a), batch.column(3).slice(a, b - a).to_pylist())
+                arrays = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(count.astype(np.int64)), pa.array(removed, pa.int64()), pa.array([tell(x) for x in kept], pa.string())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["k1", "k2", "n_words", "n_removed", kind])
+
+    once = rows.mapInArrow(run, f"k1 long, k2 long, n_words long, n_removed long, {kind} string").dropDuplicates(["k1", "k2"])
+    ids = scratch.written(_keyed_ids(docs), "ids")
+    result = tb.join_hot(ids, once, ["k1", "k2"]).select("doc_id", "n_words", "n_removed", kind)
+    return tb.finished(scratch, result, "repeats")
 
-    return rows.mapInArrow(run, schema)
+
+def _keyed_ids(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2"))
 
 
 def deduplicated(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_words, n_removed and kept, the words that stay, joined by one space."""
-    return _finish(_with_ranges(docs, width, gram), "doc_id long, n_words long, n_removed long, kept string", lambda x: x.decode("utf-8"))
+    return _finished(docs, "kept", lambda x: x.decode("utf-8"), width, gram)
 
 
 def digests(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every document."""
-    out = _finish(_with_ranges(docs, width, gram), "doc_id long, n_words long, n_removed long, kept string", lambda x: hashlib.sha256(x).hexdigest())
-    return out.withColumnRenamed("kept", "kept_sha256")
+    return _finished(docs, "kept_sha256", lambda x: hashlib.sha256(x).hexdigest(), width, gram)

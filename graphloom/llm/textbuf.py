@@ -7,23 +7,23 @@ A single text longer than a block is a block of its own (texts are never cut).
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions import settled, shared_path
+
 #: Bytes of text that one numpy block holds, unless a single text is longer.
 BLOCK_BYTES = 1 << 19
 
-#: Rows of an Arrow batch of texts.
-BATCH_ROWS = 1_000
+#: Rows and bytes of an Arrow batch of texts (a batch holds one row at least).
+BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
 
 U64 = np.uint64
-_OWN_DIR: list[str] = []
 
 
 def texts(column: pa.Array) -> pa.Array:
@@ -56,14 +56,16 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, in
 
 
 def small_batches(spark) -> None:
-    """Arrow batches of at most BATCH_ROWS rows, unless the session says otherwise.
+    """Arrow batches of at most BATCH_ROWS rows and BATCH_BYTES bytes, unless the session says otherwise.
 
-    The default of 10,000 rows of whole texts costs an executor several hundred MB, twice over
-    (in the JVM and in the worker), before any work begins.
+    The defaults (10,000 rows of whole texts, and no bound of bytes) cost an executor several hundred
+    MB, twice over (in the JVM and in the worker), before any work begins. Both are settings of the
+    session; other queries of it are only cut into smaller batches.
     """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) == 10_000:
-        spark.conf.set(key, BATCH_ROWS)
+    for key, usual, size in (("maxRecordsPerBatch", 10_000, BATCH_ROWS), ("maxBytesPerBatch", 2**31 - 1, BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if str(spark.conf.get(key, str(usual))) in (str(usual), f"{usual}b", f"{usual}B"):
+            spark.conf.set(key, str(size))
 
 
 def map_text(
@@ -109,32 +111,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_BASE, _STEP = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1
-_BYTE = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n, kept per worker."""
-    have = _POWERS.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(n, 1 << 16)
-        inverse = pow(base, -1, 1 << 64)
-        made = []
-        for b in (base, inverse):
-            row = np.full(size, b, U64)
-            row[0] = 1
-            made.append(np.multiply.accumulate(row))
-        have = _POWERS[base] = (made[0], made[1])
-    return have[0][:n], have[1][:n]
-
-
-def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """A 64-bit polynomial hash of values[start:end] for each span, from prefix sums."""
-    up, down = powers(base, len(values) + 1)
-    prefix = np.zeros(len(values) + 1, U64)
-    np.cumsum(values * up[: len(values)], out=prefix[1:])
-    return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(U64))
+_GOLD, _ODD = U64(0x9E3779B97F4A7C15), U64(0xD1342543DE82EF95)
+#: Words of so many bytes are hashed eight bytes at a time by numpy, longer ones by xxhash.
+_LANE, _SHORT_WORD = 8, 32
 
 
 def word_bounds(buf: np.ndarray, offs: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,13 +133,49 @@ def word_bounds(buf: np.ndarray, offs: np.ndarray, is_word: np.ndarray) -> tuple
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words' bytes."""
-    return spans_hash(_BYTE[buf], starts, ends, _BASE)
+    """64-bit hashes of the words' bytes.
+
+    Eight bytes after another are mixed into a chain that starts from the length, each step a
+    bijection of the bytes it takes in, so words of up to eight bytes never share a hash, and no
+    sum or polynomial of the bytes is left to build collisions from.
+    """
+    size = ends - starts
+    out = mix(size.astype(U64) * _GOLD + _ODD)
+    lanes = np.ndarray((len(buf),), "<u8", np.concatenate([buf, np.zeros(_LANE, np.uint8)]).data, 0, (1,))
+    short = size <= _SHORT_WORD
+    for done in range(0, _SHORT_WORD, _LANE):
+        rest = np.flatnonzero(short & (size > done))
+        if not len(rest):
+            break
+        lane, left = lanes[starts[rest] + done], size[rest] - done
+        lane &= ~U64(0) >> ((_LANE - np.minimum(left, _LANE)) * 8).astype(U64)
+        out[rest] = mix((out[rest] + _GOLD) ^ lane)
+    far = np.flatnonzero(~short)
+    if len(far):
+        data = buf.tobytes()
+        out[far] = [xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(starts[far].tolist(), ends[far].tolist(), strict=True)]
+    return out
+
+
+def both_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of pairs, elementwise; the order counts."""
+    return mix(a * _ODD + b + _GOLD)
 
 
 def gram_hashes(words: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
-    """64-bit hashes of the n words from each start on (every start has n words after it)."""
-    return spans_hash(words, starts, starts + n, _STEP)
+    """64-bit hashes of the n words from each start on (every start has n words after it).
+
+    Hashes of 1, 2, 4 ... words are made of two halves each; those that n is the sum of are joined.
+    """
+    out, done, width, level = np.full(len(starts), n, U64), 0, 1, words
+    while True:
+        if n & width:
+            out = both_hashes(out, level[starts + done])
+            done += width
+        if done == n:
+            return out
+        level = both_hashes(level[:-width], level[width:]) if len(level) > width else level[:0]
+        width *= 2
 
 
 def table(predicate: Callable[[int], bool]) -> np.ndarray:
@@ -183,25 +198,55 @@ def per_text(starts: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.diff(np.searchsorted(starts, offs))
 
 
-def shared_dir(spark, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors share.
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared folder as Parquet and read again: cuts the lineage."""
+    return settled(df, name)
 
-    Where the setting is absent (local tests) a temporary folder of this machine is set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not _OWN_DIR:
-            _OWN_DIR.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-        root = _OWN_DIR[0]
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
+class Scratch:
+    """Tables of one run of an operator in a folder of their own, which goes once the result is written."""
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows written to the shared folder as Parquet and read again: cuts the lineage."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    def __init__(self, spark, name: str):
+        self.spark, self.root, self.count = spark, shared_path(spark, name), 0
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        self.count += 1
+        path = f"{self.root}/{self.count}-{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        """Removes the folder. No frame that reads its tables may be used after that."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def finished(scratch: Scratch, result: DataFrame, name: str) -> DataFrame:
+    """The result, written, after which the tables that it was made of are removed."""
+    out = written(result, name)
+    scratch.drop()
+    return out
+
+
+#: A key is hot where it holds more than one row in so many; there are fewer such keys than that.
+HOT_SHARE = 1_000
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left (a written table) joined to right, which has one row a key, where a few keys may hold most of left.
+
+    The rows of hot keys are dealt over several tasks, with right's row repeated for each. Hot keys are
+    fewer than HOT_SHARE, so their table may be broadcast whatever the size of left.
+    """
+    total = left.count()
+    hot = left.groupBy(*keys).agg(F.count("*").alias("n_")).where(F.col("n_") * HOT_SHARE > total)
+    hot = F.broadcast(hot.select(*keys, F.ceil(F.col("n_") * HOT_SHARE / max(total, 1)).cast("int").alias("pieces_")))
+    one = F.coalesce("pieces_", F.lit(1))
+    dealt = left.withColumn("salt_", F.monotonically_increasing_id()).join(hot, keys, "left")
+    dealt = dealt.withColumn("salt_", F.pmod("salt_", one).cast("int")).drop("pieces_")
+    copied = right.join(hot, keys, "left").withColumn("salt_", F.explode(F.sequence(F.lit(0), one - 1))).drop("pieces_")
+    return dealt.join(copied, [*keys, "salt_"], how).drop("salt_")
 
 
 def documents(spark, sf_dir: str) -> DataFrame:
