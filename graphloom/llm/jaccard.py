@@ -21,7 +21,9 @@ sets form a class (named by a 64-bit hash of the set) and are compared once.
    prefix shingles.
 5. Components of all links, by least document id.
 
-Shingles met by many classes are split into pieces, and pairs of pieces are separate groups.
+Shingles met by many classes are split into pieces by size and hash, and pairs of pieces are
+separate groups where their sizes allow a link. Joins on a class or text that many rows share
+are dealt over several tasks (`textbuf.join_hot`), and of equal texts one copy a partition moves.
 
 Defined results: null, empty and wordless texts have the empty set and are linked with nothing;
 texts of fewer than n words have one shingle, the whole sequence; repeated rows and equal sets
@@ -31,8 +33,11 @@ has an id). Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,12 +88,10 @@ def quota(size, percent: int = PERCENT):
     return 1 + (size - -(-percent * size // 100)) // 5
 
 
-def _key(s: np.ndarray) -> int:
-    """A 64-bit hash of a sorted set."""
-    if not len(s):
-        return 0
-    salted = np.add.reduce(tb.mix(s ^ np.uint64(0x5851F42D4C957F2D)), keepdims=True)
-    return int(tb.mix(np.bitwise_xor.reduce(tb.mix(s), keepdims=True) + salted + np.uint64(len(s))).view(np.int64)[0])
+def _key(s: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit hashes of a sorted set: its class, and what proves that a class is one set."""
+    raw = xxhash.xxh3_128_intdigest(s.tobytes())
+    return (raw & (2**64 - 1)) - 2**63, (raw >> 64) - 2**63
 
 
 def frequent(docs: DataFrame, n: int = SHINGLE) -> np.ndarray:
@@ -108,12 +111,11 @@ def frequent(docs: DataFrame, n: int = SHINGLE) -> np.ndarray:
 
 
 def described(docs: DataFrame, last: np.ndarray, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, t1, t2 (hashes of the text), size, k (hash of the set) and prefix of every document.
+    """doc_id, k1, k2 (hashes of the text), size, k and proof (hashes of the set) and prefix of every document.
 
     The prefix stands once for each class in a block.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2"), text.alias("text"))
+    rows = tb.text_keys(docs, F.col("doc_id").cast("long").alias("doc_id"))
 
     def run(batches):
         for batch in batches:
@@ -122,7 +124,7 @@ def described(docs: DataFrame, last: np.ndarray, n: int = SHINGLE, percent: int
                 sets = shingle_sets(column.slice(a, b - a), n)
                 keys = [_key(s) for s in sets]
                 seen, prefixes = set(), []
-                for s, k in zip(sets, keys, strict=True):
+                for s, (k, _) in zip(sets, keys, strict=True):
                     if k in seen or not len(s):
                         prefixes.append(None)
                         continue
@@ -133,28 +135,27 @@ def described(docs: DataFrame, last: np.ndarray, n: int = SHINGLE, percent: int
                     else:
                         ordered = s
                     prefixes.append(ordered[: len(s) - least_overlap(len(s), percent) + quota(len(s), percent)].view(np.int64))
-                arrays = [*(batch.column(c).slice(a, b - a) for c in range(3)), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "t1", "t2", "size", "k", "prefix"])
+                arrays = [*(batch.column(c).slice(a, b - a) for c in range(3)), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([x[c] for x in keys], pa.int64()) for c in (0, 1)), pa.array(prefixes, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "k1", "k2", "size", "k", "proof", "prefix"])
 
-    return rows.mapInArrow(run, "doc_id long, t1 long, t2 long, size long, k long, prefix array<long>")
+    return rows.mapInArrow(run, "doc_id long, k1 long, k2 long, size long, k long, proof long, prefix array<long>")
 
 
-def meetings(table: DataFrame, percent: int = PERCENT) -> DataFrame:
+def meetings(table: DataFrame, scratch: tb.Scratch, percent: int = PERCENT) -> DataFrame:
     """g, k, size, leader: prefix shingles that several classes hold, for the candidate classes."""
     holds = table.where("prefix IS NOT NULL").select(F.explode("prefix").alias("g"), "k", "size")
     by_g = holds.groupBy("g").agg(F.min("k").alias("leader"), F.max("k").alias("last"))
-    met = tb.written(holds.join(by_g.where("leader <> last").select("g", "leader"), "g"), "met")
+    met = scratch.written(holds.join(by_g.where("leader <> last").select("g", "leader"), "g"), "met")
     # a class may stand several times (once a block), so shingles are counted apart
     enough = met.select("k", "g", "size").distinct().groupBy("k").agg(F.count("*").alias("n"), F.first("size").alias("size"))
     enough = enough.where(F.col("n") >= F.expr(f"1 + (size - ceil({percent} * size / 100)) DIV 5")).select("k")
-    return tb.written(met.join(enough, "k").distinct(), "meetings")
+    return scratch.written(met.join(enough, "k").distinct(), "meetings")
 
 
-def class_sets(docs: DataFrame, table: DataFrame, wanted: DataFrame, n: int = SHINGLE) -> DataFrame:
+def class_sets(docs: DataFrame, table: DataFrame, wanted: DataFrame, scratch: tb.Scratch, n: int = SHINGLE) -> DataFrame:
     """k, size, shingles, bitmap of the wanted classes, from one text each."""
-    reps = table.join(wanted, "k").groupBy("k").agg(F.min(F.struct("t1", "t2")).alias("t")).select("k", "t.t1", "t.t2")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2"), text.alias("text"))
+    # the rows of a class are summed up where they are read, before they meet
+    reps = table.groupBy("k").agg(F.min(F.struct("k1", "k2")).alias("t")).join(wanted, "k").select("k", "t.k1", "t.k2")
 
     def run(batches):
         done = None
@@ -170,8 +171,8 @@ def class_sets(docs: DataFrame, table: DataFrame, wanted: DataFrame, n: int = SH
                 arrays = [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["k", "size", "shingles", "bitmap"])
 
-    made = rows.join(reps, ["t1", "t2"]).select("k", "text").mapInArrow(run, "k long, size long, shingles binary, bitmap binary")
-    return tb.written(made.dropDuplicates(["k"]), "class_sets")
+    made = tb.one_copy(docs).join(reps, ["k1", "k2"]).select("k", "text").mapInArrow(run, "k long, size long, shingles binary, bitmap binary")
+    return scratch.written(made.dropDuplicates(["k"]), "class_sets")
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
@@ -180,13 +181,11 @@ def bitmap(s: np.ndarray) -> np.ndarray:
     return np.packbits(marks, bitorder="little").view(np.uint64)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose sets are linked, compared exactly."""
-    one = lambda c: sets.select(F.col("k").alias(c), F.col("shingles").alias(f"{c}_set"), F.col("size").alias(f"{c}_size"))
-    sized = sets.select("k", "size")
-    near = pairs.join(sized.toDF("a", "sa"), "a").join(sized.toDF("b", "sb"), "b")
-    near = near.where(100 * F.least("sa", "sb") >= percent * F.greatest("sa", "sb")).select("a", "b")
-    rows = near.join(one("a"), "a").join(one("b"), "b").select("a", "b", "a_set", "b_set")
+def verified(pairs: DataFrame, sets: DataFrame, scratch: tb.Scratch, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) whose sets are linked, compared exactly. a may be in many pairs."""
+    one = lambda c: sets.select(F.col("k").alias(c), F.col("shingles").alias(f"{c}_set"))
+    near = scratch.written(pairs.select("a", "b"), "pairs")
+    rows = tb.join_hot(near, one("a"), ["a"]).join(one("b"), "b").select("a", "b", "a_set", "b_set")
 
     def run(batches):
         for batch in batches:
@@ -316,20 +315,32 @@ def small_cells(cell: np.ndarray, k: np.ndarray, root: np.ndarray, size: np.ndar
     return np.stack([np.minimum(k[a], k[b]), np.maximum(k[a], k[b])], axis=1)
 
 
-def tree_pairs(met: DataFrame, sets: DataFrame, comp: DataFrame, every: bool, percent: int = PERCENT, piece: int = PIECE) -> DataFrame:
+def tree_pairs(met: DataFrame, sets: DataFrame, comp: DataFrame, every: bool, scratch: tb.Scratch, percent: int = PERCENT, piece: int | None = None) -> DataFrame:
     """Pairs (a, b) of classes of different components that signature trees cannot rule out.
 
     All of them that share enough prefix shingles, or (not every) a forest for each cell.
     """
-    of = met.select("g", "k").join(comp.select(F.col("node").alias("k"), "root"), "k", "left").select("g", "k", F.coalesce("root", "k").alias("root"))
-    mixed = of.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("df"))
-    mixed = mixed.where("low <> high").select("g", F.ceil(F.col("df") / piece).cast("int").alias("pieces"))
-    rows = of.join(mixed, "g").join(sets.select("k", "size", "bitmap"), "k")
-    # a shingle with many classes: every class goes to the pairs of pieces that hold its own
-    own = F.pmod(F.xxhash64("k"), F.col("pieces")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
-    rows = rows.select("g", "k", "root", "size", "bitmap", own.alias("own"), other.alias("other"))
-    rows = rows.select(F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "g", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "k", "root", "size", "bitmap")
+    piece = piece or PIECE
+    of = met.select("g", "k", "size").join(comp.select(F.col("node").alias("k"), "root"), "k", "left").select("g", "k", "size", F.coalesce("root", "k").alias("root"))
+    mixed = of.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high"), (F.count("*") > piece).alias("many"))
+    # classes of a shingle that many hold are told apart by size: linked ones are of one or neighbouring sizes
+    level = F.when(F.col("many"), F.floor(F.log("size") / math.log(1.01 * 100 / percent))).otherwise(F.lit(0))
+    rows = of.join(mixed.where("low <> high").select("g", "many"), "g").select("g", "k", "root", "many", level.alias("z"))
+    rows = scratch.written(rows, "cells")
+    cut = rows.where("many").groupBy("g", "z").agg(F.ceil(F.count("*") / piece).alias("n"))
+    cuts = cut.select("g", "z", "n", F.lit(0).alias("side"))
+    cuts = cuts.unionByName(cut.select("g", (F.col("z") - 1).alias("z"), "n", F.lit(1).alias("side"))).unionByName(cut.select("g", (F.col("z") + 1).alias("z"), "n", F.lit(-1).alias("side")))
+    cuts = cuts.groupBy("g", "z").agg(*[F.max(F.when(F.col("side") == side, F.col("n"))).alias(name) for side, name in ((0, "same"), (1, "up"), (-1, "down"))])
+    rows = rows.join(cuts, ["g", "z"], "left")
+    # a piece is a size and a hash; every class goes to the pairs of pieces that hold its own
+    code = lambda z, i: F.shiftleft(z.cast("long"), 32) + i
+    ahead = lambda step, n: F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col(n) - 1), lambda i: code(F.col("z") + step, i))).otherwise(F.array().cast("array<bigint>"))
+    own = code(F.col("z"), F.pmod(F.xxhash64("k"), F.coalesce("same", F.lit(1))))
+    every_other = F.when(F.col("many"), F.concat(ahead(0, "same"), ahead(1, "up"), ahead(-1, "down"))).otherwise(F.array(F.lit(0).cast("long")))
+    rows = rows.select("g", "k", "root", own.alias("own"), F.explode(every_other).alias("other"))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    rows = rows.join(sets.select("k", "size", "bitmap"), "k")
+    rows = rows.select(F.xxhash64("g", low, high).alias("cell"), "g", low.alias("p"), high.alias("q"), "own", "k", "root", "size", "bitmap")
     width = BITMAP // 64
 
     def pairs(cells):
@@ -360,7 +371,8 @@ def tree_pairs(met: DataFrame, sets: DataFrame, comp: DataFrame, every: bool, pe
             if table is None or not table.num_rows:
                 continue
             cell, g = table.column("cell").to_numpy(), table.column("g").to_numpy()
-            edge = np.flatnonzero((cell[1:] != cell[:-1]) | (g[1:] != g[:-1])) + 1
+            p, q = table.column("p").to_numpy(), table.column("q").to_numpy()
+            edge = np.flatnonzero((cell[1:] != cell[:-1]) | (g[1:] != g[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1
             end = len(cell) if batch is None else int(edge[-1]) if len(edge) else 0
             cuts = [0, *[int(e) for e in edge if e < end], end] if end else [0]
             number = {c: table.column(c).to_numpy() for c in ("k", "root", "size", "own", "p", "q")}
@@ -381,7 +393,7 @@ def tree_pairs(met: DataFrame, sets: DataFrame, comp: DataFrame, every: bool, pe
             found = np.concatenate(out)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["a", "b"])
 
-    dealt = rows.repartition("cell").sortWithinPartitions("cell", "g")
+    dealt = rows.repartition("cell").sortWithinPartitions("cell", "g", "p", "q")
     met_at = dealt.mapInArrow(run, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("n"))
     if not every:
         return met_at.select("a", "b")
@@ -392,28 +404,35 @@ def tree_pairs(met: DataFrame, sets: DataFrame, comp: DataFrame, every: bool, pe
 
 
 def members(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, t1, t2 (hashes of the text), n_shingles, component_id and root (a class that names
+    """doc_id, k1, k2 (hashes of the text), n_shingles, component_id and root (a class that names
     the component; null for the empty set) of every document."""
-    table = tb.written(described(docs, frequent(docs, n), n, percent), "described")
-    met = meetings(table, percent)
-    sets = class_sets(docs, table, met.select("k").distinct(), n)
-    stars = met.where("k <> leader").groupBy("k", "leader").agg(F.count("*").alias("n"))
-    stars = stars.groupBy("k").agg(F.max_by("leader", F.struct("n", "leader")).alias("leader")).select(F.col("leader").alias("a"), F.col("k").alias("b"))
-    links = tb.written(verified(stars, sets, percent), "links")
-    roots = tb.written(connected(links), "components")
+    scratch = tb.Scratch(docs.sparkSession, "jaccard")
+    table = scratch.written(described(docs, frequent(docs, n), n, percent), "described")
+    met = meetings(table, scratch, percent)
+    sets = class_sets(docs, table, met.select("k").distinct(), scratch, n)
+    stars = met.where("k <> leader").groupBy("k", "leader").agg(F.count("*").alias("n"), F.first("size").alias("size"))
+    stars = stars.groupBy("k").agg(F.max_by("leader", F.struct("n", "leader")).alias("a"), F.first("size").alias("size"))
+    stars = tb.join_hot(scratch.written(stars, "stars"), sets.select(F.col("k").alias("a"), F.col("size").alias("sa")), ["a"])
+    stars = stars.where(100 * F.least("sa", "size") >= percent * F.greatest("sa", "size")).select("a", F.col("k").alias("b"))
+    links = scratch.written(verified(stars, sets, scratch, percent), "links")
+    roots = scratch.written(connected(links, scratch), "components")
     for every in (False, True):
-        more = tb.written(verified(tree_pairs(met, sets, roots, every, percent), sets, percent), "links")
+        more = scratch.written(verified(tree_pairs(met, sets, roots, every, scratch, percent), sets, scratch, percent), "links")
         if not more.isEmpty():
             links = links.unionByName(more)
-            roots = tb.written(connected(links), "components")
-    classes = table.where("size > 0").groupBy("k").agg(F.min("doc_id").alias("least"))
+            roots = scratch.written(connected(links, scratch), "components")
+    classes = table.where("size > 0").groupBy("k").agg(F.min("doc_id").alias("least"), F.min("proof").alias("p"), F.max("proof").alias("q"))
+    classes = scratch.written(classes, "classes")
+    if not classes.where("p <> q").isEmpty():
+        raise ValueError("two different sets share a 64-bit name; all results of this run would be in doubt")
     named = classes.join(roots.select(F.col("node").alias("k"), "root"), "k", "left").select("k", "least", F.coalesce("root", "k").alias("root"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_class = named.join(names, "root").select("k", "component_id", "root")
-    rows = table.select("doc_id", "t1", "t2", F.col("size").alias("n_shingles"), "k")
-    full = rows.where("n_shingles > 0").join(by_class, "k")
+    by_class = scratch.written(named.join(names, "root").select("k", "component_id", "root"), "by_class")
+    rows = table.select("doc_id", "k1", "k2", F.col("size").alias("n_shingles"), "k")
+    full = tb.join_hot(rows.where("n_shingles > 0"), by_class, ["k"])
     empty = rows.where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
-    return full.unionByName(empty, allowMissingColumns=True).select("doc_id", "t1", "t2", "n_shingles", "component_id", "root")
+    result = full.unionByName(empty, allowMissingColumns=True).select("doc_id", "k1", "k2", "n_shingles", "component_id", "root")
+    return tb.finished(scratch, result, "members")
 
 
 def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -428,11 +447,10 @@ def representatives(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
     Rows with one id and different texts are told apart by their texts, also where these are
     empty sets; repeated rows count as copies. Rows without an id stay.
     """
-    found = members(docs, n, percent).where(F.col("doc_id").isNotNull()).select(F.struct("doc_id", "t1", "t2").alias("m"), "root")
+    found = members(docs, n, percent).where(F.col("doc_id").isNotNull()).select(F.struct("doc_id", "k1", "k2").alias("m"), "root")
     keep = found.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("m").alias("m")).select("m")
     keep = keep.unionByName(found.where(F.col("root").isNull()).select("m").distinct())
-    keep = keep.select(F.col("m.doc_id").alias("i_"), F.col("m.t1").alias("t1_"), F.col("m.t2").alias("t2_"))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.struct(*docs.columns).alias("row_"), F.col("doc_id").cast("long").alias("i_"), F.xxhash64(text).alias("t1_"), F.xxhash64(F.lit(7), text).alias("t2_"))
-    one = rows.join(keep, ["i_", "t1_", "t2_"], "left_semi").dropDuplicates(["i_", "t1_", "t2_"])
+    keep = keep.select(F.col("m.doc_id").alias("i_"), F.col("m.k1").alias("k1"), F.col("m.k2").alias("k2"))
+    rows = tb.text_keys(docs, F.struct(*docs.columns).alias("row_"), F.col("doc_id").cast("long").alias("i_")).drop("text")
+    one = rows.join(keep, ["i_", "k1", "k2"], "left_semi").dropDuplicates(["i_", "k1", "k2"])
     return one.unionByName(rows.where(F.col("i_").isNull())).select(*[F.col("row_")[c].alias(c) for c in docs.columns])

@@ -80,30 +80,6 @@ def anchors(column: pa.Array, width: int = WIDTH, gram: int = GRAM) -> dict[str,
     }
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """The texts with two hashes that name a text (equal texts share all results)."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2"), text.alias("text"))
-
-
-def _copies(docs: DataFrame) -> DataFrame:
-    """k1, k2 and text: each text once for each partition of docs, so copies stay where they are read.
-
-    A task remembers the hashes of the texts that it has seen.
-    """
-
-    def run(batches):
-        seen: set[tuple[int, int]] = set()
-        for batch in batches:
-            keep = []
-            for key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                keep.append(key not in seen)
-                seen.add(key)
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return _keyed(docs).mapInArrow(run, "k1 long, k2 long, text string")
-
-
 def _per_batch(docs: DataFrame, schema: str, make) -> DataFrame:
     def run(batches):
         for batch in batches:
@@ -111,7 +87,7 @@ def _per_batch(docs: DataFrame, schema: str, make) -> DataFrame:
             for a, b in tb.blocks(column):
                 yield from make(batch.slice(a, b - a), column.slice(a, b - a))
 
-    return _keyed(docs).mapInArrow(run, schema)
+    return tb.text_keys(docs).mapInArrow(run, schema)
 
 
 def candidates(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
@@ -167,7 +143,7 @@ def _span_words(docs: DataFrame, chosen: DataFrame) -> DataFrame:
                 cut = pa.array([words[x:y].tobytes() for x, y in zip(at.tolist(), end.tolist(), strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(spans.field(c) for c in ("a", "s", "n", "mixed")), cut], names=["a", "s", "n", "mixed", "words"])
 
-    joined = _copies(docs).join(chosen, ["k1", "k2"]).select("text", "spans", "k1", "k2")
+    joined = tb.one_copy(docs).join(chosen, ["k1", "k2"]).select("text", "spans", "k1", "k2")
     return joined.mapInArrow(run, "a long, s long, n long, mixed boolean, words binary")
 
 
@@ -326,7 +302,7 @@ def _finished(docs: DataFrame, kind: str, tell, width: int, gram: int) -> DataFr
     """doc_id, n_words, n_removed and kept of every row: texts are finished once, their rows joined to that."""
     scratch = tb.Scratch(docs.sparkSession, "repeats")
     ranges = removed_ranges(docs, scratch, width, gram)
-    rows = _copies(docs).join(ranges, ["k1", "k2"], "left").select("k1", "k2", "text", "ranges")
+    rows = tb.one_copy(docs).join(ranges, ["k1", "k2"], "left").select("k1", "k2", "text", "ranges")
 
     def run(batches):
         for batch in batches:
@@ -337,16 +313,11 @@ def _finished(docs: DataFrame, kind: str, tell, width: int, gram: int) -> DataFr
                 yield pa.RecordBatch.from_arrays(arrays, names=["k1", "k2", "n_words", "n_removed", kind])
 
     once = rows.mapInArrow(run, f"k1 long, k2 long, n_words long, n_removed long, {kind} string").dropDuplicates(["k1", "k2"])
-    ids = scratch.written(_keyed_ids(docs), "ids")
+    ids = scratch.written(tb.text_keys(docs, F.col("doc_id").cast("long").alias("doc_id")).drop("text"), "ids")
     result = tb.join_hot(ids, once, ["k1", "k2"]).select("doc_id", "n_words", "n_removed", kind)
     return tb.finished(scratch, result, "repeats")
 
 
-def _keyed_ids(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2"))
-
-
 def deduplicated(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_words, n_removed and kept, the words that stay, joined by one space."""
     return _finished(docs, "kept", lambda x: x.decode("utf-8"), width, gram)

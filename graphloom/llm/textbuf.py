@@ -102,6 +102,30 @@ def map_text(
     return two.mapInArrow(run, ", ".join(["doc_id long", schema, *[f"{k} string" for k in more]]))
 
 
+def text_keys(docs: DataFrame, *more: str | Column) -> DataFrame:
+    """The columns `more`, k1 and k2 (two hashes that name a text: equal texts share all results), and the whole text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(*more, F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2"), text.alias("text"))
+
+
+def one_copy(docs: DataFrame) -> DataFrame:
+    """k1, k2 and text: each text once for each partition of docs, so that copies stay where they are read.
+
+    A task remembers the hashes of the texts that it has seen.
+    """
+
+    def run(batches):
+        seen: set[tuple[int, int]] = set()
+        for batch in batches:
+            keep = []
+            for key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                keep.append(key not in seen)
+                seen.add(key)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return text_keys(docs).mapInArrow(run, "k1 long, k2 long, text string")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser, elementwise."""
     x = x ^ (x >> U64(30))
@@ -233,13 +257,13 @@ def finished(scratch: Scratch, result: DataFrame, name: str) -> DataFrame:
 HOT_SHARE = 1_000
 
 
-def join_hot(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """left (a written table) joined to right, which has one row a key, where a few keys may hold most of left.
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", total: int | None = None) -> DataFrame:
+    """left (made of a written table, of about total rows) joined to right, which has one row a key, where a few keys may hold most of left.
 
     The rows of hot keys are dealt over several tasks, with right's row repeated for each. Hot keys are
     fewer than HOT_SHARE, so their table may be broadcast whatever the size of left.
     """
-    total = left.count()
+    total = left.count() if total is None else total
     hot = left.groupBy(*keys).agg(F.count("*").alias("n_")).where(F.col("n_") * HOT_SHARE > total)
     hot = F.broadcast(hot.select(*keys, F.ceil(F.col("n_") * HOT_SHARE / max(total, 1)).cast("int").alias("pieces_")))
     one = F.coalesce("pieces_", F.lit(1))
