@@ -5,7 +5,8 @@ that no base span touches are scored by two first-order character Markov models,
 strings and one of ordinary identifiers, and reported where the log-likelihood ratio says
 random. Both models are trained from labelled samples of the corpus itself: values inside base
 spans are the random strings, long plain words the identifiers, gathered by a Spark
-aggregation over a bounded hash sample of the rows (`max_train_rows`).
+aggregation over a hash sample of the rows, of `max_train_rows` rows in expectation (rows of one
+id and length are taken or left together). What the models hold does not grow with the sample.
 
 Defined results: null texts count as empty and have no spans; repeated rows are scanned each;
 spans are in code points, end exclusive, and cover whole matches; ties at one start go by the
@@ -37,7 +38,7 @@ WORD = re.compile(r"[A-Za-z0-9_]{8,}")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 SIZE = len(ALPHABET)
 _PLACE = {c: i for i, c in enumerate(ALPHABET)}
-#: Bound of the rows that train the models.
+#: Rows that train the models, in expectation.
 MAX_TRAIN_ROWS = 20_000
 
 
@@ -112,10 +113,14 @@ def spans(text: str, table: np.ndarray, least: float = 8.0, each: float = 0.3) -
     A candidate is reported if its ratio is at least `least` nats and `each` nats a character.
     """
     base = base_spans(text)
-    more = []
+    more, at, reach = [], 0, 0
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
-        if any(s < b and e > a for s, _, e in base):
+        # both lists are sorted by start: reach is the furthest end of the base spans before b
+        while at < len(base) and base[at][0] < b:
+            reach = max(reach, base[at][2])
+            at += 1
+        if reach > a:
             continue
         r = ratio(m[0], table)
         if r >= least and r >= each * (b - a):
