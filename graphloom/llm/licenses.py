@@ -4,7 +4,8 @@ Words are digits, lower-cased ASCII letters and everything beyond ASCII. Base la
 places where a phrase's words stand consecutively. The method adds fuzzy notices: every notice
 is split into one piece more than the edits it may have, so that one piece at least is intact
 (pigeonhole); an Aho-Corasick pass over the block locates the pieces, and the regex library's
-bounded-error matching verifies the surroundings and reports span and edits.
+bounded-error matching verifies the surroundings and reports span and edits. A seed costs one
+match of bounded length, so work is in proportion to text and seeds, however long a text is.
 
 Defined results: null texts count as empty (no words, score 0); repeated rows are scanned
 each; the first and last word are the smallest and largest start over all phrases. The score is
@@ -14,7 +15,7 @@ columns are ignored.
 
 from __future__ import annotations
 
-from functools import cache
+from functools import cache, lru_cache
 
 import ahocorasick
 import numpy as np
@@ -106,16 +107,29 @@ def scan_block(column: pa.Array) -> tuple[np.ndarray, dict[int, dict]]:
     return n_words, {doc: _verify(text[cuts[doc] : cuts[doc + 1]], [(at - int(cuts[doc]), u) for at, u in found]) for doc, found in seeds.items()}
 
 
+@lru_cache(maxsize=65_536)
+def _match(notice: str, around: str) -> tuple[int, int, int] | None:
+    """(start, end, edits) of the best place of a notice in a short string."""
+    m = _fuzzy(notice).search(around)
+    return (m.start(), m.end(), sum(m.fuzzy_counts)) if m else None
+
+
 def _verify(text: str, seeds: list) -> dict:
-    """Base places (word numbers) and fuzzy notices (label, start, end, edits) of one text."""
-    padded = f" {text.strip(' ')} "
+    """Base places (word numbers) and fuzzy notices (first word, end word, label: edits, share) of one text."""
+    text = text.strip(" ")
+    padded = f" {text} "
+    # word i of the text starts after the space spaces[i] of the padded text
+    spaces = np.flatnonzero(np.frombuffer(padded.encode("latin-1"), np.uint8) == 0x20)
     places, base, notices = [], set(), {}
     for phrase, label in BASE.items():
         at = padded.find(f" {phrase} ")
+        hits = []
         while at >= 0:
-            places.append(padded.count(" ", 0, at))
-            base.add(label)
+            hits.append(at)
             at = padded.find(f" {phrase} ", at + 1)
+        if hits:
+            base.add(label)
+            places += np.searchsorted(spaces, hits).tolist()
     done: dict[str, int] = {}
     for at, uses in seeds:
         for notice, offset in uses:
@@ -123,32 +137,35 @@ def _verify(text: str, seeds: list) -> dict:
                 continue
             k = edits(notice)
             a, b = max(0, at - offset - k), at - offset + len(notice) + k
-            if m := _fuzzy(notice).search(text[a:b]):
-                notices[a + m.start(), a + m.end(), NOTICES[notice]] = sum(m.fuzzy_counts) / len(notice)
-                done[notice] = a + m.end()
+            if m := _match(notice, text[a:b]):
+                start, end = a + m[0], a + m[1]
+                first, last = np.searchsorted(spaces, (start + 1, end), side="right") - 1
+                notices[int(first), int(last) + 1, NOTICES[notice]] = (m[2], m[2] / len(notice))
+                done[notice] = end
     return {"places": places, "base": base, "notices": notices}
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id and the notices found in every whole text: label, span in normalised characters, edited share."""
-    kind = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("edited", pa.float64())]))
+    """doc_id and the notices found in every whole text: label, words that they span (from 0, end exclusive), edits."""
+    kind = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("edits", pa.int64())]))
 
     def fn(column: pa.Array) -> dict:
         _, found = scan_block(column)
-        rows = [[{"label": name, "start": s, "end": e, "edited": x} for (s, e, name), x in sorted(found[i]["notices"].items())] if i in found else [] for i in range(len(column))]
+        rows = [[{"label": name, "first_word": s, "end_word": e, "edits": x} for (s, e, name), (x, _) in sorted(found[i]["notices"].items())] if i in found else [] for i in range(len(column))]
         return {"notices": pa.array(rows, kind)}
 
-    return tb.map_text(docs, fn, "notices array<struct<label:string,start:bigint,end:bigint,edited:double>>")
+    return tb.map_text(docs, fn, "notices array<struct<label:string,first_word:bigint,end_word:bigint,edits:bigint>>")
 
 
 def labels(docs: DataFrame) -> DataFrame:
-    """doc_id, word and phrase counts, labels and score of every document."""
+    """doc_id, word and phrase counts, labels and score of every document, and its notices as
+    label:first word:end word:edits, comma-joined in the order of their words."""
 
     def fn(column: pa.Array) -> dict:
         n_words, found = scan_block(column)
         none = {"places": [], "base": set(), "notices": {}}
         rows = [found.get(i, none) for i in range(len(column))]
-        best = [1.0 if r["base"] else 1 - min(r["notices"].values(), default=1.0) for r in rows]
+        best = [1.0 if r["base"] else 1 - min((x for _, x in r["notices"].values()), default=1.0) for r in rows]
         return {
             "n_words": n_words.astype(np.int64),
             "n_base": np.array([len(r["places"]) for r in rows], np.int64),
@@ -157,6 +174,8 @@ def labels(docs: DataFrame) -> DataFrame:
             "base_labels": [",".join(sorted(r["base"])) for r in rows],
             "labels": [",".join(sorted(r["base"] | {k[2] for k in r["notices"]})) for r in rows],
             "score": np.array(best, np.float64),
+            "notices": [",".join(f"{name}:{s}:{e}:{x}" for (s, e, name), (x, _) in sorted(r["notices"].items())) for r in rows],
         }
 
-    return tb.map_text(docs, fn, "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    columns = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, notices string"
+    return tb.map_text(docs, fn, columns)
