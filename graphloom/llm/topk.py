@@ -13,8 +13,10 @@ over the query keeps the k best. The result is exact: recall is 1.
 
 Defined results: vectors that are null, empty or hold null or non-finite components, and rows
 without an id, take no part; vectors of another dimension are no candidates of a query; rows
-with the query's id are its own; exact repeats of a row count once; ties go to the smaller id.
-Extra columns are ignored.
+with the query's id are its own; every other row is a candidate, repeats too; exact repeats of a
+query row are asked once, and different vectors of one query id are ranked together; ties go to
+the smaller id. Integers and scores beyond the range of a long are the nearest long. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from graphloom.llm import textbuf as tb
 
 #: Rows and queries of one cell of the grid, and bits of a quantised attribute.
 ROWS_PART, QUERIES_PART, BITS = 16_384, 2_048, 7
+#: Most attribute values of a cell's rows: vectors of many attributes make smaller cells.
+PART_VALUES = 1 << 22
 
 
 def integers(vectors: DataFrame, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -47,15 +51,17 @@ class Index:
     def __init__(self, values: np.ndarray, bits: int = BITS):
         self.values, self.bits = values, bits
         n, d = values.shape
-        self.low = values.min(axis=0)
-        reach = int((values.max(axis=0) - self.low).max())
-        self.shift = max(0, reach.bit_length() - bits)
+        self.largest = int(max(int(values.max()), -int(values.min())))
+        # differences of 64-bit integers are exact as unsigned ones
+        above = values.view(np.uint64) - values.min(axis=0).view(np.uint64)
+        self.shift = max(0, int(above.max()).bit_length() - bits)
         self.words = -(-n // 64)
-        level = (values - self.low) >> self.shift
-        planes = (level.T[:, None, :] >> np.arange(bits)[None, :, None]) & 1
-        padded = np.zeros((d, bits, self.words * 64), np.uint8)
-        padded[:, :, :n] = planes
-        self.slices = np.packbits(padded, axis=2, bitorder="little").view(np.uint64)
+        level = (above >> np.uint64(self.shift)).astype(np.uint8).T
+        padded = np.zeros((d, self.words * 64), np.uint8)
+        self.slices = np.zeros((d, bits, self.words), np.uint64)
+        for b in range(bits):
+            padded[:, :n] = (level >> b) & 1
+            self.slices[:, b] = np.packbits(padded, axis=1, bitorder="little").view(np.uint64)
         valid = np.zeros(self.words * 64, np.uint8)
         valid[:n] = 1
         self.valid = np.packbits(valid, bitorder="little").view(np.uint64)
@@ -114,13 +120,21 @@ class Index:
 
     def top(self, ids: np.ndarray, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best rows that do not have the query's own id, exactly."""
-        if not query.any():
+        widest = max(int(query.max()), -int(query.min()))
+        if not widest:
             found = np.arange(len(ids))
+        elif widest * self.largest * len(query) >= 1 << 62:
+            # sums that 64 bits may not hold: exact integers, kept within the range of a long at the end
+            rows = np.flatnonzero(ids != own)
+            exact = self.values[rows].astype(object) @ query.astype(object)
+            score = np.array([max(-(2**63), min(2**63 - 1, int(x))) for x in exact], np.int64)
+            best = np.lexsort((ids[rows], ~score))[:k]
+            return ids[rows][best], score[best]
         else:
             found = self.candidates(query, min(len(ids), k + int((ids == own).sum())))
         found = found[ids[found] != own]
         score = self.values[found] @ query
-        best = np.lexsort((ids[found], -score))[:k]
+        best = np.lexsort((ids[found], ~score))[:k]
         return ids[found][best], score[best]
 
 
@@ -133,21 +147,22 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, rows_par
     is_query is a condition on vec_id that states the query set.
     """
     rows = tb.written(integers(vectors, scale), "vectors")
-    queries = rows.where(is_query)
-    count = rows.count()
-    n_rows = max(1, -(-count // rows_part))
-    n_queries = max(1, -(-queries.count() // queries_part))
-    part = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n))
+    queries = rows.where(is_query).dropDuplicates(["dim", "vec_id", "v"])
+    count, dim = rows.agg(F.count("*"), F.max("dim")).first()
+    n_rows = max(1, -(-count // max(64, min(rows_part, PART_VALUES // (dim or 1)))))
+    n_queries = max(1, -(-queries.count() // max(64, min(queries_part, PART_VALUES // (dim or 1)))))
     parts = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = rows.select(part(n_rows).cast("int").alias("i"), parts(n_queries).alias("q"), "dim", "vec_id", "v")
-    right = queries.select(parts(n_rows).alias("i"), part(n_queries).cast("int").alias("q"), "dim", "vec_id", "v")
+    # repeats of a row spread over the parts
+    spread = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(n_rows))
+    left = rows.select(spread.cast("int").alias("i"), parts(n_queries).alias("q"), "dim", "vec_id", "v")
+    right = queries.select(parts(n_rows).alias("i"), F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_queries)).cast("int").alias("q"), "dim", "vec_id", "v")
 
     def cell(mine: pa.Table, asked: pa.Table) -> pa.Table:
         out_q, out_v, out_s = [], [], []
         if mine.num_rows and asked.num_rows:
-            ids, values = _distinct(mine)
+            ids, values = _matrix(mine)
             index = Index(values)
-            q_ids, q_values = _distinct(asked)
+            q_ids, q_values = _matrix(asked)
             for own, query in zip(q_ids, q_values, strict=True):
                 found, score = index.top(ids, own, query, k)
                 out_q.append(np.full(len(found), own))
@@ -162,9 +177,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, rows_par
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _distinct(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, matrix) of the rows without exact repeats, by id."""
+def _matrix(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, matrix) of the rows."""
     ids = rows.column("vec_id").combine_chunks().to_numpy(zero_copy_only=False)
     flat = rows.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    both = np.unique(np.column_stack([ids, flat.reshape(len(ids), -1)]), axis=0)
-    return both[:, 0].copy(), np.ascontiguousarray(both[:, 1:])
+    return ids, np.ascontiguousarray(flat.reshape(len(ids), -1))
