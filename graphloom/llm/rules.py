@@ -1,15 +1,16 @@
-"""Operator 10: quality rules, with bands on what a public tokeniser makes of a text.
+"""Operator 10: quality rules, with bands on what public tokenisers make of a text.
 
 Base rules count words, symbols, repeated lines and repeated 3-word windows. The method
-measures how a public vocabulary fits the text: code points for each token (fertility), the
-share of byte-fallback tokens, and the entropy of the tokens. A first pass measures every whole
+measures how each of several public vocabularies fits the text: code points for each token
+(fertility), the share of byte-fallback tokens (of a byte-level vocabulary: tokens that are no
+whole characters), and the entropy of the tokens. A first pass measures every whole
 text and is written to the shared folder; quartiles over all documents of a script, language and
 length (in powers of two of words: short texts scatter more and have less entropy) then give
 rejection bands, and joins with that short table give the verdict. Where such a group has fewer
 than LEAST_GROUP documents, the bands of the script and language hold, and else the script's.
 
-Words are encoded one by one (the vocabulary has no piece across words), each different word of
-a block once, through a bounded cache.
+Words are encoded one by one (the vocabularies have no piece across words), each different word
+of a block once, through a bounded cache. A text is kept if all measures are within its bands.
 
 Defined results: null and empty texts have no words and fail the base; repeated rows are judged
 each; texts without letters have the script "none"; a column lang is used where there is one, and
@@ -18,6 +19,8 @@ rows without a language are a language of their own. Other extra columns are ign
 
 from __future__ import annotations
 
+import base64
+from collections.abc import Sequence
 from functools import cache
 
 import numpy as np
@@ -53,28 +56,64 @@ _SCRIPT = np.array([_script_of(b) for b in range(256)], np.uint8)
 
 @cache
 def _tokeniser(path: str):
+    """(encoder of a list of words, for each token: is it a fallback) of a vocabulary file, by its suffix."""
+    if path.endswith(".tiktoken"):
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        part = np.zeros(max(ranks.values()) + 1, bool)
+        for piece, i in ranks.items():
+            part[i] = len(piece.decode("utf-8", "ignore").encode()) < len(piece)
+        return (lambda words: own.encode_ordinary_batch([f" {w}" for w in words], num_threads=1)), part
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    return sp, np.array([sp.is_byte(i) or sp.is_unknown(i) for i in range(sp.get_piece_size())])
+    part = np.array([sp.is_byte(i) or sp.is_unknown(i) for i in range(sp.get_piece_size())])
+    return (lambda words: sp.encode(words, num_threads=1)), part
 
 
-_WORDS: dict[bytes, np.ndarray] = {}
+_WORDS: dict[str, dict[bytes, np.ndarray]] = {}
 
 
 def _tokens(words: list[bytes], path: str) -> list[np.ndarray]:
     """The token ids of each word."""
-    new = [w for w in words if w not in _WORDS]
-    if len(_WORDS) + len(new) > CACHE_WORDS:
-        _WORDS.clear()
+    known = _WORDS.setdefault(path, {})
+    new = [w for w in words if w not in known]
+    if len(known) + len(new) > CACHE_WORDS:
+        known.clear()
         new = words
-    sp, _ = _tokeniser(path)
-    made = dict(zip(new, (np.array(x, np.int64) for x in sp.encode([w.decode("utf-8") for w in new], num_threads=1)), strict=True))
-    out = [made[w] if w in made else _WORDS[w] for w in words]
-    _WORDS.update((w, ids) for w, ids in made.items() if len(w) <= 64)
+    encode, _ = _tokeniser(path)
+    made = dict(zip(new, (np.array(x, np.int64) for x in encode([w.decode("utf-8") for w in new])), strict=True))
+    out = [made[w] if w in made else known[w] for w in words]
+    known.update((w, ids) for w, ids in made.items() if len(w) <= 64)
     return out
 
 
+def _fit_of(words: list[bytes], which: np.ndarray, doc: np.ndarray, word_chars: np.ndarray, path: str) -> list[np.ndarray]:
+    """MEASURES of each text under one vocabulary, from the different words and where they stand."""
+    n = len(word_chars)
+    ids = _tokens(words, path)
+    size = np.array([len(x) for x in ids], np.int64)
+    begin = np.cumsum(size) - size
+    flat = np.concatenate([np.zeros(0, np.int64), *ids])
+    each = size[which] if len(size) else np.zeros(0, np.int64)
+    place = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(begin[which] if len(size) else each, each)
+    token, token_doc = flat[place], np.repeat(doc, each)
+    _, part = _tokeniser(path)
+    tokens = np.bincount(token_doc, minlength=n)
+    fallback = np.bincount(token_doc, weights=part[token], minlength=n)
+    key = np.sort(token_doc * len(part) + token)
+    edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    count, of = np.diff(np.append(edge, len(key))), key[edge] // len(part)
+    p = count / tokens[of] if len(key) else np.zeros(0)
+    entropy = np.bincount(of, weights=-p * np.log2(p), minlength=n) if len(key) else np.zeros(n)
+    whole = np.maximum(tokens, 1)
+    return [np.round(word_chars / whole, 2), np.round(fallback / whole, 3), np.round(entropy, 2)]
+
+
 def _groups(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order by text and hash, first of each run of equals), stable."""
     order = np.lexsort((np.arange(len(hashes)), hashes, doc))
@@ -83,8 +122,8 @@ def _groups(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return order, first
 
 
-def measure_block(column: pa.Array, path: str) -> dict[str, np.ndarray]:
-    """The base counts and the tokeniser's measures of each whole text."""
+def measure_block(column: pa.Array, paths: Sequence[str]) -> dict[str, np.ndarray]:
+    """The base counts and the tokenisers' measures of each whole text."""
     buf, offs = tb.flat(column)
     n = len(column)
     starts, ends = tb.word_bounds(buf, offs, tb.SPACED)
@@ -115,63 +154,51 @@ def measure_block(column: pa.Array, path: str) -> dict[str, np.ndarray]:
 
     _, at, which = np.unique(hashes, return_index=True, return_inverse=True)
     data = buf.tobytes()
-    ids = _tokens([data[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], path)
-    size = np.array([len(x) for x in ids], np.int64)
-    begin = np.cumsum(size) - size
-    flat = np.concatenate([np.zeros(0, np.int64), *ids])
-    each = size[which] if len(size) else np.zeros(0, np.int64)
-    place = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(begin[which] if len(size) else each, each)
-    token, token_doc = flat[place], np.repeat(doc, each)
-    _, is_byte = _tokeniser(path)
-    tokens = np.bincount(token_doc, minlength=n)
-    fallback = np.bincount(token_doc, weights=is_byte[token], minlength=n)
-    key = np.sort(token_doc << 17 | token)
-    edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-    count = np.diff(np.append(edge, len(key)))
-    p = count / tokens[key[edge] >> 17] if len(key) else np.zeros(0)
-    entropy = np.bincount(key[edge] >> 17, weights=-p * np.log2(p), minlength=n) if len(key) else np.zeros(n)
+    kinds = [data[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+    fits = [_fit_of(kinds, which, doc, word_chars, path) for path in paths]
 
     speaks = _SCRIPT[buf]
     by_script = np.stack([tb.per_text(np.flatnonzero(speaks == s), offs) for s in range(1, len(SCRIPTS))])
     script = np.where(by_script.sum(axis=0) > 0, by_script.argmax(axis=0) + 1, 0) if n else np.zeros(0, np.int64)
     out = {"n_words": words, "word_chars": word_chars, "n_symbols": symbols, "n_dup_lines": dup_lines, "n_repeat_words": repeat_words}
     out = {k: v.astype(np.int64) for k, v in out.items()}
-    return out | {
-        "script": [SCRIPTS[s] for s in script],
-        "chars_per_token": np.round(word_chars / np.maximum(tokens, 1), 2),
-        "fallback": np.round(fallback / np.maximum(tokens, 1), 3),
-        "entropy": np.round(entropy, 2),
-    }
+    out["script"] = [SCRIPTS[s] for s in script]
+    return out | {name: x for i, fit in enumerate(fits) for name, x in zip(measures(i), fit, strict=True)}
 
 
-SCHEMA = (
-    "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "script string, chars_per_token double, fallback double, entropy double"
-)
+MEASURES = ("chars_per_token", "fallback", "entropy")
 
 
-def measure(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, the base counts and the tokeniser's measures of every whole text, its language and length class."""
+def measures(i: int) -> list[str]:
+    """The names of vocabulary i's measures."""
+    return [f"{m}_{i + 1}" if i else m for m in MEASURES]
+
+
+SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, script string"
+
+
+def measure(docs: DataFrame, paths: Sequence[str]) -> DataFrame:
+    """doc_id, the base counts and the tokenisers' measures of every whole text, its language and length class."""
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
-    rows = tb.map_text(docs, lambda c: measure_block(c, path), SCHEMA, carried={"lang": lang})
+    schema = ", ".join([SCHEMA, *[f"{m} double" for i in range(len(paths)) for m in measures(i)]])
+    rows = tb.map_text(docs, lambda c: measure_block(c, paths), schema, carried={"lang": lang})
     return rows.withColumn("length", F.floor(F.log2(F.greatest("n_words", F.lit(1)))))
 
 
-def bands(measured: DataFrame) -> DataFrame:
+def bands(measured: DataFrame, size: int) -> DataFrame:
     """Rejection bands by script, by script and language, and by these and length (level 3, 1, 0),
-    from quartiles over all documents that pass the base.
+    from quartiles over all documents that pass the base, for each of `size` vocabularies.
 
     The measures are rounded, so an exact percentile keeps a bounded number of values.
     """
     good = measured.where(~failed())
-    cut = lambda c, q: F.percentile(c, F.lit(q))
-    span = lambda c: F.greatest(cut(c, 0.75) - cut(c, 0.25), F.lit(LEAST_RANGE[c]))
-    low, high = (lambda c: cut(c, 0.25) - REACH * span(c)), (lambda c: cut(c, 0.75) + REACH * span(c))
-    made = good.rollup(*GROUP).agg(
-        F.grouping_id().alias("level"), F.count("*").alias("n"),
-        low("chars_per_token").alias("least_chars"), high("chars_per_token").alias("most_chars"),
-        high("fallback").alias("most_fallback"), low("entropy").alias("least_entropy"), high("entropy").alias("most_entropy"),
-    )
+    edges = []
+    for i in range(size):
+        for name, kind in zip(measures(i), MEASURES, strict=True):
+            low, high = F.percentile(name, F.lit(0.25)), F.percentile(name, F.lit(0.75))
+            reach = REACH * F.greatest(high - low, F.lit(LEAST_RANGE[kind]))
+            edges += [(low - reach).alias(f"least_{name}"), (high + reach).alias(f"most_{name}")]
+    made = good.rollup(*GROUP).agg(F.grouping_id().alias("level"), F.count("*").alias("n"), *edges)
     return made.where((F.col("level") == 3) | (F.col("level") < 3) & (F.col("n") >= LEAST_GROUP))
 
 
@@ -180,24 +207,25 @@ def failed():
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def judge(docs: DataFrame, path: str) -> DataFrame:
+def judge(docs: DataFrame, paths: Sequence[str]) -> DataFrame:
     """doc_id, the base counts, base_failed and kept for every document, with the measures."""
-    measured = tb.written(measure(docs, path), "fertility")
-    found = tb.written(bands(measured), "bands")
-    edges = F.struct("least_chars", "most_chars", "most_fallback", "least_entropy", "most_entropy")
+    scratch = tb.Scratch(docs.sparkSession, "rules")
+    measured = scratch.written(measure(docs, paths), "fertility")
+    found = scratch.written(bands(measured, len(paths)), "bands")
+    names = [m for i in range(len(paths)) for m in measures(i)]
+    edges = F.struct(*[f"{side}_{m}" for m in names for side in ("least", "most")])
     judged = measured
     for level, size in ((3, 1), (1, 2), (0, 3)):
         # one row a script, or a group of LEAST_GROUP documents: scripts, languages and powers of two
         mine = found.where(F.col("level") == level).select(*GROUP[:size], edges.alias(f"band_{level}"))
         judged = judged.join(F.broadcast(mine), list(GROUP[:size]), "left")
     band = F.coalesce("band_0", "band_1", "band_3")
-    within = (
-        F.col("chars_per_token").between(band["least_chars"], band["most_chars"])
-        & (F.col("fallback") <= band["most_fallback"])
-        & F.col("entropy").between(band["least_entropy"], band["most_entropy"])
-    )
-    return judged.select(
+    within = F.lit(True)
+    for m in names:
+        # no text has too little fallback
+        within = within & (F.col(m) <= band[f"most_{m}"]) & (F.lit("fallback" in m) | (F.col(m) >= band[f"least_{m}"]))
+    result = judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed().alias("base_failed"), (~failed() & F.coalesce(within, F.lit(False))).alias("kept"),
-        "script", "chars_per_token", "fallback", "entropy",
+        failed().alias("base_failed"), (~failed() & F.coalesce(within, F.lit(False))).alias("kept"), "script", *names,
     )
+    return tb.finished(scratch, result, "rules")
