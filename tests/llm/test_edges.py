@@ -239,7 +239,7 @@ def test_signature_trees_prune_nothing_that_is_linked():
 
 
 def test_rules(docs, nothing):
-    path = queries._vocabulary("piece_bpe_32k.model")
+    path = [queries._vocabulary("piece_bpe_32k.model"), queries._vocabulary("byte_bpe_multi_50k.tiktoken")]
     got = by_id(rules.judge(docs, path))
     for i, t in TEXTS:
         t = t or ""
@@ -279,7 +279,7 @@ def test_rules_reject_junk_that_passes_the_base(spark):
         for text in made:
             names[-1 - len(rows)] = kind
             rows.append((-1 - len(rows), lang, text))
-    out = rules.judge(have.unionByName(spark.createDataFrame(rows, "doc_id long, lang string, text string")), queries._vocabulary("piece_bpe_32k.model"))
+    out = rules.judge(have.unionByName(spark.createDataFrame(rows, "doc_id long, lang string, text string")), [queries._vocabulary("piece_bpe_32k.model"), queries._vocabulary("byte_bpe_multi_50k.tiktoken")])
     got = out.where("not base_failed").select("doc_id", "kept").collect()
     lost = Counter(names[r.doc_id] for r in got if r.doc_id < 0 and not r.kept)
     assert all(lost[kind] >= least for kind, (_, _, least) in junk.items()), lost
@@ -323,17 +323,30 @@ def test_top_k(spark):
     rows += [(400, None, "x"), (500, [1.0, float("nan")] * 4, "x"), (600, [None] + [0.1] * 7, "x"), (700, [0.5], "x"), (800, [0.0] * 8, "x"), (None, [1.0] * 8, "x"), rows[7], rows[100]]
     rows += [(1000 + i, [0.25] * 8, "tie") for i in range(30)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
-    good = {(i, tuple(int(np.floor(1024 * x)) for x in v)) for i, v, _ in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
-    want = set()
-    for q, a in good:
+    good = [(i, tuple(int(np.floor(1024 * x)) for x in v)) for i, v, _ in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    want = Counter()
+    for q, a in set(good):
         if q % 100 == 0:
             best = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in good if i != q and len(a) == len(b))[:10]
-            want |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(best)}
+            want.update((q, r + 1, i, -s) for r, (s, i) in enumerate(best))
     got = topk.top_k(df, F.col("vec_id") % 100 == 0, rows_part=64, queries_part=2)
-    assert {tuple(r) for r in got.collect()} == want
+    assert Counter(tuple(r) for r in got.collect()) == want
     assert topk.top_k(df.where("false"), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_top_k_of_huge_and_wide_vectors(spark):
+    rows = [(0, [1e16, 0.0]), (1, [1e16, 1.0]), (2, [-1e16, 1.0]), (3, [1.0, 1.0]), (4, [1e300, 0.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()
+    edge = 2**63 - 1
+    assert [(r.vec_id, r.score) for r in got] == [(1, edge), (3, edge), (4, edge), (2, -edge - 1)]
+    rng = np.random.default_rng(8)
+    wide = rng.normal(0, 1, (300, 1500))
+    got = topk.top_k(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(wide)], "vec_id long, embedding array<double>"), F.col("vec_id") == 0)
+    whole = np.floor(1024 * wide).astype(np.int64)
+    score = whole @ whole[0]
+    assert [r.vec_id for r in got.orderBy("rank").collect()] == [int(i) for i in np.argsort(-score, kind="stable") if i][:10]
+
+
 def test_mixing(docs, labels, nothing):
     docs = docs.withColumn("source", docs["lang"])
     assert mixing.rates(docs, labels).count() == len(TEXTS)
