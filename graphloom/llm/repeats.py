@@ -9,15 +9,14 @@ for about a dozen windows, those that it *owns*; their words together are its *s
 1. Candidates: the corpus is read once; (anchor, span hash, how often) are summed by anchor.
    Anchors seen once are done.
 2. Spans: of the other anchors one copy of each different span is kept, as word hashes, with the
-   number of times that it occurs.
-3. Passages: windows are counted by (anchor, window hash) over all spans. Those seen twice are
-   confirmed, and each is cut from one span that holds it; confirmed windows in a row make a
-   passage. Where all spans of an anchor are equal, the span is the passage.
-4. Automata: passages and spans are dealt to shards by anchor. A shard compiles the windows of
-   its passages into an Aho-Corasick automaton over words and streams all its spans through it.
-   Only the automaton says where a removed range is, word by word; window hashes are not asked.
-   The spans of a hot anchor are spread over several shards, and a passage goes to those whose
-   spans hold one of its windows, so a shard's automaton is bounded by its own spans.
+   number of times that it occurs. They are dealt to shards by anchor; the spans of a hot anchor
+   are spread over several pieces of a shard.
+3. Passages: a span that occurs twice is one. The windows of the other spans are counted by
+   (anchor, window hash), and those seen twice are confirmed; confirmed windows in a row, cut from
+   one span of the piece that holds them, make a passage.
+4. Automata: each piece of a shard compiles the windows of its passages into an Aho-Corasick
+   automaton over words and streams all its spans through it. Only the automaton says where a
+   removed range is, word by word.
 5. The ranges meet one copy of each different text, and what is kept of it goes to all its rows.
 
 Documents are not streamed past the automata of all shards, which would grow with the square
@@ -37,13 +36,13 @@ import hashlib
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import textbuf as tb
 
 WIDTH, GRAM = 35, 8
-#: Spans of a shard, and spans of one anchor that stay together.
+#: Spans of a shard, and different spans of one anchor that stay together.
 SHARD_SPANS, HOT_SPANS = 2_000, 500
 
 RANGES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -121,15 +120,11 @@ def occurrences(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFr
 
 
 def _span_words(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """a, s, n, mixed and the word hashes of chosen spans (k1, k2, spans: array of a, s, n, mixed, at, size)."""
+    """a, s, n, mixed, piece, pieces and the word hashes of chosen spans (k1, k2, spans: array of these, at and size)."""
+    names = ["a", "s", "n", "mixed", "piece", "pieces"]
 
     def run(batches):
-        last = None
         for batch in batches:
-            # copies of a text follow each other; one of them is enough
-            keys = list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True))
-            batch = batch.filter(pa.array([k != (keys[i - 1] if i else last) for i, k in enumerate(keys)], pa.bool_()))
-            last = keys[-1] if keys else last
             column, lists = tb.texts(batch.column(0)), batch.column(1)
             for a, b in tb.blocks(column):
                 buf, offs = tb.flat(column.slice(a, b - a))
@@ -141,10 +136,12 @@ def _span_words(docs: DataFrame, chosen: DataFrame) -> DataFrame:
                 at = np.repeat(base, size) + spans.field("at").to_numpy()
                 end = at + spans.field("size").to_numpy()
                 cut = pa.array([words[x:y].tobytes() for x, y in zip(at.tolist(), end.tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(spans.field(c) for c in ("a", "s", "n", "mixed")), cut], names=["a", "s", "n", "mixed", "words"])
+                yield pa.RecordBatch.from_arrays([*(spans.field(c) for c in names), cut], names=[*names, "words"])
 
-    joined = tb.one_copy(docs).join(chosen, ["k1", "k2"]).select("text", "spans", "k1", "k2")
-    return joined.mapInArrow(run, "a long, s long, n long, mixed boolean, words binary")
+    # each text once: it is moved once for that and the join
+    texts = tb.one_copy(docs).dropDuplicates(["k1", "k2"])
+    joined = texts.join(chosen, ["k1", "k2"]).select("text", "spans")
+    return joined.mapInArrow(run, "a long, s long, n long, mixed boolean, piece int, pieces int, words binary")
 
 
 def _windows(words: np.ndarray, width: int) -> np.ndarray:
@@ -152,47 +149,48 @@ def _windows(words: np.ndarray, width: int) -> np.ndarray:
 
 
 def windows(spans: DataFrame, width: int = WIDTH) -> DataFrame:
-    """a, w, s, n: the windows of the spans that differ from others of their anchor."""
+    """a, w, piece, pieces, s, n: all windows of the spans."""
+    names = ["a", "piece", "pieces", "s", "n"]
 
     def run(batches):
         for batch in batches:
             for a, b in tb.blocks(batch.column("words").cast(pa.large_binary())):
                 part = batch.slice(a, b - a)
-                words = part.column("words")
-                size = np.array([len(x) // 8 for x in words.to_pylist()], np.int64)
-                flat = np.frombuffer(b"".join(words.to_pylist()), tb.U64)
-                first = np.cumsum(size) - size
+                words = part.column("words").to_pylist()
+                size = np.array([len(x) // 8 for x in words], np.int64)
+                flat = np.frombuffer(b"".join(words), tb.U64)
                 many = size - width + 1
-                place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
-                number = {c: np.repeat(part.column(c).to_numpy(), many) for c in ("a", "s", "n")}
-                arrays = [number["a"], tb.gram_hashes(flat, place, width).view(np.int64), number["s"], number["n"]]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["a", "w", "s", "n"])
-
-    return spans.where("mixed").select("a", "s", "n", "words").mapInArrow(run, "a long, w long, s long, n long")
-
-
-def passages(spans: DataFrame, counted: DataFrame, width: int = WIDTH) -> DataFrame:
-    """a, s, words: the confirmed passages, each cut from the span s that stands for its windows.
-
-    counted: a, w, s of the confirmed windows, s being one span that holds the window.
-    """
-
-    def run(batches):
-        for batch in batches:
-            a, s, words = [], [], []
-            for x, y, raw, mine in zip(batch.column("a").to_pylist(), batch.column("s").to_pylist(), batch.column("words").to_pylist(), batch.column("ws").to_pylist(), strict=True):
-                have = np.frombuffer(raw, np.uint64)
-                good = np.flatnonzero(np.isin(_windows(have, width), np.array(mine, np.int64)))
-                for run_ in np.split(good, np.flatnonzero(np.diff(good) > 1) + 1):
-                    a.append(x)
-                    s.append(y)
-                    words.append(have[run_[0] : run_[-1] + width].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(s, pa.int64()), pa.array(words, pa.binary())], names=["a", "s", "words"])
-
-    # a span has at most 2 * width windows, so the list is short
-    mine = counted.groupBy("a", "s").agg(F.collect_list("w").alias("ws"))
-    cut = spans.where("mixed").join(mine, ["a", "s"]).select("a", "s", "words", "ws").mapInArrow(run, "a long, s long, words binary")
-    return cut.unionByName(spans.where("NOT mixed").select("a", "s", "words"))
+                place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(np.cumsum(size) - size, many)
+                arrays = [*(pa.array(np.repeat(part.column(c).to_numpy(), many)) for c in names), pa.array(tb.gram_hashes(flat, place, width).view(np.int64))]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*names, "w"])
+
+    return spans.select(*names, "words").mapInArrow(run, "a long, piece int, pieces int, s long, n long, w long")
+
+
+def confirmed(spans: DataFrame, width: int = WIDTH) -> DataFrame:
+    """a, piece, s, w: the windows that occur twice or more, though no span of their piece does that
+    holds them, with one span s of the piece that holds them."""
+    # where all spans of an anchor are equal, nothing is to be counted
+    held = windows(spans.where("mixed"), width)
+    once = held.groupBy("a", "w", "piece", "pieces").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.min("s").alias("s"))
+    plain = once.where("pieces = 1 AND n >= 2")
+    # windows of hot anchors are summed over the pieces, of which each has one row a window
+    spread = windows(spans.where("mixed AND pieces > 1"), width).groupBy("a", "w", "piece").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.min("s").alias("s"))
+    spread = spread.withColumn("n", F.sum("n").over(Window.partitionBy("a", "w"))).where("n >= 2")
+    return plain.select("a", "piece", "s", "w", "most").unionByName(spread.select("a", "piece", "s", "w", "most")).where("most < 2").drop("most")
+
+
+def passages(spans: dict[tuple[int, int], np.ndarray], found: pa.Table, width: int = WIDTH) -> list[np.ndarray]:
+    """The runs of confirmed windows (a, s, w), cut from their spans (a, s)."""
+    mine: dict[tuple[int, int], list[int]] = {}
+    for a, s, w in zip(found.column("a").to_pylist(), found.column("s").to_pylist(), found.column("w").to_pylist(), strict=True):
+        mine.setdefault((a, s), []).append(w)
+    out = []
+    for key, ws in mine.items():
+        words = spans[key]
+        good = np.flatnonzero(np.isin(_windows(words, width), np.array(ws, np.int64)))
+        out += [words[run[0] : run[-1] + width] for run in np.split(good, np.flatnonzero(np.diff(good) > 1) + 1)]
+    return out
 
 
 def locate(spans: list[np.ndarray], found: list[np.ndarray], width: int = WIDTH) -> list[list[tuple[int, int]]]:
@@ -232,48 +230,40 @@ def locate(spans: list[np.ndarray], found: list[np.ndarray], width: int = WIDTH)
     return out
 
 
-def resolve(spans: DataFrame, scratch: tb.Scratch, width: int = WIDTH, shard_spans: int = SHARD_SPANS, hot_spans: int = HOT_SPANS) -> DataFrame:
+def resolve(spans: DataFrame, width: int = WIDTH, shard_spans: int = SHARD_SPANS) -> DataFrame:
     """a, s, ranges: the removed ranges of the spans, which the automata of the shards find."""
-    total = spans.count()
-    shards = max(8, -(-total // shard_spans))
+    shards = max(8, -(-spans.count() // shard_spans))
     shard = F.pmod(F.xxhash64("a"), F.lit(shards)).cast("int").alias("shard")
-    held = scratch.written(windows(spans, width), "windows")
-    counted = held.groupBy("a", "w").agg(F.sum("n").alias("n"), F.min("s").alias("s")).where("n >= 2").select("a", "w", "s")
-    counted = scratch.written(counted, "confirmed")
-    found = scratch.written(passages(spans, counted, width), "passages")
-    # hot anchors: fewer than one in hot_spans of all spans, but their number grows, so they are joined
-    hot = spans.where("mixed").groupBy("a").agg(F.count("*").alias("spans")).where(F.col("spans") > hot_spans)
-    hot = scratch.written(hot.select("a", F.ceil(F.col("spans") / hot_spans).cast("int").alias("pieces")), "hot")
-    piece = F.pmod("s", F.coalesce("pieces", F.lit(1))).cast("int")
-    left = tb.join_hot(spans, hot, ["a"], "left").select(shard, piece.alias("piece"), "a", "s", "words")
-    # a passage of a hot anchor goes to the pieces whose spans hold one of its windows
-    reach = tb.join_hot(held, hot, ["a"]).select("a", "w", piece.alias("piece")).distinct()
-    reach = reach.join(counted, ["a", "w"]).select("a", "s", "piece").distinct()
-    plain = found.join(hot, "a", "left_anti").select(shard, F.lit(0).alias("piece"), "words")
-    right = plain.unionByName(found.join(reach, ["a", "s"]).select(shard, "piece", "words"))
-
-    def compiled(mine: pa.Table, confirmed: pa.Table) -> pa.Table:
-        listed = lambda t: [np.frombuffer(x, np.uint64) for x in t.column("words").to_pylist()]
-        got = locate(listed(mine), listed(confirmed), width)
+    left = spans.select(shard, "piece", "a", "s", "n", "words")
+    right = confirmed(spans, width).select(shard, "piece", "a", "s", "w")
+
+    def compiled(mine: pa.Table, found: pa.Table) -> pa.Table:
+        a, s, n = (mine.column(c).to_pylist() for c in ("a", "s", "n"))
+        words = [np.frombuffer(x, np.uint64) for x in mine.column("words").to_pylist()]
+        again = [w for w, times in zip(words, n, strict=True) if times > 1]
+        got = locate(words, again + passages(dict(zip(zip(a, s, strict=True), words, strict=True)), found, width), width)
         ranges = pa.array([[{"start": x, "end": y} for x, y in r] for r in got], RANGES)
         return pa.table({"a": mine.column("a"), "s": mine.column("s"), "ranges": ranges})
 
     schema = "a long, s long, ranges array<struct<start:bigint,end:bigint>>"
-    # shards of hot anchors are dealt by the piece too
     return left.groupBy("shard", "piece").cogroup(right.groupBy("shard", "piece")).applyInArrow(compiled, schema).where(F.size("ranges") > 0)
 
 
-def removed_ranges(docs: DataFrame, scratch: tb.Scratch, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+def removed_ranges(docs: DataFrame, scratch: tb.Scratch, width: int = WIDTH, gram: int = GRAM, hot_spans: int | None = None) -> DataFrame:
     """k1, k2, ranges: for each different text, the ranges of words to remove (they may overlap)."""
+    hot_spans = hot_spans or HOT_SPANS
     known = scratch.written(candidates(docs, width, gram), "anchors")
     placed = scratch.written(occurrences(docs, width, gram).join(known, "a"), "places")
     # one copy of each different span, and how often it occurs
     copies = placed.groupBy("a", "s", "mixed").agg(F.min(F.struct("k1", "k2", "at", "size")).alias("one"), F.sum("n").alias("n"))
-    spans_of = F.collect_list(F.struct("a", "s", "n", "mixed", "at", "size")).alias("spans")
-    chosen = copies.select("a", "s", "n", "mixed", "one.*").groupBy("k1", "k2").agg(spans_of)
-    # a text may stand several times (once a partition of docs): its spans are told once
-    spans = scratch.written(_span_words(docs.select("text"), chosen).dropDuplicates(["a", "s"]), "spans")
-    found = scratch.written(resolve(spans, scratch, width), "ranges")
+    copies = scratch.written(copies.select("a", "s", "mixed", "n", "one.*"), "copies")
+    hot = copies.groupBy("a").agg(F.ceil(F.count("*") / hot_spans).cast("int").alias("pieces")).where("pieces > 1")
+    dealt = tb.join_hot(copies, hot, ["a"], "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+    piece = F.pmod(F.xxhash64("s"), F.col("pieces")).cast("int").alias("piece")
+    spans_of = F.collect_list(F.struct("a", "s", "n", "mixed", piece, "pieces", "at", "size")).alias("spans")
+    chosen = dealt.groupBy("k1", "k2").agg(spans_of)
+    spans = scratch.written(_span_words(docs.select("text"), chosen), "spans")
+    found = scratch.written(resolve(spans, width), "ranges")
     parts = tb.join_hot(placed.select("k1", "k2", "at", "a", "s"), found, ["a", "s"]).select("k1", "k2", "at", F.explode("ranges").alias("r"))
     parts = parts.select("k1", "k2", (F.col("at") + F.col("r.start")).alias("start"), (F.col("at") + F.col("r.end")).alias("end"))
     return parts.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
