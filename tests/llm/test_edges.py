@@ -138,7 +138,7 @@ def test_repeats(docs, nothing):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_repeats_random(spark, seed):
+def test_repeats_random(spark, seed, monkeypatch):
     rng = np.random.default_rng(seed)
     base = [f"b{i}" for i in range(400)]
     rows = []
@@ -148,12 +148,33 @@ def test_repeats_random(spark, seed):
         if len(w) > 40 and rng.random() < 0.5:
             w[int(rng.integers(0, len(w)))] = f"edit{i}"
         rows.append((i, " ".join(w)))
+    monkeypatch.setattr(repeats, "HOT_SPANS", [3, 3, 500][seed])
     df = spark.createDataFrame(rows, "doc_id long, text string")
     seen = Counter(tuple(t.split()[i : i + 35]) for _, t in rows for i in range(len(t.split()) - 34))
     want = {i: len({j for k in range(len(t.split()) - 34) if seen[tuple(t.split()[k : k + 35])] > 1 for j in range(k, k + 35)}) for i, t in rows}
     assert {r.doc_id: r.n_removed for r in repeats.digests(df).collect()} == want
 
 
+def mirrored(n):
+    """Two words of the Thue-Morse sequence, which a polynomial hash modulo a power of 2 cannot tell apart."""
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s, s.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_mirrored_words_are_different_words(spark, n):
+    a, b = mirrored(n)
+    head, tail = " ".join(f"h{i}" for i in range(20)), " ".join(f"t{i}" for i in range(20))
+    rows = [(1, f"{head} {a} {tail}"), (2, f"{head} {b} {tail}"), (3, f"{a} one two three four"), (4, f"{b} one two three four"), (5, f"{a} x\n{b} x\n{a} x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in repeats.digests(docs).collect()} == dict.fromkeys(range(1, 6), 0)
+    assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()} == {r[0]: r[2] for r in components(rows)}
+    got = by_id(rules.judge(docs, [queries._vocabulary("piece_bpe_32k.model")]))
+    assert got[5][0].n_dup_lines == 1 and got[5][0].n_repeat_words == 0
+
+
 def shingles(t, n=5):
     t = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
     w = words(t)
@@ -388,12 +409,51 @@ def test_mixing_counts_words_and_holds_whole_words(spark):
     texts += ["tained", "stained glass", "tained!", "Tained", "x_tained1", "étained", "tainedé tained", "tained\u0301"]
     df = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
     text = F.coalesce("text", F.lit(""))
-    low = F.lower(text)
-    got = df.select("i", mixing.tokens(text).alias("n"), mixing.words(text).alias("w"), mixing.holds(low, "tained").alias("h"), mixing.holds(low, "words").alias("v")).collect()
-    for r in got:
-        assert r.n == len(words(texts[r.i])), texts[r.i]
+    model = mixing.Classifier(["clean", "low"], [-0.5, -1.0], [[[0.0] * mixing.BINS] * mixing.N_STATISTICS] * 2, ["tained", "words"], [[(-0.1, -1.0), (-0.2, -3.0)], [(-0.3, -0.5), (-0.1, -2.0)]])
+    got = mixing.memberships(df, model, F.col("i"), mixing.words(mixing.letter_runs(text)).alias("w"))
+    for r in got.collect():
+        assert r.n_tokens == len(words(texts[r.i])), texts[r.i]
         runs = re.findall(r"[^\W\d_]+", (texts[r.i] or "").lower())
-        assert (r.h, r.v) == ("tained" in runs, "words" in runs) == ("tained" in r.w, "words" in r.w), texts[r.i]
+        assert set(r.w) == {w for w in runs if len(w) >= 4}
+        logs = [model.prior[k] + sum(model.held[k][j][w in runs] for j, w in enumerate(model.words)) for k in (0, 1)]
+        assert abs(r.p[0] - 1 / (1 + np.exp(logs[1] - logs[0]))) < 1e-9, texts[r.i]
+
+
+def test_mixing_classifier_against_plain_python(spark):
+    """Bins, tables, mined words and posteriors, counted by hand."""
+    rng = np.random.default_rng(9)
+    calm, rude = [f"calm{chr(97 + i)}" for i in range(20)], [f"rude{chr(97 + i)}" for i in range(5)]
+    kinds = rng.choice(["clean", "low", "toxic"], 400).tolist()
+    rows = []
+    for i, kind in enumerate(kinds):
+        w = list(rng.choice(calm, int(rng.integers(1, 60)))) + (list(rng.choice(rude, 3)) if kind == "toxic" else [])
+        rows.append((i, (" %% " if kind == "low" else " ").join(w) + "." * int(rng.integers(0, 3))))
+    labels = spark.createDataFrame([(i, int(k != "low"), int(k == "toxic")) for i, k in enumerate(kinds)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = mixing.train(docs, mixing.domains(labels))
+
+    def of(t):
+        runs, n = re.split(r"[^a-z]+", t.lower()), max(1, len(t.split()))
+        patterns = ("[0-9]+", "[A-Z]+", r"[#*$%&|<>@^~_=+/\\{}\[\]]+", r"([!-/:-@\[-`{-~])\1+", r"[.!?]+(?=\s|$)", "[,;:]+", "\n+")
+        x = [(len([*re.finditer(p, t)]) / n, 2.0, 1.0) for p in patterns] + [(len(t) / n, 1.25, 12.0), (len(t.split()), 3.0, 2000.0), (len(set(runs)) / len(runs), 1.3, 0.95)]
+        return [0 if v <= 0 else max(1, min(7, int(np.floor(7 + np.log(v / last) / np.log(step))))) for v, step, last in x], {r for r in runs if len(r) >= 4}
+
+    seen = [of(t) for _, t in rows]
+    count, total = Counter(kinds), len(kinds)
+    held = {w: Counter(k for k, (_, ws) in zip(kinds, seen, strict=True) if w in ws) for w in set().union(*(ws for _, ws in seen))}
+    gain = {w: max(0.0, *(c[k] * np.log(c[k] * total / (c.total() * count[k])) for k in ("low", "toxic") if c[k])) if c["low"] + c["toxic"] else 0.0 for w, c in held.items()}
+    assert set(model.words) == {w for w, g in gain.items() if g >= mixing.LEAST_GAIN} >= set(rude)
+    logs = np.zeros((total, 3))
+    for j, k in enumerate(("clean", "low", "toxic")):
+        for i, (b, ws) in enumerate(seen):
+            logs[i, j] = np.log(count[k] / total) + sum(np.log((sum(x[f] == v and y == k for (x, _), y in zip(seen, kinds, strict=True)) + 0.2) / (count[k] + 1.6)) for f, v in enumerate(b)) if i < 40 else 0
+            for w in model.words:
+                share = (held[w][k] + 0.2) / (count[k] + 0.4)
+                logs[i, j] += np.log(share) if w in ws else np.log(max(1 - share, 1e-3))
+    post = np.exp(logs - logs.max(axis=1, keepdims=True))
+    post /= post.sum(axis=1, keepdims=True)
+    got = {r.doc_id: r.p for r in mixing.memberships(docs, model, F.col("doc_id")).collect()}
+    assert all(np.allclose(got[i], post[i]) for i in range(40))
 
 
 def test_copies_are_exact_in_expectation(spark):
@@ -408,12 +468,22 @@ def test_mixing_gradient_against_numpy(spark):
     n, p = rng.integers(1, 500, 300), rng.dirichlet([0.3, 0.3, 0.3], 300)
     target = [20_000.0, 5_000.0, 1_000.0]
     df = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p, strict=True)], "n_tokens long, p array<double>")
-    steps = mixing.fit(df, target, rounds=12)
+    rated, beyond = mixing.fit(df, target)
     r, base = np.ones(300), (n[:, None] * p).sum(axis=0)
-    for _ in range(len(steps)):
-        r = np.maximum(0, r - p @ ((((r * n)[:, None] * p).sum(axis=0) - target) / base))
-    got = np.array([x[0] for x in df.select(mixing.rate(steps)).collect()])
-    assert np.allclose(got, r)
+    weights = np.linalg.inv(p.T @ (n[:, None] * p))
+    for _ in range(1000):
+        left = ((r * n)[:, None] * p).sum(axis=0) - target
+        if np.abs(left).max() <= 1e-7 * base.sum():
+            break
+        r = np.maximum(0, r - p @ (weights @ left))
+    got = np.array([x.rate for x in rated.select("rate").collect()])
+    assert np.allclose(got, r) and max(map(abs, beyond)) <= 1e-7 * base.sum()
+
+
+def test_mixing_says_what_targets_cannot_be_met(spark):
+    df = spark.createDataFrame([(100, [0.5, 0.5]), (50, [0.5, 0.5])], "n_tokens long, p array<double>")
+    rated, beyond = mixing.fit(df, [100.0, 20.0])
+    assert [round(x, 3) for x in beyond] == [-40.0, 40.0] and all(abs(r.rate - 0.8) < 1e-6 for r in rated.collect())
 
 
 def test_pipeline(spark):
