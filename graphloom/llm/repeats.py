@@ -193,9 +193,12 @@ def passages(spans: dict[tuple[int, int], np.ndarray], found: pa.Table, width: i
     return out
 
 
-def locate(spans: list[np.ndarray], found: list[np.ndarray], width: int = WIDTH) -> list[list[tuple[int, int]]]:
+def locate(spans: list[np.ndarray], found: list[np.ndarray], whole: int = 0, width: int = WIDTH) -> list[list[tuple[int, int]]]:
     """For each span, the ranges of words that windows of the passages cover, by an automaton.
 
+    The first `whole` passages belong to anchors that have no other span: they occur as a whole or
+    not at all, so each is one phrase of the automaton in place of its windows.
+
     Words of passages become symbols (code points beyond the surrogates), others the symbol 0,
     which no passage holds, so positions in a streamed span are words.
     """
@@ -213,17 +216,20 @@ def locate(spans: list[np.ndarray], found: list[np.ndarray], width: int = WIDTH)
         return [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     automaton = ahocorasick.Automaton()
-    for text in streams(found):
-        for i in range(len(text) - width + 1):
-            automaton.add_word(text[i : i + width], 1)
+    for k, text in enumerate(streams(found)):
+        if k < whole:
+            automaton.add_word(text, len(text))
+        else:
+            for i in range(len(text) - width + 1):
+                automaton.add_word(text[i : i + width], width)
     automaton.make_automaton()
     out = []
     for text in streams(spans):
         ranges: list[tuple[int, int]] = []
-        for end, _ in automaton.iter(text):
-            start = end + 1 - width
+        for end, size in automaton.iter(text):
+            start = end + 1 - size
             if ranges and start <= ranges[-1][1]:
-                ranges[-1] = (ranges[-1][0], end + 1)
+                ranges[-1] = (min(start, ranges[-1][0]), end + 1)
             else:
                 ranges.append((start, end + 1))
         out.append(ranges)
@@ -234,14 +240,17 @@ def resolve(spans: DataFrame, width: int = WIDTH, shard_spans: int = SHARD_SPANS
     """a, s, ranges: the removed ranges of the spans, which the automata of the shards find."""
     shards = max(8, -(-spans.count() // shard_spans))
     shard = F.pmod(F.xxhash64("a"), F.lit(shards)).cast("int").alias("shard")
-    left = spans.select(shard, "piece", "a", "s", "n", "words")
+    left = spans.select(shard, "piece", "a", "s", "n", "mixed", "words")
     right = confirmed(spans, width).select(shard, "piece", "a", "s", "w")
 
     def compiled(mine: pa.Table, found: pa.Table) -> pa.Table:
         a, s, n = (mine.column(c).to_pylist() for c in ("a", "s", "n"))
         words = [np.frombuffer(x, np.uint64) for x in mine.column("words").to_pylist()]
-        again = [w for w, times in zip(words, n, strict=True) if times > 1]
-        got = locate(words, again + passages(dict(zip(zip(a, s, strict=True), words, strict=True)), found, width), width)
+        mixed = mine.column("mixed").to_pylist()
+        alone = [w for w, m in zip(words, mixed, strict=True) if not m]
+        again = [w for w, times, m in zip(words, n, mixed, strict=True) if m and times > 1]
+        cut = passages(dict(zip(zip(a, s, strict=True), words, strict=True)), found, width)
+        got = locate(words, alone + again + cut, len(alone), width)
         ranges = pa.array([[{"start": x, "end": y} for x, y in r] for r in got], RANGES)
         return pa.table({"a": mine.column("a"), "s": mine.column("s"), "ranges": ranges})
 
