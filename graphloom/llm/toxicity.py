@@ -1,14 +1,16 @@
 """Operator 9: toxicity by weak supervision.
 
 1. Lexicon: words and word prefixes that mark toxic rows are mined from a bounded sample of
-   labelled rows of the learning folds (Spark counts them, `max_train_rows`, `max_terms`), and
-   join a short seed list. Every term is a lexicon voter; shares of capitals and exclamation
-   marks are pattern voters.
+   labelled rows of the learning folds (`max_train_rows`; Spark counts them, and all that pass the
+   significance test stay), and join a short seed list. Every term is a lexicon voter; shares of
+   capitals and exclamation marks are pattern voters.
 2. One pass over every whole text notes which terms it holds; the short rows are written.
-3. A generative label model (two classes, voters firing at class-dependent rates) is fitted by
-   expectation-maximisation on the counts of vote patterns of all documents, as Spark sums,
-   anchored by the same counts over the labelled sample; the voters' correlations within the
-   toxic class discount votes that repeat each other.
+3. A generative label model of two classes is fitted by expectation-maximisation on the counts of
+   vote patterns of all documents, as Spark sums, anchored by the same counts over the labelled
+   sample. Its parameters are the voters' rates in each class (their accuracies), and their
+   correlations: a voter may depend on one other voter that fires more often, and then has one
+   rate beside it and one without it. Which voter that is follows from the pairs that fire
+   together beyond chance in the toxic class, after a first round without dependences.
 4. A logistic regression on the terms is trained on the posterior labels of the sample and
    scores all documents.
 
@@ -24,14 +26,18 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import textbuf as tb
 from graphloom.llm.quality import fold, train_ids
 
-#: Bounds of the labelled rows that are mined, and of the mined terms.
-MAX_TRAIN_ROWS, MAX_TERMS = 20_000, 300
+#: Bound of the labelled rows that are mined.
+MAX_TRAIN_ROWS = 20_000
+#: Correlation in the toxic class from which a voter depends on another, and how often two such must fire there.
+LEAST_CORRELATION, LEAST_FIRES = 0.5, 5.0
+#: Rows that a voter's rate beside another counts for before any are seen (its rate is then the same in both classes).
+PRIOR_ROWS = 5.0
 #: Bytes of the prefixes that are looked at beside whole words.
 PREFIXES = (4, 5, 6)
 #: Bytes of the shortest terms.
@@ -55,7 +61,7 @@ def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return low, starts, ends, np.repeat(np.arange(len(column)), tb.per_text(starts, offs))
 
 
-def mine(docs: DataFrame, ids: DataFrame, max_terms: int = MAX_TERMS) -> list[tuple[bytes, bool]]:
+def mine(docs: DataFrame, ids: DataFrame) -> list[tuple[bytes, bool]]:
     """(term, is it a prefix) of the strongest terms among the labelled rows."""
     mine_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # at most max_train_rows ids
@@ -93,10 +99,11 @@ def mine(docs: DataFrame, ids: DataFrame, max_terms: int = MAX_TERMS) -> list[tu
     g2 = 2 * (F.col("a") * F.log(F.col("a") / n / share) + F.when(F.col("b") > 0, F.col("b") * F.log(F.col("b") / n / (1 - share))).otherwise(0.0))
     strong = terms.where((F.col("a") >= 3) & (F.col("b") <= 0.05 * F.col("a"))).withColumn("g2", g2).where(F.col("g2") >= 2 * math.log(TERMS_A_ROW * rows))
     found: dict[tuple[bytes, bool], None] = {}
-    for r in strong.orderBy(F.desc("g2"), F.desc("prefix"), F.octet_length("term"), "term").limit(8 * max_terms).collect():
+    # forms of the sample's words, so bounded as it is
+    for r in strong.orderBy(F.desc("g2"), F.desc("prefix"), F.octet_length("term"), "term").collect():
         term = bytes(r.term)
         # a term adds nothing to a prefix of its own that is already there
-        if len(found) < max_terms and not any((term[:n], True) in found for n in range(SHORTEST, len(term) + 1)):
+        if not any((term[:n], True) in found for n in range(SHORTEST, len(term) + 1)):
             found[term, r.prefix] = None
     return list(found)
 
@@ -134,48 +141,104 @@ def held_terms(docs: DataFrame, terms: list[tuple[bytes, bool]]) -> DataFrame:
     return tb.map_text(docs, fn, "terms array<int>")
 
 
-def _fires(rows: DataFrame, weights: list[str], size: int) -> np.ndarray:
-    """For each voter, and for all rows in the last place, the sums of the weight columns."""
-    one = rows.select(F.explode(F.concat(F.array(F.lit(size)), "terms")).alias("v"), *weights)
-    out = np.zeros((size + 1, len(weights)))
-    for r in one.groupBy("v").agg(*[F.sum(w).alias(w) for w in weights]).collect():
-        out[r.v] = [r[w] for w in weights]
-    return out
-
-
-def label_model(held: DataFrame, ids: DataFrame, size: int, rounds: int = 6) -> tuple[float, np.ndarray]:
-    """(bias, log-odds weight of each voter), correlations discounted; voters abstain where they do not fire.
-
-    Fitted on the counts of all documents' vote patterns; what returns to the driver is one sum
-    for each voter, or each pair of voters that fire together.
+class LabelModel:
+    """Log-odds: a bias, a weight of each voter where it fires alone, and one where the voter that it
+    depends on (parent, or -1) fires too."""
+
+    def __init__(self, size: int):
+        self.bias, self.parent = 0.0, np.full(size, -1)
+        self.alone, self.beside = np.zeros(size), np.zeros(size)
+
+    def log_odds(self, terms: list[int]) -> float:
+        held = set(terms)
+        return self.bias + float(sum(self.beside[t] if self.parent[t] in held else self.alone[t] for t in terms))
+
+    def column(self) -> Column:
+        """The log-odds of the column terms."""
+        alone, beside, parent = (_lits(x) for x in (self.alone, self.beside, self.parent))
+        weight = lambda v: F.when(F.array_contains("terms", F.element_at(parent, v + 1)), F.element_at(beside, v + 1)).otherwise(F.element_at(alone, v + 1))
+        return F.aggregate("terms", F.lit(self.bias), lambda acc, v: acc + weight(v))
+
+
+def _lits(values: np.ndarray) -> Column:
+    return F.array(*[F.lit(x) for x in values.tolist()])
+
+
+def _fires(rows: DataFrame, weights: list[str], parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the weight columns where each voter fires (for all rows in the last place), and where its parent fires too."""
+    size = len(parent)
+    one = rows.select(F.explode(F.concat(F.array(F.lit(size)), "terms")).alias("v"), "terms", *weights)
+    both = F.array_contains("terms", F.element_at(_lits(np.append(parent, -1)), F.col("v") + 1))
+    fire, joint = np.zeros((size + 1, len(weights))), np.zeros((size + 1, len(weights)))
+    for r in one.groupBy("v", both.alias("both")).agg(*[F.sum(w).alias(w) for w in weights]).collect():
+        fire[r.v] += [r[w] for w in weights]
+        if r.both:
+            joint[r.v] = [r[w] for w in weights]
+    return fire, joint
+
+
+def dependences(post: DataFrame, fire: np.ndarray) -> np.ndarray:
+    """For each voter the one that it depends on, or -1: of those that fire more often in the toxic
+    class the one that it correlates with most there. One row a voter returns to the driver."""
+    size = len(fire) - 1
+    count = fire[:size, 0]
+    mass = max(float(fire[size, 0]), 1e-9)
+    n, total = _lits(count), F.lit(mass)
+    two = post.select(F.explode("terms").alias("v"), "terms", "p").select("v", F.explode("terms").alias("u"), "p").where("u <> v")
+    two = two.groupBy("v", "u").agg(F.sum("p").alias("p"))
+    a, b = F.element_at(n, F.col("v") + 1), F.element_at(n, F.col("u") + 1)
+    # the voter that fires less often depends on the other, so that dependences never close a circle
+    two = two.where((F.least(a, b) > LEAST_FIRES) & ((a < b) | ((a == b) & (F.col("v") > F.col("u")))))
+    x, y = a / total, b / total
+    over = (F.col("p") / total - x * y) / F.sqrt(F.greatest(x * (1 - x) * y * (1 - y), F.lit(1e-12)))
+    best = two.withColumn("over", over).where(F.col("over") >= LEAST_CORRELATION).groupBy("v").agg(F.max_by("u", F.struct("over", "u")).alias("u"))
+    parent = np.full(size, -1)
+    for r in best.collect():
+        parent[r.v] = r.u
+    return parent
+
+
+def estimated(fire: np.ndarray, joint: np.ndarray, parent: np.ndarray) -> LabelModel:
+    """The model of the weighted counts (toxic, clean) where voters fire, and where their parents fire too."""
+    size = len(parent)
+    model = LabelModel(size)
+    model.parent = parent
+    toxic, clean = fire[size]
+    model.bias = math.log((toxic + 0.5) / (clean + 0.5))
+    of = np.where(parent >= 0, parent, size)
+    # rows where the parent fires, and where it does not; without a parent all rows are of the second kind
+    there = np.where((parent >= 0)[:, None], fire[of], 0.0)
+    without, away = fire[:size] - joint[:size], fire[size] - there
+    a, b = (without[:, 0] + 0.05) / (away[:, 0] + 1), (without[:, 1] + 0.01) / (away[:, 1] + 1)
+    model.alone = np.clip(np.log(a / b), -6, 9)
+    a = (joint[:size, 0] + 0.5) / (there[:, 0] + 1)
+    b = (joint[:size, 1] + PRIOR_ROWS * a) / (there[:, 1] + PRIOR_ROWS)
+    model.beside = np.clip(np.log(a / b), -6, 9)
+    return model
+
+
+def label_model(held: DataFrame, ids: DataFrame, size: int, rounds: int = 6) -> LabelModel:
+    """The label model; voters abstain where they do not fire.
+
+    Fitted on the counts of all documents' vote patterns; what returns to the driver is two sums
+    for each voter.
     """
     patterns = tb.written(held.groupBy("terms").agg(F.count("*").alias("n")), "patterns")
-    labelled = held.join(F.broadcast(ids), "doc_id")
-    anchor = _fires(labelled.select("terms", F.col("label").cast("double").alias("p"), (1.0 - F.col("label")).alias("q")), ["p", "q"], size)
+    labelled = held.join(F.broadcast(ids), "doc_id").select("terms", F.col("label").cast("double").alias("p"), (1.0 - F.col("label")).alias("q"))
+    labelled = tb.written(labelled, "labelled")
     mass = float(patterns.agg(F.sum("n")).first()[0] or 0)
-    anchor *= mass / max(anchor[size].sum(), 1)
-    seen, fire, weight, bias = anchor, anchor, np.zeros(size), 0.0
-    for k in range(rounds + 1):
-        if k:
-            w = F.array(*[F.lit(float(x)) for x in weight])
-            raw = F.aggregate("terms", F.lit(float(bias)), lambda acc, v: acc + F.element_at(w, v + 1))  # noqa: B023
-            post = patterns.withColumn("p", F.col("n") / (1 + F.exp(-raw))).withColumn("q", F.col("n") - F.col("p"))
-            fire = _fires(post, ["p", "q"], size)
-            seen = anchor + fire
-        toxic, clean = seen[size]
-        a, b = (seen[:size, 0] + 0.05) / (toxic + 1), (seen[:size, 1] + 0.01) / (clean + 1)
-        weight = np.clip(np.log(a / b), -6, 9)
-        bias = math.log((toxic + 0.5) / (clean + 0.5))
-    two = post.select(F.explode("terms").alias("v"), "terms", "p").select("v", F.explode("terms").alias("u"), "p").where("u != v")
-    extra = np.zeros(size)
-    toxic, rate = max(fire[size, 0], 1e-9), fire[:size, 0] / max(fire[size, 0], 1e-9)
-    for r in two.groupBy("v", "u").agg(F.sum("p").alias("p")).collect():
-        # conditional dependence: how much more often than by chance two voters fire together
-        # the voter that fires less often gives way, so that the others of a group keep one full vote
-        if min(fire[r.v, 0], fire[r.u, 0]) > 5 and (fire[r.v, 0], -r.v) < (fire[r.u, 0], -r.u):
-            spread = math.sqrt(max(rate[r.v] * (1 - rate[r.v]) * rate[r.u] * (1 - rate[r.u]), 1e-12))
-            extra[r.v] += max(0.0, (r.p / toxic - rate[r.v] * rate[r.u]) / spread - 0.5)
-    return bias, weight / (1 + extra)
+    parent = np.full(size, -1)
+    anchor, joint = _fires(labelled, ["p", "q"], parent)
+    weight = mass / max(anchor[size].sum(), 1)
+    model = estimated(weight * anchor, weight * joint, parent)
+    for k in range(rounds):
+        post = patterns.withColumn("p", F.col("n") / (1 + F.exp(-model.column()))).withColumn("q", F.col("n") - F.col("p"))
+        if not k:
+            parent = dependences(post, _fires(post, ["p", "q"], parent)[0])
+            anchor, joint = _fires(labelled, ["p", "q"], parent)
+        fire, both = _fires(post, ["p", "q"], parent)
+        model = estimated(weight * anchor + fire, weight * joint + both, parent)
+    return model
 
 
 def train_linear(rows: list, bias: float, weight: np.ndarray, steps: int = 300, penalty: float = 1e-6) -> tuple[float, np.ndarray]:
@@ -208,16 +271,16 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, accept: float = 0.7, max
     size = len(terms) + len(PATTERNS) + 1
     nothing = F.when(F.size("terms") == 0, F.array(F.lit(size - 1))).otherwise(F.col("terms"))
     held = tb.written(held_terms(docs, terms).withColumn("terms", nothing), "toxic_terms")
-    bias, weight = label_model(held, ids, size)
+    model = label_model(held, ids, size)
     # the sample: at most max_train_rows rows of a few numbers
     sample = held.join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    raw = [max(-30.0, min(30.0, bias + sum(weight[t] for t in r.terms))) for r in sample]
+    raw = [max(-30.0, min(30.0, model.log_odds(r.terms))) for r in sample]
     rows = [_Row(r.terms, 1 / (1 + math.exp(-x))) for r, x in zip(sample, raw, strict=True)]
-    b, w = train_linear(rows, bias, weight)
+    b, w = train_linear(rows, model.bias, model.alone)
     seen = np.bincount([t for r in rows for t in r.terms], minlength=size)
     # voters that the sample lacks take their weight from the label model
-    w = np.where(seen > 0, w, weight)
-    by_term = F.array(*[F.lit(float(x)) for x in w])
+    w = np.where(seen > 0, w, model.alone)
+    by_term = _lits(w)
     linear = F.aggregate("terms", F.lit(float(b)), lambda acc, t: acc + F.element_at(by_term, t + 1))
     return held.select(
         "doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), (1 / (1 + F.exp(-linear))).alias("score"),
