@@ -14,8 +14,7 @@ def admitted(claims: DataFrame, lanes: DataFrame) -> DataFrame:
     lanes: lane, pattern (of producers), truths (array), runtime. A lane without a row is not
     canonical. Runtime lanes never say MUST.
     """
-    # lanes are a short registry
-    j = claims.join(F.broadcast(lanes), "lane", "left")
+    j = claims.join(lanes, "lane", "left")
     reason = (
         F.when(F.col("pattern").isNull(), "LANE_NOT_CANONICAL")
         .when(~F.regexp_like("producer", F.col("pattern")), "PRODUCER_NOT_ALLOWED")

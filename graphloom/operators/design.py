@@ -49,8 +49,7 @@ def best_candidate(refs: DataFrame, known: DataFrame, key: str, candidates: str)
 
 def bridged(bridges: DataFrame, required: DataFrame, key: str, basis: str, given: str) -> DataFrame:
     """key, valid: does a bridge hold all provenance keys that its basis needs (required: basis, needs)?"""
-    # the requirement table is a short vocabulary
-    j = bridges.join(F.broadcast(required), basis, "left")
+    j = bridges.join(required, basis, "left")
     return j.select(key, (F.col("needs").isNotNull() & (F.size(F.array_except("needs", given)) == 0)).alias("valid"))
 
 
@@ -115,7 +114,7 @@ def type_mismatches(edges: DataFrame, ports: DataFrame, compatible: DataFrame) -
     out = ports.where("direction = 'out'").select(F.col("block").alias("src"), "token", F.col("type").alias("a"))
     in_ = ports.where("direction = 'in'").select(F.col("block").alias("dst"), "token", F.col("type").alias("b"))
     j = edges.join(out, ["src", "token"]).join(in_, ["dst", "token"]).where("a <> 'UNKNOWN' AND b <> 'UNKNOWN' AND a <> b")
-    return j.join(F.broadcast(compatible), ["a", "b"], "left_anti").select("src", "dst", "token")
+    return j.join(compatible, ["a", "b"], "left_anti").select("src", "dst", "token")
 
 
 def claim_support(claims: DataFrame, edges: DataFrame, keys: Sequence[str], capability: Column) -> DataFrame:

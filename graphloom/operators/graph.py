@@ -53,26 +53,59 @@ def shortest_paths(edges: DataFrame, source: str, depth: int) -> DataFrame:
     return seen
 
 
-def closure(edges: DataFrame) -> DataFrame:
-    """src, dst: all pairs with a path of one edge or more, by doubling (for small graphs: quadratic in nodes)."""
-    now = settled(edges.select("src", "dst").distinct(), "closure")
-    n = now.count()
-    while True:
-        longer = now.join(now.select(F.col("src").alias("dst"), F.col("dst").alias("end")), "dst").select("src", F.col("end").alias("dst"))
-        now = settled(now.unionByName(longer).distinct(), "closure")
-        m = now.count()
+def _trimmed(arcs: DataFrame) -> DataFrame:
+    """The arcs between nodes that have arcs both in and out, again and again: what is left may hold cycles."""
+    n = arcs.count()
+    while n:
+        heads, tails = arcs.select(F.col("src").alias("id")).distinct(), arcs.select(F.col("dst").alias("id")).distinct()
+        live = heads.join(tails, "id")
+        arcs = settled(arcs.join(live.toDF("src"), "src", "left_semi").join(live.toDF("dst"), "dst", "left_semi"), "arcs")
+        m = arcs.count()
         if m == n:
-            return now
+            break
         n = m
+    return arcs
+
+
+def _coloured(arcs: DataFrame) -> DataFrame:
+    """id, colour: the least node that reaches each node of the arcs."""
+    colour = settled(arcs.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("colour", F.col("id")), "colours")
+    while True:
+        via = arcs.join(colour.toDF("src", "via"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("via").alias("via"))
+        new = settled(colour.join(via, "id", "left").select("id", F.least("colour", "via").alias("colour"), (F.col("via") < F.col("colour")).alias("moved")), "colours")
+        colour = new.select("id", "colour")
+        if new.where("moved").isEmpty():
+            return colour
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
-    """id, component (least member), size: nodes that reach each other, and single nodes."""
-    reach = closure(edges)
-    mutual = reach.join(reach.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"])
-    nodes = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    least = mutual.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("m"))
-    named = nodes.join(least, "id", "left").select("id", F.least("id", F.coalesce("m", "id")).alias("component"))
+    """id, component (least member), size: nodes that reach each other, and single nodes.
+
+    Nodes without arcs in or out are trimmed, the others coloured by the least node that reaches
+    them; what reaches a colour's own node inside the colour is a component. Components are taken
+    out and the rest is treated likewise. Work is by node and arc, never by pair of nodes.
+    """
+    every = settled(edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), "nodes")
+    arcs = settled(edges.select("src", "dst").where("src <> dst").distinct(), "arcs")
+    found = None
+    while True:
+        arcs = _trimmed(arcs)
+        if arcs.isEmpty():
+            break
+        colour = _coloured(arcs)
+        inside = arcs.join(colour.toDF("src", "c"), "src").join(colour.toDF("dst", "d"), "dst").where("c = d").select("src", "dst", "c")
+        inside = settled(inside, "inside")
+        front = seen = settled(colour.where("id = colour").select("id", F.col("colour").alias("component")), "front")
+        while True:
+            back = inside.join(front.select(F.col("id").alias("dst"), F.col("component").alias("c")), ["dst", "c"]).select(F.col("src").alias("id"), F.col("c").alias("component")).distinct()
+            front = settled(back.join(seen.select("id"), "id", "left_anti"), "front")
+            if front.isEmpty():
+                break
+            seen = settled(seen.unionByName(front), "seen")
+        found = seen if found is None else found.unionByName(seen)
+        left = arcs.join(seen.select(F.col("id").alias("src")), "src", "left_anti").join(seen.select(F.col("id").alias("dst")), "dst", "left_anti")
+        arcs = settled(left, "arcs")
+    named = every.withColumn("component", F.col("id")) if found is None else every.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
     return named.join(named.groupBy("component").agg(F.count("*").alias("size")), "component").select("id", "component", "size")
 
 
@@ -95,26 +128,44 @@ def levels(edges: DataFrame) -> DataFrame:
 
 
 def longest_paths(edges: DataFrame) -> DataFrame:
-    """id, length: the heaviest path that ends at each node of an acyclic graph (src, dst, weight)."""
+    """id, length: the heaviest path that ends at each node of an acyclic graph (src, dst, weight); a cycle is an error."""
     arcs = settled(edges.select("src", "dst", "weight"), "arcs")
     nodes = arcs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     best = settled(nodes.withColumn("length", F.lit(0).cast("long")), "lengths")
-    for _ in range(nodes.count()):
+    for _ in range(best.count() + 1):
         via = arcs.join(best.select(F.col("id").alias("src"), "length"), "src").groupBy(F.col("dst").alias("id")).agg(F.max(F.col("length") + F.col("weight")).alias("via"))
-        new = settled(best.join(via, "id", "left").select("id", F.greatest("length", F.coalesce("via", F.lit(0))).alias("length")), "lengths")
-        same = new.join(best.withColumnRenamed("length", "old"), "id").where("length <> old").isEmpty()
-        best = new
-        if same:
-            break
-    return best
+        new = settled(best.join(via, "id", "left").select("id", F.greatest("length", F.coalesce("via", F.lit(0))).alias("length"), (F.col("via") > F.col("length")).alias("moved")), "lengths")
+        best = new.select("id", "length")
+        if new.where("moved").isEmpty():
+            return best
+    raise ValueError("the graph has a cycle of positive weight: no path is longest")
 
 
 def reduced(edges: DataFrame) -> DataFrame:
-    """Edges of an acyclic graph that no longer path replaces."""
-    arcs = edges.select("src", "dst").where("src <> dst").distinct()
-    reach = closure(arcs)
-    longer = arcs.join(reach.select(F.col("src").alias("dst"), F.col("dst").alias("end")), "dst").select("src", F.col("end").alias("dst")).distinct()
-    return arcs.join(longer, ["src", "dst"], "left_anti")
+    """Edges of an acyclic graph that no longer path replaces; a cycle is an error.
+
+    An edge to the next level can have no detour. For the sources of other edges, walks go on only
+    below the highest level that such an edge of theirs ends at.
+    """
+    arcs = settled(edges.select("src", "dst").where("src <> dst").distinct(), "arcs")
+    level = settled(levels(arcs), "levels")
+    if not level.where("level IS NULL").isEmpty():
+        raise ValueError("the graph has a cycle: it has no unique reduction")
+    high = settled(arcs.join(level.toDF("src", "a"), "src").join(level.toDF("dst", "b"), "dst"), "arcs")
+    far = settled(high.where("b > a + 1"), "far")
+    limit = far.groupBy(F.col("src").alias("root")).agg(F.max("b").alias("top"))
+    step = high.select("src", "dst", "b")
+    front = step.join(limit.withColumnRenamed("root", "src"), "src").where("b < top").select(F.col("src").alias("root"), F.col("dst").alias("at"), "top")
+    front = seen = settled(front, "front")
+    hit = None
+    while not front.isEmpty():
+        moved = front.join(step.select(F.col("src").alias("at"), F.col("dst").alias("next"), "b"), "at").where("b <= top")
+        moved = settled(moved.select("root", F.col("next").alias("at"), "top", "b").distinct(), "moved")
+        again = moved.select(F.col("root").alias("src"), F.col("at").alias("dst"))
+        hit = again if hit is None else hit.unionByName(again)
+        front = settled(moved.where("b < top").select("root", "at", "top").join(seen.select("root", "at"), ["root", "at"], "left_anti"), "front")
+        seen = settled(seen.unionByName(front), "seen")
+    return arcs if hit is None else arcs.join(hit.distinct(), ["src", "dst"], "left_anti")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -81,11 +81,24 @@ def cascade(refs: DataFrame, tiers: Sequence[tuple[str, float, DataFrame, Sequen
 def innermost(points: DataFrame, spans: DataFrame, key: str, at: str) -> DataFrame:
     """Each point with the innermost span that holds it: the largest start, then the largest id.
 
-    Points and spans meet on their path; points: path, key, at; spans: path, id, start, end.
+    points: path, key, at; spans: path, id, start, end (whole numbers from 0 on). A span is cut into
+    aligned intervals of powers of two; of the spans cut to one interval only the best stays, and a
+    point looks up the one interval of each size that holds it. So work is by point and span times
+    the number of sizes, however many spans a path has.
     """
-    inside = points.join(spans, "path", "left").withColumn("hit", F.col(at).between(F.col("start"), F.col("end")))
-    best = F.max_by(F.when(F.col("hit"), F.col("id")), F.when(F.col("hit"), F.struct("start", "id")))
-    return inside.groupBy(key).agg(best.alias("span_id"))
+    widest = spans.agg(F.max(F.col("end") - F.col("start") + 1)).first()[0] or 1
+    sizes = F.sequence(F.lit(0), F.lit(int(widest).bit_length()))
+    low = lambda k: F.ceil(F.col("start") / F.pow(F.lit(2.0), k)).cast("long")
+    high = lambda k: F.floor((F.col("end") + 1) / F.pow(F.lit(2.0), k)).cast("long")
+    cell = lambda k, i: F.struct(k.alias("size"), i.alias("cell"))
+    cut = F.flatten(F.transform(sizes, lambda k: F.array(
+        F.when((low(k) < high(k)) & (low(k) % 2 == 1), cell(k, low(k))), F.when((low(k) < high(k)) & (high(k) % 2 == 1), cell(k, high(k) - 1)),
+    )))
+    parts = spans.select("path", "id", "start", F.explode(F.array_compact(cut)).alias("c"))
+    best = parts.groupBy("path", "c").agg(F.max(F.struct("start", "id")).alias("best"))
+    point = F.col(at).cast("long")
+    asked = points.select("path", key, F.explode(F.transform(sizes, lambda k: cell(k, F.floor(point / F.pow(F.lit(2.0), k)).cast("long")))).alias("c"))
+    return asked.join(best, ["path", "c"], "left").groupBy(key).agg(F.max("best").alias("b")).select(key, F.col("b.id").alias("span_id"))
 
 
 def planes(static: DataFrame, observed: DataFrame, on: Sequence[str]) -> DataFrame:

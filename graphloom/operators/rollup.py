@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -32,12 +32,11 @@ def overview(edges: DataFrame, member: DataFrame) -> DataFrame:
 
 
 def witnesses(rows: DataFrame, keys: Sequence[str], witness: Column, keep: int = 3) -> DataFrame:
-    """How many rows stand behind each key, and the first few of them in order.
-
-    Only the smallest `keep` are ever held: each is a minimum beyond the last.
-    """
+    """How many rows stand behind each key, and the first few of them in order: no more than those are held."""
     w = rows.select(*keys, witness.alias("w")).groupBy(*keys, "w").agg(F.count("*").alias("c"))
-    return w.groupBy(*keys).agg(F.sum("c").alias("n"), F.array_join(F.slice(F.array_sort(F.collect_set("w")), 1, keep), ",").alias("first"))
+    first = w.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("w"))).where(F.col("r") <= keep)
+    first = first.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("w")), ",").alias("first"))
+    return rows.groupBy(*keys).agg(F.count("*").alias("n")).join(first, list(keys))
 
 
 def hubs(edges: DataFrame, nodes: DataFrame, least: int, names: Sequence[str]) -> DataFrame:

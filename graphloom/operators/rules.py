@@ -49,17 +49,19 @@ def several_producers(c: Context, capability: str) -> DataFrame:
     return gate(finding(by, "D001", "ERROR", F.col("dst"), F.col("token")), c["edges"], "D001", capability)
 
 
-def _unordered(c: Context, a: DataFrame, b: DataFrame) -> DataFrame:
-    """a, b, token: pairs on a token without an order either way."""
-    pairs = a.join(b, "token")
+def _unordered(c: Context, a: DataFrame, b: DataFrame, once: bool = False) -> DataFrame:
+    """a, b, token: pairs on a token without an order either way; once: of two alike sides each pair once."""
+    x, y = a.alias("x"), b.alias("y")
+    apart = F.col("x.a") < F.col("y.b") if once else F.col("x.a") != F.col("y.b")
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & apart).select("x.a", "y.b", "x.token")
     o = c["order"]
     ways = o.select(F.col("before").alias("a"), F.col("after").alias("b")).unionByName(o.select(F.col("after").alias("a"), F.col("before").alias("b"))).distinct()
-    return pairs.where("a <> b").join(ways, ["a", "b"], "left_anti")
+    return pairs.join(ways, ["a", "b"], "left_anti")
 
 
 def conflicting_writers(c: Context, capability: str) -> DataFrame:
     w = c["edges"].where("access = 'WRITE'").select("token", F.col("src").alias("w")).distinct()
-    pairs = _unordered(c, w.withColumnRenamed("w", "a"), w.withColumnRenamed("w", "b")).where("a < b")
+    pairs = _unordered(c, w.withColumnRenamed("w", "a"), w.withColumnRenamed("w", "b"), once=True)
     return gate(finding(pairs, "S001", "ERROR", F.concat_ws("|", "a", "b"), F.col("token")), c["edges"], "S001", capability)
 
 

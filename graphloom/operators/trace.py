@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions import settled
+
 
 def last_writer(events: DataFrame, order: Sequence[str], writes: Sequence[str] = ("WRITE", "READ_WRITE"), reads: Sequence[str] = ("READ", "READ_WRITE")) -> DataFrame:
     """run, object, writer, reader: each read with the latest earlier write of the same object."""
@@ -21,6 +23,16 @@ def numbered(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: s
     return rows.withColumn(name, (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("long"))
 
 
+def numbered_everywhere(rows: DataFrame, order: Sequence[str], name: str = "seq") -> DataFrame:
+    """Rows with a dense number from 0 over all of them: ranges are sorted apart, and each begins where those before it end."""
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = settled(placed.select("*", F.spark_partition_id().alias("part_"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("at_")), "numbered")
+    size = placed.groupBy("part_").agg(F.count("*").alias("n_"))
+    before = size.withColumn("before_", F.sum("n_").over(Window.orderBy("part_")) - F.col("n_")).select("part_", "before_")
+    # one row a range
+    return placed.join(F.broadcast(before), "part_").withColumn(name, F.col("before_") + F.col("at_")).drop("part_", "at_", "before_")
+
+
 def clusters(rows: DataFrame, keys: Sequence[str], order: Sequence[str], opens: Column) -> DataFrame:
     """Rows with the number of the cluster they stand in: opening rows begin a new one."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

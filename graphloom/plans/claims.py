@@ -165,9 +165,19 @@ def d12_score(spark, d):
     return e.select("weight", F.explode(sides).alias("x")).groupBy(F.col("x.unit").alias("unit")).agg(F.round(F.sum(F.col("x.f") * F.col("weight")), 3).alias("score"))
 
 
-@query("d20_regions", "SELECT p_type, count(*) AS members, count(DISTINCT p_brand) AS brands FROM part WHERE p_size % 2 = 0 GROUP BY p_type HAVING count(*) >= 2", graph=False)
+@query("d20_regions", """
+, m AS (SELECT p_type, count(*) AS members FROM part GROUP BY p_type HAVING count(*) >= 2)
+, c AS (SELECT DISTINCT p_type, l_suppkey, l_returnflag = 'N' AS open_, p_partkey FROM lineitem JOIN part ON l_partkey = p_partkey)
+SELECT p_type, members, count(DISTINCT l_suppkey) AS callees, count(DISTINCT CASE WHEN open_ THEN p_partkey END) AS unresolved, array_to_string(list_sort(list_distinct(list(lpad(p_partkey::VARCHAR, 12, '0'))))[1:3], ',') AS witnesses
+FROM m JOIN c USING (p_type) GROUP BY p_type, members""")
 def d20_regions(spark, d):
-    return star.table(spark, d, "part").where("p_size % 2 = 0").groupBy("p_type").agg(F.count("*").alias("members"), F.count_distinct("p_brand").alias("brands")).where("members >= 2")
+    """Families of parts: members, suppliers they call, parts with open lines, and the first few parts that are called."""
+    p = star.table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
+    family = p.groupBy("p_type").agg(F.count("*").alias("members")).where("members >= 2")
+    calls = star.table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag").join(p, "l_partkey")
+    by = calls.groupBy("p_type").agg(F.count_distinct("l_suppkey").alias("callees"), F.count_distinct(F.when(F.col("l_returnflag") == "N", F.col("l_partkey"))).alias("unresolved"))
+    first = rollup.witnesses(calls, ["p_type"], F.lpad(F.col("l_partkey").cast("string"), 12, "0")).select("p_type", F.col("first").alias("witnesses"))
+    return family.join(by, "p_type").join(first, "p_type")
 
 
 @query("d33_align", """
@@ -231,7 +241,7 @@ SELECT projection, array_to_string(list_sort(list(unit)), ',') AS reasons FROM u
 def g9_invalidated(spark, d):
     u = diff.delta_units(*_snapshots(spark, d), "o_orderkey", {"SIGNATURE_CHANGED": "o_orderpriority"}).select("unit").distinct()
     t = spark.createDataFrame([("SYMBOL_ADDED", "topology"), ("SYMBOL_REMOVED", "topology"), ("SIGNATURE_CHANGED", "ports"), ("CALL_CHANGED", "calls")], "unit string, projection string")
-    return u.join(F.broadcast(t), "unit").groupBy("projection").agg(F.array_join(F.array_sort(F.collect_set("unit")), ",").alias("reasons"))
+    return u.join(t, "unit").groupBy("projection").agg(F.array_join(F.array_sort(F.collect_set("unit")), ",").alias("reasons"))
 
 
 @query("h7_callers", f"""{_REGIONS}
@@ -274,12 +284,12 @@ def k7_crossing_without_port(spark, d):
 
 
 @query("k24_block_states", f"""{_SNAPSHOTS}
-, plan AS (SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderkey % 3 = 0)
+, plan AS (SELECT o_orderkey, o_orderpriority FROM orders)
 SELECT plan.o_orderkey, CASE WHEN sb.o_orderkey IS NULL AND sa.o_orderkey IS NOT NULL THEN 'STALE' WHEN sb.o_orderkey IS NULL THEN 'UNBOUND' WHEN sb.o_orderpriority <> plan.o_orderpriority THEN 'MISMATCH' ELSE 'MATCH' END AS status
 FROM plan LEFT JOIN sb ON sb.o_orderkey = plan.o_orderkey LEFT JOIN sa ON sa.o_orderkey = plan.o_orderkey""")
 def k24_block_states(spark, d):
     a, b = _snapshots(spark, d)
-    return authority.block_states(star.table(spark, d, "orders").where("o_orderkey % 3 = 0"), b, a, "o_orderkey", ["o_orderpriority"])
+    return authority.block_states(star.table(spark, d, "orders"), b, a, "o_orderkey", ["o_orderpriority"])
 
 
 @query("k31_admission", """

@@ -188,10 +188,10 @@ def h3_path_status(spark, d):
     return design.path_status(reached, "nation:24", open_)
 
 
-@query("h20_expand", "SELECT DISTINCT e.dst AS id FROM edges e WHERE e.src LIKE 'customer:1%' AND e.kind = 'CALLS' AND e.dst NOT IN (SELECT 'order:' || o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+@query("h20_expand", "SELECT DISTINCT e.dst AS id FROM edges e WHERE e.src LIKE 'customer:%' AND e.kind = 'CALLS' AND e.dst NOT IN (SELECT 'order:' || o_orderkey FROM orders WHERE o_orderstatus = 'F')")
 def h20_expand(spark, d):
     have = star.table(spark, d, "orders").where("o_orderstatus = 'F'").select(star.node_id("order", "o_orderkey").alias("id"))
-    return star.edges(spark, d).where("src LIKE 'customer:1%' AND kind = 'CALLS'").select(F.col("dst").alias("id")).distinct().join(have, "id", "left_anti")
+    return star.edges(spark, d).where("src LIKE 'customer:%' AND kind = 'CALLS'").select(F.col("dst").alias("id")).distinct().join(have, "id", "left_anti")
 
 
 @query("h23_label_propagation")

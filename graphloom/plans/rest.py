@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.functions import shared_path
+from graphloom.functions import settled, shared_path
 from graphloom.operators import authority, design, diff, files, graph, relational, rollup, trace
 from graphloom.plans.registry import query
 from graphloom.plans.star import _context, _CONTEXT, _dag, _DAG, _FACTS, _facts, _regions, _REGIONS, _SNAPSHOTS, _snapshots
@@ -15,10 +15,9 @@ from graphloom.streaming import events as ev
 @query("a13_load_json", "SELECT p_type, count(*) AS n, sum(p_size)::BIGINT AS size FROM part GROUP BY p_type", graph=False)
 def a13_load_json(spark, d):
     path = shared_path(spark, "artifact")
-    rows = star.table(spark, d, "part").groupBy("p_type").agg(F.collect_list(F.struct("p_partkey", "p_size")).alias("members"))
-    rows.write.json(path)
-    back = spark.read.schema("p_type string, members array<struct<p_partkey:bigint,p_size:int>>").json(path)
-    return back.select("p_type", F.inline("members")).groupBy("p_type").agg(F.count("*").alias("n"), F.sum("p_size").alias("size"))
+    star.table(spark, d, "part").select("p_type", F.struct("p_partkey", "p_size").alias("member")).write.json(path)
+    back = spark.read.schema("p_type string, member struct<p_partkey:bigint,p_size:int>").json(path)
+    return back.groupBy("p_type").agg(F.count("*").alias("n"), F.sum("member.p_size").alias("size"))
 
 
 @query("a14_append", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type", graph=False)
@@ -46,8 +45,8 @@ def b24_stage_state(spark, d):
 @query("c18_nearest_scope", """
 , scope AS (SELECT id AS use_, id AS scope, string_split(path, '/') AS p, language AS name FROM nodes WHERE kind = 'CUSTOMER')
 , anc AS (SELECT use_, name, array_to_string(p[1:i], '/') AS ancestor, len(p) - i AS depth FROM (SELECT *, unnest(range(1, len(p))) AS i FROM scope))
-, dec AS (SELECT place AS ancestor, c_mktsegment AS name, 'customer:' || c_custkey AS target FROM customer JOIN places ON c_nationkey = n_nationkey WHERE c_custkey % 40 = 0
-  UNION SELECT r_name, c_mktsegment, 'customer:' || c_custkey FROM customer JOIN places ON c_nationkey = n_nationkey WHERE c_custkey % 30 = 0)
+, dec AS (SELECT place AS ancestor, c_mktsegment AS name, 'customer:' || c_custkey AS target FROM customer JOIN places ON c_nationkey = n_nationkey WHERE c_acctbal > 9000
+  UNION SELECT r_name, c_mktsegment, 'customer:' || c_custkey FROM customer JOIN places ON c_nationkey = n_nationkey WHERE c_acctbal < -500)
 , f AS (SELECT use_, depth, count(DISTINCT target) AS n, min(target) AS target FROM anc JOIN dec USING (ancestor, name) GROUP BY ALL)
 , b AS (SELECT use_, arg_min(n, depth) AS n, arg_min(target, depth) AS target FROM f GROUP BY use_)
 SELECT s.use_ AS use, CASE WHEN n IS NULL THEN 'UNKNOWN' WHEN n = 1 THEN 'EXACT' ELSE 'CANDIDATE_SET' END AS resolution, CASE WHEN n = 1 THEN target END AS target FROM scope s LEFT JOIN b ON b.use_ = s.use_""")
@@ -57,8 +56,10 @@ def c18_nearest_scope(spark, d):
     up = c.select(F.col("id").alias("scope"), F.size(F.split("path", "/")).alias("size"), F.posexplode(rollup.ancestors(F.col("path"))).alias("pos", "ancestor"))
     up = up.select("scope", "ancestor", (F.col("size") - F.col("pos") - 1).alias("depth"))
     parts = F.split("path", "/")
-    declared = c.where("ordinal % 40 = 0").select(F.concat_ws("/", parts[0], parts[1]).alias("ancestor"), F.col("language").alias("name"), F.col("id").alias("target"))
-    declared = declared.unionByName(c.where("ordinal % 30 = 0").select(parts[0].alias("ancestor"), F.col("language").alias("name"), F.col("id").alias("target")))
+    balance = star.table(spark, d, "customer").select(star.node_id("customer", "c_custkey").alias("id"), "c_acctbal")
+    by = c.join(balance, "id")
+    declared = by.where("c_acctbal > 9000").select(F.concat_ws("/", parts[0], parts[1]).alias("ancestor"), F.col("language").alias("name"), F.col("id").alias("target"))
+    declared = declared.unionByName(by.where("c_acctbal < -500").select(parts[0].alias("ancestor"), F.col("language").alias("name"), F.col("id").alias("target")))
     return design.nearest_scope(uses, up, declared)
 
 
@@ -121,11 +122,7 @@ def f5_finding_order(spark, d):
     from graphloom.operators import rules
 
     found = rules.run(_context(spark, d), rules={k: rules.RULES[k] for k in ("P001", "R001")})
-    # numbering within a rule needs no single task; the offset of a rule is a sum over few rules
-    by_rule = trace.numbered(found, ["rule"], ["subject", "token"])
-    sizes = found.groupBy("rule").agg(F.count("*").alias("n"))
-    before = sizes.alias("a").join(F.broadcast(sizes.alias("b")), F.col("b.rule") < F.col("a.rule"), "left").groupBy("a.rule").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
-    return by_rule.join(F.broadcast(before), "rule").select("rule", "subject", "token", (F.col("seq") + F.col("before")).alias("seq"))
+    return trace.numbered_everywhere(found, ["rule", "subject", "token"]).select("rule", "subject", "token", "seq")
 
 
 @query("g5_field_changes", f"""{_SNAPSHOTS}
@@ -150,12 +147,19 @@ def h5_boundary_edges(spark, d):
 
 
 @query("h18_invalidation", f"""{_SNAPSHOTS}
-, changed AS (SELECT 'order:' || coalesce(sa.o_orderkey, sb.o_orderkey) AS id FROM sa FULL JOIN sb ON sa.o_orderkey = sb.o_orderkey WHERE sa.o_orderpriority IS DISTINCT FROM sb.o_orderpriority AND coalesce(sa.o_orderkey, sb.o_orderkey) % 50 = 0)
-, up(id, distance) AS (SELECT id, 0 FROM changed UNION SELECT e.src, u.distance + 1 FROM up u JOIN edges e ON e.dst = u.id WHERE u.distance < 3)
-SELECT id, min(distance)::INTEGER AS distance FROM up GROUP BY id""")
+, changed AS (SELECT 'order:' || coalesce(sa.o_orderkey, sb.o_orderkey) AS id, CASE WHEN sa.o_orderkey IS NULL THEN 'ADDED' WHEN sb.o_orderkey IS NULL THEN 'REMOVED' ELSE 'CHANGED' END AS reason
+  FROM sa FULL JOIN sb ON sa.o_orderkey = sb.o_orderkey WHERE sa.o_orderpriority IS DISTINCT FROM sb.o_orderpriority)
+, up(id, reason, distance) AS (SELECT id, reason, 0 FROM changed UNION SELECT e.src, u.reason, u.distance + 1 FROM up u JOIN edges e ON e.dst = u.id)
+, best AS (SELECT id, reason, min(distance) AS distance FROM up GROUP BY id, reason)
+SELECT id, array_to_string(list_sort(list(reason)), ',') AS reasons, min(distance)::INTEGER AS distance FROM best GROUP BY id""")
 def h18_invalidation(spark, d):
-    changed = diff.snapshot_diff(*_snapshots(spark, d), ["o_orderkey"], ["o_orderpriority"]).where("o_orderkey % 50 = 0")
-    return graph.bfs(star.edges(spark, d), changed.select(star.node_id("order", "o_orderkey").alias("id")), 3, "in")
+    """What depends on any changed order, how far away, and by which kinds of change."""
+    changed = settled(diff.snapshot_diff(*_snapshots(spark, d), ["o_orderkey"], ["o_orderpriority"]), "changed")
+    edges, out = star.edges(spark, d), None
+    for reason in ("ADDED", "REMOVED", "CHANGED"):
+        hit = graph.bfs(edges, changed.where(F.col("change") == reason).select(star.node_id("order", "o_orderkey").alias("id")), None, "in").withColumn("reason", F.lit(reason))
+        out = hit if out is None else out.unionByName(hit)
+    return out.groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"), F.min("distance").alias("distance"))
 
 
 @query("k4_p004", f"""{_CONTEXT}

@@ -375,10 +375,12 @@ def d18_modularity(spark, d):
 
 
 @query("d21_shared_core", """
-SELECT l_partkey, count(DISTINCT p_type || l_returnflag) AS families FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_partkey HAVING count(DISTINCT l_returnflag) >= 2""", graph=False)
+SELECT l_suppkey, count(DISTINCT p_type) AS families FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_suppkey HAVING count(DISTINCT p_type) >= 2""", graph=False)
 def d21_shared_core(spark, d):
-    i = star.table(spark, d, "lineitem").select("l_partkey", "l_returnflag")
-    return i.groupBy("l_partkey").agg(F.count_distinct("l_returnflag").alias("families")).where("families >= 2")
+    """Suppliers that parts of several families call."""
+    p = star.table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
+    i = star.table(spark, d, "lineitem").select("l_partkey", "l_suppkey").join(p, "l_partkey")
+    return i.groupBy("l_suppkey").agg(F.count_distinct("p_type").alias("families")).where("families >= 2")
 
 
 @query("d28_event_histogram", "SELECT event_type, op, count(*) AS n FROM data_events GROUP BY ALL")
@@ -583,6 +585,47 @@ def h8_strong_components(spark, d):
     return graph.strong_components(star.strong_trades(spark, d))
 
 
+#: Parts that follow one another in orders, and those of them that lead to larger numbers: graphs that grow with the tables.
+_SUCC = """
+WITH RECURSIVE succ AS (SELECT 'part:' || p AS src, 'part:' || q AS dst, count(*) AS weight, p < q AS up FROM (
+  SELECT l_partkey AS p, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_partkey) AS q FROM lineitem WHERE l_quantity > 42) WHERE q IS NOT NULL AND p <> q GROUP BY ALL)
+, far(src, dst) AS (SELECT a.src, b.dst FROM succ a JOIN succ b ON a.dst = b.src AND a.up AND b.up UNION SELECT f.src, g.dst FROM far f JOIN succ g ON g.src = f.dst AND g.up)
+"""
+
+
+def _upward(spark, d):
+    number = lambda c: F.substring_index(c, ":", -1).cast("long")
+    return star.successions(spark, d).where(number("src") < number("dst"))
+
+
+@query("h8_part_components", f"""{_SUCC}
+, reach(src, dst) AS (SELECT src, dst FROM succ UNION SELECT r.src, s.dst FROM reach r JOIN succ s ON s.src = r.dst)
+, n AS (SELECT src AS id FROM succ UNION SELECT dst FROM succ), m AS (SELECT a.src AS id, min(a.dst) AS m FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src)
+, c AS (SELECT id, least(id, coalesce(m, id)) AS component FROM n LEFT JOIN m USING (id))
+SELECT id, component, count(*) OVER (PARTITION BY component) AS size FROM c""", graph=False)
+def h8_part_components(spark, d):
+    return graph.strong_components(star.successions(spark, d))
+
+
+@query("h9_part_levels", f"""{_SUCC}
+, walk(id, level) AS (SELECT DISTINCT src, 0 FROM succ WHERE up AND src NOT IN (SELECT dst FROM succ WHERE up) UNION SELECT g.dst, w.level + 1 FROM walk w JOIN succ g ON g.src = w.id AND g.up)
+SELECT id, max(level)::INTEGER AS level FROM walk GROUP BY id""", graph=False)
+def h9_part_levels(spark, d):
+    return graph.levels(_upward(spark, d))
+
+
+@query("h11_part_reduction", f"{_SUCC} SELECT src, dst FROM succ WHERE up AND (src, dst) NOT IN (SELECT src, dst FROM far)", graph=False)
+def h11_part_reduction(spark, d):
+    return graph.reduced(_upward(spark, d))
+
+
+@query("h12_part_longest", f"""{_SUCC}
+, walk(id, length) AS (SELECT src, 0::BIGINT FROM succ WHERE up UNION SELECT dst, 0::BIGINT FROM succ WHERE up UNION SELECT g.dst, w.length + g.weight FROM walk w JOIN succ g ON g.src = w.id AND g.up)
+SELECT id, max(length)::BIGINT AS length FROM walk GROUP BY id""", graph=False)
+def h12_part_longest(spark, d):
+    return graph.longest_paths(_upward(spark, d))
+
+
 @query("h10_cone", f"{_REACH} SELECT src AS id FROM reach WHERE dst = 'nation:5' UNION SELECT 'nation:5'")
 def h10_cone(spark, d):
     e = star.strong_trades(spark, d)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -69,6 +69,15 @@ def strong_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(total, "src").where("src <> dst AND weight * 25 * 4 > total * 5").select("src", "dst", "weight")
 
 
+def successions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src, dst, weight: parts that follow one another among an order's lines of more than 42 pieces, by day; a
+    digraph with cycles that grows with the tables."""
+    rows = table(spark, sf_dir, "lineitem").where("l_quantity > 42").select("l_orderkey", "l_partkey", "l_shipdate")
+    w = Window.partitionBy("l_orderkey").orderBy("l_shipdate", "l_partkey")
+    pairs = rows.select("l_partkey", F.lead("l_partkey").over(w).alias("next")).where("next IS NOT NULL AND next <> l_partkey")
+    return pairs.groupBy("l_partkey", "next").agg(F.count("*").alias("weight")).select(node_id("part", "l_partkey").alias("src"), node_id("part", "next").alias("dst"), "weight")
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, kind, src, dst, weight: CONTAINS, CALLS and USES, unique by (kind, src, dst)."""
     nation, customer, supplier = (table(spark, sf_dir, t) for t in ("nation", "customer", "supplier"))
