@@ -32,15 +32,18 @@ def connected(edges: DataFrame, scratch: tb.Scratch) -> DataFrame:
     """node and root (the least node of its component), for the nodes of the edges (a, b: long).
 
     Rounds go on until nothing changes. Hubs are never collected: both stars are a minimum by node
-    and a join, whose hot nodes are dealt over several tasks. The edges of every star are written,
+    and a join, whose hot nodes are dealt over several tasks. The edges of every round are written,
     which cuts the lineage.
     """
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = scratch.written(now, "edges")
     mark, total = None, now.count()
     while True:
-        large = scratch.written(_large_star(now, total), "edges")
-        now = scratch.written(_small_star(large, large.count()), "edges")
+        large = _large_star(now, total)
+        if total >= tb.HOT_ROWS:
+            # read more than once below
+            large = scratch.written(large, "edges")
+        now = scratch.written(_small_star(large, total), "edges")
         # finished when every node hangs on a root and no root hangs on anything
         got = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if got == mark:

@@ -145,11 +145,12 @@ def meetings(table: DataFrame, scratch: tb.Scratch, percent: int = PERCENT) -> D
     """g, k, size, leader: prefix shingles that several classes hold, for the candidate classes."""
     holds = table.where("prefix IS NOT NULL").select(F.explode("prefix").alias("g"), "k", "size")
     by_g = holds.groupBy("g").agg(F.min("k").alias("leader"), F.max("k").alias("last"))
-    met = scratch.written(holds.join(by_g.where("leader <> last").select("g", "leader"), "g"), "met")
-    # a class may stand several times (once a block), so shingles are counted apart
-    enough = met.select("k", "g", "size").distinct().groupBy("k").agg(F.count("*").alias("n"), F.first("size").alias("size"))
+    # a class may stand several times (once a block); rows of one shingle are together after the join
+    met = holds.join(by_g.where("leader <> last").select("g", "leader"), "g").distinct()
+    met = scratch.written(met, "met")
+    enough = met.groupBy("k").agg(F.count("*").alias("n"), F.first("size").alias("size"))
     enough = enough.where(F.col("n") >= F.expr(f"1 + (size - ceil({percent} * size / 100)) DIV 5")).select("k")
-    return scratch.written(met.join(enough, "k").distinct(), "meetings")
+    return scratch.written(met.join(enough, "k"), "meetings")
 
 
 def class_sets(docs: DataFrame, table: DataFrame, wanted: DataFrame, scratch: tb.Scratch, n: int = SHINGLE) -> DataFrame:
@@ -327,17 +328,18 @@ def tree_pairs(met: DataFrame, sets: DataFrame, comp: DataFrame, every: bool, sc
     level = F.when(F.col("many"), F.floor(F.log("size") / math.log(1.01 * 100 / percent))).otherwise(F.lit(0))
     rows = of.join(mixed.where("low <> high").select("g", "many"), "g").select("g", "k", "root", "many", level.alias("z"))
     rows = scratch.written(rows, "cells")
+    few = rows.where("NOT many").select("g", "k", "root", F.lit(0).cast("long").alias("own"), F.lit(0).cast("long").alias("other"))
     cut = rows.where("many").groupBy("g", "z").agg(F.ceil(F.count("*") / piece).alias("n"))
     cuts = cut.select("g", "z", "n", F.lit(0).alias("side"))
     cuts = cuts.unionByName(cut.select("g", (F.col("z") - 1).alias("z"), "n", F.lit(1).alias("side"))).unionByName(cut.select("g", (F.col("z") + 1).alias("z"), "n", F.lit(-1).alias("side")))
     cuts = cuts.groupBy("g", "z").agg(*[F.max(F.when(F.col("side") == side, F.col("n"))).alias(name) for side, name in ((0, "same"), (1, "up"), (-1, "down"))])
-    rows = rows.join(cuts, ["g", "z"], "left")
+    hot = tb.join_hot(rows.where("many"), cuts, ["g", "z"])
     # a piece is a size and a hash; every class goes to the pairs of pieces that hold its own
     code = lambda z, i: F.shiftleft(z.cast("long"), 32) + i
     ahead = lambda step, n: F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col(n) - 1), lambda i: code(F.col("z") + step, i))).otherwise(F.array().cast("array<bigint>"))
-    own = code(F.col("z"), F.pmod(F.xxhash64("k"), F.coalesce("same", F.lit(1))))
-    every_other = F.when(F.col("many"), F.concat(ahead(0, "same"), ahead(1, "up"), ahead(-1, "down"))).otherwise(F.array(F.lit(0).cast("long")))
-    rows = rows.select("g", "k", "root", own.alias("own"), F.explode(every_other).alias("other"))
+    own = code(F.col("z"), F.pmod(F.xxhash64("k"), F.col("same")))
+    hot = hot.select("g", "k", "root", own.alias("own"), F.explode(F.concat(ahead(0, "same"), ahead(1, "up"), ahead(-1, "down"))).alias("other"))
+    rows = few.unionByName(hot)
     low, high = F.least("own", "other"), F.greatest("own", "other")
     rows = rows.join(sets.select("k", "size", "bitmap"), "k")
     rows = rows.select(F.xxhash64("g", low, high).alias("cell"), "g", low.alias("p"), high.alias("q"), "own", "k", "root", "size", "bitmap")

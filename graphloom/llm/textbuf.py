@@ -255,6 +255,8 @@ def finished(scratch: Scratch, result: DataFrame, name: str) -> DataFrame:
 
 #: A key is hot where it holds more than one row in so many; there are fewer such keys than that.
 HOT_SHARE = 1_000
+#: Narrow tables of fewer rows are joined without a look at their keys: all of one key fit a task.
+HOT_ROWS = 20_000
 
 
 def join_hot(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", total: int | None = None) -> DataFrame:
@@ -264,6 +266,8 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inn
     fewer than HOT_SHARE, so their table may be broadcast whatever the size of left.
     """
     total = left.count() if total is None else total
+    if total < HOT_ROWS:
+        return left.join(right, keys, how)
     hot = left.groupBy(*keys).agg(F.count("*").alias("n_")).where(F.col("n_") * HOT_SHARE > total)
     hot = F.broadcast(hot.select(*keys, F.ceil(F.col("n_") * HOT_SHARE / max(total, 1)).cast("int").alias("pieces_")))
     one = F.coalesce("pieces_", F.lit(1))
