@@ -114,8 +114,8 @@ def boundaries(units: DataFrame, members: DataFrame, edges: DataFrame, uses: Dat
     rows = aspects.join(code, ["unit", "aspect"], "left").join(plan, ["unit", "aspect"], "left")
     rows = rows.select("unit", "aspect", F.coalesce("code", none).alias("code"), F.coalesce("plan", none).alias("plan"))
     seen = edges.where("kind = 'DATA'").agg(F.count("*").alias("n"), F.coalesce(F.bool_and(F.col("coverage") == "COMPLETE"), F.lit(False)).alias("complete"))
-    # one row
-    rows = rows.crossJoin(F.broadcast(seen)).join(_flag(members, ["unit"], "bound"), "unit", "left")
+    rows = rows.withColumns({"n": seen.select("n").scalar(), "complete": seen.select("complete").scalar()})
+    rows = rows.join(_flag(members, ["unit"], "bound"), "unit", "left")
     any_data = (F.size("code") > 0) | (F.size("plan") > 0)
     bad = F.when(F.col("aspect") == "resource", F.size(F.array_except("code", "plan")) > 0).otherwise(F.col("complete") & ~(F.col("code").eqNullSafe(F.col("plan"))))
     open_ = (F.col("aspect") != "resource") & ~F.col("complete") & F.when(F.col("n") > 0, any_data).otherwise(F.size("plan") > 0)

@@ -22,6 +22,28 @@ def why_unresolved(callee: Column, language: Column, definitions: Column, intrin
     return first_match(cases, "missing_target")
 
 
+def labelled_calls(calls: DataFrame, definitions: DataFrame, elsewhere: DataFrame, intrinsics: Sequence[str], externals: Sequence[str], subscript: Column) -> DataFrame:
+    """The calls with why, their label: noise, intrinsic, several definitions, a name mangled from another language,
+    external, a subscript that could be a call, or a missing target; the first that holds.
+
+    calls: callee, language and more; definitions: name (lower case), definitions; elsewhere: names (lower
+    case) defined in other languages; subscript: is the call an expression with arguments.
+    """
+    low = F.lower("callee")
+    j = calls.withColumn("low_", low).withColumn("bare_", F.regexp_replace(low, "_+$", ""))
+    j = j.join(definitions.select(F.col("name").alias("low_"), "definitions"), "low_", "left")
+    j = j.join(elsewhere.select(F.col("name").alias("bare_"), F.lit(True).alias("other_")).distinct(), "bare_", "left")
+    cases = [
+        ("parser_noise", ~F.regexp_like(F.coalesce("callee", F.lit("")), F.lit(r"^[A-Za-z_$][A-Za-z0-9_$.]*$"))),
+        ("intrinsic", (F.col("language") == "fortran") & F.col("low_").isin(*intrinsics)),
+        ("ambiguous_symbol", F.coalesce("definitions", F.lit(0)) > 1),
+        ("cross_language", (F.col("bare_") != F.col("low_")) & F.col("other_").isNotNull()),
+        ("true_external", F.col("language").isin("c", "cpp", "python") & F.col("low_").isin(*externals)),
+        ("call_vs_array_ambiguous", (F.col("language") == "fortran") & subscript),
+    ]
+    return j.select(*calls.columns, first_match(cases, "missing_target").alias("why"))
+
+
 def guard_resolution(expression: Column, tokens: Sequence[str]) -> Column:
     """RUNTIME_DEPENDENT where an identifier is known to come from input, else UNKNOWN: never guessed."""
     names = F.regexp_extract_all(expression, F.lit(r"\b([A-Za-z_][A-Za-z0-9_]*)\b"), F.lit(1))

@@ -42,14 +42,15 @@ def lines(rows: DataFrame, key: str, text: str) -> DataFrame:
 
 def registry_entries(rows: DataFrame, key: str, text: str) -> DataFrame:
     """key, line, name, handler of lines that hold {"name", handler."""
-    found = F.regexp_extract_all("content", F.lit(r'\{\s*"([^"]+)"\s*,\s*([A-Za-z_]\w*)'), F.lit(1))
-    pattern = r'\{\s*"([^"]+)"\s*,\s*([A-Za-z_]\w*)'
-    return lines(rows, key, text).where(F.size(found) > 0).select(key, "line", F.regexp_extract("content", pattern, 1).alias("name"), F.regexp_extract("content", pattern, 2).alias("handler"))
+    # Fixed value: a whole entry, up to its comma or brace.
+    pattern = r'^[ \t]*\{"([^"]+)",\s*([A-Za-z_][A-Za-z0-9_]*)\s*[,}]'
+    return lines(rows, key, text).where(F.regexp_like("content", F.lit(pattern))).select(key, "line", F.regexp_extract("content", pattern, 1).alias("name"), F.regexp_extract("content", pattern, 2).alias("handler"))
 
 
 def guards(rows: DataFrame, key: str, text: str) -> DataFrame:
     """key, line, kind (if, switch, case), expression; the first kind that matches a line."""
-    kinds = {"if": r"\bif\s*\((.+)\)", "switch": r"\bswitch\s*\((.+)\)", "case": r"\bcase\s+(.+?):"}
+    # How guards begin a line, in any case.
+    kinds = {"if": r"(?i)^\s*if\s*\((.*)\)\s*\{?", "switch": r"(?i)^\s*switch\s*\((.*)\)\s*\{?", "case": r"(?i)^\s*case\s+([^:]+):"}
     kind, expression = None, []
     for name, pattern in kinds.items():
         hit = F.regexp_like("content", F.lit(pattern))
@@ -65,7 +66,8 @@ def diagnostics(rows: DataFrame, key: str, text: str, back: int = 8) -> DataFram
     """
     from pyspark.sql import Window
 
-    placed, plain = r"^(.+?):(\d+)(?::\d+)?:\s*(fatal error|error|warning|note):\s*(.*)$", r"^(?:Fatal )?Error:\s*(.*)$"
+    # How messages with and without a place are written, in any case.
+    placed, plain = r"(?i)^(.+?):(\d+)(?::\d+)?:\s*(fatal error|error|warning|note):\s*(.*)$", r"(?i)^(?:fatal )?error:\s*(.*)$"
     own = F.regexp_extract("content", placed, 1)
     rows = lines(rows, key, text).withColumn("own", F.when(own != "", own))
     near = Window.partitionBy(key).orderBy("line").rowsBetween(-back, 0)
@@ -76,6 +78,15 @@ def diagnostics(rows: DataFrame, key: str, text: str, back: int = 8) -> DataFram
     return rows.withColumn("category", diagnostic(F.col("message")))
 
 
+def logs(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """The diagnostics of each log, and for a log without any one row of the category UNCLASSIFIED at line 0."""
+    found = diagnostics(rows, key, text)
+    none = rows.join(found.select(key).distinct(), key, "left_anti")
+    empty = F.lit(None).cast("string")
+    none = none.select(key, F.lit(0).cast("long").alias("line"), empty.alias("file"), F.lit("error").alias("severity"), empty.alias("message"), F.lit("UNCLASSIFIED").alias("category"))
+    return found.select(*none.columns).unionByName(none)
+
+
 def links(pages: DataFrame) -> DataFrame:
     """page_id, target: the href of every anchor, as includes of a page."""
     return pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'<a\s[^>]*href="([^"]*)"'), F.lit(1))).alias("target"))

@@ -212,3 +212,28 @@ def cycles(edges: DataFrame, most: int) -> DataFrame:
 def impact(edges: DataFrame, seeds: DataFrame, kinds: Sequence[str], depth: int) -> DataFrame:
     """id, distance of what depends on the seeds: reverse steps along the kinds."""
     return bfs(edges.where(F.col("kind").isin(*kinds)), seeds, depth, "in")
+
+
+def nearest(reached: DataFrame, budget: int) -> DataFrame:
+    """The `budget` nearest nodes (id, distance), ties by id."""
+    return reached.orderBy("distance", "id").limit(budget)
+
+
+def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges both ends of which are among the nodes (id, distance), with the ends' distances."""
+    a, b = nodes.select(F.col("id").alias("src"), F.col("distance").alias("src_distance")), nodes.select(F.col("id").alias("dst"), F.col("distance").alias("dst_distance"))
+    return edges.join(a, "src").join(b, "dst")
+
+
+def chains_to(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """id, distance, chain: what depends on the seeds, and by which chain of ids down to one (the least by text)."""
+    arcs = settled(edges.select("src", "dst").distinct(), "arcs")
+    seen = settled(seeds.select("id").distinct().select("id", F.lit(0).alias("distance"), F.col("id").alias("chain")), "chains")
+    for step in range(1, depth + 1):
+        last = seen.where(F.col("distance") == step - 1).select(F.col("id").alias("dst"), "chain")
+        found = arcs.join(last, "dst").groupBy(F.col("src").alias("id")).agg(F.min(F.concat_ws(">", "src", "chain")).alias("chain"))
+        found = settled(found.join(seen.select("id"), "id", "left_anti").select("id", F.lit(step).alias("distance"), "chain"), "chains")
+        if found.isEmpty():
+            break
+        seen = seen.unionByName(found)
+    return seen

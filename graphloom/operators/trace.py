@@ -75,3 +75,22 @@ def sessions(events: DataFrame, keys: Sequence[str], time: str, gap_seconds: int
     pause = F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(F.lag(time).over(w).cast("timestamp"))
     fresh = events.withColumn("new_", F.coalesce((pause > gap_seconds * 1_000_000).cast("long"), F.lit(1)))
     return fresh.withColumn("session", F.sum("new_").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("new_")
+
+
+def payloads(rows: DataFrame, key: str, value: str, order: Sequence[str], keep: int) -> DataFrame:
+    """key, low, high, nonzero, all_zero, and the first `keep` values in order, to two places."""
+    w = Window.partitionBy(key).orderBy(*order)
+    first = rows.withColumn("k_", F.row_number().over(w)).where(F.col("k_") <= keep)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("k_", value))), lambda x: x[value].cast("decimal(18,2)").cast("string"))
+    first = first.groupBy(key).agg(F.array_join(listed, ",").alias("first"))
+    v = F.col(value)
+    by = rows.groupBy(key).agg(F.min(v).alias("low"), F.max(v).alias("high"), F.count_if(v != 0).alias("nonzero"), F.bool_and(v == 0).alias("all_zero"))
+    return by.join(first, key)
+
+
+def integrity(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """keys, integrity (exit_without_enter, unclosed_frames or ok), unclosed: whether enters (+1) and exits (-1) match."""
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    by = rows.withColumn("depth_", F.sum("step").over(w)).groupBy(*keys).agg(F.min("depth_").alias("low"), F.sum("step").alias("open"))
+    state = F.when(F.col("low") < 0, "exit_without_enter").when(F.col("open") > 0, "unclosed_frames").otherwise("ok")
+    return by.select(*keys, state.alias("integrity"), F.greatest(F.lit(0).cast("long"), "open").alias("unclosed"))

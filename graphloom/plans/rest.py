@@ -9,7 +9,6 @@ from graphloom.operators import authority, design, diff, files, graph, relationa
 from graphloom.plans.registry import query
 from graphloom.plans.star import _context, _CONTEXT, _dag, _DAG, _FACTS, _facts, _regions, _REGIONS, _SNAPSHOTS, _snapshots
 from graphloom.sources import star
-from graphloom.streaming import events as ev
 
 
 @query("a13_load_json", "SELECT p_type, count(*) AS n, sum(p_size)::BIGINT AS size FROM part GROUP BY p_type", graph=False)
@@ -224,10 +223,3 @@ SELECT t.src, t.dst, CASE WHEN weight % 3 = 0 THEN 'OBSERVED' WHEN weight % 2 =
 def k35_runtime_state(spark, d):
     t = star.trades(spark, d)
     return authority.states(t, t.where("weight % 3 = 0"), ["src", "dst"], F.col("weight") % 2 == 0, "OBSERVED", "NOT_OBSERVED", "UNMEASURED")
-
-
-@query("l1_stream_manifest", "SELECT user_id, count(*) AS n FROM events GROUP BY user_id", graph=False)
-def l1_stream_manifest(spark, d):
-    """Batches of a stream appended to a manifest of events by user."""
-    rows = ev.event_stream(spark, d).select("user_id", "event_id")
-    return ev.run_to_table(rows, "manifest").groupBy("user_id").agg(F.count("*").alias("n"))

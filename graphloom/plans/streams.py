@@ -1,37 +1,68 @@
-"""Queries that run a stream over the events table to its end; their twins are batch SQL."""
+"""Queries that let the events table arrive as a stream, slice by slice; their twins are batch SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from graphloom.operators import diff
 from graphloom.plans.registry import query
+from graphloom.sources import star
 from graphloom.streaming import events as ev
 
 
+@query("l1_stream_manifest", "SELECT user_id, count(*) AS n FROM events GROUP BY user_id", graph=False)
+def l1_stream_manifest(spark, d):
+    """Batches of a stream appended to a manifest of events by user."""
+    rows = ev.replayed(star.table(spark, d, "events"), lambda s: s.select("user_id", "event_id"), "manifest")
+    return rows.groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@query("l1_stream_units", """
+WITH b AS (SELECT min(epoch_us(ts)) AS low, max(epoch_us(ts)) AS high FROM events), e AS (SELECT user_id, event_type, ts, event_id, least(3, floor((epoch_us(ts) - low) * 4 / greatest(1, high - low))) AS k FROM events, b)
+, m AS (SELECT user_id, arg_max(event_type, (ts, event_id)) FILTER (WHERE k < 3) AS old, arg_max(event_type, (ts, event_id)) AS new FROM e GROUP BY user_id)
+SELECT user_id, CASE WHEN old IS NULL THEN 'SYMBOL_ADDED' ELSE 'KIND_CHANGED' END AS unit FROM m WHERE old IS DISTINCT FROM new""", graph=False)
+def l1_stream_units(spark, d):
+    """Delta units of the last batch: the manifest of all batches against that of those before the last."""
+    e = star.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    parts = ev.slices(e)
+    by = lambda rows: rows.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("kind"))
+    before, after = parts[0], ev.replayed(e, lambda s: s.select("user_id", "event_type", "ts", "event_id"), "units")
+    for part in parts[1:-1]:
+        before = before.unionByName(part)
+    return diff.delta_units(by(before), by(after), "user_id", {"KIND_CHANGED": "kind"})
+
+
 @query("l2_stream_lineage", """
 SELECT run, object, writer, event_id AS reader FROM (
   SELECT *, last_value(CASE WHEN op IN ('WRITE', 'READ_WRITE') THEN event_id END IGNORE NULLS) OVER (PARTITION BY run, object ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS writer FROM data_events)
 WHERE op IN ('READ', 'READ_WRITE') AND writer IS NOT NULL""")
 def l2_stream_lineage(spark, d):
-    op = F.when(F.col("event_type").isin("purchase", "signup"), "WRITE").when(F.col("event_type") == "error", "READ_WRITE").otherwise("READ")
-    rows = ev.event_stream(spark, d).select(F.col("user_id").alias("run"), F.get_json_object("props", "$.k").alias("object"), "event_id", "ts", op.alias("op"))
-    return ev.run_to_table(ev.lineage(rows), "lineage")
+    events = star.data_events(spark, d).select("run", "object", "event_id", "ts", "op")
+    return ev.replayed(events, ev.lineage, "lineage")
 
 
 @query("l3_window_counts", "SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL", graph=False)
 def l3_window_counts(spark, d):
-    rows = ev.counts_by_window(ev.event_stream(spark, d), "6 hours")
-    return ev.run_to_table(rows, "windows", "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    rows = ev.replayed(star.table(spark, d, "events"), lambda s: ev.counts_by_window(s, "6 hours"), "windows", "complete")
+    return rows.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("l3_sliding_counts", """
 SELECT time_bucket(INTERVAL 3 HOUR, ts) - INTERVAL (3 * k) HOUR AS start, event_type, count(*) AS n FROM events, (SELECT unnest([0, 1]) AS k) GROUP BY ALL""", graph=False)
 def l3_sliding_counts(spark, d):
-    rows = ev.counts_by_window(ev.event_stream(spark, d), "6 hours", "3 hours")
-    return ev.run_to_table(rows, "windows", "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    rows = ev.replayed(star.table(spark, d, "events"), lambda s: ev.counts_by_window(s, "6 hours", "3 hours"), "windows", "complete")
+    return rows.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("l4_stream_sessions", """
+, g AS (SELECT run, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) < 7200000000 THEN 0 ELSE 1 END AS f FROM data_events WINDOW w AS (PARTITION BY run ORDER BY ts, event_id))
+, s AS (SELECT run, ts, sum(f) OVER (PARTITION BY run ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT run, min(ts) AS start, count(*) AS n FROM s GROUP BY run, k""")
+def l4_stream_sessions(spark, d):
+    rows = ev.replayed(star.data_events(spark, d).select("run", "ts"), lambda s: ev.session_counts(s, "2 hours"), "sessions", "complete")
+    return rows.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("l5_first_claims", "SELECT DISTINCT user_id, event_type FROM events", graph=False)
 def l5_first_claims(spark, d):
-    rows = ev.first_claims(ev.event_stream(spark, d), ["user_id", "event_type"]).select("user_id", "event_type")
-    return ev.run_to_table(rows, "claims")
+    rows = ev.replayed(star.table(spark, d, "events"), lambda s: ev.first_claims(s, ["user_id", "event_type"]), "claims")
+    return rows.select("user_id", "event_type")

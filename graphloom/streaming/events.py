@@ -1,12 +1,13 @@
-"""Streams of data events: windowed counts, first claims, and last-writer lineage with state.
+"""Streams of data events: windowed counts, first claims, sessions, and last-writer lineage with state.
 
-Each function takes a streaming (or batch) DataFrame; `run_to_table` drives a stream over what
-is there and returns the rows that it wrote.
+Each function takes a streaming (or batch) DataFrame; `replayed` lets a table arrive slice by slice
+and returns the rows that the stream wrote. State is kept as long as the watermark says, so the
+delays below are parameters of what a stream may still see, not of how long it runs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -16,11 +17,13 @@ from pyspark.sql import functions as F
 from graphloom.functions import shared_path
 
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream of files, its time as a timestamp."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+def slices(events: DataFrame, n: int = 4) -> list[DataFrame]:
+    """The events cut into n parts by time, one after the other."""
+    low, high = events.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    if low is None:
+        return [events]
+    part = F.least(F.lit(n - 1), F.floor((F.unix_micros("ts") - low) * n / max(1, high - low)))
+    return [events.where(part == k) for k in range(n)]
 
 
 def counts_by_window(events: DataFrame, length: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
@@ -30,44 +33,62 @@ def counts_by_window(events: DataFrame, length: str, slide: str | None = None, l
     return by.select(F.col("window.start").alias("start"), "event_type", "n")
 
 
-def first_claims(events: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
-    """The first event of each key."""
-    return events.withWatermark("ts", late).dropDuplicates(keys)
+def first_claims(events: DataFrame, keys: list[str], late: str = "365 days") -> DataFrame:
+    """The first event of each key; a key is forgotten once the watermark has passed it by `late`."""
+    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def lineage(events: DataFrame) -> DataFrame:
+def session_counts(events: DataFrame, gap: str, late: str = "1 hour") -> DataFrame:
+    """run, start, n of each session: events of a run without a longer pause than the gap."""
+    by = events.withWatermark("ts", late).groupBy("run", F.session_window("ts", gap)).agg(F.count("*").alias("n"))
+    return by.select("run", F.col("session_window.start").alias("start"), "n")
+
+
+def lineage(events: DataFrame, late: str = "1 hour", forget_ms: int = 365 * 86_400_000) -> DataFrame:
     """run, object, writer, reader by state: the last write of each (run, object).
 
-    events: run, object, event_id, ts, op. A batch's events of one key are sorted by (ts, event_id).
+    events: run, object, event_id, ts, op. Within a batch the events of a key are sorted by
+    (ts, event_id); events later than the watermark are left out by Spark, so no batch writes before
+    what an earlier one has read. The last write is forgotten `forget_ms` behind the watermark.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         last = state.get[0] if state.exists else None
-        out = []
-        for event, op in zip(rows["event_id"], rows["op"], strict=True):
-            if op in ("READ", "READ_WRITE") and last is not None:
-                out.append((key[0], key[1], last, event))
-            if op in ("WRITE", "READ_WRITE"):
-                last = int(event)
+        wrote = rows["event_id"].where(rows["op"].isin(["WRITE", "READ_WRITE"])).astype("Int64").ffill()
+        before = wrote.shift()
+        if last is not None:
+            before = before.fillna(last)
+        reads = rows["op"].isin(["READ", "READ_WRITE"]) & before.notna()
+        if not wrote.empty and pd.notna(wrote.iloc[-1]):
+            last = int(wrote.iloc[-1])
         if last is not None:
             state.update((last,))
-        yield pd.DataFrame(out, columns=["run", "object", "writer", "reader"])
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(rows["ts"].max().timestamp() * 1000)) + forget_ms)
+        yield pd.DataFrame({"run": key[0], "object": key[1], "writer": before[reads].astype("int64"), "reader": rows["event_id"][reads]})
 
-    return events.groupBy("run", "object").applyInPandasWithState(step, "run long, object string, writer long, reader long", "last long", "append", "NoTimeout")
+    keyed = events.withWatermark("ts", late).groupBy("run", "object")
+    return keyed.applyInPandasWithState(step, "run long, object string, writer long, reader long", "last long", "append", "EventTimeTimeout")
 
 
-def run_to_table(rows: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is available, batch by batch into a Parquet table, and reads it.
-
-    In complete mode every batch replaces the table.
-    """
-    spark = rows.sparkSession
-    out, marks = shared_path(spark, name), shared_path(spark, f"{name}-marks")
+def replayed(events: DataFrame, make: Callable[[DataFrame], DataFrame], name: str, mode: str = "append", n: int = 4) -> DataFrame:
+    """Lets the events arrive in n slices by time, each a batch of its own of one query that is started anew
+    from its checkpoint, and reads what it wrote. In complete mode every batch replaces the table."""
+    spark: SparkSession = events.sparkSession
+    arrivals, out, marks = (shared_path(spark, f"{name}-{x}") for x in ("arrivals", "rows", "marks"))
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
 
     def put(batch: DataFrame, _: int) -> None:
         batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
 
-    query = rows.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", marks).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(rows.schema).parquet(out)
+    schema = None
+    for part in slices(events, n):
+        part.write.mode("append").parquet(arrivals)
+        rows = make(spark.readStream.schema(events.schema).parquet(arrivals))
+        schema = rows.schema
+        query = rows.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", marks).trigger(availableNow=True).start()
+        query.awaitTermination()
+    return spark.read.schema(schema).parquet(out)
