@@ -14,6 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.functions import settled, shared_path
 
@@ -83,7 +84,7 @@ def map_text(
     column. Only the named columns are read, so clashing extra columns do no harm.
     """
     carried = carried or {}
-    names, more = [part.strip().split()[0] for part in schema.split(",")], list(carried)
+    names, more = T.StructType.fromDDL(schema).fieldNames(), list(carried)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
