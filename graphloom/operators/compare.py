@@ -400,3 +400,20 @@ def exposure(hidden: DataFrame, exposed: DataFrame, rule: str) -> DataFrame:
     """Findings (rule, severity, status, subject, token): what a unit hides, as (unit, token), but does not expose."""
     lost = hidden.select("unit", "token").distinct().join(exposed.select("unit", "token").distinct(), ["unit", "token"], "left_anti")
     return lost.select(F.lit(rule).alias("rule"), F.lit("WARNING").alias("severity"), F.lit("VIOLATION").alias("status"), F.col("unit").alias("subject"), "token")
+
+
+def master_flow(calls: DataFrame, flows: DataFrame) -> DataFrame:
+    """part (node or edge), kind, src, dst, n, truth, unresolved: a flow as one table.
+
+    calls: src, dst, truth, resolution (CALL edges between regions and what they call); flows: src, dst,
+    token (DATA edges). An edge is as sure as its least sure witness; a node counts its unresolved edges.
+    """
+    worst = F.when(F.bool_and(F.col("truth").isin(*HARD)), "RESOLVED").otherwise("INFERRED")
+    call = calls.groupBy("src", "dst").agg(F.count("*").alias("n"), worst.alias("truth"), F.count_if(F.col("resolution") != "EXACT").alias("unresolved"))
+    data_ = flows.groupBy("src", "dst").agg(F.count_distinct("token").alias("n")).select("src", "dst", "n", F.lit("RESOLVED").alias("truth"), F.lit(0).cast("long").alias("unresolved"))
+    edges = call.withColumn("kind", F.lit("CALL")).unionByName(data_.withColumn("kind", F.lit("DATA")))
+    ends = edges.select(F.explode(F.array_distinct(F.array("src", "dst"))).alias("src"), "truth", "unresolved")
+    sure = F.when(F.bool_and(F.col("truth") == "RESOLVED"), "RESOLVED").otherwise("INFERRED")
+    nodes = ends.groupBy("src").agg(F.count("*").alias("n"), sure.alias("truth"), F.sum("unresolved").alias("unresolved"))
+    nodes = nodes.select(F.lit("node").alias("part"), F.lit("REGION").alias("kind"), "src", F.lit(None).cast("string").alias("dst"), "n", "truth", "unresolved")
+    return nodes.unionByName(edges.select(F.lit("edge").alias("part"), "kind", "src", "dst", "n", "truth", "unresolved"))

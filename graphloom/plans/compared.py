@@ -469,3 +469,17 @@ def d25_stage_edges(spark, d):
     flow = _items(spark, d).where("now AND l_returnflag = 'R'").select(F.col("dst").alias("src"), F.col("src").alias("dst")).distinct().withColumn("weight", F.lit(1))
     one = lambda rows, kind: design.stage_edges(rows, stage).select(F.lit(kind).alias("kind"), "src_stage", "dst_stage", "n")
     return one(calls, "CONTROL").unionByName(one(flow, "DATA"))
+
+
+@query("d23_master_flow", f"""{_ITEMS}
+, c AS (SELECT 'type:' || p_type AS src, dst, count(*) AS n, CASE WHEN bool_and(l_returnflag IN ('R', 'A')) THEN 'RESOLVED' ELSE 'INFERRED' END AS truth, count_if(l_discount >= 0.05)::BIGINT AS unresolved FROM items WHERE now GROUP BY ALL)
+, f AS (SELECT dst AS src, 'priority:' || o_orderpriority AS dst, count(DISTINCT p_brand) AS n, 'RESOLVED' AS truth, 0::BIGINT AS unresolved FROM items WHERE now AND l_returnflag = 'R' GROUP BY ALL)
+, e AS (SELECT 'CALL' AS kind, * FROM c UNION ALL SELECT 'DATA', * FROM f), x AS (SELECT unnest(list_distinct([src, dst])) AS src, truth, unresolved FROM e)
+SELECT 'node' AS part, 'REGION' AS kind, src, NULL AS dst, count(*) AS n, CASE WHEN bool_and(truth = 'RESOLVED') THEN 'RESOLVED' ELSE 'INFERRED' END AS truth, sum(unresolved)::BIGINT AS unresolved FROM x GROUP BY src
+UNION ALL SELECT 'edge', kind, src, dst, n, truth, unresolved FROM e""", graph=False)
+def d23_master_flow(spark, d):
+    items = _items(spark, d).where("now")
+    truth = F.when(F.col("l_returnflag") == "R", "OBSERVED").when(F.col("l_returnflag") == "A", "RESOLVED").otherwise("INFERRED")
+    calls = items.select(F.concat(F.lit("type:"), "p_type").alias("src"), "dst", truth.alias("truth"), F.when(F.col("l_discount") < 0.05, "EXACT").otherwise("CANDIDATE_SET").alias("resolution"))
+    flows = items.where("l_returnflag = 'R'").select(F.col("dst").alias("src"), F.concat(F.lit("priority:"), "o_orderpriority").alias("dst"), F.col("p_brand").alias("token"))
+    return compare.master_flow(calls, flows)
