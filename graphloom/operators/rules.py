@@ -81,10 +81,84 @@ def unresolved_targets(c: Context, capability: str) -> DataFrame:
     return finding(by, "U001", "INFO", F.col("src"), F.col("n").cast("string"), "UNKNOWN")
 
 
+def _pair(a: str = "src", b: str = "dst") -> Column:
+    return F.concat_ws("|", a, b)
+
+
+def type_mismatch(c: Context, capability: str) -> DataFrame:
+    """Ends with known types that are not compatible (types: block, token, direction, type; compatible: a, b)."""
+    side = lambda way, end, name: c["types"].where(F.col("direction") == way).select(F.col("block").alias(end), "token", F.col("type").alias(name))
+    j = c["edges"].select("src", "dst", "token").distinct().join(side("out", "src", "a"), ["src", "token"]).join(side("in", "dst", "b"), ["dst", "token"])
+    lost = j.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").join(c["compatible"], ["a", "b"], "left_anti")
+    return gate(finding(lost, "P003", "ERROR", _pair(), F.col("token")), c["edges"], "P003", capability)
+
+
+def wrong_direction(c: Context, capability: str) -> DataFrame:
+    """Edges that leave a port which only takes in, or enter one which only gives out."""
+    ways = c["ports"].groupBy("block", "token").agg(F.bool_or(F.col("direction") == "out").alias("gives"), F.bool_or(F.col("direction") == "in").alias("takes"))
+    e = c["edges"].select("src", "dst", "token").distinct()
+    j = e.join(ways.select(F.col("block").alias("src"), "token", "gives"), ["src", "token"], "left").join(ways.select(F.col("block").alias("dst"), "token", "takes"), ["dst", "token"], "left")
+    return gate(finding(j.where("NOT gives OR NOT takes"), "P004", "ERROR", _pair(), F.col("token")), c["edges"], "P004", capability)
+
+
+def crossing_without_port(c: Context, capability: str) -> DataFrame:
+    """Tokens that cross a unit's border where the unit has no port for them (members: unit, id; unit_ports: unit, token)."""
+    m = c["members"]
+    j = c["edges"].select("src", "dst", "token").distinct().join(m.toDF("su", "src"), "src").join(m.toDF("du", "dst"), "dst").where("su <> du")
+    crossed = j.select(F.explode(F.array("su", "du")).alias("unit"), "token").distinct().join(c["unit_ports"], ["unit", "token"], "left_anti")
+    return gate(finding(crossed, "D003", "WARNING", F.col("unit"), F.col("token")), c["edges"], "D003", capability)
+
+
+def unsupported_order(c: Context, capability: str) -> DataFrame:
+    """MUST claims of order (claims: src, dst, modality) that the order contradicts, or does not hold."""
+    o = c["order"].select("before", "after").distinct()
+    claims = c["claims"].where("modality = 'MUST'").select("src", "dst").distinct()
+    j = claims.join(o.select(F.col("before").alias("src"), F.col("after").alias("dst"), F.lit(True).alias("yes")), ["src", "dst"], "left")
+    j = j.join(o.select(F.col("after").alias("src"), F.col("before").alias("dst"), F.lit(True).alias("no")), ["src", "dst"], "left").where("yes IS NULL")
+    against = F.col("no").isNotNull()
+    status = F.when(against, "VIOLATION").otherwise("VIOLATION" if capability == "COMPLETE" else "UNKNOWN")
+    return finding(j, "C001", F.when(against, "ERROR").otherwise("WARNING"), _pair(), F.when(against, "contradicted").otherwise("unsupported"), status)
+
+
+def missing_branch(c: Context, capability: str) -> DataFrame:
+    """Designed relations (designed: src, dst) without an edge: a warning, or unknown where coverage is not complete."""
+    lost = c["designed"].select("src", "dst").distinct().join(c["edges"].select("src", "dst").distinct(), ["src", "dst"], "left_anti")
+    sure = capability == "COMPLETE"
+    return finding(lost, "C003", "WARNING" if sure else "INFO", _pair(), F.lit(""), "VIOLATION" if sure else "UNKNOWN")
+
+
+def hidden_resource(c: Context, capability: str) -> DataFrame:
+    """Resources of a unit's members that its boundary does not expose (exposed: unit, resource)."""
+    needs = c["members"].join(c["resources"].select(F.col("block").alias("id"), "resource"), "id").select("unit", "resource").distinct()
+    return finding(needs.join(c["exposed"].select("unit", "resource").distinct(), ["unit", "resource"], "left_anti"), "R002", "WARNING", F.col("unit"), F.col("resource"))
+
+
+def exclusive_twice(c: Context, capability: str) -> DataFrame:
+    """Pairs of users of an exclusive resource (exclusive: resource) without an order either way."""
+    u = c["resources"].join(c["exclusive"], "resource", "left_semi").select(F.col("resource").alias("token"), F.col("block").alias("a")).distinct()
+    return finding(_unordered(c, u, u.withColumnRenamed("a", "b"), once=True), "R003", "ERROR", _pair("a", "b"), F.col("token"))
+
+
+def open_candidates(c: Context, capability: str) -> DataFrame:
+    rows = c["edges"].where("resolution = 'CANDIDATE_SET'").select("src", "dst").distinct()
+    return finding(rows, "U002", "INFO", _pair(), F.lit(""), "UNKNOWN")
+
+
+def inferred_may(c: Context, capability: str) -> DataFrame:
+    """One note if there are inferred edges that may or may not run."""
+    n = c["edges"].where("truth = 'INFERRED' AND modality = 'MAY'").agg(F.count("*").alias("n")).where("n > 0")
+    return finding(n, "U003", "INFO", F.lit(""), F.col("n").cast("string"), "UNKNOWN")
+
+
 RULES: dict[str, Rule] = {
     "P001": input_without_producer, "P002": output_without_consumer, "D001": several_producers, "S001": conflicting_writers,
     "S002": read_write_race, "R001": missing_resource, "U001": unresolved_targets,
 }
+#: Rules that need more of a context than ports, edges, order and resources.
+FULL_RULES: dict[str, Rule] = RULES | {
+    "P003": type_mismatch, "P004": wrong_direction, "D003": crossing_without_port, "C001": unsupported_order, "C003": missing_branch,
+    "R002": hidden_resource, "R003": exclusive_twice, "U002": open_candidates, "U003": inferred_may,
+}
 
 
 def run(c: Context, capability: str = "COMPLETE", rules: dict[str, Rule] | None = None) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators import compare, design
+from graphloom.functions import settled
+from graphloom.operators import compare, design, rules
 from graphloom.plans.registry import query
 from graphloom.sources import star
 
@@ -483,3 +484,72 @@ def d23_master_flow(spark, d):
     calls = items.select(F.concat(F.lit("type:"), "p_type").alias("src"), "dst", truth.alias("truth"), F.when(F.col("l_discount") < 0.05, "EXACT").otherwise("CANDIDATE_SET").alias("resolution"))
     flows = items.where("l_returnflag = 'R'").select(F.col("dst").alias("src"), F.concat(F.lit("priority:"), "o_orderpriority").alias("dst"), F.col("p_brand").alias("token"))
     return compare.master_flow(calls, flows)
+
+
+_FULL = f"""{_ITEMS}
+, ed AS (SELECT DISTINCT dst AS src, src AS dst, p_brand AS token, CASE WHEN l_returnflag = 'R' THEN 'WRITE' ELSE 'READ' END AS access, CASE WHEN l_discount < 0.05 THEN 'EXACT' WHEN l_discount < 0.08 THEN 'CANDIDATE_SET' ELSE 'UNKNOWN' END AS resolution,
+    CASE WHEN l_linestatus = 'F' THEN 'OBSERVED' ELSE 'INFERRED' END AS truth, CASE WHEN l_tax > 0.03 THEN 'MUST' ELSE 'MAY' END AS modality FROM items WHERE now AND l_quantity >= 40)
+, po AS (SELECT DISTINCT dst AS block, p_brand AS token, CASE WHEN l_returnflag = 'R' THEN 'in' ELSE 'out' END AS direction, CASE WHEN o_orderstatus = 'F' THEN 'RESOLVED' ELSE 'INFERRED' END AS truth FROM items WHERE NOT now
+  UNION SELECT DISTINCT src, p_brand, CASE WHEN l_returnflag = 'R' THEN 'out' ELSE 'in' END, CASE WHEN o_orderstatus = 'F' THEN 'RESOLVED' ELSE 'INFERRED' END FROM items WHERE NOT now)
+, ty AS (SELECT dst AS block, p_brand AS token, 'out' AS direction, {_TYPE} AS type FROM items WHERE now GROUP BY ALL UNION ALL SELECT src, p_brand, 'in', {_TYPE} FROM items WHERE now GROUP BY ALL)
+, fst AS (SELECT l_orderkey, now, l_suppkey, min(l_shipdate) AS day FROM items WHERE l_quantity > 25 GROUP BY ALL), stp AS (SELECT now, 'supplier:' || l_suppkey AS src, 'supplier:' || lead(l_suppkey) OVER w AS dst, lead(day) OVER w >= day + INTERVAL 30 DAY AS far FROM fst WINDOW w AS (PARTITION BY l_orderkey ORDER BY day, l_suppkey))
+, ord AS (SELECT DISTINCT src AS a, dst AS b FROM stp WHERE dst IS NOT NULL AND NOT now), ways AS (SELECT a, b FROM ord UNION SELECT b, a FROM ord), clm AS (SELECT DISTINCT src, dst FROM stp WHERE dst IS NOT NULL AND now AND far)
+, rs AS (SELECT DISTINCT dst AS block, 'part:' || l_partkey AS resource, l_discount > 0.05 AS shown FROM items WHERE l_quantity >= 49), me AS (SELECT 'nation:' || s_nationkey AS unit, 'supplier:' || s_suppkey AS id FROM supplier UNION ALL SELECT 'nation:' || c_nationkey, 'customer:' || c_custkey FROM customer)
+, cr AS (SELECT a.unit AS su, b.unit AS du, token FROM ed JOIN me a ON a.id = src JOIN me b ON b.id = dst AND a.unit <> b.unit), up AS (SELECT DISTINCT unit, token FROM po JOIN me ON id = block)
+, w AS (SELECT DISTINCT token, src AS x FROM ed WHERE access = 'WRITE'), r AS (SELECT DISTINCT token, src AS x FROM ed WHERE access = 'READ'), env AS (SELECT DISTINCT resource FROM rs WHERE shown)
+SELECT 'P001' AS rule, CASE WHEN truth <> 'INFERRED' THEN 'ERROR' ELSE 'WARNING' END AS severity, CASE WHEN truth <> 'INFERRED' THEN 'VIOLATION' ELSE 'UNKNOWN' END AS status, block AS subject, token FROM po WHERE direction = 'in' AND (block, token) NOT IN (SELECT dst, token FROM ed)
+UNION ALL SELECT 'P002', 'INFO', 'VIOLATION', block, token FROM po WHERE direction = 'out' AND (block, token) NOT IN (SELECT src, token FROM ed)
+UNION ALL SELECT 'D001', 'ERROR', 'VIOLATION', dst, token FROM ed GROUP BY dst, token HAVING count(DISTINCT src) > 1
+UNION ALL SELECT 'S001', 'ERROR', 'VIOLATION', u.x || '|' || v.x, u.token FROM w u JOIN w v ON u.token = v.token AND u.x < v.x WHERE (u.x, v.x) NOT IN (SELECT a, b FROM ways)
+UNION ALL SELECT 'S002', 'WARNING', 'VIOLATION', u.x || '|' || v.x, u.token FROM w u JOIN r v ON u.token = v.token AND u.x <> v.x WHERE (u.x, v.x) NOT IN (SELECT a, b FROM ways)
+UNION ALL SELECT 'R001', 'ERROR', 'VIOLATION', block, resource FROM rs WHERE resource NOT IN (SELECT resource FROM env)
+UNION ALL SELECT 'U001', 'INFO', 'UNKNOWN', src, count(*)::VARCHAR FROM ed WHERE resolution <> 'EXACT' GROUP BY src
+UNION ALL SELECT 'P003', 'ERROR', 'VIOLATION', e.src || '|' || e.dst, e.token FROM (SELECT DISTINCT src, dst, token FROM ed) e JOIN ty a ON a.block = e.src AND a.token = e.token AND a.direction = 'out' JOIN ty b ON b.block = e.dst AND b.token = e.token AND b.direction = 'in' WHERE a.type <> b.type AND (a.type, b.type) NOT IN (VALUES ('int', 'float'), ('bool', 'int'))
+UNION ALL SELECT 'P004', 'ERROR', 'VIOLATION', e.src || '|' || e.dst, e.token FROM (SELECT DISTINCT src, dst, token FROM ed) e LEFT JOIN (SELECT block, token, bool_or(direction = 'out') AS gives FROM po GROUP BY ALL) g ON g.block = e.src AND g.token = e.token
+  LEFT JOIN (SELECT block, token, bool_or(direction = 'in') AS takes FROM po GROUP BY ALL) t ON t.block = e.dst AND t.token = e.token WHERE NOT gives OR NOT takes
+UNION ALL SELECT 'D003', 'WARNING', 'VIOLATION', unit, token FROM (SELECT su AS unit, token FROM cr UNION SELECT du, token FROM cr) WHERE (unit, token) NOT IN (SELECT unit, token FROM up)
+UNION ALL SELECT 'C001', CASE WHEN (dst, src) IN (SELECT a, b FROM ord) THEN 'ERROR' ELSE 'WARNING' END, 'VIOLATION', src || '|' || dst, CASE WHEN (dst, src) IN (SELECT a, b FROM ord) THEN 'contradicted' ELSE 'unsupported' END FROM clm WHERE (src, dst) NOT IN (SELECT a, b FROM ord)
+UNION ALL SELECT 'C003', 'WARNING', 'VIOLATION', n.dst || '|' || n.src, '' FROM nets n WHERE (n.dst, n.src) NOT IN (SELECT src, dst FROM ed)
+UNION ALL SELECT DISTINCT 'R002', 'WARNING', 'VIOLATION', unit, resource FROM rs JOIN me ON id = block WHERE (unit, resource) NOT IN (SELECT unit, resource FROM rs JOIN me ON id = block WHERE shown)
+UNION ALL SELECT DISTINCT 'R003', 'ERROR', 'VIOLATION', a.block || '|' || b.block, a.resource FROM rs a JOIN rs b ON a.resource = b.resource AND a.block < b.block WHERE (a.block, b.block) NOT IN (SELECT a, b FROM ways)
+UNION ALL SELECT DISTINCT 'U002', 'INFO', 'UNKNOWN', src || '|' || dst, '' FROM ed WHERE resolution = 'CANDIDATE_SET'
+UNION ALL SELECT 'U003', 'INFO', 'UNKNOWN', '', count(*)::VARCHAR FROM ed WHERE truth = 'INFERRED' AND modality = 'MAY' HAVING count(*) > 0
+"""
+
+
+def _full_context(spark, d) -> dict[str, DataFrame]:
+    """What is sold in quantity since a date as edges, what was sold before as ports, order and design."""
+    items = settled(_items(spark, d), "items")
+    now, before = items.where("now"), items.where("NOT now")
+    when = lambda c, a, b: F.when(c, a).otherwise(b)
+    returned = F.col("l_returnflag") == "R"
+    edges = now.where("l_quantity >= 40").select(
+        F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("p_brand").alias("token"), when(returned, "WRITE", "READ").alias("access"),
+        F.when(F.col("l_discount") < 0.05, "EXACT").when(F.col("l_discount") < 0.08, "CANDIDATE_SET").otherwise("UNKNOWN").alias("resolution"),
+        when(F.col("l_linestatus") == "F", "OBSERVED", "INFERRED").alias("truth"), when(F.col("l_tax") > 0.03, "MUST", "MAY").alias("modality"),
+    ).distinct()
+    port = lambda end, a, b: before.select(F.col(end).alias("block"), F.col("p_brand").alias("token"), when(returned, a, b).alias("direction"), when(F.col("o_orderstatus") == "F", "RESOLVED", "INFERRED").alias("truth"))
+    ports = port("dst", "in", "out").unionByName(port("src", "out", "in")).distinct()
+    m = F.min("p_size")
+    kind = F.when(m < 8, "int").when(m < 16, "str").when(m < 24, "float").when(m < 32, "bool").when(m < 40, "list")
+    typed = lambda end, way: now.groupBy(F.col(end).alias("block"), F.col("p_brand").alias("token")).agg(kind.alias("type")).withColumn("direction", F.lit(way))
+    w = Window.partitionBy("l_orderkey").orderBy("day", "l_suppkey")
+    first = items.where("l_quantity > 25").groupBy("l_orderkey", "now", "l_suppkey").agg(F.min("l_shipdate").alias("day"))
+    step = first.select("now", star.node_id("supplier", "l_suppkey").alias("src"), F.lead("l_suppkey").over(w).alias("next"), (F.lead("day").over(w) >= F.col("day") + F.expr("INTERVAL 30 DAYS")).alias("far")).where("next IS NOT NULL")
+    step = step.withColumn("dst", star.node_id("supplier", "next"))
+    resources = items.where("l_quantity >= 49").select(F.col("dst").alias("block"), star.node_id("part", "l_partkey").alias("resource"), (F.col("l_discount") > 0.05).alias("shown")).distinct()
+    members = _members(spark, d)
+    exposed = members.join(resources.where("shown").select(F.col("block").alias("id"), "resource"), "id").select("unit", "resource")
+    context = {
+        "edges": edges, "ports": ports, "types": typed("dst", "out").unionByName(typed("src", "in")), "compatible": spark.createDataFrame([("int", "float"), ("bool", "int")], "a string, b string"),
+        "order": step.where("NOT now").select(F.col("src").alias("before"), F.col("dst").alias("after")).distinct(), "claims": step.where("now AND far").select("src", "dst", F.lit("MUST").alias("modality")),
+        "resources": resources.drop("shown"), "environment": resources.where("shown").select("resource").distinct(), "exclusive": resources.select("resource").distinct(), "members": members, "exposed": exposed,
+        "unit_ports": ports.select(F.col("block").alias("id"), "token").join(members, "id").select("unit", "token").distinct(), "designed": _nets(spark, d).select(F.col("dst").alias("src"), F.col("src").alias("dst")),
+    }
+    # every rule reads the same tables
+    return context | {k: settled(context[k], k) for k in ("edges", "ports", "order", "resources")}
+
+
+@query("k21_full_rules", _FULL, graph=False)
+def k21_full_rules(spark, d):
+    return rules.run(_full_context(spark, d), rules=rules.FULL_RULES)
