@@ -24,6 +24,9 @@ BLOCK_BYTES = 1 << 19
 #: Rows and bytes of an Arrow batch of texts (a batch holds one row at least).
 BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
 
+#: Hashes of texts that a task remembers.
+SEEN_MOST = 500_000
+
 U64 = np.uint64
 
 
@@ -110,15 +113,18 @@ def text_keys(docs: DataFrame, *more: str | Column) -> DataFrame:
 
 
 def one_copy(docs: DataFrame) -> DataFrame:
-    """k1, k2 and text: each text once for each partition of docs, so that copies stay where they are read.
+    """k1, k2 and text, most copies left out: each text about once for each partition of docs.
 
-    A task remembers the hashes of the texts that it has seen.
+    A task remembers the hashes of the last SEEN_MOST texts and more, so its memory is bounded; a copy
+    that comes after it has forgotten passes, and what follows must expect that.
     """
 
     def run(batches):
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             keep = []
+            if len(seen) > SEEN_MOST:
+                seen.clear()
             for key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 keep.append(key not in seen)
                 seen.add(key)
