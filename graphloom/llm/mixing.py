@@ -52,9 +52,10 @@ STEPS_KEPT, STEPS_MOST = 16, 1_000
 #: Bins of a statistic.
 BINS = 8
 #: Runs of characters whose number for each token is a statistic: digits, capitals, symbols that
-#: prose does without, one mark several times in a row, ends of sentences, other stops, lines.
-RUNS = (r"[0-9]++", r"[A-Z]++", r"[#*$%&|<>@^~_=+/\\{}\[\]]++", r"([!-/:-@\[-`{-~])\1++", r"[.!?]++(?=\s|$)", r"[,;:]++", r"\n++")
-N_STATISTICS = len(RUNS) + 3
+#: prose does without, one mark several times in a row, ends of sentences, other stops. Line feeds
+#: are counted by bytes.
+RUNS = (r"[0-9]++", r"[A-Z]++", r"[#*$%&|<>@^~_=+/\\{}\[\]]++", r"([!-/:-@\[-`{-~])\1++", r"[.!?]++(?=\s|$)", r"[,;:]++")
+N_STATISTICS = len(RUNS) + 4
 
 
 def tokens(text: Column) -> Column:
@@ -62,15 +63,16 @@ def tokens(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]++")).cast("long")
 
 
-def statistics(text: Column, letters: Column) -> list[Column]:
-    """The counts that the statistics of a text are made of; letters are its runs of letters."""
-    return [*[F.regexp_count(text, F.lit(r)) for r in RUNS], F.octet_length(text), F.size(F.array_distinct(letters)), F.size(letters)]
+def statistics(text: Column, distinct: Column, n_letters: Column) -> list[Column]:
+    """The counts that the statistics of a text are made of; distinct are its different runs of letters."""
+    size = F.octet_length(text)
+    return [*[F.regexp_count(text, F.lit(r)) for r in RUNS], size - F.octet_length(F.replace(text, F.lit("\n"))), size, F.size(distinct), n_letters]
 
 
 def bins(c: list[Column], n_tokens: Column) -> list[Column]:
     """The bins of the statistics: 0 for nothing, else from 1 on, each so many times as wide as the one before."""
     n = F.greatest(n_tokens, F.lit(1)).cast("double")
-    shares = [(x / n, 2.0, 1.0) for x in c[: len(RUNS)]] + [(c[-3] / n, 1.25, 12.0), (n_tokens.cast("double"), 3.0, 2000.0), (c[-2] / c[-1], 1.3, 0.95)]
+    shares = [(x / n, 2.0, 1.0) for x in c[:-3]] + [(c[-3] / n, 1.25, 12.0), (n_tokens.cast("double"), 3.0, 2000.0), (c[-2] / c[-1], 1.3, 0.95)]
     # the last bin begins at `last`
     number = lambda x, step, last: F.floor(F.lit(float(BINS - 1)) + F.log(x / last) / math.log(step)).cast("int")
     return [F.when(x <= 0, F.lit(0)).otherwise(F.greatest(F.lit(1), F.least(F.lit(BINS - 1), number(x, step, last)))) for x, step, last in shares]
@@ -106,15 +108,17 @@ class Classifier:
     held: list[list[tuple[float, float]]]
 
 
-_COUNTS = [f"c_{i}" for i in range(len(RUNS) + 3)]
+_COUNTS = [f"c_{i}" for i in range(len(RUNS) + 4)]
 
 
 def _read(docs: DataFrame, *more: Column) -> DataFrame:
-    """more, n_tokens_, the runs of letters and the counts of the statistics, all under names of their own."""
+    """more, n_tokens_, the different runs of letters and the counts of the statistics, all under names of their own."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(*[m.alias(f"m_{i}") for i, m in enumerate(more)], text.alias("text_"), letter_runs(text).alias("letters_"))
-    counts = [c.cast("double").alias(name) for name, c in zip(_COUNTS, statistics(F.col("text_"), F.col("letters_")), strict=True)]
-    return rows.select(*[f"m_{i}" for i in range(len(more))], tokens(F.col("text_")).alias("n_tokens_"), "letters_", *counts)
+    kept = [f"m_{i}" for i in range(len(more))]
+    rows = docs.select(*[m.alias(k) for k, m in zip(kept, more, strict=True)], text.alias("text_"), letter_runs(text).alias("letters_"))
+    rows = rows.select(*kept, "text_", F.array_distinct("letters_").alias("distinct_"), F.size("letters_").alias("n_letters_"))
+    counts = [c.cast("double").alias(name) for name, c in zip(_COUNTS, statistics(F.col("text_"), F.col("distinct_"), F.col("n_letters_")), strict=True)]
+    return rows.select(*kept, tokens(F.col("text_")).alias("n_tokens_"), "distinct_", *counts)
 
 
 def _bins() -> list[Column]:
@@ -127,7 +131,7 @@ def train(docs: DataFrame, labelled: DataFrame, max_train_rows: int = MAX_TRAIN_
     mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # at most max_train_rows ids
     mine = _read(mine.join(F.broadcast(ids), "doc_id"), F.col("domain"))
-    mine = tb.written(mine.select(F.col("m_0").alias("domain"), F.array(*_bins()).alias("b"), words(F.col("letters_")).alias("w")), "mixing_sample")
+    mine = tb.written(mine.select(F.col("m_0").alias("domain"), F.array(*_bins()).alias("b"), words(F.col("distinct_")).alias("w")), "mixing_sample")
     count = {r.domain: r.n for r in mine.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     names = sorted(count)
     if not names:
@@ -155,7 +159,7 @@ def memberships(docs: DataFrame, model: Classifier, *more: Column) -> DataFrame:
     numbers = [b.alias(f"b_{f}") for f, b in enumerate(_bins())]
     # mined words are found in the set of a text's words, whole words against whole words
     known = F.array(*map(F.lit, model.words)).cast("array<string>")
-    hits = F.array_intersect("letters_", known) if model.words else known
+    hits = F.array_intersect("distinct_", known) if model.words else known
     rows = rows.select(*kept, "n_tokens_", *numbers, hits.alias("hits_"))
     logs = []
     for k in range(len(model.names)):

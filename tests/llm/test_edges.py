@@ -434,7 +434,7 @@ def test_mixing_classifier_against_plain_python(spark):
 
     def of(t):
         runs, n = re.split(r"[^a-z]+", t.lower()), max(1, len(t.split()))
-        patterns = ("[0-9]+", "[A-Z]+", r"[#*$%&|<>@^~_=+/\\{}\[\]]+", r"([!-/:-@\[-`{-~])\1+", r"[.!?]+(?=\s|$)", "[,;:]+", "\n+")
+        patterns = ("[0-9]+", "[A-Z]+", r"[#*$%&|<>@^~_=+/\\{}\[\]]+", r"([!-/:-@\[-`{-~])\1+", r"[.!?]+(?=\s|$)", "[,;:]+", "\n")
         x = [(len([*re.finditer(p, t)]) / n, 2.0, 1.0) for p in patterns] + [(len(t) / n, 1.25, 12.0), (len(t.split()), 3.0, 2000.0), (len(set(runs)) / len(runs), 1.3, 0.95)]
         return [0 if v <= 0 else max(1, min(7, int(np.floor(7 + np.log(v / last) / np.log(step))))) for v, step, last in x], {r for r in runs if len(r) >= 4}
 
