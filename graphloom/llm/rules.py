@@ -67,7 +67,7 @@ def _tokeniser(path: str):
         part = np.zeros(max(ranks.values()) + 1, bool)
         for piece, i in ranks.items():
             part[i] = len(piece.decode("utf-8", "ignore").encode()) < len(piece)
-        return (lambda words: own.encode_ordinary_batch([f" {w}" for w in words], num_threads=1)), part
+        return (lambda words: [own.encode_ordinary(f" {w}") for w in words]), part
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
