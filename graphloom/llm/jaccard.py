@@ -1,7 +1,8 @@
 """Operator 6: exact n-gram Jaccard join with signature trees.
 
-A document's set holds its distinct `n`-word shingles as 64-bit hashes. Documents with equal
-sets form a class (named by a 64-bit hash of the set) and are compared once.
+A document's set holds its distinct `n`-word shingles as 64-bit hashes, under a key that the driver
+draws for each run, so no words can be built to be taken for others. Documents with equal sets form
+a class (named by a 64-bit hash of the set) and are compared once.
 
 1. Prefixes. In one global order of the shingles, sets that overlap by `share` of either share
    at least l of the first (set size - least overlap + l) shingles. The order puts shingles
@@ -54,12 +55,12 @@ SMALL = 16
 ORDER_MOST = 100_000
 
 
-def shingle_sets(column: pa.Array, n: int = SHINGLE) -> list[np.ndarray]:
+def shingle_sets(column: pa.Array, key: bytes, n: int = SHINGLE) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     buf, offs = tb.flat(column)
     low = tb.lower_ascii(buf)
     starts, ends = tb.word_bounds(low, offs, tb.SPACED)
-    words = tb.word_hashes(low, starts, ends)
+    words = tb.keyed_hashes(low, starts, ends, key)
     at = np.searchsorted(starts, offs).tolist()
     count = np.diff(at)
     place = np.arange(len(words))
@@ -89,19 +90,19 @@ def quota(size, percent: int = PERCENT):
 
 
 def _key(s: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit hashes of a sorted set: its class, and what proves that a class is one set."""
+    """Two 64-bit hashes of a sorted set (of keyed hashes): its class, and what proves that a class is one set."""
     raw = xxhash.xxh3_128_intdigest(s.tobytes())
     return (raw & (2**64 - 1)) - 2**63, (raw >> 64) - 2**63
 
 
-def frequent(docs: DataFrame, n: int = SHINGLE) -> np.ndarray:
+def frequent(docs: DataFrame, key: bytes, n: int = SHINGLE) -> np.ndarray:
     """Shingles of a bounded hash sample of documents that many of these hold, sorted."""
     step = max(1, docs.count() // ORDER_ROWS)
     few = docs.select(F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id").cast("long"), F.length("text")).alias("h"))
     few = few.where(F.pmod("h", F.lit(step)) == 0).select("text")
 
     def count(batches):
-        sets = [s for batch in batches for s in shingle_sets(tb.texts(batch.column(0)), n)]
+        sets = [s for batch in batches for s in shingle_sets(tb.texts(batch.column(0)), key, n)]
         u, c = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c.astype(np.int64))], names=["g", "c"])
 
@@ -110,7 +111,7 @@ def frequent(docs: DataFrame, n: int = SHINGLE) -> np.ndarray:
     return np.sort(np.array([r.g for r in rows], np.int64).view(np.uint64))
 
 
-def described(docs: DataFrame, last: np.ndarray, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def described(docs: DataFrame, last: np.ndarray, key: bytes, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, k1, k2 (hashes of the text), size, k and proof (hashes of the set) and prefix of every document.
 
     The prefix stands once for each class in a block.
@@ -121,7 +122,7 @@ def described(docs: DataFrame, last: np.ndarray, n: int = SHINGLE, percent: int
         for batch in batches:
             column = tb.texts(batch.column(3))
             for a, b in tb.blocks(column):
-                sets = shingle_sets(column.slice(a, b - a), n)
+                sets = shingle_sets(column.slice(a, b - a), key, n)
                 keys = [_key(s) for s in sets]
                 seen, prefixes = set(), []
                 for s, (k, _) in zip(sets, keys, strict=True):
@@ -153,7 +154,7 @@ def meetings(table: DataFrame, scratch: tb.Scratch, percent: int = PERCENT) -> D
     return scratch.written(met.join(enough, "k"), "meetings")
 
 
-def class_sets(docs: DataFrame, table: DataFrame, wanted: DataFrame, scratch: tb.Scratch, n: int = SHINGLE) -> DataFrame:
+def class_sets(docs: DataFrame, table: DataFrame, wanted: DataFrame, scratch: tb.Scratch, key: bytes, n: int = SHINGLE) -> DataFrame:
     """k, size, shingles, bitmap of the wanted classes, from one text each."""
     # the rows of a class are summed up where they are read, before they meet
     reps = table.groupBy("k").agg(F.min(F.struct("k1", "k2")).alias("t")).join(wanted, "k").select("k", "t.k1", "t.k2")
@@ -168,7 +169,7 @@ def class_sets(docs: DataFrame, table: DataFrame, wanted: DataFrame, scratch: tb
             batch = batch.filter(pa.array(fresh, pa.bool_()))
             column = tb.texts(batch.column(1))
             for a, b in tb.blocks(column):
-                sets = shingle_sets(column.slice(a, b - a), n)
+                sets = shingle_sets(column.slice(a, b - a), key, n)
                 arrays = [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["k", "size", "shingles", "bitmap"])
 
@@ -408,10 +409,10 @@ def tree_pairs(met: DataFrame, sets: DataFrame, comp: DataFrame, every: bool, sc
 def members(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, k1, k2 (hashes of the text), n_shingles, component_id and root (a class that names
     the component; null for the empty set) of every document."""
-    scratch = tb.Scratch(docs.sparkSession, "jaccard")
-    table = scratch.written(described(docs, frequent(docs, n), n, percent), "described")
+    scratch, key = tb.Scratch(docs.sparkSession, "jaccard"), tb.new_key()
+    table = scratch.written(described(docs, frequent(docs, key, n), key, n, percent), "described")
     met = meetings(table, scratch, percent)
-    sets = class_sets(docs, table, met.select("k").distinct(), scratch, n)
+    sets = class_sets(docs, table, met.select("k").distinct(), scratch, key, n)
     stars = met.where("k <> leader").groupBy("k", "leader").agg(F.count("*").alias("n"), F.first("size").alias("size"))
     stars = stars.groupBy("k").agg(F.max_by("leader", F.struct("n", "leader")).alias("a"), F.first("size").alias("size"))
     stars = tb.join_hot(scratch.written(stars, "stars"), sets.select(F.col("k").alias("a"), F.col("size").alias("sa")), ["a"])

@@ -23,7 +23,9 @@ Documents are not streamed past the automata of all shards, which would grow wit
 of the corpus: only the spans around an anchor that recurs reach a shard, and no window can
 recur outside of these.
 
-Words are compared by 64-bit hashes (`textbuf.word_hashes`), of a window all `width` of them.
+Words are compared by 64-bit hashes under a key that the driver draws for each run
+(`textbuf.keyed_hashes`), windows by two such hashes (of the anchor, and of all `width` words), so
+no text can be built to be taken for another.
 
 Defined results: null and empty texts have no words; repeated rows make each other's windows
 recur; texts of fewer than `width` words stay whole. Extra columns are ignored.
@@ -48,11 +50,11 @@ SHARD_SPANS, HOT_SPANS = 2_000, 500
 RANGES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def anchors(column: pa.Array, width: int = WIDTH, gram: int = GRAM) -> dict[str, np.ndarray]:
+def anchors(column: pa.Array, key: bytes, width: int = WIDTH, gram: int = GRAM) -> dict[str, np.ndarray]:
     """For each anchor of the texts: text number, first word, words of the span, anchor and span hash."""
     buf, offs = tb.flat(column)
     starts, ends = tb.word_bounds(buf, offs, tb.SPACED)
-    words = tb.word_hashes(buf, starts, ends)
+    words = tb.keyed_hashes(buf, starts, ends, key)
     count = tb.per_text(starts, offs)
     doc = np.repeat(np.arange(len(column)), count)
     stop = np.repeat(np.cumsum(count), count)
@@ -89,11 +91,11 @@ def _per_batch(docs: DataFrame, schema: str, make) -> DataFrame:
     return tb.text_keys(docs).mapInArrow(run, schema)
 
 
-def candidates(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+def candidates(docs: DataFrame, key: bytes, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """a (anchor) and mixed (do its spans differ) for every anchor that occurs twice or more."""
 
     def make(_, column):
-        x = anchors(column, width, gram)
+        x = anchors(column, key, width, gram)
         both, n = np.unique(np.stack([x["a"], x["s"]]), axis=1, return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), pa.array(n.astype(np.int64))], names=["a", "s", "n"])
 
@@ -102,11 +104,11 @@ def candidates(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFra
     return by_anchor.where("n >= 2").select("a", (F.col("low") != F.col("high")).alias("mixed"))
 
 
-def occurrences(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+def occurrences(docs: DataFrame, key: bytes, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """k1, k2, at, size, a, s, n: where anchors stand in the texts, each text once a block, n times there."""
 
     def make(batch, column):
-        x = anchors(column, width, gram)
+        x = anchors(column, key, width, gram)
         k1, k2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         _, first, times = np.unique(np.stack([k1, k2]), axis=1, return_index=True, return_counts=True)
         n = np.zeros(len(k1), np.int64)
@@ -119,7 +121,7 @@ def occurrences(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFr
     return _per_batch(docs, "k1 long, k2 long, at long, size long, a long, s long, n long", make)
 
 
-def _span_words(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+def _span_words(docs: DataFrame, chosen: DataFrame, key: bytes) -> DataFrame:
     """a, s, n, mixed, piece, pieces and the word hashes of chosen spans (k1, k2, spans: array of these, at and size)."""
     names = ["a", "s", "n", "mixed", "piece", "pieces"]
 
@@ -129,7 +131,7 @@ def _span_words(docs: DataFrame, chosen: DataFrame) -> DataFrame:
             for a, b in tb.blocks(column):
                 buf, offs = tb.flat(column.slice(a, b - a))
                 starts, ends = tb.word_bounds(buf, offs, tb.SPACED)
-                words = tb.word_hashes(buf, starts, ends)
+                words = tb.keyed_hashes(buf, starts, ends, key)
                 base = np.searchsorted(starts, offs[:-1])
                 mine = lists.slice(a, b - a)
                 spans, size = mine.flatten(), mine.value_lengths().to_numpy(zero_copy_only=False)
@@ -259,10 +261,10 @@ def resolve(spans: DataFrame, width: int = WIDTH, shard_spans: int = SHARD_SPANS
 
 
 def removed_ranges(docs: DataFrame, scratch: tb.Scratch, width: int = WIDTH, gram: int = GRAM, hot_spans: int | None = None) -> DataFrame:
-    """k1, k2, ranges: for each different text, the ranges of words to remove (they may overlap)."""
-    hot_spans = hot_spans or HOT_SPANS
-    known = scratch.written(candidates(docs, width, gram), "anchors")
-    placed = scratch.written(occurrences(docs, width, gram).join(known, "a"), "places")
+    """k1, k2, ranges: for each different text, the ranges of words to remove, those that touch made one."""
+    hot_spans, key = hot_spans or HOT_SPANS, tb.new_key()
+    known = scratch.written(candidates(docs, key, width, gram), "anchors")
+    placed = scratch.written(occurrences(docs, key, width, gram).join(known, "a"), "places")
     # one copy of each different span, and how often it occurs
     copies = placed.groupBy("a", "s", "mixed").agg(F.min(F.struct("k1", "k2", "at", "size")).alias("one"), F.sum("n").alias("n"))
     copies = scratch.written(copies.select("a", "s", "mixed", "n", "one.*"), "copies")
@@ -271,11 +273,15 @@ def removed_ranges(docs: DataFrame, scratch: tb.Scratch, width: int = WIDTH, gra
     piece = F.pmod(F.xxhash64("s"), F.col("pieces")).cast("int").alias("piece")
     spans_of = F.collect_list(F.struct("a", "s", "n", "mixed", piece, "pieces", "at", "size")).alias("spans")
     chosen = dealt.groupBy("k1", "k2").agg(spans_of)
-    spans = scratch.written(_span_words(docs.select("text"), chosen), "spans")
+    spans = scratch.written(_span_words(docs.select("text"), chosen, key), "spans")
     found = scratch.written(resolve(spans, width), "ranges")
     parts = tb.join_hot(placed.select("k1", "k2", "at", "a", "s"), found, ["a", "s"]).select("k1", "k2", "at", F.explode("ranges").alias("r"))
     parts = parts.select("k1", "k2", (F.col("at") + F.col("r.start")).alias("start"), (F.col("at") + F.col("r.end")).alias("end"))
-    return parts.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
+    # ranges that touch are made one before they are gathered: what is gathered is shorter than the text
+    before = F.max("end").over(Window.partitionBy("k1", "k2").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.sum(F.when(F.col("start") <= F.col("before"), 0).otherwise(1)).over(Window.partitionBy("k1", "k2").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0))
+    runs = parts.withColumn("before", before).withColumn("run", opens).groupBy("k1", "k2", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return runs.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
 
 
 def kept_words(text_block: pa.Array, ranges: list) -> tuple[np.ndarray, list[int], list[bytes]]:

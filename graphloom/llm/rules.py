@@ -39,6 +39,8 @@ REACH, LEAST_RANGE = 3.0, {"chars_per_token": 0.03, "fallback": 0.007, "entropy"
 #: Documents of a group with bands of its own, and the columns that tell groups apart.
 LEAST_GROUP, GROUP = 30, ("script", "lang", "length")
 
+#: Words, lines and windows are compared inside a block only, so each process draws a key of its own.
+_KEY = tb.new_key()
 _SYMBOL = tb.table(lambda b: chr(b) in "#*$%&|<>")
 _LINE = tb.table(lambda b: b != 0x0A)
 
@@ -137,11 +139,11 @@ def measure_block(column: pa.Array, paths: Sequence[str]) -> dict[str, np.ndarra
     line_starts, line_ends = tb.word_bounds(buf, offs, _LINE)
     with_word = np.searchsorted(starts, line_ends) > np.searchsorted(starts, line_starts)
     line_doc = np.repeat(np.arange(n), tb.per_text(line_starts, offs))[with_word]
-    lines = tb.word_hashes(buf, line_starts[with_word], line_ends[with_word])
+    lines = tb.keyed_hashes(buf, line_starts[with_word], line_ends[with_word], _KEY)
     order, first = _groups(lines, line_doc)
     dup_lines = np.bincount(line_doc[order][~first], minlength=n)
 
-    hashes = tb.word_hashes(buf, starts, ends)
+    hashes = tb.keyed_hashes(buf, starts, ends, _KEY)
     window = np.arange(max(len(doc) - 2, 0))
     window = window[doc[window] == doc[window + 2]] if len(window) else window
     order, first = _groups(tb.gram_hashes(hashes, window, 3), doc[window])
@@ -216,9 +218,9 @@ def judge(docs: DataFrame, paths: Sequence[str]) -> DataFrame:
     edges = F.struct(*[f"{side}_{m}" for m in names for side in ("least", "most")])
     judged = measured
     for level, size in ((3, 1), (1, 2), (0, 3)):
-        # one row a script, or a group of LEAST_GROUP documents: scripts, languages and powers of two
+        # few rows as a rule, but lang is free text: Spark broadcasts the table where it is small
         mine = found.where(F.col("level") == level).select(*GROUP[:size], edges.alias(f"band_{level}"))
-        judged = judged.join(F.broadcast(mine), list(GROUP[:size]), "left")
+        judged = judged.join(mine, list(GROUP[:size]), "left")
     band = F.coalesce("band_0", "band_1", "band_3")
     within = F.lit(True)
     for m in names:

@@ -7,6 +7,8 @@ A single text longer than a block is a block of its own (texts are never cut).
 
 from __future__ import annotations
 
+import hashlib
+import os
 from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
@@ -164,11 +166,11 @@ def word_bounds(buf: np.ndarray, offs: np.ndarray, is_word: np.ndarray) -> tuple
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words' bytes.
+    """64-bit hashes of the words' bytes, the same everywhere.
 
-    Eight bytes after another are mixed into a chain that starts from the length, each step a
-    bijection of the bytes it takes in, so words of up to eight bytes never share a hash, and no
-    sum or polynomial of the bytes is left to build collisions from.
+    Eight bytes after another are mixed into a chain that starts from the length. There is no key,
+    so words that share a hash can be built on purpose: this is for features and for look-ups that
+    are verified by bytes. Results that rest on equal hashes take `keyed_hashes`.
     """
     size = ends - starts
     out = mix(size.astype(U64) * _GOLD + _ODD)
@@ -188,6 +190,57 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return out
 
 
+def new_key() -> bytes:
+    """A key for the hashes of one run, drawn by the driver: nobody can build texts against it."""
+    return os.urandom(16)
+
+
+#: Bytes up to which a word is its own hash but for a keyed bijection; distinct longer words that a
+#: worker remembers for a key, and their most bytes.
+_OWN, _KNOWN_MOST, _KNOWN_BYTES = 7, 300_000, 64
+
+
+class _Known(dict):
+    """Longer words to their keyed hashes."""
+
+    def __init__(self, key: bytes):
+        super().__init__()
+        self.key = key
+
+    def __missing__(self, word: bytes) -> int:
+        h = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=self.key).digest(), "little")
+        if len(word) <= _KNOWN_BYTES:
+            if len(self) >= _KNOWN_MOST:
+                self.clear()
+            self[word] = h
+        return h
+
+
+_known: dict[bytes, _Known] = {}
+
+
+def keyed_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: bytes) -> np.ndarray:
+    """64-bit hashes of the words' bytes under a key of 16 bytes.
+
+    Words of up to seven bytes never share a hash, as bytes and length go through a keyed bijection;
+    longer ones have those of a keyed cryptographic hash.
+    """
+    size = ends - starts
+    first, second = np.frombuffer(key, "<u8")
+    lanes = np.ndarray((len(buf),), "<u8", np.concatenate([buf, np.zeros(_LANE, np.uint8)]).data, 0, (1,))
+    few = np.minimum(size, _OWN)
+    lane = lanes[starts] & (~U64(0) >> ((_LANE - few) * 8).astype(U64)) | (few.astype(U64) << U64(56))
+    out = mix(mix(lane ^ first) + second)
+    far = np.flatnonzero(size > _OWN)
+    if len(far):
+        if key not in _known:
+            _known.clear()
+            _known[key] = _Known(key)
+        known, data = _known[key], buf.tobytes()
+        out[far] = [known[data[a:b]] for a, b in zip(starts[far].tolist(), ends[far].tolist(), strict=True)]
+    return out
+
+
 def both_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Hashes of pairs, elementwise; the order counts."""
     return mix(a * _ODD + b + _GOLD)

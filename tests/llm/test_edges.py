@@ -503,3 +503,48 @@ def test_pipeline(spark):
             assert out.count() == docs.count() and not [r for r in out.collect() if secrets.base_spans(r.text or "")]
         docs = out
     assert pipe.run(spark, d).count() > 0
+
+
+def colliding(n_tail=8):
+    """Two words of 16 bytes that share the hash without a key: the second eight bytes are solved for."""
+    from graphloom.llm import textbuf as tb
+
+    left = lambda head: tb.mix((tb.mix(np.array([16], np.uint64) * tb._GOLD + tb._ODD) + tb._GOLD) ^ np.frombuffer(head, "<u8"))
+    want = (left(b"correcth") + tb._GOLD) ^ np.frombuffer(b"orsebatt", "<u8")
+    rng = np.random.default_rng(0)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8)
+    while True:
+        heads = letters[rng.integers(0, len(letters), (20_000, 8))]
+        tails = (want ^ (left(np.ascontiguousarray(heads).tobytes()) + tb._GOLD)).view(np.uint8).reshape(-1, 8)
+        good = np.flatnonzero(((tails > 0x20) & (tails < 0x7F) & ~((tails >= 0x41) & (tails <= 0x5A))).all(axis=1))
+        if len(good):
+            return "correcthorsebatt", (heads[good[0]].tobytes() + tails[good[0]].tobytes()).decode()
+
+
+def test_words_built_to_share_a_hash_stay_apart(spark):
+    from graphloom.llm import textbuf as tb
+
+    a, b = colliding()
+    raw = np.frombuffer((a + b).encode(), np.uint8)
+    h = tb.word_hashes(raw, np.array([0, 16]), np.array([16, 32]))
+    assert a != b and h[0] == h[1], "the pair is built right"
+    other = " ".join(f"t{k}" for k in range(20))
+    rows = [(1, " ".join([a] * 35)), (2, " ".join([b] * 35)), (3, f"{a} {other}"), (4, f"{b} {other}"), (5, f"x {a} {b} y"), (6, f"{a}\n{b}\n{a}"), (7, f"{a} p q {b} p q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in repeats.digests(docs).collect()} == dict.fromkeys(range(1, 8), 0)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs).collect()} == {d: (n, c) for d, n, c in components(rows)}
+    assert Counter(r.doc_id for r in jaccard.representatives(docs).collect()) == Counter({c for _, _, c in components(rows)})
+    got = by_id(rules.judge(docs, [queries._vocabulary("piece_bpe_32k.model")]))
+    assert (got[6][0].n_dup_lines, got[7][0].n_repeat_words) == (1, 0)
+
+
+def test_keyed_hashes_know_short_words_apart():
+    from graphloom.llm import textbuf as tb
+
+    words = sorted({bytes([x]) * n for n in range(1, 12) for x in (1, 97, 255)} | {bytes(range(n)) for n in range(1, 12)} | {b"a\0", b"a\0\0", b"a" * 7 + b"\0"})
+    raw = np.frombuffer(b"".join(words), np.uint8)
+    end = np.cumsum([len(w) for w in words])
+    start = end - [len(w) for w in words]
+    one, two = (tb.keyed_hashes(raw, start, end, bytes(range(k, 16 + k))) for k in (0, 1))
+    assert len(set(one.tolist())) == len(words) and not set(one.tolist()) & set(two.tolist())
+    assert (tb.keyed_hashes(raw, start, end, bytes(range(16))) == one).all()
