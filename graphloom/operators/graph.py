@@ -209,6 +209,59 @@ def cycles(edges: DataFrame, most: int) -> DataFrame:
     return found
 
 
+def _rooted_distances(arcs: DataFrame, most: int, name: str) -> DataFrame:
+    """root, node, name: hops from each root to nodes greater than it, through such nodes only, up to `most`."""
+    front = settled(arcs.where("dst > src").select(F.col("src").alias("root"), F.col("dst").alias("node"), F.lit(1).alias(name)), "hops")
+    seen = front
+    for step in range(2, most + 1):
+        found = front.join(arcs.select(F.col("src").alias("node"), F.col("dst").alias("next")), "node").where("next > root").select("root", F.col("next").alias("node")).distinct()
+        front = settled(found.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn(name, F.lit(step)), "hops")
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return settled(seen, "hops")
+
+
+def long_cycles(edges: DataFrame, most: int = 12) -> DataFrame:
+    """path, nodes: elementary cycles of 2 to `most` nodes, each once, from its least node on.
+
+    Only arcs inside strong components count. For each root (the least node of a cycle) nodes are kept whose
+    hops from and back to the root leave room for a cycle; walks from the root and walks to it, each of half the
+    length at most and within these, meet in the middle. A cycle of n nodes is cut after its first (n + 1) / 2
+    arcs, so it is made once.
+    """
+    arcs = settled(edges.select("src", "dst").where("src <> dst").distinct(), "arcs")
+    comp = settled(strong_components(arcs).where("size > 1").select("id", "component"), "components")
+    arcs = settled(arcs.join(comp.toDF("src", "c"), "src").join(comp.toDF("dst", "d"), "dst").where("c = d").select("src", "dst"), "arcs")
+    back_arcs = arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    room = _rooted_distances(arcs, most - 1, "ahead").join(_rooted_distances(back_arcs, most - 1, "back"), ["root", "node"])
+    room = settled(room.where(F.col("ahead") + F.col("back") <= most), "room")
+
+    def walks(steps: DataFrame, length: int, left: str) -> list[DataFrame]:
+        """Simple walks of 1, 2, ... arcs from the roots; `left` hops at least are still to go."""
+        fits = room.select("root", F.col("node").alias("end"), left)
+        now = settled(steps.select(F.col("src").alias("root"), F.col("dst").alias("end")).join(fits, ["root", "end"]).select("root", "end", F.array("end").alias("path")), "walks")
+        out = [now]
+        for k in range(2, length + 1):
+            ahead = now.join(steps.select(F.col("src").alias("end"), F.col("dst").alias("next")), "end").where((F.col("next") > F.col("root")) & ~F.array_contains("path", F.col("next")))
+            ahead = ahead.select("root", F.col("next").alias("end"), F.concat("path", F.array("next")).alias("path")).join(fits, ["root", "end"]).where(F.col(left) <= most - k)
+            now = settled(ahead.select("root", "end", "path"), "walks")
+            out.append(now)
+        return out
+
+    half = (most + 1) // 2
+    out_, in_ = walks(arcs, half, "back"), walks(back_arcs, most - half, "ahead")
+    found = None
+    for n in range(2, most + 1):
+        a, b = out_[(n + 1) // 2 - 1], in_[n // 2 - 1].withColumnRenamed("path", "tail")
+        both = a.join(b, ["root", "end"])
+        # the middle node ends both walks; nothing else may be on both
+        inner = F.slice("tail", 1, F.greatest(F.size("tail") - 1, F.lit(0)))
+        both = both.where(~F.arrays_overlap("path", inner)).select(F.array_join(F.concat(F.array("root"), "path", F.reverse(inner)), ">").alias("path"), F.lit(n).cast("long").alias("nodes"))
+        found = both if found is None else found.unionByName(both)
+    return found
+
+
 def impact(edges: DataFrame, seeds: DataFrame, kinds: Sequence[str], depth: int) -> DataFrame:
     """id, distance of what depends on the seeds: reverse steps along the kinds."""
     return bfs(edges.where(F.col("kind").isin(*kinds)), seeds, depth, "in")

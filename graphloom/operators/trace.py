@@ -94,3 +94,86 @@ def integrity(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     by = rows.withColumn("depth_", F.sum("step").over(w)).groupBy(*keys).agg(F.min("depth_").alias("low"), F.sum("step").alias("open"))
     state = F.when(F.col("low") < 0, "exit_without_enter").when(F.col("open") > 0, "unclosed_frames").otherwise("ok")
     return by.select(*keys, state.alias("integrity"), F.greatest(F.lit(0).cast("long"), "open").alias("unclosed"))
+
+
+def _dealt(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The rows in ranges of keys and order, with the number of their range (part_): a key of many rows fills several
+    ranges, and all but the first and last key of a range are in that range alone."""
+    placed = rows.repartitionByRange(*keys, *order)
+    return settled(placed.withColumn("part_", F.spark_partition_id()), "dealt")
+
+
+def _spanning(by_part: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows (keys, part_, ...) of keys that fill several ranges: fewer than twice the ranges."""
+    return by_part.withColumn("parts_", F.count("*").over(Window.partitionBy(*keys))).where("parts_ > 1").drop("parts_")
+
+
+def numbered_dealt(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "seq") -> DataFrame:
+    """Rows with a dense number from 0 in each key, where one key may hold most rows: each range is numbered apart."""
+    placed = _dealt(rows, keys, order)
+    size = _spanning(placed.groupBy(*keys, "part_").agg(F.count("*").alias("n_")), keys)
+    before = size.select(*keys, "part_", (F.sum("n_").over(Window.partitionBy(*keys).orderBy("part_")) - F.col("n_")).alias("before_"))
+    local = F.row_number().over(Window.partitionBy(*keys, "part_").orderBy(*order)) - 1
+    # few rows a range
+    out = placed.withColumn("at_", local).join(F.broadcast(before), [*keys, "part_"], "left")
+    return out.withColumn(name, (F.col("at_") + F.coalesce("before_", F.lit(0))).cast("long")).drop("at_", "before_", "part_")
+
+
+def lagged_dealt(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
+    """Rows with the value of the row before in their key, where one key may hold most rows."""
+    placed = _dealt(rows, keys, order)
+    w = Window.partitionBy(*keys, "part_").orderBy(*order)
+    ends = _spanning(placed.groupBy(*keys, "part_").agg(F.max_by(value, F.struct(*order)).alias("end_")), keys)
+    before = ends.select(*keys, "part_", F.lag("end_").over(Window.partitionBy(*keys).orderBy("part_")).alias("carried_"))
+    out = placed.withColumns({name: F.lag(value).over(w), "first_": F.row_number().over(w) == 1}).join(F.broadcast(before), [*keys, "part_"], "left")
+    return out.withColumn(name, F.when(F.col("first_"), F.col("carried_")).otherwise(F.col(name))).drop("first_", "carried_", "part_")
+
+
+def frames(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Enter (step 1) and exit (step -1) rows with level, the frame that they open or close, and empty: an exit without
+    an open frame, which closes none.
+
+    The level is a running sum that never falls below 0: the sum less the least sum so far. Ranges of a long
+    run are summed up apart, with the sums and least sums of the ranges before them.
+    """
+    placed = _dealt(rows, keys, order)
+    w = Window.partitionBy(*keys, "part_").orderBy(*order)
+    so_far, before_it = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    summed = placed.withColumn("s_", F.sum("step").over(so_far))
+    summed = summed.withColumns({"low_": F.min("s_").over(so_far), "low_before_": F.min("s_").over(before_it)})
+    parts = _spanning(summed.groupBy(*keys, "part_").agg(F.sum("step").alias("t_"), F.min("s_").alias("l_")), keys)
+    by = Window.partitionBy(*keys).orderBy("part_")
+    parts = parts.withColumn("base_", F.sum("t_").over(by) - F.col("t_"))
+    parts = parts.select(*keys, "part_", "base_", F.min(F.col("base_") + F.col("l_")).over(by.rowsBetween(Window.unboundedPreceding, -1)).alias("least_"))
+    out = summed.join(F.broadcast(parts), [*keys, "part_"], "left")
+    base, none = F.coalesce("base_", F.lit(0)), F.lit(0).cast("long")
+    least = lambda c: F.least(none, F.coalesce("least_", none), F.coalesce(base + F.col(c), none))
+    depth = base + F.col("s_") - least("low_")
+    empty = (F.col("step") < 0) & (base + F.col("s_") < least("low_before_"))
+    level = F.when(F.col("step") > 0, depth).when(~empty, depth + 1)
+    return out.select(*rows.columns, level.cast("long").alias("level"), empty.alias("empty"))
+
+
+def trace_errors(rows: DataFrame, keys: Sequence[str], order: Sequence[str], known: DataFrame, markers: DataFrame) -> DataFrame:
+    """keys, status (COMPLETE or PARTIAL), errors (sorted, joined by commas), enters, exits of each run.
+
+    rows: keys, order, step (1 or -1), site; known: site; markers: keys, enters, exits, failed (the run's END).
+    An exit must close the frame of its own site: enters and exits of a level alternate, so the row before it
+    on its level opened what it closes.
+    """
+    placed = settled(frames(rows, keys, order), "frames")
+    paired = lagged_dealt(placed.where("level IS NOT NULL"), [*keys, "level"], order, "site", "opened")
+    wrong = paired.where("step < 0").groupBy(*keys).agg(F.count_if(~F.col("opened").eqNullSafe(F.col("site"))).alias("wrong"))
+    lost = placed.select(*keys, "site").distinct().join(known.select("site").distinct(), "site", "left_anti").select(*keys).distinct().withColumn("unmapped", F.lit(True))
+    by = placed.groupBy(*keys).agg(F.count_if(F.col("step") > 0).alias("enters"), F.count_if(F.col("step") < 0).alias("exits"), F.count_if("empty").alias("empty"))
+    end = markers.select(*keys, F.col("enters").alias("marked_in"), F.col("exits").alias("marked_out"), "failed", F.lit(True).alias("marked"))
+    j = by.join(wrong, list(keys), "left").join(lost, list(keys), "left").join(end, list(keys), "left")
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    cases = [
+        (~yes("marked"), "end_marker_malformed"), (~yes("marked"), "end_marker_missing"), (F.col("enters") != F.col("exits"), "enter_exit_count_mismatch"),
+        (yes("marked") & ((F.col("marked_in") != F.col("enters")) | (F.col("marked_out") != F.col("exits"))), "event_count_mismatch"),
+        ((F.coalesce("wrong", F.lit(0)) > 0) | (F.col("empty") > 0), "exit_stack_mismatch"), (yes("marked") & (F.col("failed") > 0), "trace_write_failure"),
+        (F.col("enters") > F.col("exits") - F.col("empty"), "unclosed_frames"), (yes("unmapped"), "unmapped_function_offset"),
+    ]
+    errors = F.array_join(F.array_compact(F.array(*[F.when(c, code) for c, code in cases])), ",")
+    return j.select(*keys, F.when(errors == "", "COMPLETE").otherwise("PARTIAL").alias("status"), errors.alias("errors"), "enters", "exits")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import settled
-from graphloom.operators import architecture, compare, invalidation
+from graphloom.operators import accuracy, architecture, compare, graph, invalidation, trace
 from graphloom.operators import communities as com
 from graphloom.plans.compared import _FEATURES, _topology, _units
 from graphloom.plans.registry import query
@@ -226,3 +226,89 @@ def g5_architecture_diff(spark, d):
     before = {"components": base.unionByName(known.select(*cols)), "relations": relations(1995).where("dst LIKE 'supplier:%'"), "mappings": maps(1995)}
     work = work.unionByName(groups.withColumn("origin", F.when(F.col("id").startswith("supplier:"), F.col("id"))).select("origin", *cols))
     return architecture.changes(before, {"components": work, "relations": relations(2000), "mappings": maps(2000)}, ["kind", "status"])
+
+
+# -- long cycles -----------------------------------------------------------------------------------
+
+_RETURNS = """
+WITH RECURSIVE ret AS (SELECT 'part:' || l_partkey AS src, 'part:' || lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_partkey, l_linenumber) AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' AND o_orderstatus = 'F')
+, arc AS (SELECT DISTINCT src, dst FROM ret WHERE dst IS NOT NULL AND src <> dst)
+, live0 AS MATERIALIZED (SELECT * FROM arc WHERE src IN (SELECT dst FROM arc) AND dst IN (SELECT src FROM arc)), live1 AS MATERIALIZED (SELECT * FROM live0 WHERE src IN (SELECT dst FROM live0) AND dst IN (SELECT src FROM live0))
+, live AS MATERIALIZED (SELECT * FROM live1 WHERE src IN (SELECT dst FROM live1) AND dst IN (SELECT src FROM live1))
+, w(root, e, path) AS (SELECT src, dst, [src, dst] FROM live WHERE dst > src UNION ALL SELECT w.root, l.dst, list_append(w.path, l.dst) FROM w JOIN live l ON l.src = w.e WHERE len(w.path) < 12 AND l.dst > w.root AND NOT list_contains(w.path, l.dst))
+, cyc AS (SELECT array_to_string(path, '>') AS path, len(path)::BIGINT AS nodes FROM w WHERE (e, root) IN (SELECT src, dst FROM live))"""
+
+
+def _returns(spark, d) -> DataFrame:
+    """Parts that follow one another among an order's returned lines, of finished orders."""
+    done = star.table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    rows = star.table(spark, d, "lineitem").where("l_returnflag = 'R'").join(done, "l_orderkey", "left_semi")
+    w = Window.partitionBy("l_orderkey").orderBy("l_shipdate", "l_partkey", "l_linenumber")
+    pairs = rows.select("l_partkey", F.lead("l_partkey").over(w).alias("next")).where("next IS NOT NULL AND next <> l_partkey").distinct()
+    return pairs.select(star.node_id("part", "l_partkey").alias("src"), star.node_id("part", "next").alias("dst"))
+
+
+@query("h15_long_cycles", f"{_RETURNS} SELECT * FROM cyc", graph=False)
+def h15_long_cycles(spark, d):
+    return graph.long_cycles(_returns(spark, d), 12)
+
+
+@query("k12_long_cycles", f"{_RETURNS} SELECT 'C002' AS rule, 'WARNING' AS severity, 'VIOLATION' AS status, path AS subject, nodes FROM cyc WHERE nodes > 2", graph=False)
+def k12_long_cycles(spark, d):
+    """Rule C002 over cycles of up to twelve nodes; two parts that return together are no finding."""
+    found = graph.long_cycles(_returns(spark, d), 12).where("nodes > 2")
+    return found.select(F.lit("C002").alias("rule"), F.lit("WARNING").alias("severity"), F.lit("VIOLATION").alias("status"), F.col("path").alias("subject"), "nodes")
+
+
+# -- traces and accuracy ---------------------------------------------------------------------------
+
+_TRACES = """
+WITH e AS (SELECT user_id || '/' || ts::DATE AS run, ts, event_id, value, event_type, CASE WHEN event_type IN ('view', 'click') THEN 1 ELSE -1 END AS step, left(json_extract_string(props, '$.k'), 1) AS site FROM events WHERE event_type <> 'signup')
+, known AS (SELECT left(json_extract_string(props, '$.k'), 1) AS site FROM events WHERE event_type = 'signup' GROUP BY site HAVING count(*) * 12 > (SELECT count(*) FROM events WHERE event_type = 'signup'))
+, mark AS (SELECT run, count_if(step > 0 AND value >= 1) AS enters, count_if(step < 0 AND value >= 1) AS exits, count_if(value > 60) AS failed FROM e GROUP BY run HAVING arg_max(event_type, (ts, event_id)) <> 'view')
+, s AS (SELECT *, sum(step) OVER (PARTITION BY run ORDER BY ts, event_id) AS s FROM e)
+, m AS (SELECT *, least(0, min(s) OVER w) AS low, coalesce(least(0, min(s) OVER (PARTITION BY run ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 0) AS before FROM s WINDOW w AS (PARTITION BY run ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
+, f AS (SELECT *, step < 0 AND s < before AS empty, CASE WHEN step > 0 THEN s - low WHEN s >= before THEN s - low + 1 END AS level FROM m)
+, p AS (SELECT *, CASE WHEN level IS NOT NULL THEN lag(site) OVER (PARTITION BY run, level ORDER BY ts, event_id) END AS opened FROM f)
+, r AS (SELECT run, count_if(step > 0) AS enters, count_if(step < 0) AS exits, count_if(empty) AS empty, count_if(step < 0 AND NOT empty AND opened IS DISTINCT FROM site) AS wrong, bool_or(site NOT IN (SELECT site FROM known)) AS unmapped FROM p GROUP BY run)
+, x AS (SELECT r.*, array_to_string(list_filter([CASE WHEN k.run IS NULL THEN 'end_marker_malformed,end_marker_missing' END, CASE WHEN r.enters <> r.exits THEN 'enter_exit_count_mismatch' END, CASE WHEN k.enters <> r.enters OR k.exits <> r.exits THEN 'event_count_mismatch' END,
+    CASE WHEN wrong > 0 OR empty > 0 THEN 'exit_stack_mismatch' END, CASE WHEN failed > 0 THEN 'trace_write_failure' END, CASE WHEN r.enters > r.exits - empty THEN 'unclosed_frames' END, CASE WHEN unmapped THEN 'unmapped_function_offset' END], lambda c: c IS NOT NULL), ',') AS errors FROM r LEFT JOIN mark k ON k.run = r.run)
+SELECT run, CASE WHEN errors = '' THEN 'COMPLETE' ELSE 'PARTIAL' END AS status, errors, enters, exits FROM x"""
+
+
+@query("e5_trace_errors", _TRACES, graph=False)
+def e5_trace_errors(spark, d):
+    """Views and clicks of a user and day enter, purchases and errors exit; sign-ups tell the known sites; runs that
+    end in a view have no END, and END does not count events of small value."""
+    site = F.substring(F.get_json_object("props", "$.k"), 1, 1).alias("site")
+    e = star.table(spark, d, "events")
+    step = F.when(F.col("event_type").isin("view", "click"), 1).otherwise(-1).cast("long")
+    run = F.concat_ws("/", F.col("user_id").cast("string"), F.to_date("ts").cast("string")).alias("run")
+    rows = e.where("event_type <> 'signup'").select(run, "ts", "event_id", "value", "event_type", step.alias("step"), site)
+    told = e.where("event_type = 'signup'").groupBy(site).agg(F.count("*").alias("n"))
+    known = told.join(told.agg(F.sum("n").alias("all")), F.col("n") * 12 > F.col("all")).select("site")
+    big = F.col("value") >= 1
+    mark = rows.groupBy("run").agg(F.count_if((F.col("step") > 0) & big).alias("enters"), F.count_if((F.col("step") < 0) & big).alias("exits"), F.count_if(F.col("value") > 60).alias("failed"), F.max_by("event_type", F.struct("ts", "event_id")).alias("last"))
+    return trace.trace_errors(rows.drop("value", "event_type"), ["run"], ["ts", "event_id"], known, mark.where("last <> 'view'").drop("last"))
+
+
+_PAIRS = """
+WITH x AS (SELECT l_returnflag AS kind, p_brand AS src, s_nationkey::VARCHAR AS dst, p_type AS src_path, l_linestatus AS dst_path, dayofyear(l_shipdate)::BIGINT AS line, l_orderkey, l_linenumber, year(l_shipdate) AS y FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey)
+, e AS (SELECT *, row_number() OVER (PARTITION BY kind, src, dst, src_path, dst_path ORDER BY line, l_orderkey, l_linenumber) AS n FROM x WHERE y = 1996), a AS (SELECT *, row_number() OVER (PARTITION BY kind, src, dst, src_path, dst_path ORDER BY line, l_orderkey, l_linenumber) AS n FROM x WHERE y = 1997)
+, j AS (SELECT kind, src, dst, src_path, dst_path, e.line AS el, e.l_orderkey AS eo, e.l_linenumber AS en, a.line AS al, a.l_orderkey AS ao, a.l_linenumber AS an FROM e FULL JOIN a USING (kind, src, dst, src_path, dst_path, n))
+, re AS (SELECT kind, src, dst, row_number() OVER (PARTITION BY kind, src, dst ORDER BY src_path, dst_path, el, eo, en) AS n FROM j WHERE al IS NULL), ra AS (SELECT kind, src, dst, row_number() OVER (PARTITION BY kind, src, dst ORDER BY src_path, dst_path, al, ao, an) AS n FROM j WHERE el IS NULL)
+, m AS (SELECT kind, 'exact' AS match, abs(el - al) <= 1 AS near FROM j WHERE el IS NOT NULL AND al IS NOT NULL
+  UNION ALL SELECT coalesce(re.kind, ra.kind), CASE WHEN ra.kind IS NULL THEN 'missed' WHEN re.kind IS NULL THEN 'extra' ELSE 'loose' END, false FROM re FULL JOIN ra ON re.kind = ra.kind AND re.src = ra.src AND re.dst = ra.dst AND re.n = ra.n)
+, c AS (SELECT kind, count_if(match = 'exact')::BIGINT AS exact, count_if(match = 'loose')::BIGINT AS loose, count_if(match = 'missed')::BIGINT AS missed, count_if(match = 'extra')::BIGINT AS extra, count_if(near)::BIGINT AS near FROM m GROUP BY kind)
+SELECT kind, exact, loose, missed, extra, round((exact + loose) / (exact + loose + extra), 6) AS precision, round((exact + loose) / (exact + loose + missed), 6) AS recall, round(near / exact, 6) AS location_accuracy FROM c"""
+
+
+@query("d38_two_step_accuracy", _PAIRS, graph=False)
+def d38_two_step_accuracy(spark, d):
+    """What was shipped in 1997 against 1996: brand to nation by what came of it, with type and state as paths and the day as the line."""
+    p = star.table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("src"), F.col("p_type").alias("src_path"))
+    s = star.table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("string").alias("dst"))
+    x = star.table(spark, d, "lineitem").join(p, "l_partkey").join(s, "l_suppkey")
+    x = x.select(F.col("l_returnflag").alias("kind"), "src", "dst", "src_path", F.col("l_linestatus").alias("dst_path"), F.dayofyear("l_shipdate").cast("long").alias("line"), "l_orderkey", "l_linenumber", F.year("l_shipdate").alias("y"))
+    pairs = accuracy.matched(x.where("y = 1996"), x.where("y = 1997"), ["kind", "src", "dst", "src_path", "dst_path"], ["kind", "src", "dst"], "line", ["l_orderkey", "l_linenumber"])
+    return accuracy.figures(pairs, ["kind"])
