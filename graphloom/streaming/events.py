@@ -7,23 +7,35 @@ delays below are parameters of what a stream may still see, not of how long it r
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager, nullcontext
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from graphloom.functions import shared_path
 
 
-def slices(events: DataFrame, n: int = 4) -> list[DataFrame]:
-    """The events cut into n parts by time, one after the other."""
+def slices(events: DataFrame, n: int = 4, late: Column | None = None, most: int = 0) -> list[DataFrame]:
+    """The events cut into n parts by time, one after the other. late: how many parts later a row comes, up to `most`,
+    which is as many parts more."""
     low, high = events.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
     if low is None:
         return [events]
     part = F.least(F.lit(n - 1), F.floor((F.unix_micros("ts") - low) * n / max(1, high - low)))
-    return [events.where(part == k) for k in range(n)]
+    if late is not None:
+        part = part + F.least(late, F.lit(most))
+    return [events.where(part == k) for k in range(n + most)]
+
+
+def closing(events: DataFrame, after: str = "730 days") -> DataFrame:
+    """One row long after all events, null but for its time: it lets the watermark pass whatever is open."""
+    end = events.agg((F.max("ts") + F.expr(f"INTERVAL {after}")).alias("ts")).where("ts IS NOT NULL")
+    return end.select(*[F.col("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema])
 
 
 def counts_by_window(events: DataFrame, length: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
@@ -74,9 +86,81 @@ def lineage(events: DataFrame, late: str = "1 hour", forget_ms: int = 365 * 86_4
     return keyed.applyInPandasWithState(step, "run long, object string, writer long, reader long", "last long", "append", "EventTimeTimeout")
 
 
-def replayed(events: DataFrame, make: Callable[[DataFrame], DataFrame], name: str, mode: str = "append", n: int = 4) -> DataFrame:
+class Manifest(StatefulProcessor):
+    """The last kind of each file as keyed state, which emits what changed: SYMBOL_ADDED, KIND_CHANGED, and
+    SYMBOL_REMOVED for a file that was not seen again for `forget_ms`, whose state ends with that."""
+
+    def __init__(self, forget_ms: int):
+        self.forget_ms = forget_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "kind string, at long, event_id long")
+
+    def _told(self, key: tuple, unit: str, kind: str) -> pd.DataFrame:
+        return pd.DataFrame({"file": [key[0]], "unit": [unit], "kind": [kind]})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        old = tuple(self.last.get()) if self.last.exists() else None
+        new = old
+        for part in rows:  # only the newest row of each part is held
+            part = part[part["event_id"].notna()]
+            if part.empty:  # a closing row only moves the watermark
+                continue
+            row = part.sort_values(["at", "event_id"]).iloc[-1]
+            if new is None or (int(row["at"]), int(row["event_id"])) > (new[1], new[2]):
+                new = (row["kind"], int(row["at"]), int(row["event_id"]))
+        if new == old:
+            return
+        self.last.update(new)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(new[1] // 1000 + self.forget_ms)
+        if old is None or old[0] != new[0]:
+            yield self._told(key, "SYMBOL_ADDED" if old is None else "KIND_CHANGED", new[0])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        kind = self.last.get()[0]
+        self.last.clear()
+        yield self._told(key, "SYMBOL_REMOVED", kind)
+
+    def close(self) -> None:
+        pass
+
+
+def delta_units(events: DataFrame, forget: str, late: str = "1 hour") -> DataFrame:
+    """file, unit, kind: the changes of the manifest, as they come. events: file, kind, ts, event_id."""
+    forget_ms = int(pd.Timedelta(forget).total_seconds() * 1000)
+    keyed = events.withColumn("at", F.unix_micros("ts")).withWatermark("ts", late).groupBy("file")
+    return keyed.transformWithStateInPandas(Manifest(forget_ms), "file string, unit string, kind string", "Append", "EventTime")
+
+
+@contextmanager
+def _keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Keyed state with timers lives in RocksDB; the session's own choice comes back afterwards."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def replayed(
+    events: DataFrame, make: Callable[[DataFrame], DataFrame], name: str, mode: str = "append", n: int = 4,
+    late: Column | None = None, most: int = 0, close: bool = False, keyed: bool = False, progress: list[dict] | None = None,
+) -> DataFrame:
     """Lets the events arrive in n slices by time, each a batch of its own of one query that is started anew
-    from its checkpoint, and reads what it wrote. In complete mode every batch replaces the table."""
+    from its checkpoint, and reads what it wrote. In complete mode every batch replaces the table.
+
+    late and most: rows that come so many slices later than their time says; close: a last row long after the
+    others, so that in append mode all windows are written; keyed: keyed state with timers; progress: gets
+    Spark's account of each batch.
+    """
     spark: SparkSession = events.sparkSession
     arrivals, out, marks = (shared_path(spark, f"{name}-{x}") for x in ("arrivals", "rows", "marks"))
     events = events.withColumn("ts", F.col("ts").cast("timestamp"))
@@ -85,10 +169,13 @@ def replayed(events: DataFrame, make: Callable[[DataFrame], DataFrame], name: st
         batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
 
     schema = None
-    for part in slices(events, n):
-        part.write.mode("append").parquet(arrivals)
-        rows = make(spark.readStream.schema(events.schema).parquet(arrivals))
-        schema = rows.schema
-        query = rows.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", marks).trigger(availableNow=True).start()
-        query.awaitTermination()
+    with _keyed_state(spark) if keyed else nullcontext():
+        for part in [*slices(events, n, late, most), *([closing(events)] if close else [])]:
+            part.write.mode("append").parquet(arrivals)
+            rows = make(spark.readStream.schema(events.schema).parquet(arrivals))
+            schema = rows.schema
+            query = rows.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", marks).trigger(availableNow=True).start()
+            query.awaitTermination()
+            if progress is not None:
+                progress += [json.loads(p.json) for p in query.recentProgress]
     return spark.read.schema(schema).parquet(out)
