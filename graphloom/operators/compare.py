@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.trace import numbered_everywhere
+
 # Truth classes that prove a relation.
 HARD = ("OBSERVED", "RESOLVED")
 # Types that cannot stand for each other, design side to code side.
@@ -375,6 +377,34 @@ def candidates(f: DataFrame, seeds: dict[str, tuple[int, float, float]], state_l
     return f.where(F.col("size") >= least).select("unit", "seed", F.round(capped, 3).alias("confidence"), reasons.alias("reasons"))
 
 
+def ranked_candidates(f: DataFrame, data_complete: bool = True) -> DataFrame:
+    """candidate, unit, kind, confidence, reasons: the units of four seeds as candidates with ids, fewest reasons first,
+    then the best score, then unit and kind.
+
+    f: features with seed (chain, state or call), score, declared (different modules of members, all of them in
+    one where 1 and none is without) and data_out (different data that leave). Chains make flows, and composites
+    where they have three members at least, keep to one module and let out three data at most.
+    """
+    reasons = illegal(f)
+    n = F.when(reasons == "", 0).otherwise(F.size(F.split(reasons, ",")))
+    flow = 0.75 - 0.05 * n
+    flow = flow if data_complete else F.least(flow, F.lit(0.4))
+    state = 0.6 - 0.05 * n
+    state = F.when(F.col("crossing_state") > 2, F.least(state, F.lit(0.35))).otherwise(state)
+    composite = F.least(0.7 - 0.05 * n, F.when(F.col("score") > 0, F.col("score") / 8).otherwise(0.3))
+    is_ = lambda seed, least: (F.col("seed") == seed) & (F.col("size") >= least)
+    made = F.array_compact(F.array(*[
+        F.when(test, F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("name"), F.round(c, 3).alias("confidence")))
+        for kind, name, test, c in (
+            ("FLOW", "flow", is_("chain", 2), flow), ("MODULE", "module", is_("state", 2), state), ("MODULE", "callreg", is_("call", 3), 0.55 - 0.04 * n),
+            ("COMPOSITE", "composite", is_("chain", 3) & (F.col("declared") == 1) & (F.col("data_out") <= 3), composite),
+        )
+    ]))
+    rows = f.select("unit", "score", n.alias("n_"), reasons.alias("reasons"), F.explode(made).alias("c")).select("unit", "score", "n_", "reasons", "c.*")
+    ranked = numbered_everywhere(rows.withColumn("down_", -F.col("score")), ["n_", "down_", "unit", "name"], "rank")
+    return ranked.select(F.concat_ws("-", F.lit("candidate"), "name", (F.col("rank") + 1).cast("string")).alias("candidate"), "unit", "kind", "confidence", "reasons")
+
+
 def tournament(scored: DataFrame, routes: dict[str, Column], keep: int = 40) -> DataFrame:
     """route, unit, score, rank: the best `keep` units of each route, ties by unit."""
     listed = F.explode(F.array(*[F.struct(F.lit(r).alias("route"), F.round(s, 3).alias("score")) for r, s in routes.items()])).alias("x")

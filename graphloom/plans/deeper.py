@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions import settled
-from graphloom.operators import accuracy, architecture, compare, graph, invalidation, trace
+from graphloom.functions import settled, shared_path
+from graphloom.operators import accuracy, architecture, compare, graph, invalidation, search, snapshots, trace
 from graphloom.operators import communities as com
 from graphloom.plans.compared import _FEATURES, _topology, _units
 from graphloom.plans.registry import query
@@ -312,3 +312,88 @@ def d38_two_step_accuracy(spark, d):
     x = x.select(F.col("l_returnflag").alias("kind"), "src", "dst", "src_path", F.col("l_linestatus").alias("dst_path"), F.dayofyear("l_shipdate").cast("long").alias("line"), "l_orderkey", "l_linenumber", F.year("l_shipdate").alias("y"))
     pairs = accuracy.matched(x.where("y = 1996"), x.where("y = 1997"), ["kind", "src", "dst", "src_path", "dst_path"], ["kind", "src", "dst"], "line", ["l_orderkey", "l_linenumber"])
     return accuracy.figures(pairs, ["kind"])
+
+
+# -- snapshots and search --------------------------------------------------------------------------
+
+
+@query("a6_snapshot_copy", """
+, old AS (SELECT id, kind, name FROM nodes), gone AS (SELECT 'order:' || o_orderkey AS key FROM orders WHERE o_orderstatus = 'P'), fresh AS (SELECT 'order:' || o_orderkey AS id, 'ORDER' AS kind, o_orderpriority AS name FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 100000)
+, new AS (SELECT * FROM old WHERE id NOT IN (SELECT key FROM gone) UNION ALL SELECT * FROM fresh), kept AS (SELECT kind, src, dst FROM edges WHERE src NOT IN (SELECT key FROM gone))
+SELECT 'nodes' AS "table", 'first' AS snapshot, kind, count(*) AS n, count(DISTINCT name) AS names FROM old GROUP BY kind UNION ALL SELECT 'nodes', 'second', kind, count(*), count(DISTINCT name) FROM new GROUP BY kind
+UNION ALL SELECT 'edges', 'first', kind, count(*), count(DISTINCT src) FROM edges GROUP BY kind UNION ALL SELECT 'edges', 'second', kind, count(*), count(DISTINCT src) FROM kept GROUP BY kind""")
+def a6_snapshot_copy(spark, d):
+    """Nodes and edges as a first snapshot; a second is copied from it, with the pending orders left out or made anew."""
+    root = shared_path(spark, "snapshots")
+    snapshots.put({"nodes": star.nodes(spark, d).select("id", "kind", "name"), "edges": star.edges(spark, d).select("kind", "src", "dst")}, root, "first")
+    pending = star.table(spark, d, "orders").where("o_orderstatus = 'P'")
+    fresh = pending.where("o_totalprice > 100000").select(star.node_id("order", "o_orderkey").alias("id"), F.lit("ORDER").alias("kind"), F.col("o_orderpriority").alias("name"))
+    gone = pending.select(star.node_id("order", "o_orderkey").alias("key"))
+    snapshots.copy(spark, root, "first", "second", {"nodes": fresh}, gone, {"nodes": F.col("id"), "edges": F.col("src")})
+    out = None
+    for name, what in (("nodes", "name"), ("edges", "src")):
+        for snapshot in ("first", "second"):
+            rows = snapshots.read(spark, root, name, snapshot).groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct(what).alias("names"))
+            rows = rows.select(F.lit(name).alias("table"), F.lit(snapshot).alias("snapshot"), "kind", "n", "names")
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+_QNAMES = ", qn AS (SELECT id, name, path, lower(kind) || '.' || name AS qname FROM nodes)"
+
+
+def _named(spark, d) -> DataFrame:
+    return star.nodes(spark, d).withColumn("qname", F.concat_ws(".", F.lower("kind"), "name"))
+
+
+def _spaced(c: str) -> str:
+    return f"' ' || array_to_string(list_filter(regexp_split_to_array(lower({c}), '[^a-z0-9]+'), lambda t: t <> ''), ' ') || ' '"
+
+
+@query("j1_tiered_search", f"""{_QNAMES}
+, t AS (SELECT id, CASE WHEN qname = 'part.red ring' THEN 0 WHEN name = 'part.red ring' THEN 1 WHEN path = 'part.red ring' THEN 2 WHEN contains({_spaced('qname')}, ' part red ring ') OR contains({_spaced('name')}, ' part red ring ') OR contains({_spaced('path')}, ' part red ring ') THEN 3
+  WHEN contains(lower(qname), 'part.red ring') OR contains(lower(name), 'part.red ring') OR contains(lower(path), 'part.red ring') THEN 4 END AS tier FROM qn
+  UNION ALL SELECT id, CASE WHEN qname = 'economy' THEN 0 WHEN name = 'economy' THEN 1 WHEN path = 'economy' THEN 2 WHEN contains({_spaced('qname')}, ' economy ') OR contains({_spaced('name')}, ' economy ') OR contains({_spaced('path')}, ' economy ') THEN 3
+  WHEN contains(lower(qname), 'economy') OR contains(lower(name), 'economy') OR contains(lower(path), 'economy') THEN 4 END FROM qn WHERE id NOT LIKE 'part:%7'
+  UNION ALL SELECT id, CASE WHEN contains({_spaced('name')}, ' 00000001 ') OR contains({_spaced('qname')}, ' 00000001 ') OR contains({_spaced('path')}, ' 00000001 ') THEN 3 WHEN contains(name, '00000001') OR contains(qname, '00000001') OR contains(path, '00000001') THEN 4 END FROM qn)
+SELECT id, ['exact:qname', 'exact:name', 'exact:path', 'fts', 'like'][tier + 1] AS match, tier::INTEGER AS tier FROM t WHERE tier IS NOT NULL""")
+def j1_tiered_search(spark, d):
+    """Three searches in one table: a qualified name, a word of paths (but for some parts), a piece of a number."""
+    n = _named(spark, d)
+    every = 1 << 30
+    rows = search.tiered(n, "part.red ring", every).unionByName(search.tiered(n.where("id NOT LIKE 'part:%7'"), "economy", every))
+    return rows.unionByName(search.tiered(n, "00000001", every))
+
+
+@query("j2_phrases", f"""{_QNAMES}
+, w AS (SELECT id, c, list_filter(regexp_split_to_array(lower(t), '[^a-z0-9]+'), lambda x: x <> '') AS ws FROM (SELECT id, unnest(['name', 'qname', 'path']) AS c, unnest([name, qname, path]) AS t FROM qn))
+, p AS (SELECT id, c AS field, unnest(range(1, len(ws))) AS i, ws FROM w WHERE len(ws) > 1), ph AS (SELECT id, field, i - 1 AS pos FROM p WHERE ws[i] = 'small' AND ws[i + 1] = 'brand')
+, al AS (SELECT id FROM w GROUP BY id HAVING bool_or(list_contains(ws, 'small')) AND bool_or(list_contains(ws, 'brand')))
+SELECT al.id, coalesce(string_agg(field || '@' || pos, ',' ORDER BY field, pos), '') AS phrase_at FROM al LEFT JOIN ph USING (id) GROUP BY al.id""")
+def j2_phrases(spark, d):
+    """The nodes that hold both words, and where these stand as a phrase: of many of them nowhere."""
+    index = search.positions(_named(spark, d))
+    at = search.phrase(index, "small brand").groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("field", "pos"))), lambda x: F.concat_ws("@", x["field"], x["pos"].cast("string"))), ",").alias("phrase_at"))
+    return search.all_words(index, "small brand").join(at, "id", "left").select("id", F.coalesce("phrase_at", F.lit("")).alias("phrase_at"))
+
+
+@query("d14_ranked_candidates", f"""{_FEATURES}
+, dec AS (SELECT unit, count(DISTINCT coalesce(module, '(none)')) AS declared FROM un LEFT JOIN modu USING (id) GROUP BY unit)
+, outs AS (SELECT unit, count(DISTINCT data) AS data_out FROM un JOIN topo ON kind = 'DATA' AND src = un.id WHERE (unit, dst) NOT IN (SELECT unit, id FROM un) GROUP BY unit)
+, sc AS (SELECT *, round(1.0::DOUBLE * internal_data + 1.0::DOUBLE * internal_state + 0.5::DOUBLE * internal_call - (1.0::DOUBLE * crossing_data + 1.5::DOUBLE * crossing_state + 0.7::DOUBLE * crossing_call + 0.8::DOUBLE * crossing_resource) - 1.2::DOUBLE * uncertainty, 3) AS score FROM why JOIN dec USING (unit) LEFT JOIN outs USING (unit))
+, c AS (SELECT unit, score, n, reasons, 'FLOW' AS kind, 'flow' AS name, 0.75 - 0.05 * n AS confidence FROM sc WHERE seed = 'chain' AND size >= 2
+  UNION ALL SELECT unit, score, n, reasons, 'MODULE', 'module', CASE WHEN crossing_state > 2 THEN least(0.6 - 0.05 * n, 0.35) ELSE 0.6 - 0.05 * n END FROM sc WHERE seed = 'state' AND size >= 2
+  UNION ALL SELECT unit, score, n, reasons, 'MODULE', 'callreg', 0.55 - 0.04 * n FROM sc WHERE seed = 'call' AND size >= 3
+  UNION ALL SELECT unit, score, n, reasons, 'COMPOSITE', 'composite', least(0.7::DOUBLE - 0.05::DOUBLE * n, CASE WHEN score > 0 THEN score / 8 ELSE 0.3 END) FROM sc WHERE seed = 'chain' AND size >= 3 AND declared = 1 AND coalesce(data_out, 0) <= 3)
+SELECT 'candidate-' || name || '-' || row_number() OVER (ORDER BY n, score DESC, unit, name) AS candidate, unit, kind, round(confidence, 3)::DOUBLE AS confidence, reasons FROM c""", graph=False)
+def d14_ranked_candidates(spark, d):
+    """Candidates of four seeds: chains as flows and, where narrow and of one module, as composites; state; call regions."""
+    units, edges, modules = _units(spark, d)
+    units, edges = settled(units, "units"), settled(edges, "edges")
+    m = units.select("unit", "id").distinct()
+    declared = m.join(modules, "id", "left").groupBy("unit").agg(F.count_distinct(F.coalesce("module", F.lit("(none)"))).alias("declared"))
+    # the data of an edge is the last part of its id
+    leaving = m.withColumnRenamed("id", "src").join(edges.where("kind = 'DATA'").select("src", "dst", F.substring_index("id", "|", -1).alias("data")), "src")
+    leaving = leaving.join(m.withColumnRenamed("id", "dst"), ["unit", "dst"], "left_anti").groupBy("unit").agg(F.count_distinct("data").alias("data_out"))
+    f = compare.features(units, edges, modules).join(units.select("seed", "unit").distinct(), "unit").join(declared, "unit").join(leaving, "unit", "left").na.fill(0, ["data_out"])
+    return compare.ranked_candidates(f.withColumn("score", com.hard_score()))
