@@ -4,13 +4,14 @@ Words are digits, lower-cased ASCII letters and everything beyond ASCII. Base la
 places where a phrase's words stand consecutively. The method adds fuzzy notices: every notice
 is split into one piece more than the edits it may have, so that one piece at least is intact
 (pigeonhole); an Aho-Corasick pass over the block locates the pieces, and the regex library's
-bounded-error matching verifies the surroundings and reports span and edits. A seed costs one
+bounded-error matching verifies the surroundings and reports span and edits. A notice begins and ends at the
+edges of words, which edits may move; what only stands inside words is none. A seed costs one
 match of bounded length, so work is in proportion to text and seeds, however long a text is.
 
 Defined results: null texts count as empty (no words, score 0); repeated rows are scanned
 each; the first and last word are the smallest and largest start over all phrases. The score is
-1 with a base phrase, else the best notice's share of unedited characters, else 0. Extra
-columns are ignored.
+1 with a base phrase, else the best notice's share of unedited characters, always below 1, else
+0. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,6 +43,29 @@ NOTICES = {
     "released into the public domain": "public-domain",
     "permission to use copy modify and distribute this software for any purpose": "isc",
     "all rights reserved": "reserved",
+    "spdx license identifier apache 2 0": "apache-2.0",
+    "spdx license identifier mit": "mit",
+    "spdx license identifier bsd 3 clause": "bsd",
+    "spdx license identifier gpl": "gpl",
+    "spdx license identifier mpl 2 0": "mpl-2.0",
+    "this program is free software you can redistribute it and or modify it": "gpl",
+    "gnu affero general public license": "agpl",
+    "gnu free documentation license": "gfdl",
+    "eclipse public license": "epl",
+    "common development and distribution license": "cddl",
+    "european union public licence": "eupl",
+    "boost software license": "bsl-1.0",
+    "microsoft public license": "ms-pl",
+    "python software foundation license": "psf",
+    "the artistic license": "artistic",
+    "open font license": "ofl",
+    "open database license": "odbl",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    "creative commons attribution noncommercial": "cc-by-nc",
+    "creative commons attribution noderivatives": "cc-by-nd",
+    "creative commons zero": "cc0",
+    "licensed under the terms of the bsd license": "bsd",
+    "proprietary and confidential": "proprietary",
 }
 #: A notice may have one edit for so many characters.
 CHARS_AN_EDIT = 12
@@ -109,9 +133,24 @@ def scan_block(column: pa.Array) -> tuple[np.ndarray, dict[int, dict]]:
 
 @lru_cache(maxsize=65_536)
 def _match(notice: str, around: str) -> tuple[int, int, int] | None:
-    """(start, end, edits) of the best place of a notice in a short string."""
-    m = _fuzzy(notice).search(around)
-    return (m.start(), m.end(), sum(m.fuzzy_counts)) if m else None
+    """(start, end, edits) of the best place of a notice between edges of words in a short string, whose first and
+    last characters are only looked at.
+
+    The best match anywhere tells where; of the strings from an edge near its start to one near its end the
+    one that matches as a whole with the fewest edits is taken, then the first and shortest.
+    """
+    m, k = _fuzzy(notice).search(around), edits(notice)
+    if not m:
+        return None
+    edge = lambda i: 0 < i < len(around) and (around[i - 1] == " ") != (around[i] == " ")
+    starts = [i for i in range(max(1, m.start() - k), m.start() + k + 1) if edge(i) and around[i] != " "]
+    ends = [i for i in range(m.end() - k, min(len(around) - 1, m.end() + k) + 1) if edge(i) and around[i] == " "]
+    found = []
+    for i in starts:
+        for j in ends:
+            if abs(j - i - len(notice)) <= k and (whole := _fuzzy(notice).fullmatch(around, i, j)):
+                found.append((sum(whole.fuzzy_counts), i, j))
+    return (min(found)[1], min(found)[2], min(found)[0]) if found else None
 
 
 def _verify(text: str, seeds: list) -> dict:
@@ -136,11 +175,12 @@ def _verify(text: str, seeds: list) -> dict:
             if notice is None or at < done.get(notice, -1):
                 continue
             k = edits(notice)
-            a, b = max(0, at - offset - k), at - offset + len(notice) + k
-            if m := _match(notice, text[a:b]):
-                start, end = a + m[0], a + m[1]
+            # the padded text has a space before and after; one character more on either side shows edges
+            a, b = max(0, at - offset - 2 * k), at - offset + len(notice) + 2 * k + 2
+            if m := _match(notice, padded[a:b]):
+                start, end = a + m[0] - 1, a + m[1] - 1
                 first, last = np.searchsorted(spaces, (start + 1, end), side="right") - 1
-                notices[int(first), int(last) + 1, NOTICES[notice]] = (m[2], m[2] / len(notice))
+                notices[int(first), int(last) + 1, NOTICES[notice]] = (m[2], (m[2] + 1) / (len(notice) + 1))
                 done[notice] = end
     return {"places": places, "base": base, "notices": notices}
 

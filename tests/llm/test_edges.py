@@ -89,6 +89,16 @@ def test_licenses(docs, nothing):
     assert licenses.labels(nothing[0]).count() == 0
 
 
+def test_notices_stand_at_word_edges(spark):
+    rows = [
+        (1, "small rights reserved for cats"), (2, "overall rights reserved"), (3, "walls rights reservedly"), (4, "All rightz reserved."), (5, "(all rights reserve)"), (6, "released under the mit licenses"),
+        (7, "unreleased under the mit licensee x"), (8, "the Eclipse Public Licence, v2"), (9, "creative commons zero"), (10, "x " * 3000 + "proprietary and confidental" + " y" * 3000),
+    ]
+    got = {r.doc_id: r for r in licenses.labels(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r.labels for i, r in got.items()} == {1: "", 2: "", 3: "", 4: "reserved", 5: "reserved", 6: "mit", 7: "", 8: "epl", 9: "cc0", 10: "proprietary"}
+    assert all(r.score < 1 for r in got.values()) and all(r.score > 0.8 for i, r in got.items() if r.labels)
+
+
 def test_license_seeds_lose_no_match():
     import pyarrow as pa
     import regex
@@ -103,9 +113,12 @@ def test_license_seeds_lose_no_match():
                 at = int(rng.integers(0, len(chars)))
                 chars[at : at + 1] = [[], ["q"], [chars[at], "z"]][int(rng.integers(0, 3))]
             text = "some words before " + "".join(chars) + " and after"
-            whole = regex.search(f"(?b)(?:{regex.escape(notice, literal_spaces=True)}){{e<={licenses.edits(notice)}}}", text)
             _, found = licenses.scan_block(tb.texts(pa.array([text])))
-            assert whole and licenses.NOTICES[notice] in {k[2] for k in found[0]["notices"]}
+            # what stands between the two edges may be matched as a whole, unless edits made or joined words there
+            inner = " ".join("".join(chars).split())
+            whole = regex.fullmatch(f"(?b)(?:{regex.escape(notice, literal_spaces=True)}){{e<={licenses.edits(notice)}}}", inner)
+            labels = {k[2] for k in found[0]["notices"]} if found else set()
+            assert not whole or licenses.NOTICES[notice] in labels, (notice, text)
 
 
 def test_quality_and_toxicity(docs, labels, nothing):
