@@ -88,3 +88,49 @@ def claim_exposure(edges: DataFrame, member: DataFrame, ports: DataFrame) -> Dat
     units = edges.join(member.toDF("src", "su"), "src").join(member.toDF("dst", "du"), "dst").where("su <> du")
     crossing = units.select(F.explode(F.array("su", "du")).alias("unit"), "token").distinct()
     return crossing.join(ports.select("unit", "token"), ["unit", "token"], "left_anti")
+
+
+def alignments(claims: DataFrame, slot: Sequence[str]) -> DataFrame:
+    """slot, label, authority, items: what the claims of a slot say together.
+
+    claims: slot, canonical (else a reference), variant, resolution. Each canonical item is admitted. Two or more of
+    them agree (CORROBORATION) or conflict (PROVIDER_CONFLICT); references among themselves only disagree. Where there
+    are both, a canonical unknown stays one (UNKNOWN_PRESERVED), a common variant corroborates, and none is a
+    discrepancy. References never change what is canonical. Counts only are grouped, so a slot may be large.
+    """
+    kinds = claims.groupBy(*slot, "variant").agg(F.count_if("canonical").alias("c"), F.count_if(~F.col("canonical")).alias("r"), F.count_if(F.col("canonical") & (F.col("resolution") == "UNKNOWN")).alias("u"))
+    has = lambda c: F.count_if(F.col(c) > 0)
+    by = kinds.groupBy(*slot).agg(
+        F.sum("c").alias("nc"), F.sum("r").alias("nr"), F.sum("u").alias("nu"), has("c").alias("vc"), has("r").alias("vr"), F.count_if((F.col("c") > 0) & (F.col("r") > 0)).alias("common")
+    )
+    c, r, both = F.col("nc"), F.col("nr"), F.col("nc") + F.col("nr")
+    told = lambda test, label, authority, n: F.when(test, F.struct(F.lit(label).alias("label"), F.lit(authority).alias("authority"), n.cast("long").alias("items")))
+    mixed = (c > 0) & (r > 0)
+    labels = F.array_compact(F.array(
+        told(c > 0, "CANONICAL_ADMISSION", "CANONICAL_CANDIDATE", c), told((c > 1) & (F.col("vc") == 1), "CORROBORATION", "CANONICAL_CANDIDATE", c),
+        told((c > 1) & (F.col("vc") > 1), "PROVIDER_CONFLICT", "CANONICAL_CANDIDATE", c), told((r > 1) & (F.col("vr") > 1), "REFERENCE_DISAGREEMENT", "REFERENCE_EVIDENCE", r),
+        told(mixed & (F.col("nu") > 0), "UNKNOWN_PRESERVED", "MIXED", r), told(mixed & (F.col("nu") == 0) & (F.col("common") > 0), "CORROBORATION", "MIXED", both),
+        told(mixed & (F.col("nu") == 0) & (F.col("common") == 0), "CANONICAL_REFERENCE_DISCREPANCY", "MIXED", both),
+    ))
+    return by.select(*slot, F.explode(labels).alias("x")).select(*slot, "x.*")
+
+
+def runtime_states(asked: DataFrame, runs: DataFrame, edges: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """relation, run, state, limits: what a run says of a relation.
+
+    asked: relation, run, kind, src, dst and the scope's columns; runs: run, the scope's columns, binding, window,
+    integrity, covered, covered_kind, covered_src; edges: run, src, dst (bound exactly). A run of another scope, or
+    without exact binding or a window, is UNMEASURED, and never a miss. NOT_OBSERVED needs a complete trace and
+    complete coverage of the relation's kind and source.
+    """
+    mine = runs.select("run", F.lit(True).alias("run_"), *[F.col(c).alias(f"r_{c}") for c in scope], "binding", "window", "integrity", "covered", "covered_kind", "covered_src")
+    seen = edges.select("run", "src", "dst").distinct().withColumn("seen", F.lit(True))
+    j = asked.join(mine, "run", "left").join(seen, ["run", "src", "dst"], "left")
+    off = [F.when(F.col(c).isNull() | ~F.coalesce(F.col(f"r_{c}") == F.col(c), F.lit(False)), f"{c}_missing_or_mismatch") for c in scope]
+    off += [F.when(~F.coalesce(F.col("binding") == "EXACT", F.lit(False)), "scenario_binding_not_exact"), F.when(F.col("window").isNull(), "trace_window_unavailable")]
+    reason = F.coalesce(*off)
+    whole = F.coalesce(F.col("integrity") == "COMPLETE", F.lit(False))
+    covered = whole & F.coalesce((F.col("covered") == "COMPLETE") & (F.col("covered_kind") == F.col("kind")) & (F.col("covered_src") == F.col("src")), F.lit(False))
+    state = F.when(reason.isNotNull(), "UNMEASURED").when(F.col("seen"), "OBSERVED").when(covered, "NOT_OBSERVED").otherwise("UNMEASURED")
+    limits = F.coalesce(reason, F.when(F.col("seen") & ~whole, "trace_integrity_partial").when(F.col("seen"), "").when(covered, "bounded_workload_and_trace_window_only").otherwise("relation_trace_coverage_not_complete"))
+    return j.select("relation", "run", state.alias("state"), limits.alias("limits"))

@@ -191,3 +191,32 @@ def field_changes(before: DataFrame, after: DataFrame, key: str, fields: Sequenc
     names = F.array_join(F.array_compact(F.array(*[F.when(~F.col(f"a_{f}").eqNullSafe(F.col(f"b_{f}")), f) for f in sorted(fields)])), ",")
     what = F.when(F.col("in_a").isNull(), "ADDED").when(F.col("in_b").isNull(), "REMOVED").otherwise(names)
     return j.select(key, what.alias("changed")).where("changed <> ''")
+
+
+def planned_findings(relations: DataFrame, interfaces: DataFrame, touches: DataFrame, allowed: DataFrame, kinds: Sequence[str], directions: DataFrame) -> DataFrame:
+    """subject, check, severity: what is wrong with the changes that a design plans.
+
+    relations: id, src, dst, kind, justification, support; interfaces: id, before, after, adapter; touches: id, path;
+    allowed: path (none: everything is); kinds: forbidden relations; directions: src, dst that are forbidden. A cycle
+    of planned relations is one finding without a subject.
+    """
+    from graphloom.operators.graph import _trimmed
+
+    told = lambda rows, check, severity="ERROR": rows.select(F.col("id").alias("subject"), F.lit(check).alias("check"), F.lit(severity).alias("severity"))
+    whole = F.col("src").isNotNull() & F.col("dst").isNotNull()
+    full = relations.where(whole)
+    out = [told(relations.where(~whole), "TARGET_MISSING"), told(full.join(directions.select("src", "dst").distinct(), ["src", "dst"], "left_semi"), "ILLEGAL_DIRECTION")]
+    out += [told(relations.where(F.col("kind").isin(*kinds)), "FORBIDDEN_RELATION")]
+    given = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    out += [told(relations.where(~(given("justification") & given("support"))), "UNSUPPORTED", "UNKNOWN")]
+    changed = F.col("before").isNotNull() & F.col("after").isNotNull() & (F.col("before") != F.col("after")) & ~given("adapter")
+    out += [told(interfaces.where(changed), "INTERFACE_MISMATCH")]
+    scoped = touches.where(F.lit(not allowed.isEmpty())).join(allowed.select("path").distinct(), "path", "left_anti")
+    out += [told(scoped.select("id").distinct(), "SCOPE_CONTRADICTION")]
+    arcs = full.select("src", "dst").distinct()
+    loops = arcs.where("src = dst").limit(1).unionByName(_trimmed(settled(arcs.where("src <> dst"), "planned")).limit(1)).limit(1)
+    out += [told(loops.select(F.lit("").alias("id")), "CYCLE")]
+    rows = out[0]
+    for more in out[1:]:
+        rows = rows.unionByName(more)
+    return rows

@@ -19,8 +19,33 @@ def _arcs(edges: DataFrame, direction: str) -> DataFrame:
     return {"out": out, "in": back, "both": out.unionByName(back)}[direction].distinct()
 
 
+#: Walks of at most so many steps join their front to the edges as they are; longer ones first write the arcs.
+FEW_STEPS = 3
+
+
+def near(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "out") -> DataFrame:
+    """id, distance of all nodes within a few steps of the seeds (id).
+
+    Nothing is written but the fronts: each step joins the front to the edges by src and by dst, so filters and
+    columns reach the scans, edges need not be distinct, and a small front is broadcast.
+    """
+    seen = front = settled(seeds.select("id").distinct().withColumn("distance", F.lit(0)), "front")
+    for step in range(1, depth + 1):
+        last = front.select("id")
+        ways = [("src", "dst")] * (direction in ("out", "both")) + [("dst", "src")] * (direction in ("in", "both"))
+        found = [edges.join(last.withColumnRenamed("id", a), a, "left_semi").select(F.col(b).alias("id")) for a, b in ways]
+        found = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+        front = settled(found.distinct().join(seen.select("id"), "id", "left_anti").withColumn("distance", F.lit(step)), "front")
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return seen
+
+
 def bfs(edges: DataFrame, seeds: DataFrame, depth: int | None, direction: str = "out") -> DataFrame:
     """id, distance of all nodes within `depth` steps of the seeds (id); without depth: all reachable ones."""
+    if depth is not None and depth <= FEW_STEPS:
+        return near(edges, seeds, depth, direction)
     arcs = settled(_arcs(edges, direction), "arcs")
     front = seeds.select("id").distinct()
     seen = settled(front.withColumn("distance", F.lit(0)), "seen")
@@ -262,6 +287,43 @@ def long_cycles(edges: DataFrame, most: int = 12) -> DataFrame:
     return found
 
 
+def topology_of(edges: DataFrame, nodes: DataFrame, root: DataFrame, depth: int, relations: Sequence[str], direction: str = "both") -> DataFrame:
+    """part (node, edge or boundary), id, kind, src, dst, distance: what stands around the root (id) within `depth` steps.
+
+    Steps take edges of all kinds. Edges of the relations asked for are listed where both ends were reached;
+    where only one was, they are the boundary. distance is that of the nearer end.
+    """
+    seen = settled(near(edges, root, depth, direction), "around")
+    none = F.lit(None).cast("string")
+    told = nodes.join(seen, "id").select(F.lit("node").alias("part"), "id", "kind", none.alias("src"), none.alias("dst"), "distance")
+    of = lambda end, name: seen.select(F.col("id").alias(end), F.col("distance").alias(name))
+    asked = edges.where(F.col("kind").isin(*relations)).join(of("src", "a"), "src", "left").join(of("dst", "b"), "dst", "left").where("a IS NOT NULL OR b IS NOT NULL")
+    part = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), "edge").otherwise("boundary")
+    return told.unionByName(asked.select(part.alias("part"), F.concat_ws(":", F.lit("edge"), "kind", "src", "dst").alias("id"), "kind", "src", "dst", F.least("a", "b").alias("distance")))
+
+
+def path_verdicts(edges: DataFrame, pairs: DataFrame, hops: int, open_sources: DataFrame, complete: bool = False) -> DataFrame:
+    """source, target, verdict, hops of each pair: FOUND with the fewest hops; PARTIAL where a node that was reached has
+    edges to unknown targets (open_sources: id); else NOT_FOUND, but only if the edges are complete, and UNKNOWN if
+    not: absence within a bound is no proof.
+
+    All sources walk at once; a row of a front is a source and a node.
+    """
+    steps = edges.select(F.col("src").alias("node"), F.col("dst").alias("next"))
+    seen = front = settled(pairs.select("source", F.col("source").alias("node")).distinct().withColumn("hops", F.lit(0)), "front")
+    for k in range(1, hops + 1):
+        found = front.select("source", "node").join(steps, "node").select("source", F.col("next").alias("node")).distinct()
+        front = settled(found.join(seen.select("source", "node"), ["source", "node"], "left_anti").withColumn("hops", F.lit(k)), "front")
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    seen = settled(seen, "walked")
+    gaps = seen.join(open_sources.select(F.col("id").alias("node")).distinct(), "node", "left_semi").select("source").distinct().withColumn("gap", F.lit(True))
+    j = pairs.select("source", "target").distinct().join(seen.withColumnRenamed("node", "target"), ["source", "target"], "left").join(gaps, "source", "left")
+    verdict = F.when(F.col("hops").isNotNull(), "FOUND").when(F.col("gap"), "PARTIAL").otherwise("NOT_FOUND" if complete else "UNKNOWN")
+    return j.select("source", "target", verdict.alias("verdict"), "hops")
+
+
 def impact(edges: DataFrame, seeds: DataFrame, kinds: Sequence[str], depth: int) -> DataFrame:
     """id, distance of what depends on the seeds: reverse steps along the kinds."""
     return bfs(edges.where(F.col("kind").isin(*kinds)), seeds, depth, "in")

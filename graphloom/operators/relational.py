@@ -108,14 +108,17 @@ def planes(static: DataFrame, observed: DataFrame, on: Sequence[str]) -> DataFra
     return a.join(b, list(on), "full_outer").select(*on, plane.alias("plane"))
 
 
-def sharing_pairs(rows: DataFrame, id_col: str, token: str, most: int) -> DataFrame:
-    """a < b, shared: unordered pairs that share tokens; tokens with more than `most` holders are an error of the caller.
-
-    The bound is asserted, not applied: rows are never dropped.
-    """
-    held = rows.select(F.col(id_col).alias("id"), F.col(token).alias("t")).distinct()
-    holders = held.groupBy("t").agg(F.count("*").alias("n"))
-    safe = F.when(F.col("n") > most, F.raise_error(F.lit("a token has too many holders for pairs"))).otherwise(F.col("t"))
-    held = held.join(holders, "t").select("id", safe.cast("string").alias("t"))
-    pairs = held.toDF("a", "t").join(held.toDF("b", "t"), "t").where("a < b")
+def dealt_pairs(a: DataFrame, b: DataFrame, key: str, most: int = 1_000) -> DataFrame:
+    """a joined to b on the key, where one key may have many rows on both sides: its rows of a are dealt over pieces of
+    at most about `most`, and its rows of b stand beside each piece. No pair is lost or made twice."""
+    pieces = a.groupBy(key).agg(F.ceil(F.count("*") / most).cast("int").alias("pieces_"))
+    dealt = a.join(pieces, key).withColumn("piece_", F.pmod(F.xxhash64(*a.columns), F.col("pieces_")).cast("int")).drop("pieces_")
+    copied = b.join(pieces, key).withColumn("piece_", F.explode(F.sequence(F.lit(0), F.col("pieces_") - 1))).drop("pieces_")
+    return dealt.join(copied, [key, "piece_"]).drop("piece_")
+
+
+def sharing_pairs(rows: DataFrame, id_col: str, token: str, piece: int = 1_000) -> DataFrame:
+    """a < b, shared: unordered pairs that share tokens, and how many; the holders of a hot token are dealt over pieces."""
+    held = rows.select(F.col(id_col).alias("id"), F.col(token).cast("string").alias("t")).where("t IS NOT NULL").distinct()
+    pairs = dealt_pairs(held.toDF("a", "t"), held.toDF("b", "t"), "t", piece).where("a < b")
     return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))

@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.relational import dealt_pairs
+
 Context = dict[str, DataFrame]
 Rule = Callable[[Context, str], DataFrame]
 
@@ -51,9 +53,8 @@ def several_producers(c: Context, capability: str) -> DataFrame:
 
 def _unordered(c: Context, a: DataFrame, b: DataFrame, once: bool = False) -> DataFrame:
     """a, b, token: pairs on a token without an order either way; once: of two alike sides each pair once."""
-    x, y = a.alias("x"), b.alias("y")
-    apart = F.col("x.a") < F.col("y.b") if once else F.col("x.a") != F.col("y.b")
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & apart).select("x.a", "y.b", "x.token")
+    apart = F.col("a") < F.col("b") if once else F.col("a") != F.col("b")
+    pairs = dealt_pairs(a.select("token", "a"), b.select("token", "b"), "token").where(apart).select("a", "b", "token")
     o = c["order"]
     ways = o.select(F.col("before").alias("a"), F.col("after").alias("b")).unionByName(o.select(F.col("after").alias("a"), F.col("before").alias("b"))).distinct()
     return pairs.join(ways, ["a", "b"], "left_anti")

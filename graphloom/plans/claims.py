@@ -203,7 +203,7 @@ FROM sa FULL JOIN sb ON sa.o_orderkey = sb.o_orderkey WHERE sa.o_orderkey IS NUL
 SELECT change, o_orderkey, row_number() OVER (PARTITION BY change ORDER BY o_orderkey) - 1 AS seq FROM x""")
 def e7_bucket_numbers(spark, d):
     x = diff.snapshot_diff(*_snapshots(spark, d), ["o_orderkey"], ["o_custkey", "o_orderstatus", "o_orderpriority"])
-    return trace.numbered(x, ["change"], ["o_orderkey"]).select("change", "o_orderkey", "seq")
+    return trace.numbered_dealt(x, ["change"], ["o_orderkey"]).select("change", "o_orderkey", "seq")
 
 
 @query("e11_latest", "SELECT run, arg_max(event_id, (ts, event_id)) AS event_id FROM data_events GROUP BY run")

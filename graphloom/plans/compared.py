@@ -334,8 +334,8 @@ def _side(rows: DataFrame) -> dict[str, DataFrame]:
 
 
 @query("g4_design_diff", f"""{_ITEMS}
-, b AS (SELECT src, now, max(o_orderpriority) AS binding, max(o_orderpriority) || '/' || max(p_brand) AS digest FROM items GROUP BY ALL), p AS (SELECT src, p_brand, now, max(p_type) AS digest FROM items GROUP BY ALL)
-, n AS (SELECT DISTINCT CASE WHEN l_returnflag = 'R' THEN 'call' ELSE 'data' END AS k, src, dst, now FROM items), c AS (SELECT dst, now, max(p_type) AS digest FROM items GROUP BY ALL), r AS (SELECT DISTINCT src, o_orderpriority AS res, now FROM items)
+, b AS MATERIALIZED (SELECT src, now, max(o_orderpriority) AS binding, max(o_orderpriority) || '/' || max(p_brand) AS digest FROM items GROUP BY ALL), p AS MATERIALIZED (SELECT src, p_brand, now, max(p_type) AS digest FROM items GROUP BY ALL)
+, n AS MATERIALIZED (SELECT DISTINCT CASE WHEN l_returnflag = 'R' THEN 'call' ELSE 'data' END AS k, src, dst, now FROM items), c AS MATERIALIZED (SELECT dst, now, max(p_type) AS digest FROM items GROUP BY ALL), r AS MATERIALIZED (SELECT DISTINCT src, o_orderpriority AS res, now FROM items)
 SELECT CASE WHEN x.src IS NULL THEN 'block_added' WHEN y.src IS NULL THEN 'block_removed' ELSE 'block_modified' END AS kind, 'block:' || src AS object, CASE WHEN x.src IS NULL THEN 'S1' WHEN y.src IS NULL THEN 'S4' WHEN x.binding <> y.binding THEN 'S1' ELSE 'S2' END AS type
   FROM (SELECT * FROM b WHERE NOT now) x FULL JOIN (SELECT * FROM b WHERE now) y USING (src) WHERE x.digest IS DISTINCT FROM y.digest
 UNION ALL SELECT CASE WHEN x.src IS NULL THEN 'port_added' WHEN y.src IS NULL THEN 'port_removed' ELSE 'port_modified' END, 'port:' || src || ':' || p_brand || ':in', 'S2' FROM (SELECT * FROM p WHERE NOT now) x FULL JOIN (SELECT * FROM p WHERE now) y USING (src, p_brand) WHERE x.digest IS DISTINCT FROM y.digest

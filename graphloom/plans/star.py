@@ -34,7 +34,7 @@ _SNAPSHOTS = f"""
 ) SELECT h.id, min(distance)::INTEGER AS distance, any_value(n.name) AS name, any_value(n.kind) AS kind FROM hops h JOIN nodes n USING (id) GROUP BY h.id""")
 def h1_bfs(spark, d):
     seeds = star.nodes(spark, d).where("id = 'customer:1'").select("id")
-    near = graph.bfs(star.edges(spark, d).where("kind = 'CALLS'"), seeds, 2, "both")
+    near = graph.bfs(star.links(spark, d).where("kind = 'CALLS'"), seeds, 2, "both")
     return near.join(star.nodes(spark, d).select("id", "name", "kind"), "id").select("id", "distance", "name", "kind")
 
 
@@ -305,7 +305,7 @@ SELECT a.id AS a, b.id AS b, count(*) AS shared FROM held a JOIN held b ON a.t =
 def c25_sharing_pairs(spark, d):
     i = star.table(spark, d, "lineitem").join(star.table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(star.table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     rows = i.select("s_nationkey", F.concat("l_returnflag", "l_linestatus", "p_type").alias("token"))
-    return relational.sharing_pairs(rows, "s_nationkey", "token", 25)
+    return relational.sharing_pairs(rows, "s_nationkey", "token")
 
 
 @query("d1_statistics", """
@@ -571,7 +571,7 @@ def h2_shortest_paths(spark, d):
 SELECT id, min(distance)::INTEGER AS distance FROM hops GROUP BY id""")
 def h6_impact(spark, d):
     seeds = star.nodes(spark, d).where("kind = 'PART' AND path LIKE 'parts/ECONOMY/Brand#1%'").select("id")
-    return graph.impact(star.edges(spark, d), seeds, ["CALLS"], 2)
+    return graph.impact(star.links(spark, d), seeds, ["CALLS"], 2)
 
 
 _REACH = ", reach(src, dst) AS (SELECT src, dst FROM trades UNION SELECT r.src, t.dst FROM reach r JOIN trades t ON t.src = r.dst)"

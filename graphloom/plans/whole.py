@@ -75,7 +75,7 @@ SELECT path, count(*) AS n, min(distance)::INTEGER AS nearest, min(id) AS first
 def h6_roll_up(spark, d):
     """Impact by file: how many nodes, how near the nearest, and the first of them."""
     n = star.nodes(spark, d)
-    hit = graph.impact(star.edges(spark, d), n.where("kind = 'PART' AND path LIKE 'parts/ECONOMY/Brand#1%'").select("id"), ["CALLS"], 2)
+    hit = graph.impact(star.links(spark, d), n.where("kind = 'PART' AND path LIKE 'parts/ECONOMY/Brand#1%'").select("id"), ["CALLS"], 2)
     return hit.where("distance > 0").join(n.select("id", "path"), "id").groupBy("path").agg(F.count("*").alias("n"), F.min("distance").alias("nearest"), F.min("id").alias("first"))
 
 

@@ -93,6 +93,22 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).select(F.concat_ws(":", F.lit("edge"), "kind", "src", "dst").alias("id"), "kind", "src", "dst", "weight")
 
 
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """kind, src, dst: the edges as the tables tell them, with repeats; nothing is grouped, so walks prune the scans."""
+    nation, customer, supplier = (table(spark, sf_dir, t) for t in ("nation", "customer", "supplier"))
+    orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    one = lambda rows, kind, src, dst: rows.select(F.lit(kind).alias("kind"), src.alias("src"), dst.alias("dst"))
+    parts = [
+        one(nation, "CONTAINS", node_id("region", "n_regionkey"), node_id("nation", "n_nationkey")),
+        one(customer, "CONTAINS", node_id("nation", "c_nationkey"), node_id("customer", "c_custkey")),
+        one(supplier, "CONTAINS", node_id("nation", "s_nationkey"), node_id("supplier", "s_suppkey")),
+        one(orders, "CALLS", node_id("customer", "o_custkey"), node_id("order", "o_orderkey")),
+        one(items, "CALLS", node_id("order", "l_orderkey"), node_id("part", "l_partkey")),
+        one(items, "USES", node_id("order", "l_orderkey"), node_id("supplier", "l_suppkey")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def snapshot(spark: SparkSession, sf_dir: str, start: str, end: str) -> DataFrame:
     """The orders of a date range as a snapshot: id, path, digest."""
     rows = table(spark, sf_dir, "orders").where((F.col("o_orderdate") >= F.lit(start).cast("timestamp_ntz")) & (F.col("o_orderdate") < F.lit(end).cast("timestamp_ntz")))

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from graphloom.plans import claims, compared, deeper, design, registry, rest, star, streams, whole  # noqa: F401
+from graphloom.plans import claims, compared, deeper, design, gates, registry, rest, star, streams, whole  # noqa: F401
 from tests.conftest import SF
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
