@@ -397,3 +397,63 @@ def d14_ranked_candidates(spark, d):
     leaving = leaving.join(m.withColumnRenamed("id", "dst"), ["unit", "dst"], "left_anti").groupBy("unit").agg(F.count_distinct("data").alias("data_out"))
     f = compare.features(units, edges, modules).join(units.select("seed", "unit").distinct(), "unit").join(declared, "unit").join(leaving, "unit", "left").na.fill(0, ["data_out"])
     return compare.ranked_candidates(f.withColumn("score", com.hard_score()))
+
+
+# -- candidates from seeds that the graph itself makes ---------------------------------------------
+
+_PARTS = """
+WITH RECURSIVE x AS (SELECT 'part:' || l_partkey AS src, 'part:' || lead(l_partkey) OVER w AS dst, l_returnflag AS f, p_name, lead(p_name) OVER w AS name2, p_size::VARCHAR AS size FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey
+    WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_shipdate, l_partkey, l_linenumber) QUALIFY o_orderstatus = 'F' AND lead(l_partkey) OVER w IS NOT NULL AND lead(l_partkey) OVER w <> l_partkey)
+, topo AS MATERIALIZED (SELECT DISTINCT 'CALL' AS kind, src, dst, NULL AS data FROM x WHERE f = 'R' UNION ALL SELECT DISTINCT 'DATA', src, dst, size FROM x WHERE f = 'A' UNION ALL SELECT DISTINCT 'STATE', src, dst, p_name FROM x WHERE f = 'N' AND p_name = name2)
+, modu AS (SELECT 'part:' || p_partkey AS id, p_type AS module FROM part)
+, glue AS (SELECT 'call' AS seed, src, dst FROM topo JOIN modu a ON a.id = src JOIN modu b ON b.id = dst WHERE kind = 'CALL' AND a.module = b.module UNION SELECT 'state', src, dst FROM topo WHERE kind = 'STATE')
+, arc AS MATERIALIZED (SELECT seed, src, dst FROM glue UNION SELECT seed, dst, src FROM glue)
+, reach(seed, a, b) AS (SELECT DISTINCT seed, src, src FROM arc UNION SELECT r.seed, r.a, t.dst FROM reach r JOIN arc t ON t.seed = r.seed AND t.src = r.b)
+, comp AS (SELECT seed, a AS id, seed || ':' || min(b) AS unit FROM reach GROUP BY seed, a)
+, d AS MATERIALIZED (SELECT DISTINCT src, dst FROM topo WHERE kind = 'DATA'), walk(path, e) AS (SELECT [src, dst], dst FROM d UNION ALL SELECT list_append(path, dst), dst FROM walk JOIN d ON src = e WHERE len(path) < 5 AND NOT list_contains(path, dst))
+, chain AS (SELECT 'chain:' || array_to_string(path, '>') AS unit, path FROM walk WHERE e NOT IN (SELECT src FROM d))
+, unit_ AS MATERIALIZED (SELECT seed, unit, id FROM comp UNION ALL SELECT 'chain', unit, unnest(path) FROM chain)
+, edge AS MATERIALIZED (SELECT kind, src, dst, row_number() OVER () AS e, CASE WHEN kind = 'STATE' THEN 'CANDIDATE_SET' ELSE 'EXACT' END AS resolution FROM topo)
+, met AS MATERIALIZED (SELECT unit, e, any_value(x.kind) AS kind, any_value(resolution) AS resolution, count(*) = 2 AS inside FROM unit_ JOIN (SELECT *, unnest([src, dst]) AS node FROM edge) x ON x.node = id GROUP BY unit, e)
+, cnt AS (SELECT unit, count_if(kind = 'CALL' AND inside) AS ic, count_if(kind = 'DATA' AND inside) AS id_, count_if(kind = 'STATE' AND inside) AS is_, count_if(kind = 'CALL' AND NOT inside) AS cc, count_if(kind = 'DATA' AND NOT inside) AS cd, count_if(kind = 'STATE' AND NOT inside) AS cs,
+    count_if(inside AND resolution = 'CANDIDATE_SET') AS uncertainty FROM met GROUP BY unit)
+, dec AS (SELECT unit, any_value(seed) AS seed, count(*) AS size, count(DISTINCT module) AS modules FROM unit_ JOIN modu USING (id) GROUP BY unit)
+, outs AS (SELECT u.unit, count(DISTINCT data) AS data_out FROM unit_ u JOIN topo ON kind = 'DATA' AND src = u.id LEFT JOIN unit_ v ON v.unit = u.unit AND v.id = dst WHERE v.id IS NULL GROUP BY u.unit)
+, sc AS (SELECT *, (cs >= 3)::INTEGER + (uncertainty >= 5)::INTEGER + (modules > 2)::INTEGER AS n, array_to_string(list_filter([CASE WHEN cs >= 3 THEN 'R3_state_crossing_heavy' END, CASE WHEN uncertainty >= 5 THEN 'R6_uncertainty_high' END, CASE WHEN modules > 2 THEN 'cross_declared_mixed' END], lambda r: r IS NOT NULL), ',') AS reasons,
+    round(1.0::DOUBLE * id_ + 1.0::DOUBLE * is_ + 0.5::DOUBLE * ic - (1.0::DOUBLE * cd + 1.5::DOUBLE * cs + 0.7::DOUBLE * cc) - 1.2::DOUBLE * uncertainty, 3) AS score FROM dec JOIN cnt USING (unit) LEFT JOIN outs USING (unit))
+, c AS (SELECT unit, score, n, reasons, 'FLOW' AS kind, 'flow' AS name, 0.75 - 0.05 * n AS confidence FROM sc WHERE seed = 'chain' AND size >= 2
+  UNION ALL SELECT unit, score, n, reasons, 'MODULE', 'module', CASE WHEN cs > 2 THEN least(0.6 - 0.05 * n, 0.35) ELSE 0.6 - 0.05 * n END FROM sc WHERE seed = 'state' AND size >= 2
+  UNION ALL SELECT unit, score, n, reasons, 'MODULE', 'callreg', 0.55 - 0.04 * n FROM sc WHERE seed = 'call' AND size >= 3
+  UNION ALL SELECT unit, score, n, reasons, 'COMPOSITE', 'composite', least(0.7::DOUBLE - 0.05::DOUBLE * n, CASE WHEN score > 0 THEN score / 8 ELSE 0.3 END) FROM sc WHERE seed = 'chain' AND size >= 3 AND modules = 1 AND coalesce(data_out, 0) <= 3)
+SELECT 'candidate-' || name || '-' || row_number() OVER (ORDER BY n, score DESC, unit, name) AS candidate, unit, kind, round(confidence, 3)::DOUBLE AS confidence, reasons FROM c"""
+
+
+@query("d14_seeded_candidates", _PARTS, graph=False)
+def d14_seeded_candidates(spark, d):
+    """Parts that follow one another in finished orders call, feed or share state, by what came of the first; seeds are
+    components of calls inside a type, components of state, and chains of data of at most five parts."""
+    done = star.table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    p = star.table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type", "p_size")
+    w = Window.partitionBy("l_orderkey").orderBy("l_shipdate", "l_partkey", "l_linenumber")
+    x = star.table(spark, d, "lineitem").join(done, "l_orderkey", "left_semi").join(p, "l_partkey")
+    x = x.withColumns({"next": F.lead("l_partkey").over(w), "name2": F.lead("p_name").over(w)}).where("next IS NOT NULL AND next <> l_partkey")
+    x = x.withColumns({"src": star.node_id("part", "l_partkey"), "dst": star.node_id("part", "next")})
+    one = lambda where, kind, data: x.where(where).select(F.lit(kind).alias("kind"), "src", "dst", data.cast("string").alias("data")).distinct()
+    topo = one("l_returnflag = 'R'", "CALL", F.lit("")).unionByName(one("l_returnflag = 'A'", "DATA", F.col("p_size"))).unionByName(one("l_returnflag = 'N' AND p_name = name2", "STATE", F.col("p_name")))
+    topo = settled(topo, "topology")
+    modules = p.select(star.node_id("part", "l_partkey").alias("id"), F.col("p_type").alias("module"))
+    of = lambda end, name: modules.select(F.col("id").alias(end), F.col("module").alias(name))
+    calls = topo.where("kind = 'CALL'").join(of("src", "a"), "src").join(of("dst", "b"), "dst").where("a = b")
+    region = lambda rows, seed: graph.components(rows.select("src", "dst")).select(F.lit(seed).alias("seed"), F.concat_ws(":", F.lit(seed), "component").alias("unit"), "id")
+    data_ = settled(topo.where("kind = 'DATA'").select("src", "dst").distinct(), "data")
+    chains = graph.simple_chains(data_, data_.select(F.col("src").alias("id")).distinct(), 5)
+    chains = chains.select(F.lit("chain").alias("seed"), F.concat(F.lit("chain:"), "path").alias("unit"), F.explode(F.split("path", ">")).alias("id"))
+    units = settled(region(calls, "call").unionByName(region(topo.where("kind = 'STATE'"), "state")).unionByName(chains), "units")
+    resolution = F.when(F.col("kind") == "STATE", "CANDIDATE_SET").otherwise("EXACT")
+    edges = topo.select(F.concat_ws("|", "kind", "src", "dst", "data").alias("id"), "kind", "src", "dst", resolution.alias("resolution"), F.lit("COMPLETE").alias("coverage"))
+    m = units.select("unit", "id")
+    declared = m.join(modules, "id").groupBy("unit").agg(F.count_distinct("module").alias("declared"))
+    leaving = m.withColumnRenamed("id", "src").join(topo.where("kind = 'DATA'"), "src").join(m.withColumnRenamed("id", "dst"), ["unit", "dst"], "left_anti")
+    leaving = leaving.groupBy("unit").agg(F.count_distinct("data").alias("data_out"))
+    f = compare.features(m, edges, modules).join(units.select("seed", "unit").distinct(), "unit").join(declared, "unit").join(leaving, "unit", "left").na.fill(0, ["data_out"])
+    return compare.ranked_candidates(f.withColumn("score", com.hard_score()))
