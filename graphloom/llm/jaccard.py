@@ -39,7 +39,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import textbuf as tb
@@ -144,7 +144,8 @@ def described(docs: DataFrame, last: np.ndarray, key: bytes, n: int = SHINGLE, p
 
 def meetings(table: DataFrame, scratch: tb.Scratch, percent: int = PERCENT) -> DataFrame:
     """g, k, size, leader: prefix shingles that several classes hold, for the candidate classes."""
-    holds = table.where("prefix IS NOT NULL").select(F.explode("prefix").alias("g"), "k", "size")
+    # dealt out by shingle once, for the sums and for the join
+    holds = table.where("prefix IS NOT NULL").select(F.explode("prefix").alias("g"), "k", "size").repartition("g")
     by_g = holds.groupBy("g").agg(F.min("k").alias("leader"), F.max("k").alias("last"))
     # a class may stand several times (once a block); rows of one shingle are together after the join
     met = holds.join(by_g.where("leader <> last").select("g", "leader"), "g").distinct()
@@ -327,8 +328,12 @@ def tree_pairs(met: DataFrame, sets: DataFrame, comp: DataFrame, every: bool, sc
     mixed = of.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high"), (F.count("*") > piece).alias("many"))
     # classes of a shingle that many hold are told apart by size: linked ones are of one or neighbouring sizes
     level = F.when(F.col("many"), F.floor(F.log("size") / math.log(1.01 * 100 / percent))).otherwise(F.lit(0))
-    rows = of.join(mixed.where("low <> high").select("g", "many"), "g").select("g", "k", "root", "many", level.alias("z"))
-    rows = scratch.written(rows, "cells")
+    rows = of.join(mixed.where("low <> high").select("g", "many"), "g").select("g", "k", "root", "many", level.alias("z"), "size")
+    # a class of a small cell needs another one there of a size that allows a link; its neighbours by size tell
+    near = Window.partitionBy("g").orderBy("size", "k")
+    fits = (100 * F.lag("size").over(near) >= percent * F.col("size")) | (100 * F.col("size") >= percent * F.lead("size").over(near))
+    small = rows.where("NOT many").withColumn("fits", fits).where("fits").drop("fits")
+    rows = scratch.written(small.unionByName(rows.where("many")).drop("size"), "cells")
     few = rows.where("NOT many").select("g", "k", "root", F.lit(0).cast("long").alias("own"), F.lit(0).cast("long").alias("other"))
     cut = rows.where("many").groupBy("g", "z").agg(F.ceil(F.count("*") / piece).alias("n"))
     cuts = cut.select("g", "z", "n", F.lit(0).alias("side"))
