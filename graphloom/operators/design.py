@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -220,3 +221,79 @@ def planned_findings(relations: DataFrame, interfaces: DataFrame, touches: DataF
     for more in out[1:]:
         rows = rows.unionByName(more)
     return rows
+
+
+def flows(roots: DataFrame, edges: DataFrame, nodes: DataFrame, kinds: Sequence[str], rounds: int = 1) -> DataFrame:
+    """flow, part (block or net), id, src, dst, round: flows of their roots and of what these call.
+
+    roots: flow, id; edges: kind, src, dst; nodes: id, kind. Only nodes of these kinds can be blocks. Each round adds the
+    callees of a flow's blocks that are no blocks of it yet; nets are the calls between blocks of a flow.
+    """
+    fit = nodes.where(F.col("kind").isin(*kinds)).select("id")
+    calls = settled(edges.where("kind = 'CALLS'").select("src", "dst").distinct(), "calls")
+    front = blocks = settled(roots.select("flow", "id").distinct().join(fit, "id", "left_semi").select("flow", "id", F.lit(0).alias("round")), "blocks")
+    for k in range(1, rounds + 1):
+        found = front.select("flow", F.col("id").alias("src")).join(calls, "src").select("flow", F.col("dst").alias("id")).distinct()
+        found = found.join(fit, "id", "left_semi").join(blocks.select("flow", "id"), ["flow", "id"], "left_anti")
+        front = settled(found.select("flow", "id", F.lit(k).alias("round")), "blocks")
+        if front.isEmpty():
+            break
+        blocks = blocks.unionByName(front)
+    none = F.lit(None).cast("string")
+    end = lambda name, r: blocks.select("flow", F.col("id").alias(name), F.col("round").alias(r))
+    nets = end("src", "a").join(calls, "src").join(end("dst", "b"), ["flow", "dst"])
+    nets = nets.select("flow", F.lit("net").alias("part"), F.concat_ws(">", "src", "dst").alias("id"), "src", "dst", F.greatest("a", "b").alias("round"))
+    return blocks.select("flow", F.lit("block").alias("part"), "id", none.alias("src"), none.alias("dst"), "round").unionByName(nets)
+
+
+def operations_of(symbols: DataFrame, operations: DataFrame) -> DataFrame:
+    """symbol, id, role (actor, callee or both) of the operations that the symbols do or that go to them.
+
+    symbols: symbol; operations: id, actor, callee. The two ends are joined apart: an OR in a join would compare all
+    symbols with all operations.
+    """
+    s = symbols.select("symbol").distinct()
+    end = lambda c, n: operations.join(s.withColumnRenamed("symbol", c), c, "left_semi").select(F.col(c).alias("symbol"), "id", F.lit(n).alias("n"))
+    both = end("actor", 1).unionByName(end("callee", 2)).distinct().groupBy("symbol", "id").agg(F.sum("n").alias("n"))
+    return both.select("symbol", "id", F.when(F.col("n") == 1, "actor").when(F.col("n") == 2, "callee").otherwise("both").alias("role"))
+
+
+def bindings_between(bindings: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The bindings (caller, callee, ...) between the pairs (caller, callee) asked for, each once."""
+    return bindings.join(pairs.select("caller", "callee").distinct(), ["caller", "callee"], "left_semi")
+
+
+def assembled_flow(commands: DataFrame, calls: DataFrame, inits: DataFrame, known: Sequence[str]) -> DataFrame:
+    """app, part, kind, id, src, dst, truth, resolution: the master flow of each app as nodes and edges.
+
+    commands: app, command, handler, family (null, or alone in its app: ungrouped); calls: handler, callee, resolved;
+    inits: app (apps whose start calls an init); known: callees that are part of the frame. An app has entry, init,
+    dispatch and exit; families are regions behind a guard; callees of several families are shared, the others stand
+    alone, unknown where any call to them is unresolved.
+    """
+    none = F.lit(None).cast("string")
+    node = lambda rows, kind, id_, truth: rows.select("app", F.lit("node").alias("part"), F.lit(kind).alias("kind"), id_.alias("id"), none.alias("src"), none.alias("dst"), truth.alias("truth"), none.alias("resolution"))
+    edge = lambda rows, kind, src, dst, truth, resolution: rows.select("app", F.lit("edge").alias("part"), F.lit(kind).alias("kind"), F.concat_ws(">", src, dst).alias("id"), src.alias("src"), dst.alias("dst"), truth.alias("truth"), resolution.alias("resolution"))
+    at = lambda kind, *c: F.concat_ws(":", F.lit(kind), "app", *c)
+    lit = F.lit
+    sizes = commands.where("family IS NOT NULL").groupBy("app", "family").agg(F.count_distinct("command").alias("n")).where("n > 1").select("app", "family", lit(True).alias("kept"))
+    c = settled(commands.join(sizes, ["app", "family"], "left").select("app", "command", "handler", F.when(F.col("kept"), F.col("family")).alias("family")).distinct(), "commands")
+    apps = c.select("app").distinct().join(inits.select("app").distinct().withColumn("has", lit(True)), "app", "left").withColumn("seen", F.when(F.col("has"), "OBSERVED").otherwise("DERIVED"))
+    out = [node(apps, k, at(k), lit(t)) for k, t in (("entry", "OBSERVED"), ("init", "DERIVED"), ("dispatch", "OBSERVED"), ("exit", "DERIVED"))]
+    out += [edge(apps, "flow", at("entry"), at("init"), F.col("seen"), lit("ACTIVE")), edge(apps, "flow", at("init"), at("dispatch"), F.col("seen"), lit("ACTIVE")), edge(apps, "flow", at("dispatch"), at("exit"), lit("DERIVED"), lit("ACTIVE"))]
+    regions = c.where("family IS NOT NULL").select("app", "family").distinct()
+    out += [node(regions, "region", at("region", "family"), lit("DERIVED")), edge(regions, "guard", at("dispatch"), at("region", "family"), lit("DERIVED"), lit("UNKNOWN"))]
+    mine = c.select("app", "command", "family").distinct()
+    out += [node(mine.select("app", "command").distinct(), "command", at("command", "command"), lit("OBSERVED"))]
+    out += [edge(mine.where("family IS NOT NULL"), "flow", at("region", "family"), at("command", "command"), lit("DERIVED"), lit("ACTIVE"))]
+    out += [edge(mine.where("family IS NULL"), "flow", at("dispatch"), at("command", "command"), lit("DERIVED"), lit("UNKNOWN"))]
+    made = calls.where(~F.col("callee").isin(*known)).groupBy("handler", "callee").agg(F.bool_and("resolved").alias("resolved"))
+    met = settled(c.join(made, "handler").groupBy("app", "command", "family", "callee").agg(F.bool_and("resolved").alias("resolved")), "met")
+    by = met.groupBy("app", "callee").agg(F.count_distinct("family").alias("families"), F.bool_and("resolved").alias("sure"))
+    kind = F.when(F.col("families") > 1, "shared").when(F.col("sure"), "callee").otherwise("unknown")
+    by = settled(by.withColumn("kind_", kind), "callees")
+    out += [node(by.where(F.col("kind_") == k), k, at(k, "callee"), lit("OBSERVED")) for k in ("shared", "callee", "unknown")]
+    ends = met.join(by.select("app", "callee", "kind_"), ["app", "callee"])
+    target = F.concat_ws(":", "kind_", "app", "callee")
+    out += [edge(ends, "call", at("command", "command"), target, lit("OBSERVED"), F.when(F.col("resolved"), "EXACT").otherwise("UNKNOWN"))]
+    return reduce(DataFrame.unionByName, out)

@@ -177,3 +177,15 @@ def trace_errors(rows: DataFrame, keys: Sequence[str], order: Sequence[str], kno
     ]
     errors = F.array_join(F.array_compact(F.array(*[F.when(c, code) for c, code in cases])), ",")
     return j.select(*keys, F.when(errors == "", "COMPLETE").otherwise("PARTIAL").alias("status"), errors.alias("errors"), "enters", "exits")
+
+
+def carried_dealt(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
+    """Rows with the last value before them in their key that is not null, where one key may hold most rows."""
+    placed = _dealt(rows, keys, order)
+    before_it = Window.partitionBy(*keys, "part_").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ends = _spanning(placed.groupBy(*keys, "part_").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("end_")), keys)
+    by = Window.partitionBy(*keys).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*keys, "part_", F.last("end_", ignorenulls=True).over(by).alias("carried_"))
+    # few rows a range
+    out = placed.withColumn(name, F.last(value, ignorenulls=True).over(before_it)).join(F.broadcast(ends), [*keys, "part_"], "left")
+    return out.withColumn(name, F.coalesce(name, "carried_")).drop("carried_", "part_")

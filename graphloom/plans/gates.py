@@ -140,3 +140,64 @@ SELECT rule, severity, status, count(*) AS n, min(subject) AS first FROM (
 def k21_every_rule(spark, d):
     """All rules in one run: how many findings of each, and the first subject."""
     return _every(spark, d).groupBy("rule", "severity", "status").agg(F.count("*").alias("n"), F.min("subject").alias("first"))
+
+
+# -- flows, operations, bindings -------------------------------------------------------------------
+
+
+@query("h20_flows", """
+, rt AS (SELECT 'flow:' || c_nationkey AS flow, 'customer:' || c_custkey AS id FROM customer WHERE c_acctbal < -900), ok AS (SELECT id FROM nodes WHERE kind IN ('CUSTOMER', 'ORDER') OR (kind = 'PART' AND path LIKE 'parts/SMALL%'))
+, call AS (SELECT DISTINCT src, dst FROM edges WHERE kind = 'CALLS'), b1 AS (SELECT DISTINCT flow, dst AS id FROM rt JOIN call ON src = rt.id WHERE dst IN (SELECT id FROM ok)), b2 AS (SELECT DISTINCT flow, dst AS id FROM b1 JOIN call ON src = b1.id WHERE dst IN (SELECT id FROM ok))
+, bl AS (SELECT flow, id, 0 AS r FROM rt UNION ALL SELECT flow, id, 1 FROM b1 UNION ALL SELECT flow, id, 2 FROM b2)
+SELECT flow, 'block' AS part, id, NULL AS src, NULL AS dst, r::INTEGER AS round FROM bl UNION ALL SELECT a.flow, 'net', a.id || '>' || b.id, a.id, b.id, greatest(a.r, b.r)::INTEGER FROM bl a JOIN call ON call.src = a.id JOIN bl b ON b.flow = a.flow AND b.id = call.dst""")
+def h20_flows(spark, d):
+    """A flow for each nation: its customers deep in debt, their orders, and of the parts of these the small ones."""
+    c = star.table(spark, d, "customer").where("c_acctbal < -900")
+    roots = c.select(F.concat(F.lit("flow:"), F.col("c_nationkey").cast("string")).alias("flow"), star.node_id("customer", "c_custkey").alias("id"))
+    nodes = star.nodes(spark, d).withColumn("kind", F.when((F.col("kind") == "PART") & ~F.col("path").startswith("parts/SMALL"), "OTHER").otherwise(F.col("kind")))
+    return design.flows(roots, star.links(spark, d), nodes, ["CUSTOMER", "ORDER", "PART"], 2)
+
+
+@query("c21_operations", """
+, s AS (SELECT 'customer:' || c_custkey AS symbol FROM customer WHERE c_acctbal < 0 UNION ALL SELECT 'order:' || o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')
+SELECT symbol, id, CASE sum(n) WHEN 1 THEN 'actor' WHEN 2 THEN 'callee' ELSE 'both' END AS role FROM (SELECT src AS symbol, id, 1 AS n FROM edges WHERE src IN (SELECT symbol FROM s) UNION SELECT dst, id, 2 FROM edges WHERE dst IN (SELECT symbol FROM s)) GROUP BY symbol, id""")
+def c21_operations(spark, d):
+    """What customers in debt and urgent orders do, and what goes to them."""
+    c = star.table(spark, d, "customer").where("c_acctbal < 0").select(star.node_id("customer", "c_custkey").alias("symbol"))
+    o = star.table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(star.node_id("order", "o_orderkey").alias("symbol"))
+    return design.operations_of(c.unionByName(o), star.edges(spark, d).select("id", F.col("src").alias("actor"), F.col("dst").alias("callee")))
+
+
+@query("c28_pair_bindings", """
+WITH pr AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderpriority = '1-URGENT' AND l_returnflag = 'R')
+SELECT 'supplier:' || l_suppkey AS caller, 'part:' || l_partkey AS callee, l_orderkey, l_linenumber, l_returnflag AS port FROM lineitem WHERE (l_suppkey, l_partkey) IN (SELECT l_suppkey, l_partkey FROM pr)""", graph=False)
+def c28_pair_bindings(spark, d):
+    """All deliveries between suppliers and parts of which an urgent one came back."""
+    i = star.table(spark, d, "lineitem")
+    bindings = i.select(star.node_id("supplier", "l_suppkey").alias("caller"), star.node_id("part", "l_partkey").alias("callee"), "l_orderkey", "l_linenumber", F.col("l_returnflag").alias("port"))
+    urgent = star.table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return design.bindings_between(bindings, bindings.where("port = 'R'").join(urgent, "l_orderkey", "left_semi"))
+
+
+@query("d23_assembled_flow", """
+WITH cm AS (SELECT r_name AS app, s_name AS command, s_suppkey, CASE WHEN s_acctbal > 0 THEN n_name END AS fam FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey)
+, c AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY app, fam) > 1 THEN fam END AS family FROM cm), ini AS (SELECT DISTINCT r_name AS app FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE c_acctbal < -990)
+, cl AS (SELECT l_suppkey, p_brand || '-' || p_size AS callee, bool_and(l_discount < 0.08) AS resolved FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'R' AND p_brand <> 'Brand#1' GROUP BY ALL)
+, m AS (SELECT app, command, family, callee, resolved FROM c JOIN cl ON l_suppkey = s_suppkey), b AS (SELECT app, callee, CASE WHEN count(DISTINCT family) > 1 THEN 'shared' WHEN bool_and(resolved) THEN 'callee' ELSE 'unknown' END AS k FROM m GROUP BY ALL)
+, a AS (SELECT DISTINCT app, CASE WHEN app IN (SELECT app FROM ini) THEN 'OBSERVED' ELSE 'DERIVED' END AS seen FROM c)
+, e AS (SELECT app, 'flow' AS kind, 'entry:' || app AS src, 'init:' || app AS dst, seen AS truth, 'ACTIVE' AS resolution FROM a UNION ALL SELECT app, 'flow', 'init:' || app, 'dispatch:' || app, seen, 'ACTIVE' FROM a UNION ALL SELECT app, 'flow', 'dispatch:' || app, 'exit:' || app, 'DERIVED', 'ACTIVE' FROM a
+  UNION ALL SELECT DISTINCT app, 'guard', 'dispatch:' || app, 'region:' || app || ':' || family, 'DERIVED', 'UNKNOWN' FROM c WHERE family IS NOT NULL
+  UNION ALL SELECT app, 'flow', CASE WHEN family IS NULL THEN 'dispatch:' || app ELSE 'region:' || app || ':' || family END, 'command:' || app || ':' || command, 'DERIVED', CASE WHEN family IS NULL THEN 'UNKNOWN' ELSE 'ACTIVE' END FROM c
+  UNION ALL SELECT app, 'call', 'command:' || app || ':' || command, k || ':' || app || ':' || callee, 'OBSERVED', CASE WHEN resolved THEN 'EXACT' ELSE 'UNKNOWN' END FROM m JOIN b USING (app, callee))
+, n AS (SELECT app, unnest(['entry', 'init', 'dispatch', 'exit']) AS kind, unnest(['entry:' || app, 'init:' || app, 'dispatch:' || app, 'exit:' || app]) AS id, unnest(['OBSERVED', 'DERIVED', 'OBSERVED', 'DERIVED']) AS truth FROM a
+  UNION ALL SELECT DISTINCT app, 'region', 'region:' || app || ':' || family, 'DERIVED' FROM c WHERE family IS NOT NULL UNION ALL SELECT app, 'command', 'command:' || app || ':' || command, 'OBSERVED' FROM c UNION ALL SELECT app, k, k || ':' || app || ':' || callee, 'OBSERVED' FROM b)
+SELECT app, 'node' AS part, kind, id, NULL AS src, NULL AS dst, truth, NULL AS resolution FROM n UNION ALL SELECT app, 'edge', kind, src || '>' || dst, src, dst, truth, resolution FROM e""", graph=False)
+def d23_assembled_flow(spark, d):
+    """Regions are apps, suppliers commands, nations families (of those not in debt); what came back is called."""
+    place = star.places(spark, d)
+    s = star.table(spark, d, "supplier").join(F.broadcast(place), F.col("s_nationkey") == F.col("n_nationkey"))
+    commands = s.select(F.col("r_name").alias("app"), F.col("s_name").alias("command"), F.col("s_suppkey").alias("handler"), F.when(F.col("s_acctbal") > 0, F.col("n_name")).alias("family"))
+    p = star.table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", F.concat_ws("-", "p_brand", F.col("p_size").cast("string")).alias("callee"))
+    i = star.table(spark, d, "lineitem").where("l_returnflag = 'R'").join(p, "l_partkey").where("p_brand <> 'Brand#1'")
+    inits = star.table(spark, d, "customer").where("c_acctbal < -990").join(F.broadcast(place), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("r_name").alias("app"))
+    return design.assembled_flow(commands, i.select(F.col("l_suppkey").alias("handler"), "callee", (F.col("l_discount") < 0.08).alias("resolved")), inits, [])

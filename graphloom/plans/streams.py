@@ -110,3 +110,13 @@ def l4_closed_sessions(spark, d):
     """Sessions that are written once, when the watermark has passed them; their state goes with that."""
     rows = ev.replayed(star.data_events(spark, d).select("run", "ts"), lambda s: ev.session_counts(s, "2 hours"), "sessions", close=True)
     return rows.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("l2_batched_lineage", """
+SELECT run, object, writer, event_id AS reader FROM (
+  SELECT *, last_value(CASE WHEN op IN ('WRITE', 'READ_WRITE') THEN event_id END IGNORE NULLS) OVER (PARTITION BY run, object ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS writer FROM data_events)
+WHERE op IN ('READ', 'READ_WRITE') AND writer IS NOT NULL""")
+def l2_batched_lineage(spark, d):
+    """Lineage batch by batch over a table of last writes, with no key in one frame."""
+    events = star.data_events(spark, d).select("run", "object", "event_id", "ts", "op")
+    return ev.replayed(events, lambda s: s, "lineage", step=ev.lineage_of_batches(spark), schema="run long, object string, writer long, reader long")

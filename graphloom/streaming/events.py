@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from graphloom.functions import shared_path
+from graphloom.operators.trace import carried_dealt
 
 
 def slices(events: DataFrame, n: int = 4, late: Column | None = None, most: int = 0) -> list[DataFrame]:
@@ -86,6 +87,34 @@ def lineage(events: DataFrame, late: str = "1 hour", forget_ms: int = 365 * 86_4
     return keyed.applyInPandasWithState(step, "run long, object string, writer long, reader long", "last long", "append", "EventTimeTimeout")
 
 
+def lineage_of_batches(spark: SparkSession, forget: str = "365 days") -> Callable[[DataFrame, int], DataFrame]:
+    """A step for `replayed`: run, object, writer, reader of a batch, with the last writes of earlier batches.
+
+    These are a table with a version a batch: batch n reads version n - 1 and writes version n, so a batch that
+    is run again does the same. Writes that are older than `forget` behind the newest event of a batch are left
+    out of its version. A key of many events is dealt over tasks.
+    """
+    root = shared_path(spark, "last-writes")
+    kind = "run long, object string, event_id long, ts timestamp"
+
+    def step(batch: DataFrame, n: int) -> DataFrame:
+        old = spark.read.schema(kind).parquet(f"{root}/{n - 1}") if n else spark.createDataFrame([], kind)
+        old = old.select("run", "object", "event_id", "ts", F.lit("WRITE").alias("op"), F.lit(0).alias("now"))
+        rows = old.unionByName(batch.select("run", "object", "event_id", "ts", "op", F.lit(1).alias("now")))
+        wrote = F.when(F.col("op").isin("WRITE", "READ_WRITE"), F.col("event_id"))
+        rows = rows.withColumn("wrote", wrote)
+        found = carried_dealt(rows, ["run", "object"], ["now", "ts", "event_id"], "wrote", "writer")
+        kept = rows.where("wrote IS NOT NULL").groupBy("run", "object").agg(F.max_by(F.struct("event_id", "ts"), F.struct("now", "ts", "event_id")).alias("l")).select("run", "object", "l.event_id", "l.ts")
+        newest = batch.agg(F.max("ts")).first()[0]
+        if newest is not None:
+            kept = kept.where(F.col("ts") >= F.lit(newest) - F.expr(f"INTERVAL {forget}"))
+        kept.write.mode("overwrite").parquet(f"{root}/{n}")
+        reads = (F.col("now") == 1) & F.col("op").isin("READ", "READ_WRITE") & F.col("writer").isNotNull()
+        return found.where(reads).select("run", "object", "writer", F.col("event_id").alias("reader"))
+
+    return step
+
+
 class Manifest(StatefulProcessor):
     """The last kind of each file as keyed state, which emits what changed: SYMBOL_ADDED, KIND_CHANGED, and
     SYMBOL_REMOVED for a file that was not seen again for `forget_ms`, whose state ends with that."""
@@ -153,29 +182,36 @@ def _keyed_state(spark: SparkSession) -> Iterator[None]:
 def replayed(
     events: DataFrame, make: Callable[[DataFrame], DataFrame], name: str, mode: str = "append", n: int = 4,
     late: Column | None = None, most: int = 0, close: bool = False, keyed: bool = False, progress: list[dict] | None = None,
+    step: Callable[[DataFrame, int], DataFrame] | None = None, schema: str | None = None,
 ) -> DataFrame:
     """Lets the events arrive in n slices by time, each a batch of its own of one query that is started anew
     from its checkpoint, and reads what it wrote. In complete mode every batch replaces the table.
 
     late and most: rows that come so many slices later than their time says; close: a last row long after the
     others, so that in append mode all windows are written; keyed: keyed state with timers; progress: gets
-    Spark's account of each batch.
+    Spark's account of each batch; step: makes rows of this schema of each batch and its number.
     """
     spark: SparkSession = events.sparkSession
     arrivals, out, marks = (shared_path(spark, f"{name}-{x}") for x in ("arrivals", "rows", "marks"))
     events = events.withColumn("ts", F.col("ts").cast("timestamp"))
 
-    def put(batch: DataFrame, _: int) -> None:
+    def put(batch: DataFrame, n_batch: int) -> None:
+        if step is not None:
+            # a folder a batch: one that is run again replaces its rows
+            step(batch, n_batch).write.mode("overwrite").parquet(f"{out}/batch={n_batch}")
+            return
         batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
 
-    schema = None
+    made = None
     with _keyed_state(spark) if keyed else nullcontext():
         for part in [*slices(events, n, late, most), *([closing(events)] if close else [])]:
             part.write.mode("append").parquet(arrivals)
             rows = make(spark.readStream.schema(events.schema).parquet(arrivals))
-            schema = rows.schema
+            made = rows.schema
             query = rows.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", marks).trigger(availableNow=True).start()
             query.awaitTermination()
             if progress is not None:
                 progress += [json.loads(p.json) for p in query.recentProgress]
-    return spark.read.schema(schema).parquet(out)
+    if schema is not None:
+        return spark.read.schema(f"{schema}, batch int").parquet(out).drop("batch")
+    return spark.read.schema(made).parquet(out)
