@@ -304,3 +304,22 @@ def test_phrases(spark):
     assert sorted(r.id for r in search.all_words(index, "c a").collect()) == ["1", "2"]
     got = [(r.id, r.match) for r in search.tiered(nodes, "a b", 10).collect()]
     assert got == [("3", "exact:name"), ("1", "fts")]
+
+
+def test_lineage_of_batches_with_a_hot_key(spark):
+    """One key holds most events and fills many ranges; writes are carried from batch to batch."""
+    import datetime as dt
+
+    rng = random.Random(8)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(1 if rng.random() < 0.8 else rng.randrange(2, 6), "o" + rng.choice("aaaaab"), k, start + dt.timedelta(minutes=k // 2), rng.choice(["READ", "READ", "WRITE", "READ_WRITE"])) for k in range(900)]
+    events = spark.createDataFrame(rows, "run long, object string, event_id long, ts timestamp, op string")
+    out = ev.replayed(events, lambda s: s, "hot", step=ev.lineage_of_batches(spark), schema="run long, object string, writer long, reader long")
+    last, want = {}, set()
+    for run, obj, i, _, op in sorted(rows, key=lambda r: (r[3], r[2])):
+        if op != "WRITE" and (run, obj) in last:
+            want.add((run, obj, last[run, obj], i))
+        if op != "READ":
+            last[run, obj] = i
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(want) and set(got) == want

@@ -104,3 +104,36 @@ def test_near_equals_the_longer_walk(spark, direction):
     seeds = spark.createDataFrame([("n1",), ("n2",), ("n1",), ("gone",)], "id string")
     rows = lambda df: sorted((r.id, r.distance) for r in df.collect())
     assert rows(graph.near(edges, seeds, 5, direction)) == rows(graph.bfs(edges, seeds, 5, direction))
+
+
+def test_flows_expand_by_rounds(spark):
+    df = spark.createDataFrame
+    edges = df([("CALLS", "a", "b"), ("CALLS", "b", "c"), ("CALLS", "c", "a"), ("CALLS", "b", "note"), ("USES", "a", "z"), ("CALLS", "a", "b")], "kind string, src string, dst string")
+    nodes = df([(n, "FN") for n in "abcz"] + [("note", "DOC")], "id string, kind string")
+    roots = df([("f", "a"), ("g", "c"), ("g", "note")], "flow string, id string")
+    got = {(r.flow, r.id, r.round) for r in design.flows(roots, edges, nodes, ["FN"], 1).collect()}
+    assert got == {("f", "a", 0), ("f", "b", 1), ("f", "a>b", 1), ("g", "c", 0), ("g", "a", 1), ("g", "c>a", 1)}
+    two = {(r.flow, r.id) for r in design.flows(roots, edges, nodes, ["FN"], 5).collect()}
+    assert {("f", "c"), ("f", "c>a"), ("g", "b")} <= two and ("f", "note") not in two
+
+
+def test_operations_and_bindings(spark):
+    df = spark.createDataFrame
+    ops = df([(1, "a", "b"), (2, "b", "a"), (3, "a", "a"), (4, "c", "d")], "id int, actor string, callee string")
+    got = {(r.symbol, r.id, r.role) for r in design.operations_of(df([("a",), ("a",), ("d",)], "symbol string"), ops).collect()}
+    assert got == {("a", 1, "actor"), ("a", 2, "callee"), ("a", 3, "both"), ("d", 4, "callee")}
+    rows = df([("a", "b", 1), ("a", "b", 2), ("b", "a", 3)], "caller string, callee string, line int")
+    assert sorted(r.line for r in design.bindings_between(rows, df([("a", "b"), ("a", "b")], "caller string, callee string")).collect()) == [1, 2]
+
+
+def test_assembled_flow(spark):
+    df = spark.createDataFrame
+    commands = df([("app", "c1", 1, "fam"), ("app", "c2", 2, "fam"), ("app", "d1", 3, "two"), ("app", "d2", 4, "two"), ("app", "alone", 5, "single"), ("app", "none", 6, None)], "app string, command string, handler int, family string")
+    calls = df([(1, "both", True), (3, "both", True), (2, "sure", True), (5, "odd", True), (5, "odd", False), (6, "main", True)], "handler int, callee string, resolved boolean")
+    rows = design.assembled_flow(commands, calls, df([("app",)], "app string"), ["main"]).collect()
+    nodes, edges = ({(r.kind, r.id) for r in rows if r.part == "node"}, {(r.kind, r.src, r.dst, r.truth, r.resolution) for r in rows if r.part == "edge"})
+    assert {i for k, i in nodes if k in ("region", "shared", "callee", "unknown")} == {"region:app:fam", "region:app:two", "shared:app:both", "callee:app:sure", "unknown:app:odd"}
+    assert {i for k, i in nodes if k == "command"} == {f"command:app:{c}" for c in ("c1", "c2", "d1", "d2", "alone", "none")}
+    assert ("flow", "entry:app", "init:app", "OBSERVED", "ACTIVE") in edges and ("guard", "dispatch:app", "region:app:fam", "DERIVED", "UNKNOWN") in edges
+    assert ("flow", "dispatch:app", "command:app:alone", "DERIVED", "UNKNOWN") in edges and ("call", "command:app:alone", "unknown:app:odd", "OBSERVED", "UNKNOWN") in edges
+    assert ("call", "command:app:c1", "shared:app:both", "OBSERVED", "EXACT") in edges and len(rows) == len(nodes) + len(edges)
