@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import settled, shared_path
-from graphloom.operators import accuracy, architecture, compare, graph, invalidation, search, snapshots, trace
+from graphloom.operators import accuracy, architecture, compare, graph, invalidation, relational, search, snapshots, trace
 from graphloom.operators import communities as com
 from graphloom.plans.compared import _FEATURES, _topology, _units
 from graphloom.plans.registry import query
@@ -314,6 +314,22 @@ def d38_two_step_accuracy(spark, d):
     return accuracy.figures(pairs, ["kind"])
 
 
+# -- chains of data --------------------------------------------------------------------------------
+
+
+@query("h14_part_chains", """
+WITH RECURSIVE x AS (SELECT 'part:' || l_partkey AS src, 'part:' || lead(l_partkey) OVER w AS dst, l_returnflag AS f FROM lineitem JOIN orders ON o_orderkey = l_orderkey WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_shipdate, l_partkey, l_linenumber) QUALIFY o_orderstatus = 'F' AND lead(l_partkey) OVER w IS NOT NULL)
+, d AS MATERIALIZED (SELECT DISTINCT src, dst FROM x WHERE f = 'A' AND src <> dst), w(path, e) AS (SELECT [src, dst], dst FROM d UNION ALL SELECT list_append(path, dst), dst FROM w JOIN d ON src = e WHERE len(path) < 5 AND NOT list_contains(path, dst))
+SELECT array_to_string(path, '>') AS path, len(path)::BIGINT AS nodes FROM w WHERE e NOT IN (SELECT src FROM d)""", graph=False)
+def h14_part_chains(spark, d):
+    """Parts that follow one another in finished orders, the first of them accepted: chains of at most five up to a part that nothing follows."""
+    done = star.table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    w = Window.partitionBy("l_orderkey").orderBy("l_shipdate", "l_partkey", "l_linenumber")
+    x = star.table(spark, d, "lineitem").join(done, "l_orderkey", "left_semi").withColumn("next", F.lead("l_partkey").over(w)).where("next IS NOT NULL AND next <> l_partkey AND l_returnflag = 'A'")
+    arcs = settled(x.select(star.node_id("part", "l_partkey").alias("src"), star.node_id("part", "next").alias("dst")).distinct(), "data")
+    return graph.simple_chains(arcs, arcs.select(F.col("src").alias("id")).distinct(), 5)
+
+
 # -- snapshots and search --------------------------------------------------------------------------
 
 
@@ -457,3 +473,14 @@ def d14_seeded_candidates(spark, d):
     leaving = leaving.groupBy("unit").agg(F.count_distinct("data").alias("data_out"))
     f = compare.features(m, edges, modules).join(units.select("seed", "unit").distinct(), "unit").join(declared, "unit").join(leaving, "unit", "left").na.fill(0, ["data_out"])
     return compare.ranked_candidates(f.withColumn("score", com.hard_score()))
+
+
+@query("e1_tiered_distinct", f"""{_QNAMES}
+, t AS (SELECT id, 0 AS tier, length(name) AS rank FROM qn WHERE name LIKE 'red%' UNION ALL SELECT id, 1, length(path) FROM qn WHERE path LIKE 'parts/ECONOMY%' UNION ALL SELECT id, 2, length(qname) FROM qn WHERE qname LIKE 'part.%r%')
+SELECT id, tier::INTEGER AS tier, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY tier, rank) AS k FROM t) WHERE k = 1""")
+def e1_tiered_distinct(spark, d):
+    """Three tiers of findings as one list: each node once, by its first tier and rank."""
+    n = _named(spark, d)
+    one = lambda where, tier, c: n.where(where).select("id", F.lit(tier).alias("tier"), F.length(c).alias("rank"))
+    rows = one("name LIKE 'red%'", 0, "name").unionByName(one("path LIKE 'parts/ECONOMY%'", 1, "path")).unionByName(one("qname LIKE 'part.%r%'", 2, "qname"))
+    return relational.first_wins(rows, ["id"], [F.col("tier"), F.col("rank")])
