@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import settled
 from graphloom.operators import classify, design, graph, rollup, trace
-from graphloom.plans.registry import query
+from graphloom.plans.registry import ORACLES, query
 from graphloom.plans.star import _REGIONS, _regions
 from graphloom.sources import star
 
@@ -166,6 +166,10 @@ def h23_label_rounds(spark, d):
     return design.propagated(star.strong_trades(spark, d), 5)
 
 
+# the older query is the same rounds over the same graph
+ORACLES["h23_label_propagation"] = ORACLES["h23_label_rounds"]
+
+
 @query("b21_stage_kinds", """
 WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS name FROM documents)
 SELECT name, CASE WHEN starts_with(name, 'config') THEN 'CONFIGURATION' WHEN starts_with(name, 'reinit') THEN 'INITIALIZATION' WHEN starts_with(name, 'rmatrix') THEN 'COMPUTE' WHEN starts_with(name, 'rec') THEN 'TRANSFORM'
