@@ -39,7 +39,7 @@ REACH, LEAST_RANGE = 3.0, {"chars_per_token": 0.03, "fallback": 0.007, "entropy"
 #: Documents of a group with bands of its own, and the columns that tell groups apart.
 LEAST_GROUP, GROUP = 30, ("script", "lang", "length")
 
-#: Words, lines and windows are compared inside a block only, so each process draws a key of its own.
+#: Words and windows are compared inside a block only, so each process draws a key of its own.
 _KEY = tb.new_key()
 _SYMBOL = tb.table(lambda b: chr(b) in "#*$%&|<>")
 _LINE = tb.table(lambda b: b != 0x0A)
@@ -139,9 +139,21 @@ def measure_block(column: pa.Array, paths: Sequence[str]) -> dict[str, np.ndarra
     line_starts, line_ends = tb.word_bounds(buf, offs, _LINE)
     with_word = np.searchsorted(starts, line_ends) > np.searchsorted(starts, line_starts)
     line_doc = np.repeat(np.arange(n), tb.per_text(line_starts, offs))[with_word]
-    lines = tb.keyed_hashes(buf, line_starts[with_word], line_ends[with_word], _KEY)
-    order, first = _groups(lines, line_doc)
+    data = buf.tobytes()
+    first_byte, end_byte = line_starts[with_word], line_ends[with_word]
+    order, first = _groups(tb.word_hashes(buf, first_byte, end_byte), line_doc)
     dup_lines = np.bincount(line_doc[order][~first], minlength=n)
+    # lines that share a hash are compared by their bytes: those that differ are no repeats
+    many = ~first
+    many[:-1] |= ~first[1:]
+    place = order[many]
+    group = np.cumsum(first)[many]
+    seen: set[tuple[int, bytes]] = set()
+    for g, is_first, i in zip(group.tolist(), first[many].tolist(), place.tolist(), strict=True):
+        line = (g, data[first_byte[i] : end_byte[i]])
+        if line not in seen:
+            seen.add(line)
+            dup_lines[line_doc[i]] -= not is_first
 
     hashes = tb.keyed_hashes(buf, starts, ends, _KEY)
     window = np.arange(max(len(doc) - 2, 0))
@@ -155,7 +167,6 @@ def measure_block(column: pa.Array, paths: Sequence[str]) -> dict[str, np.ndarra
     repeat_words = np.bincount(doc[repeated], minlength=n)
 
     _, at, which = np.unique(hashes, return_index=True, return_inverse=True)
-    data = buf.tobytes()
     kinds = [data[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
     fits = [_fit_of(kinds, which, doc, word_chars, path) for path in paths]
 
