@@ -144,11 +144,11 @@ def described(docs: DataFrame, last: np.ndarray, key: bytes, n: int = SHINGLE, p
 
 def meetings(table: DataFrame, scratch: tb.Scratch, percent: int = PERCENT) -> DataFrame:
     """g, k, size, leader: prefix shingles that several classes hold, for the candidate classes."""
-    # dealt out by shingle once, for the sums and for the join
+    # dealt out by shingle once, for the sums and for the join: both read all three columns, so one exchange serves both
     holds = table.where("prefix IS NOT NULL").select(F.explode("prefix").alias("g"), "k", "size").repartition("g")
-    by_g = holds.groupBy("g").agg(F.min("k").alias("leader"), F.max("k").alias("last"))
+    by_g = holds.groupBy("g").agg(F.min("k").alias("leader"), F.max("k").alias("last"), F.max("size").alias("most"))
     # a class may stand several times (once a block); rows of one shingle are together after the join
-    met = holds.join(by_g.where("leader <> last").select("g", "leader"), "g").distinct()
+    met = holds.join(by_g.where("leader <> last AND most > 0").select("g", "leader"), "g").distinct()
     met = scratch.written(met, "met")
     enough = met.groupBy("k").agg(F.count("*").alias("n"), F.first("size").alias("size"))
     enough = enough.where(F.col("n") >= F.expr(f"1 + (size - ceil({percent} * size / 100)) DIV 5")).select("k")
