@@ -161,21 +161,17 @@ def class_sets(docs: DataFrame, table: DataFrame, wanted: DataFrame, scratch: tb
     reps = table.groupBy("k").agg(F.min(F.struct("k1", "k2")).alias("t")).join(wanted, "k").select("k", "t.k1", "t.k2")
 
     def run(batches):
-        done = None
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            # copies of a text follow each other; one of them is enough
-            fresh = [k != (keys[i - 1] if i else done) for i, k in enumerate(keys)]
-            done = keys[-1] if keys else done
-            batch = batch.filter(pa.array(fresh, pa.bool_()))
             column = tb.texts(batch.column(1))
             for a, b in tb.blocks(column):
                 sets = shingle_sets(column.slice(a, b - a), key, n)
                 arrays = [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["k", "size", "shingles", "bitmap"])
 
-    made = tb.one_copy(docs).join(reps, ["k1", "k2"]).select("k", "text").mapInArrow(run, "k long, size long, shingles binary, bitmap binary")
-    return scratch.written(made.dropDuplicates(["k"]), "class_sets")
+    # copies go where texts meet their classes, so the sets need not be dealt out again
+    texts = tb.one_copy(docs).repartition("k1", "k2").dropDuplicates(["k1", "k2"])
+    made = texts.join(reps, ["k1", "k2"]).select("k", "text").mapInArrow(run, "k long, size long, shingles binary, bitmap binary")
+    return scratch.written(made, "class_sets")
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
