@@ -182,8 +182,10 @@ def bitmap(s: np.ndarray) -> np.ndarray:
 
 def verified(pairs: DataFrame, sets: DataFrame, scratch: tb.Scratch, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose sets are linked, compared exactly. a may be in many pairs."""
-    one = lambda c: sets.select(F.col("k").alias(c), F.col("shingles").alias(f"{c}_set"))
     near = scratch.written(pairs.select("a", "b"), "pairs")
+    # only sets that stand in a pair are moved to it
+    paired = sets.join(near.select(F.explode(F.array("a", "b")).alias("k")).distinct(), "k", "left_semi")
+    one = lambda c: paired.select(F.col("k").alias(c), F.col("shingles").alias(f"{c}_set"))
     rows = tb.join_hot(near, one("a"), ["a"]).join(one("b"), "b").select("a", "b", "a_set", "b_set")
 
     def run(batches):
