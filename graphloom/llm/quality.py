@@ -178,8 +178,11 @@ def train(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_RO
     ids = train_ids(labels, "quality", fold(F.col("doc_id"), 5) != 0, max_train_rows)
     # the ids are at most max_train_rows, so they may be broadcast
     mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi")
-    stats = tb.map_text(mine, lambda c: {"x": pa.array(list(statistics(c)), pa.list_(pa.float64()))}, "x array<double>")
-    got = stats.dropDuplicates(["doc_id"]).join(F.broadcast(ids), "doc_id").orderBy("doc_id").select("x", "label").collect()
+    # of several texts of an id, the one of least hash is learned from
+    least = {"h": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))}
+    stats = tb.map_text(mine, lambda c: {"x": pa.array(list(statistics(c)), pa.list_(pa.float64()))}, "x array<double>", carried=least)
+    stats = stats.groupBy("doc_id").agg(F.min_by("x", "h").alias("x"))
+    got = stats.join(F.broadcast(ids), "doc_id").orderBy("doc_id").select("x", "label").collect()
     x = np.array([r.x for r in got]).reshape(-1, len(NAMES))
     return fit(x, np.array([float(r.label > 0) for r in got]))
 

@@ -273,7 +273,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, accept: float = 0.7, max
     held = tb.written(held_terms(docs, terms).withColumn("terms", nothing), "toxic_terms")
     model = label_model(held, ids, size)
     # the sample: at most max_train_rows rows of a few numbers
-    sample = held.join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    # of several texts of an id, the one with the least list of terms is learned from
+    sample = held.join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("terms").alias("terms")).orderBy("doc_id").collect()
     raw = [max(-30.0, min(30.0, model.log_odds(r.terms))) for r in sample]
     rows = [_Row(r.terms, 1 / (1 + math.exp(-x))) for r, x in zip(sample, raw, strict=True)]
     b, w = train_linear(rows, model.bias, model.alone)
