@@ -5,8 +5,9 @@ texts). Trees are grown on histograms of the binned statistics of a bounded samp
 labelled rows (`max_train_rows`, chosen by hash) and flattened into arrays, through which all
 documents are scored level by level in numpy (`Forest.score`).
 
-Defined results: null and empty texts are scored like any other (all statistics 0); repeated
-rows are scored each; of several labels of one document the smallest counts; rows with a null
+Defined results: null and empty texts are scored like any other (all statistics 0, the share of
+different windows 1); repeated rows are scored each, and of several texts of an id the one of least
+hash is learned from; of several labels of one document the smallest counts; rows with a null
 id are held out and scored. Without labelled rows of both classes the score is the share of
 label 1, or 0.5 without any. Extra columns are ignored.
 """

@@ -16,7 +16,8 @@
 
 Defined results: null and empty texts hold no terms and get the score of a text without any;
 repeated rows are scored each; a row with a null id belongs to fold 0; of several labels of a
-document the smallest counts. Without toxic rows to learn from, the seeds vote alone. Extra
+document the smallest counts, and of several texts of an id the one with the least list of terms
+trains the linear classifier. Without toxic rows to learn from, the seeds vote alone. Extra
 columns are ignored.
 """
 
