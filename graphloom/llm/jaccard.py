@@ -19,7 +19,8 @@ a class (named by a 64-bit hash of the set) and are compared once.
    one component. Of the pairs that remain, a first round compares only a forest of the most
    promising ones for each shingle, which joins families without listing their pairs. A second
    round compares exactly all that then still stand in different components and share enough
-   prefix shingles.
+   prefix shingles. Where few classes meet, trees would have leaves only: their pairs are listed,
+   counted over all shingles, and tested by bitmap afterwards. Sets go only to pairs that pass.
 5. Components of all links, by least document id.
 
 Shingles met by many classes are split into pieces by size and hash, and pairs of pieces are
@@ -159,6 +160,8 @@ def class_sets(docs: DataFrame, table: DataFrame, wanted: DataFrame, scratch: tb
     """k, size, shingles, bitmap of the wanted classes, from one text each."""
     # the rows of a class are summed up where they are read, before they meet
     reps = table.groupBy("k").agg(F.min(F.struct("k1", "k2")).alias("t")).join(wanted, "k").select("k", "t.k1", "t.k2")
+    reps = scratch.written(reps, "reps")
+    held = tb.key_filter(reps, "k1")
 
     def run(batches):
         for batch in batches:
@@ -169,7 +172,7 @@ def class_sets(docs: DataFrame, table: DataFrame, wanted: DataFrame, scratch: tb
                 yield pa.RecordBatch.from_arrays(arrays, names=["k", "size", "shingles", "bitmap"])
 
     # copies go where texts meet their classes, so the sets need not be dealt out again
-    texts = tb.one_copy(docs).repartition("k1", "k2").dropDuplicates(["k1", "k2"])
+    texts = tb.one_copy(docs, held).repartition("k1", "k2").dropDuplicates(["k1", "k2"])
     made = texts.join(reps, ["k1", "k2"]).select("k", "text").mapInArrow(run, "k long, size long, shingles binary, bitmap binary")
     return scratch.written(made, "class_sets")
 
@@ -183,8 +186,18 @@ def bitmap(s: np.ndarray) -> np.ndarray:
 def verified(pairs: DataFrame, sets: DataFrame, scratch: tb.Scratch, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose sets are linked, compared exactly. a may be in many pairs."""
     near = scratch.written(pairs.select("a", "b"), "pairs")
-    # only sets that stand in a pair are moved to it
-    paired = sets.join(near.select(F.explode(F.array("a", "b")).alias("k")).distinct(), "k", "left_semi")
+    bits = lambda c: sets.select(F.col("k").alias(c), F.col("size").alias(f"{c}_size"), F.col("bitmap").alias(f"{c}_bits"))
+    rows = tb.join_hot(near, bits("a"), ["a"]).join(bits("b"), "b").select("a", "b", "a_size", "b_size", "a_bits", "b_bits")
+
+    def alike(batches):
+        for batch in batches:
+            a, b = (batch.column(c).to_numpy() for c in (2, 3))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(a), -1) for c in (4, 5)) if len(a) else (np.zeros((0, 1), np.uint64),) * 2
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(_may_link(a, b, x, y, percent)[0]))
+
+    # signatures go to the pairs first, sets only to the pairs that these leave
+    near = scratch.written(rows.mapInArrow(alike, "a long, b long"), "near")
+    paired = tb.among(sets.select("k", "shingles"), tb.key_filter(near.select(F.explode(F.array("a", "b")).alias("k")), "k"))
     one = lambda c: paired.select(F.col("k").alias(c), F.col("shingles").alias(f"{c}_set"))
     rows = tb.join_hot(near, one("a"), ["a"]).join(one("b"), "b").select("a", "b", "a_set", "b_set")
 
@@ -202,6 +215,14 @@ def verified(pairs: DataFrame, sets: DataFrame, scratch: tb.Scratch, percent: in
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _may_link(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """Whether sets of sizes a and b and bitmaps x and y may be linked, and the most that they share."""
+    less_a = np.bitwise_count(x & ~y).sum(axis=1).astype(np.int64)
+    less_b = np.bitwise_count(y & ~x).sum(axis=1).astype(np.int64)
+    most = np.minimum(a - less_a, b - less_b)
+    return 100 * most >= percent * (a + b - most), most
+
+
 class Tree:
     """Levels of nodes over classes; node i has the children FAN * i to FAN * i + FAN - 1.
 
@@ -297,10 +318,7 @@ def small_cells(cell: np.ndarray, k: np.ndarray, root: np.ndarray, size: np.ndar
         ok = (root[i] != root[j]) & (apart[i] != apart[j]) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))
         for part in np.array_split(np.flatnonzero(ok), max(1, int(ok.sum()) // 8192)):
             a, b = i[part], j[part]
-            less_a = np.bitwise_count(bits[a] & ~bits[b]).sum(axis=1).astype(np.int64)
-            less_b = np.bitwise_count(bits[b] & ~bits[a]).sum(axis=1).astype(np.int64)
-            most = np.minimum(size[a] - less_a, size[b] - less_b)
-            good = 100 * most >= percent * (size[a] + size[b] - most)
+            good, most = _may_link(size[a], size[b], bits[a], bits[b], percent)
             found_a.append(a[good])
             found_b.append(b[good])
             found_w.append(most[good] / np.maximum(size[a][good] + size[b][good] - most[good], 1))
@@ -319,7 +337,10 @@ def small_cells(cell: np.ndarray, k: np.ndarray, root: np.ndarray, size: np.ndar
 def tree_pairs(met: DataFrame, sets: DataFrame, comp: DataFrame, every: bool, scratch: tb.Scratch, percent: int = PERCENT, piece: int | None = None) -> DataFrame:
     """Pairs (a, b) of classes of different components that signature trees cannot rule out.
 
-    All of them that share enough prefix shingles, or (not every) a forest for each cell.
+    All of them that share enough prefix shingles, or (not every) a forest for each cell. Cells of up
+    to SMALL classes list their pairs without signatures: a pair is shorter than the signatures of two
+    rows, most pairs there share too few prefix shingles, and `verified` looks at the signatures of the
+    rest. Of those (not every) each class keeps the one that it meets most often.
     """
     piece = piece or PIECE
     of = met.select("g", "k", "size").join(comp.select(F.col("node").alias("k"), "root"), "k", "left").select("g", "k", "size", F.coalesce("root", "k").alias("root"))
@@ -331,7 +352,15 @@ def tree_pairs(met: DataFrame, sets: DataFrame, comp: DataFrame, every: bool, sc
     near = Window.partitionBy("g").orderBy("size", "k")
     fits = (100 * F.lag("size").over(near) >= percent * F.col("size")) | (100 * F.col("size") >= percent * F.lead("size").over(near))
     small = rows.where("NOT many").withColumn("fits", fits).where("fits").drop("fits")
-    rows = scratch.written(small.unionByName(rows.where("many")).drop("size"), "cells")
+    small = small.withColumn("tiny", F.count("*").over(Window.partitionBy("g")) <= SMALL)
+    # in a tiny cell a class lists those that come after it by size
+    after = F.collect_list(F.when(F.col("tiny"), F.struct("k", "root", "size"))).over(near.rowsBetween(1, SMALL - 1))
+    apart = lambda x: (x["root"] != F.col("root")) & (100 * F.col("size") >= percent * x["size"])
+    small = small.withColumn("after", after).withColumn("after", F.transform(F.filter("after", apart), lambda x: x["k"])).where("NOT tiny OR size(after) > 0")
+    hot = rows.where("many").withColumn("tiny", F.lit(False)).withColumn("after", F.array().cast("array<bigint>"))
+    rows = scratch.written(small.unionByName(hot).drop("size"), "cells")
+    listed = rows.where("tiny").select("k", F.explode("after").alias("o")).select(F.least("k", "o").alias("a"), F.greatest("k", "o").alias("b"))
+    rows = rows.where("NOT tiny").drop("tiny", "after")
     few = rows.where("NOT many").select("g", "k", "root", F.lit(0).cast("long").alias("own"), F.lit(0).cast("long").alias("other"))
     cut = rows.where("many").groupBy("g", "z").agg(F.ceil(F.count("*") / piece).alias("n"))
     cuts = cut.select("g", "z", "n", F.lit(0).alias("side"))
@@ -400,9 +429,13 @@ def tree_pairs(met: DataFrame, sets: DataFrame, comp: DataFrame, every: bool, sc
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["a", "b"])
 
     dealt = rows.repartition("cell").sortWithinPartitions("cell", "g", "p", "q")
-    met_at = dealt.mapInArrow(run, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("n"))
+    met_at = dealt.mapInArrow(run, "a long, b long")
     if not every:
-        return met_at.select("a", "b")
+        counted = listed.groupBy("a", "b").agg(F.count("*").alias("n"))
+        both = counted.unionByName(counted.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
+        most = both.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
+        return met_at.select("a", "b").unionByName(most.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    met_at = met_at.unionByName(listed).groupBy("a", "b").agg(F.count("*").alias("n"))
     need = sets.select("k", F.expr(f"1 + (size - ceil({percent} * size / 100)) DIV 5").alias("l"))
     # pairs of different components meet at every prefix shingle that they share
     counted = met_at.join(need.toDF("a", "la"), "a").join(need.toDF("b", "lb"), "b")
@@ -415,6 +448,10 @@ def members(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFr
     scratch, key = tb.Scratch(docs.sparkSession, "jaccard"), tb.new_key()
     table = scratch.written(described(docs, frequent(docs, key, n), key, n, percent), "described")
     met = meetings(table, scratch, percent)
+    # prefixes are most of the table and serve no more
+    table = scratch.written(table.drop("prefix"), "classes_of_texts")
+    scratch.free("described")
+    scratch.free("met")
     sets = class_sets(docs, table, met.select("k").distinct(), scratch, key, n)
     stars = met.where("k <> leader").groupBy("k", "leader").agg(F.count("*").alias("n"), F.first("size").alias("size"))
     stars = stars.groupBy("k").agg(F.max_by("leader", F.struct("n", "leader")).alias("a"), F.first("size").alias("size"))
@@ -424,6 +461,7 @@ def members(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFr
     roots = scratch.written(connected(links, scratch), "components")
     for every in (False, True):
         more = scratch.written(verified(tree_pairs(met, sets, roots, every, scratch, percent), sets, scratch, percent), "links")
+        scratch.free("cells")
         if not more.isEmpty():
             links = links.unionByName(more)
             roots = scratch.written(connected(links, scratch), "components")

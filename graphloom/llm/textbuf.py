@@ -29,6 +29,9 @@ BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
 #: Hashes of texts that a task remembers.
 SEEN_MOST = 500_000
 
+#: Bits of a filter of keys (a bound of memory, not of results: a fuller filter lets more rows pass).
+FILTER_BITS = 1 << 25
+
 U64 = np.uint64
 
 
@@ -114,16 +117,44 @@ def text_keys(docs: DataFrame, *more: str | Column) -> DataFrame:
     return docs.select(*more, F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2"), text.alias("text"))
 
 
-def one_copy(docs: DataFrame) -> DataFrame:
+def key_filter(keys: DataFrame, column: str) -> np.ndarray:
+    """A bit set of FILTER_BITS that holds every hash of the column (long) and by chance a few others."""
+    bits = keys.selectExpr(f"pmod({column}, {FILTER_BITS}L) AS bit").selectExpr("shiftright(bit, 6) AS word", "shiftleft(1L, CAST(bit & 63L AS INT)) AS mark")
+    found = bits.groupBy("word").agg(F.bit_or("mark").alias("marks")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, U64)
+    out[found.column("word").to_numpy()] = found.column("marks").to_numpy().view(U64)
+    return out
+
+
+def may_hold(held: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the hashes (int64) a filter may hold; never false for one that it was made of."""
+    bit = keys.view(U64) & U64(64 * len(held) - 1)
+    return (held[(bit >> U64(6)).astype(np.int64)] >> (bit & U64(63))) & U64(1) == 1
+
+
+def among(rows: DataFrame, held: np.ndarray) -> DataFrame:
+    """The rows whose first column (a long, never null) a filter may hold, without a shuffle; an exact join must follow."""
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(may_hold(held, batch.column(0).to_numpy())))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def one_copy(docs: DataFrame, held: np.ndarray | None = None) -> DataFrame:
     """k1, k2 and text, most copies left out: each text about once for each partition of docs.
 
     A task remembers the hashes of the last SEEN_MOST texts and more, so its memory is bounded; a copy
-    that comes after it has forgotten passes, and what follows must expect that.
+    that comes after it has forgotten passes, and what follows must expect that. With a filter of k1,
+    texts that it does not hold stay away.
     """
 
     def run(batches):
         seen: set[tuple[int, int]] = set()
         for batch in batches:
+            if held is not None:
+                batch = batch.filter(pa.array(may_hold(held, batch.column(0).to_numpy())))
             keep = []
             if len(seen) > SEEN_MOST:
                 seen.clear()
@@ -292,17 +323,26 @@ class Scratch:
 
     def __init__(self, spark, name: str):
         self.spark, self.root, self.count = spark, shared_path(spark, name), 0
+        self.paths: dict[str, str] = {}
 
     def written(self, df: DataFrame, name: str) -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count}-{name}"
         df.write.parquet(path)
+        self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def free(self, name: str) -> None:
+        """Removes the last table of that name, which no frame that is still used may read."""
+        self._remove(self.paths.pop(name))
+
     def drop(self) -> None:
         """Removes the folder. No frame that reads its tables may be used after that."""
+        self._remove(self.root)
+
+    def _remove(self, path: str) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
+        path = jvm.org.apache.hadoop.fs.Path(path)
         path.getFileSystem(conf).delete(path, True)
 
 

@@ -5,12 +5,14 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from graphloom.llm import bpe, jaccard, licenses, mixing, quality, queries, repeats, rules, secrets, topk, toxicity
+from graphloom.llm import textbuf as tb
 
 WORDS = r"[^\x20\x09-\x0D]+"
 P = "one two three four five six seven eight nine ten "
@@ -251,6 +253,71 @@ def test_jaccard_random_families(spark, seed):
     assert got == set(components(rows))
 
 
+@pytest.mark.parametrize("small", [4, 16])
+def test_jaccard_cells_of_any_size(spark, monkeypatch, small):
+    """Families of 3 to 40 near the threshold: some cells list their pairs, some build trees; links cross both."""
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    rng = np.random.default_rng(7)
+    rows = []
+    for fam, many in enumerate((3, 5, 12, 40)):
+        base = [f"f{fam}_{k}" for k in range(80)]
+        for _ in range(many):
+            w = list(base)
+            for _ in range(int(rng.integers(0, 5))):
+                w[int(rng.integers(0, len(w)))] = f"e{rng.integers(0, 9)}"
+            rows.append((len(rows), " ".join(w)))
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == set(components(rows))
+
+
+def test_tiny_cells_list_pairs_without_signatures(spark):
+    """Sets of 100 need five common prefix shingles; 1 and 2 have them, 1 and 3 do not, 4 is too small for 1."""
+    rows = [(g, k, 100) for g in range(5) for k in (1, 2)] + [(9, 1, 100), (9, 3, 100), (10, 1, 100), (10, 4, 50)]
+    met = spark.createDataFrame(rows, "g long, k long, size long")
+    sets = spark.createDataFrame([(k, 50 if k == 4 else 100, None, None) for k in (1, 2, 3, 4)], "k long, size long, shingles binary, bitmap binary")
+    found = {}
+    for every in (False, True):
+        for name, roots in (("apart", []), ("one", [(1, 1), (2, 1)])):
+            comp, scratch = spark.createDataFrame(roots, "node long, root long"), tb.Scratch(spark, "tiny")
+            found[every, name] = {(r.a, r.b) for r in jaccard.tree_pairs(met, sets, comp, every, scratch).collect()}
+            scratch.drop()
+    assert found == {(False, "apart"): {(1, 2), (1, 3)}, (True, "apart"): {(1, 2)}, (False, "one"): {(1, 3)}, (True, "one"): set()}
+
+
+def test_jaccard_moves_and_keeps_only_what_it_needs(spark, monkeypatch):
+    """Texts that meet no other stay where they are; prefixes go once they have served."""
+    rows = [(i, " ".join(f"w{i}_{k}" for k in range(60))) for i in range(50)]
+    rows += [(50 + i, " ".join(f"v{k}" for k in range(60 - i))) for i in range(2)]
+    moved, there, copies, written = [], {}, tb.one_copy, tb.Scratch.written
+
+    def one_copy(*args):
+        moved.append((out := copies(*args)).count())
+        return out
+
+    def write(self, df, name):
+        out = written(self, df, name)
+        there[name] = {p.name.split("-", 1)[1] for p in Path(self.root.removeprefix("file://")).iterdir()}
+        return out
+
+    monkeypatch.setattr(tb, "one_copy", one_copy)
+    monkeypatch.setattr(tb.Scratch, "written", write)
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == set(components(rows))
+    assert sum(moved) < 10
+    assert not there["class_sets"] & {"described", "met"}
+
+
+def test_filters_of_keys_lose_none(spark):
+    rng = np.random.default_rng(3)
+    keys = np.concatenate([rng.integers(-(2**63), 2**63 - 1, 2_000), [-1, 0, 63, 64, 2**63 - 1, -(2**63)]])
+    held = tb.key_filter(spark.createDataFrame([(int(k),) for k in keys], "k long"), "k")
+    assert tb.may_hold(held, keys).all()
+    assert tb.may_hold(held, rng.integers(-(2**63), 2**63 - 1, 100_000)).mean() < 0.01
+    assert not tb.may_hold(tb.key_filter(spark.createDataFrame([], "k long"), "k"), keys).any()
+    rows = spark.createDataFrame([(int(k), "x") for k in keys] + [(12345, "y")], "k long, t string")
+    assert {r.k for r in tb.among(rows, held).collect() if r.t == "x"} == set(keys.tolist())
+
+
 def test_signature_trees_prune_nothing_that_is_linked():
     rng = np.random.default_rng(1)
     sets = []
