@@ -157,12 +157,17 @@ def nearest_scope(uses: DataFrame, ancestors: DataFrame, declared: DataFrame) ->
     """use, resolution, target: the innermost scope that declares a name decides, EXACT or CANDIDATE_SET.
 
     uses: use, scope, name; ancestors: scope, ancestor, depth (0 for itself); declared: ancestor, name, target.
+    The declarations of a name in a scope meet its uses as one row, their least and largest target: these are
+    equal if there is only one. So work is by use and ancestor, however often a name is declared.
     """
-    found = uses.join(ancestors, "scope").join(declared, ["ancestor", "name"])
-    near = found.groupBy("use", "depth").agg(F.count_distinct("target").alias("n"), F.min("target").alias("target"))
-    best = near.groupBy("use").agg(F.min_by(F.struct("n", "target"), "depth").alias("b"))
-    resolution = F.when(F.col("b").isNull(), "UNKNOWN").when(F.col("b.n") == 1, "EXACT").otherwise("CANDIDATE_SET")
-    return uses.join(best, "use", "left").select("use", resolution.alias("resolution"), F.when(F.col("b.n") == 1, F.col("b.target")).alias("target"))
+    ends = declared.groupBy("ancestor", "name").agg(F.min("target").alias("low"), F.max("target").alias("high"))
+    # ancestors are often made from a short column, which looks small enough to be broadcast
+    found = uses.join(ancestors.hint("merge"), "scope").join(ends, ["ancestor", "name"])
+    near = found.groupBy("use", "depth").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    best = near.groupBy("use").agg(F.min_by(F.struct("low", "high"), "depth").alias("b"))
+    one = F.col("b.low") == F.col("b.high")
+    resolution = F.when(F.col("b").isNull(), "UNKNOWN").when(one, "EXACT").otherwise("CANDIDATE_SET")
+    return uses.join(best, "use", "left").select("use", resolution.alias("resolution"), F.when(one, F.col("b.low")).alias("target"))
 
 
 def declared_relation(members: DataFrame, unit: str, module: str) -> DataFrame:
