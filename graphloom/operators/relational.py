@@ -78,13 +78,14 @@ def cascade(refs: DataFrame, tiers: Sequence[tuple[str, float, DataFrame, Sequen
     return out.select(key, F.coalesce(*labels, F.lit("unresolved")).alias("tier"), F.coalesce(*confidence, F.lit(0.0)).alias("confidence"), picked.alias("target"))
 
 
-def innermost(points: DataFrame, spans: DataFrame, key: str, at: str) -> DataFrame:
-    """Each point with the innermost span that holds it: the largest start, then the largest id.
-
-    points: path, key, at; spans: path, id, start, end (whole numbers from 0 on). A span is cut into
-    aligned intervals of powers of two; of the spans cut to one interval only the best stays, and a
-    point looks up the one interval of each size that holds it. So work is by point and span times
-    the number of sizes, however many spans a path has.
+def _span_cells(points: DataFrame, spans: DataFrame, at: str) -> tuple[DataFrame, DataFrame]:
+    """(spans, points) with the cells c that they have: a span is in a point's path and holds it if and only if they
+    share exactly one.
+
+    A span (start to end, whole numbers from 0 on) is cut into aligned intervals of powers of two; a point has the one
+    interval of each size that holds it. So work is by point and span times the number of sizes, however many spans
+    a path has. A cut table is many times larger than Spark's guess from the columns it is made of, so joins of it
+    are to be merged, never broadcast.
     """
     widest = spans.agg(F.max(F.col("end") - F.col("start") + 1)).first()[0] or 1
     sizes = F.sequence(F.lit(0), F.lit(int(widest).bit_length()))
@@ -94,11 +95,27 @@ def innermost(points: DataFrame, spans: DataFrame, key: str, at: str) -> DataFra
     cut = F.flatten(F.transform(sizes, lambda k: F.array(
         F.when((low(k) < high(k)) & (low(k) % 2 == 1), cell(k, low(k))), F.when((low(k) < high(k)) & (high(k) % 2 == 1), cell(k, high(k) - 1)),
     )))
-    parts = spans.select("path", "id", "start", F.explode(F.array_compact(cut)).alias("c"))
-    best = parts.groupBy("path", "c").agg(F.max(F.struct("start", "id")).alias("best"))
+    parts = spans.withColumn("c", F.explode(F.array_compact(cut)))
     point = F.col(at).cast("long")
-    asked = points.select("path", key, F.explode(F.transform(sizes, lambda k: cell(k, F.floor(point / F.pow(F.lit(2.0), k)).cast("long")))).alias("c"))
-    return asked.join(best, ["path", "c"], "left").groupBy(key).agg(F.max("best").alias("b")).select(key, F.col("b.id").alias("span_id"))
+    return parts, points.withColumn("c", F.explode(F.transform(sizes, lambda k: cell(k, F.floor(point / F.pow(F.lit(2.0), k)).cast("long")))))
+
+
+def innermost(points: DataFrame, spans: DataFrame, key: str, at: str) -> DataFrame:
+    """Each point with the innermost span that holds it: the largest start, then the largest id.
+
+    points: path, key, at; spans: path, id, start, end (whole numbers from 0 on). Of the spans cut to one interval only
+    the best stays.
+    """
+    parts, asked = _span_cells(points.select("path", key, at), spans.select("path", "id", "start", "end"), at)
+    best = parts.groupBy("path", "c").agg(F.max(F.struct("start", "id")).alias("best"))
+    found = asked.select("path", key, "c").join(best.hint("merge"), ["path", "c"], "left")
+    return found.groupBy(key).agg(F.max("best").alias("b")).select(key, F.col("b.id").alias("span_id"))
+
+
+def covered(points: DataFrame, spans: DataFrame, at: str) -> DataFrame:
+    """Points (path, at, ...) beside each span (path, id, start, end) that holds them, each pair once."""
+    parts, asked = _span_cells(points, spans.select("path", "id", "start", "end"), at)
+    return asked.join(parts.select("path", "id", "c").hint("merge"), ["path", "c"]).drop("c")
 
 
 def planes(static: DataFrame, observed: DataFrame, on: Sequence[str]) -> DataFrame:
