@@ -72,9 +72,9 @@ def c12_best_candidate(spark, d):
 SELECT DISTINCT id, object FROM ev JOIN spans USING (path) WHERE line BETWEEN s AND e""")
 def c15_span_attribution(spark, d):
     n = star.nodes(spark, d).where("kind = 'PART'")
-    spans = n.select("path", "id", F.col("ordinal").alias("s"), (F.col("ordinal") + 20).alias("e"))
+    spans = n.select("path", "id", F.col("ordinal").alias("start"), (F.col("ordinal") + 20).alias("end"))
     events = n.select("path", (F.col("ordinal") + 3).alias("line"), F.col("language").alias("object"))
-    return events.join(spans, "path").where("line BETWEEN s AND e").select("id", "object").distinct()
+    return relational.covered(events, spans, "line").select("id", "object").distinct()
 
 
 @query("c20_binding_chain", """
