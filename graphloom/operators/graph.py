@@ -207,19 +207,35 @@ def components(edges: DataFrame) -> DataFrame:
         label = new
 
 
-def simple_chains(edges: DataFrame, seeds: DataFrame, most: int = 5) -> DataFrame:
-    """path, nodes: simple paths from the seeds that end at a sink within `most` nodes."""
+def chain_walks(edges: DataFrame, seeds: DataFrame, most: int = 5) -> DataFrame:
+    """path (array of nodes): simple paths from the seeds that end at a sink within `most` nodes.
+
+    A walk goes on only to nodes from which a sink is near enough, so hardly any is written that ends nowhere. Short
+    node keys (numbers) keep the walks small.
+    """
     arcs = settled(edges.select("src", "dst").distinct(), "arcs")
     sinks = arcs.select(F.col("dst").alias("id")).distinct().join(arcs.select(F.col("src").alias("id")), "id", "left_anti")
+    room = front = settled(sinks.withColumn("hops", F.lit(0)), "room")
+    for step in range(1, most - 1):
+        back = arcs.join(front.select(F.col("id").alias("dst")), "dst").select(F.col("src").alias("id")).distinct()
+        front = settled(back.join(room.select("id"), "id", "left_anti").withColumn("hops", F.lit(step)), "room")
+        room = room.unionByName(front)
+    arcs = settled(arcs.join(room.withColumnRenamed("id", "dst"), "dst").select("src", "dst", "hops"), "arcs")
     now = seeds.select(F.col("id").alias("end"), F.array("id").alias("path"))
     found = None
-    for _ in range(most - 1):
-        now = settled(now.join(arcs, now["end"] == arcs["src"]).where(~F.array_contains("path", F.col("dst"))).select(F.col("dst").alias("end"), F.concat("path", F.array("dst")).alias("path")), "chains")
-        ended = now.join(sinks.withColumnRenamed("id", "end"), "end", "left_semi").select(F.array_join("path", ">").alias("path"), F.size("path").cast("long").alias("nodes"))
+    for k in range(1, most):
+        step = now.join(arcs.where(F.col("hops") <= most - 1 - k), now["end"] == arcs["src"]).where(~F.array_contains("path", F.col("dst")))
+        step = settled(step.select(F.col("dst").alias("end"), F.concat("path", F.array("dst")).alias("path"), "hops"), "chains")
+        ended, now = step.where("hops = 0").select("path"), step.where("hops > 0").select("end", "path")
         found = ended if found is None else found.unionByName(ended)
     return found
 
 
+def simple_chains(edges: DataFrame, seeds: DataFrame, most: int = 5) -> DataFrame:
+    """path, nodes: simple paths from the seeds that end at a sink within `most` nodes."""
+    return chain_walks(edges, seeds, most).select(F.array_join("path", ">").alias("path"), F.size("path").cast("long").alias("nodes"))
+
+
 def cycles(edges: DataFrame, most: int) -> DataFrame:
     """path, nodes: elementary cycles of at most `most` nodes, each once, from its least node on."""
     arcs = settled(edges.select("src", "dst").where("src <> dst").distinct(), "arcs")
