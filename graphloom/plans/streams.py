@@ -87,11 +87,10 @@ UNION ALL SELECT file, 'SYMBOL_REMOVED', old FROM seq WHERE gone UNION ALL SELEC
 
 @query("l1_keyed_units", _LATE + _UNITS, graph=False)
 def l1_keyed_units(spark, d):
-    """The manifest as keyed state: what is added, changed, and removed after a week without an event."""
+    """The manifest as a table of last kinds, batch by batch: what is added, changed, and removed after a week without an event."""
     file = F.concat_ws("/", F.col("user_id").cast("string"), F.substring(F.get_json_object("props", "$.k"), 1, 1))
     events = star.table(spark, d, "events").select(file.alias("file"), F.col("event_type").alias("kind"), "ts", "event_id")
-    rows = ev.replayed(events, lambda s: ev.delta_units(s, "7 days"), "units", close=True, keyed=True)
-    return rows
+    return ev.replayed(events, lambda s: s, "units", close=True, step=ev.units_of_batches(spark, "7 days"), schema="file string, unit string, kind string")
 
 
 @query("l3_late_windows", f"""{_LATE}

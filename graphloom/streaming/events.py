@@ -164,6 +164,36 @@ def delta_units(events: DataFrame, forget: str, late: str = "1 hour") -> DataFra
     return keyed.transformWithStateInPandas(Manifest(forget_ms), "file string, unit string, kind string", "Append", "EventTime")
 
 
+def units_of_batches(spark: SparkSession, forget: str, late: str = "1 hour") -> Callable[[DataFrame, int], DataFrame]:
+    """A step for `replayed`: what `delta_units` tells, with the files' last kinds as a table with a version a batch in
+    place of a state that Python visits key by key.
+
+    events: file, kind, ts, event_id (null in a closing row). Batch n reads version n - 1 and writes version n, so a
+    batch that is run again does the same. A file is gone once the newest event so far, less `late`, has passed its
+    last one by `forget`; as in a stream, that is judged when a batch is done.
+    """
+    root = shared_path(spark, "last-kinds")
+    kind = "file string, kind string, at long, event_id long, unit string, gone boolean"
+    forget_ms, late_ms = (int(pd.Timedelta(x).total_seconds() * 1000) for x in (forget, late))
+
+    def step(batch: DataFrame, n: int) -> DataFrame:
+        old = spark.read.schema(kind).parquet(f"{root}/{n - 1}") if n else spark.createDataFrame([], kind)
+        rows = batch.select("file", "kind", F.unix_micros("ts").alias("at"), "event_id")
+        newest = max((x for x in (rows.agg(F.max("at")).first()[0], old.agg(F.max("at")).first()[0]) if x is not None), default=0)
+        last = lambda name: F.max_by(F.struct("kind", "at", "event_id"), F.struct("at", "event_id")).alias(name)
+        new = rows.where("event_id IS NOT NULL").groupBy("file").agg(last("b"))
+        j = old.where("NOT gone").select("file", F.struct("kind", "at", "event_id").alias("a")).join(new, "file", "full_outer")
+        fresh = F.col("b").isNotNull() & (F.col("a").isNull() | (F.struct("b.at", "b.event_id") > F.struct("a.at", "a.event_id")))
+        unit = F.when(fresh & F.col("a").isNull(), "SYMBOL_ADDED").when(fresh & ~F.col("a.kind").eqNullSafe(F.col("b.kind")), "KIND_CHANGED")
+        j = j.select("file", F.when(fresh, F.col("b")).otherwise(F.col("a")).alias("c"), unit.alias("unit")).select("file", "c.*", "unit")
+        j.withColumn("gone", F.expr("at div 1000") + forget_ms < newest // 1000 - late_ms).write.mode("overwrite").parquet(f"{root}/{n}")
+        done = spark.read.schema(kind).parquet(f"{root}/{n}")
+        told = F.array_compact(F.array("unit", F.when(F.col("gone"), "SYMBOL_REMOVED")))
+        return done.select("file", F.explode(told).alias("unit"), "kind")
+
+    return step
+
+
 @contextmanager
 def _keyed_state(spark: SparkSession) -> Iterator[None]:
     """Keyed state with timers lives in RocksDB; the session's own choice comes back afterwards."""
