@@ -38,7 +38,8 @@ SELECT run, object, writer, event_id AS reader FROM (
 WHERE op IN ('READ', 'READ_WRITE') AND writer IS NOT NULL""")
 def l2_stream_lineage(spark, d):
     events = star.data_events(spark, d).select("run", "object", "event_id", "ts", "op")
-    return ev.replayed(events, ev.lineage, "lineage")
+    # keys are nearly as many as events, and a state that Python visits key by key takes a call for each
+    return ev.replayed(events, lambda s: s, "lineage", step=ev.lineage_of_batches(spark), schema="run long, object string, writer long, reader long")
 
 
 @query("l3_window_counts", "SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL", graph=False)
